@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -114,8 +115,8 @@ def scale_numeric(df: DataFrame, scales: dict[str, float], suffix: str = "_scale
 class Featurizer:
     """Fitted on training rows; transforming never refits."""
 
-    def __init__(self, spec: FeatureSpec = TEXT_METADATA):
-        self.spec = spec
+    def __init__(self, spec: FeatureSpec = TEXT_METADATA, key: str = "problem_uid"):
+        self.spec, self.key = spec, key
         self.scales: dict[str, float] = {}
         self.model: PipelineModel | None = None
         self.parts: list[str] = []
@@ -136,12 +137,11 @@ class Featurizer:
         stages: list = []
         self.parts = []
         if s.text:
-            keyed = prepared.select("_terms").withColumn("_doc", F.monotonically_increasing_id())
+            doc = F.col(self.key) if self.key in prepared.columns else F.monotonically_increasing_id()
+            keyed = prepared.select("_terms", doc.alias("_doc"))
             n_docs = df.count()
             vocab = vocabulary(term_counts(keyed, "_doc", "_terms"), s.min_df, s.max_features).collect()
             if vocab:
-                import math
-
                 idf = [math.log((1 + n_docs) / (1 + r["df"])) + 1.0 for r in vocab]
                 counter = CountVectorizerModel.from_vocabulary(
                     [r["term"] for r in vocab], inputCol="_terms", outputCol="_tf", minTF=1.0

@@ -126,7 +126,7 @@ def quality_report(df: DataFrame, stored_label: str = "oracle_cheapest_successfu
     and split disjointness come from a second aggregate on the problem key.
     """
     parsed = {OUTCOME_COLUMNS[p]: strict_outcome(OUTCOME_COLUMNS[p], "null") for p in EXECUTIONS}
-    label = oracle_label(parsed)
+    label = oracle_label({p: parsed[OUTCOME_COLUMNS[p]] for p in EXECUTIONS})
     checks = {
         "null_outcome": reduce(lambda a, b: a | b, [F.col(c).isNull() for c in parsed]),
         "non_binary_outcome": reduce(lambda a, b: a | b, [F.col(c).isNotNull() & v.isNull() for c, v in parsed.items()]),

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dir: str | None = None
+_shipped: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,3 +44,15 @@ def bounded(df: DataFrame, max_rows: int) -> DataFrame | None:
     if len(rows) > max_rows:
         return None
     return df.sparkSession.createDataFrame(rows, df.schema)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once per application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="escalade-package-")
+    archive = shutil.make_archive(f"{folder}/escalade", "zip", root_dir=root.parent, base_dir=root.name)
+    sc.addPyFile(archive)
+    _shipped.add(sc.applicationId)
