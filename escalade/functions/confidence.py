@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..dims import BASELINE, SINGLE
-from .outcomes import _c
+from .outcomes import _c, bind
 
 GATE_THRESHOLD = 70.0
 CASCADE_HIGH = 70.0
@@ -23,38 +23,50 @@ def _clip(c: Column) -> Column:
 def _json_integer(payload: Column, key: str) -> Column:
     """Integer under ``key``: numbers truncate, booleans are 0/1, integer text counts."""
     path = f"$.{key}"
-    kind = F.schema_of_variant(F.try_variant_get(payload, path, "variant"))
-    text = F.trim(F.try_variant_get(payload, path, "string"))
-    number = F.try_variant_get(payload, path, "double")
-    return (
-        F.when(kind == "STRING", F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast("double")))
-        .when(kind == "BOOLEAN", F.when(text == "true", F.lit(1.0)).otherwise(F.lit(0.0)))
-        .otherwise(F.signum(number) * F.floor(F.abs(number)).cast("double"))
-    )
+
+    def read(text: Column) -> Column:
+        kind = F.schema_of_variant(F.try_variant_get(payload, path, "variant"))
+        number = text.try_cast("double")
+        return (
+            F.when(kind == "STRING", F.when(text.rlike(r"^[+-]?\d+$"), number))
+            .when(kind == "BOOLEAN", F.when(text == "true", F.lit(1.0)).otherwise(F.lit(0.0)))
+            .otherwise(F.signum(number) * F.floor(F.abs(number)).cast("double"))
+        )
+
+    return bind(F.trim(F.try_variant_get(payload, path, "string")), read)
 
 
 def parse_confidence(col, key: str = "PROBABILITY") -> Column:
     """Raw response text to a 0-100 score, NULL when nothing is parseable.
 
-    Steps, first hit wins: a numeric cell; the key of a JSON object; ``KEY: n``
-    anywhere; a bare integer; the first standalone integer up to 100.
+    Steps, first hit wins: the key of a JSON object; ``KEY: n`` anywhere; a bare
+    integer; the first standalone integer up to 100.  Intermediate values are
+    bound once, so the plan stays small when the optimizer copies the expression.
     """
-    raw = F.trim(F.regexp_replace(_c(col).cast("string"), r"^\s+|\s+$", ""))
-    present = raw.isNotNull() & (raw != "") & ~F.lower(raw).isin("nan", "none", "null")
-    text = F.when(present, raw)
-    payload = F.try_parse_json(F.when(text.startswith("{"), text))
-    candidates = list(dict.fromkeys([key, key.lower(), key.upper()]))
-    by_key = F.lit(None).cast("double")
-    for k in reversed(candidates):
-        present_key = F.try_variant_get(payload, f"$.{k}", "variant").isNotNull()
-        by_key = F.when(present_key, _json_integer(payload, k)).otherwise(by_key)
-
+    spellings = list(dict.fromkeys([key, key.lower(), key.upper()]))
     keyed_pattern = "(?i)[\"']?" + re.escape(key) + "[\"']?\\s*:\\s*(\\d{1,3})"
-    keyed = F.nullif(F.regexp_extract(text, keyed_pattern, 1), F.lit("")).try_cast("double")
-    bare = F.nullif(F.regexp_extract(text, r"^(\d{1,3})$", 1), F.lit("")).try_cast("double")
-    ints = F.transform(F.regexp_extract_all(text, F.lit(r"\b([0-9]{1,3})\b"), 1), lambda x: x.try_cast("double"))
-    first_int = F.get(F.filter(ints, lambda x: x <= 100), F.lit(0))
-    return F.coalesce(_clip(by_key), _clip(keyed), _clip(bare), first_int)
+
+    def by_key(payload: Column) -> Column:
+        """The first spelling that is present decides, even if it does not parse."""
+        out = F.lit(None).cast("double")
+        for k in reversed(spellings):
+            present = F.try_variant_get(payload, f"$.{k}", "variant").isNotNull()
+            out = F.when(present, _json_integer(payload, k)).otherwise(out)
+        return out
+
+    def number(text: Column, pattern: str) -> Column:
+        return F.nullif(F.regexp_extract(text, pattern, 1), F.lit("")).try_cast("double")
+
+    def ladder(text: Column) -> Column:
+        payload = F.try_parse_json(F.when(text.startswith("{"), text))
+        keyed = F.coalesce(bind(payload, by_key), number(text, keyed_pattern), number(text, r"^(\d{1,3})$"))
+        ints = F.transform(F.regexp_extract_all(text, F.lit(r"\b([0-9]{1,3})\b"), 1), lambda x: x.try_cast("double"))
+        first = F.get(F.filter(ints, lambda x: x <= 100), F.lit(0))
+        return F.coalesce(bind(keyed, _clip), first)
+
+    raw = F.regexp_replace(_c(col).cast("string"), r"^\s+|\s+$", "")
+    usable = F.when(~F.lower(raw).isin("", "nan", "none", "null"), raw)
+    return bind(usable, ladder)
 
 
 def clip_confidence(col) -> Column:

@@ -26,6 +26,11 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once and not repeated in the plan."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _norm(col) -> Column:
     return F.lower(F.trim(_c(col).cast("string")))
 

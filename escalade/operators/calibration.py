@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.outcomes import ratio, value_target_columns
+from ..functions.outcomes import bind, ratio, value_target_columns
 from .ranks import add_range, running_totals
 
 
@@ -120,10 +120,11 @@ def bin_edges(n_bins: int) -> list[float]:
 
 def bin_index(p: Column, n_bins: int = 10) -> Column:
     """0-based bin: the first is closed on both sides, the others are (lo, hi]."""
-    out = F.lit(0)
-    for edge in bin_edges(n_bins):
-        out = out + (p > F.lit(edge)).cast("int")
-    return F.when((p >= 0.0) & (p <= 1.0), out)
+    def count_edges(q: Column) -> Column:
+        passed = F.filter(F.array(*[F.lit(e) for e in bin_edges(n_bins)]), lambda edge: q > edge)
+        return F.when((q >= 0.0) & (q <= 1.0), F.size(passed))
+
+    return bind(p, count_edges)
 
 
 def bins_from_table(table: DataFrame, by=(), n_bins: int = 10) -> DataFrame:

@@ -78,17 +78,15 @@ def validate_matched(df: DataFrame, source: str | None = None, examples: int = 5
     ``examples`` of them are shown, chosen by a rank limit that Spark applies
     before the shuffle, so a table of nothing but offenders stays bounded.
     """
-    frames = []
-    for p in EXECUTIONS:
-        name = OUTCOME_COLUMNS[p]
-        frames.append(
-            df.where(~binary_text(name)).select(
-                F.lit(f"non_binary:{name}").alias("check"),
-                F.col("setting"),
-                F.coalesce(F.col(name).cast("string"), F.lit("NULL")).alias("example"),
-            )
-        )
-    cells = reduce(DataFrame.unionByName, frames).groupBy("check", "setting", "example").agg(F.count("*").alias("n"))
+    offences = F.array(*[
+        F.when(~binary_text(c), F.struct(
+            F.lit(f"non_binary:{c}").alias("check"), F.coalesce(F.col(c).cast("string"), F.lit("NULL")).alias("example")
+        )) for c in OUTCOME_COLUMNS.values()
+    ])
+    cells = (
+        df.select("setting", F.explode(F.filter(offences, lambda x: x.isNotNull())).alias("o"))
+        .groupBy("o.check", "setting", "o.example").agg(F.count("*").alias("n"))
+    )
     dupes = (
         df.groupBy("setting", "problem_uid").agg(F.count("*").alias("n")).where("n > 1")
         .select(F.lit("duplicate_uid").alias("check"), "setting", F.col("problem_uid").cast("string").alias("example"),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..dims import setting_dim
-from ..functions.text import format_ci
+from ..functions.text import fixed, format_ci
 from ..operators.reports import coverage_table, interaction_table, oracle_distribution
 from ..operators.resample import interaction_ci
 from ..operators.settings import label_settings, report_order
@@ -15,7 +15,7 @@ from ..operators.settings import label_settings, report_order
 def _published(table: DataFrame, dim: DataFrame, order: str, decimals: int) -> DataFrame:
     named = report_order(label_settings(table, dim), dim, order)
     cols = [
-        F.round(c, decimals).alias(c) if t == "double" else F.col(c)
+        fixed(c, decimals).cast("double").alias(c) if t == "double" else F.col(c)
         for c, t in named.dtypes if c not in ("setting", "solver", "setting_label", "report_rank")
     ]
     return named.select("solver", F.col("setting_label").alias("setting"), *cols)
