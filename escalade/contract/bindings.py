@@ -62,7 +62,7 @@ def labelled(spark: SparkSession, sf: str) -> DataFrame:
     return with_oracle_label(matched(spark, sf))
 
 
-def raw_confidence(spark: SparkSession, sf: str) -> DataFrame:
+def with_raw_confidence(events: DataFrame) -> DataFrame:
     """``event_id, k, confidence_raw``: six spellings by id."""
     k = F.regexp_extract("props", r"(\d+)", 1)
     kind = F.col("event_id") % 6
@@ -74,7 +74,11 @@ def raw_confidence(spark: SparkSession, sf: str) -> DataFrame:
         .when(kind == 4, F.concat(F.lit('{"PROBABILITY": '), (k.cast("bigint") + 60).cast("string"), F.lit("}")))
         .otherwise("no idea")
     )
-    return table(spark, sf, "events").select("event_id", k.cast("bigint").alias("k"), text.alias("confidence_raw"))
+    return events.select("event_id", k.cast("bigint").alias("k"), text.alias("confidence_raw"))
+
+
+def raw_confidence(spark: SparkSession, sf: str) -> DataFrame:
+    return with_raw_confidence(table(spark, sf, "events"))
 
 
 def confident(spark: SparkSession, sf: str) -> DataFrame:

@@ -1 +1,136 @@
+"""Text terms, vocabulary, weights, scaled numbers, feature vectors."""
 
+from __future__ import annotations
+
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
+
+from ..functions.text import add_bigrams, parse_json_list, words
+from ..operators import features as ft
+from ..operators.leakage import is_forbidden
+from ..operators.splits import SplitConfig, refit_rows, stratified_split
+from . import bindings as b
+from .base import BASE, query, rounded, with_
+
+WORDS = r"""wd AS (SELECT doc_id, regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}_]{2,}') AS ws FROM %s),
+tm AS (SELECT doc_id, ws, list_concat(ws, list_transform(range(1, len(ws)), lambda i: concat(ws[i], ' ', ws[i + 1]))) AS terms FROM wd)"""
+DOCS = WORDS % "documents"
+TRAIN = WORDS % "(SELECT documents.* FROM documents JOIN labels ON labels.doc_id = documents.doc_id)"
+
+
+@query("tokens_ngrams", with_(DOCS) + "SELECT doc_id, len(ws) AS n_words, len(terms) AS n_terms, md5(array_to_string(terms, '|')) AS digest FROM tm")
+def tokens(spark, sf):
+    docs = b.table(spark, sf, "documents").select("doc_id", words("text").alias("ws")).withColumn("terms", add_bigrams("ws"))
+    return docs.select("doc_id", F.size("ws").cast("bigint").alias("n_words"), F.size("terms").cast("bigint").alias("n_terms"),
+                       F.md5(F.array_join("terms", "|").cast("binary")).alias("digest"))
+
+
+def _train(spark, sf):
+    docs = b.table(spark, sf, "documents").select("doc_id", "text")
+    return docs.join(b.table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
+
+
+def _counts(spark, sf):
+    return ft.term_counts(ft.with_terms(_train(spark, sf), "text"), "doc_id")
+
+
+COUNTS = "tc AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(terms) AS term FROM tm) GROUP BY 1, 2)"
+VOCAB = """vc AS (SELECT term, CAST(sum(tf) AS BIGINT) AS n_total, count(*) AS df FROM tc GROUP BY term HAVING count(*) >= 2
+  ORDER BY n_total DESC, term LIMIT 20000)"""
+
+
+@query("vocabulary", with_(TRAIN, COUNTS, VOCAB) + "SELECT * FROM vc")
+def vocabulary(spark, sf):
+    return ft.vocabulary(_counts(spark, sf))
+
+
+@query("tfidf", with_(TRAIN, COUNTS, VOCAB) + """, x AS (
+  SELECT tc.doc_id, tc.term, tf * (ln(CAST(1 + (SELECT count(*) FROM wd) AS DOUBLE) / (1 + df)) + 1) AS raw FROM tc JOIN vc ON vc.term = tc.term),
+nm AS (SELECT doc_id, sqrt(sum(raw * raw)) AS norm FROM x GROUP BY doc_id),
+w AS (SELECT x.doc_id, term, raw / norm AS weight FROM x JOIN nm ON nm.doc_id = x.doc_id)
+SELECT doc_id, count(*) AS n_terms, round(sum(weight), 6) AS sum_weight, round(max(weight), 6) AS max_weight,
+  md5(string_agg(term, '|' ORDER BY term)) AS digest FROM w GROUP BY doc_id""")
+def tfidf(spark, sf):
+    counts = _counts(spark, sf)
+    n_docs = _train(spark, sf).count()
+    weights = ft.tfidf(counts, ft.vocabulary(counts), n_docs, "doc_id")
+    out = weights.groupBy("doc_id").agg(
+        F.count("*").alias("n_terms"), F.sum("weight").alias("sum_weight"), F.max("weight").alias("max_weight"),
+        F.md5(F.array_join(F.array_sort(F.collect_list("term")), "|").cast("binary")).alias("digest"),
+    )
+    return rounded(out, "sum_weight", "max_weight", digits=6)
+
+
+@query("scale_numeric", with_(*BASE) + """
+SELECT problem_uid, round(difficulty / (SELECT stddev_pop(difficulty) FROM lab), 9) AS difficulty_scaled,
+  round(difficulty_tier / (SELECT stddev_pop(difficulty_tier) FROM lab), 9) AS difficulty_tier_scaled FROM lab""")
+def scale_numeric(spark, sf):
+    m = b.labelled(spark, sf).select("problem_uid", "difficulty", "difficulty_tier")
+    scales = ft.numeric_scales(m, ["difficulty", "difficulty_tier"])
+    out = ft.scale_numeric(m, scales).select("problem_uid", "difficulty_scaled", "difficulty_tier_scaled")
+    return rounded(out, "difficulty_scaled", "difficulty_tier_scaled")
+
+
+LIST_SQL = """CASE p_partkey % 6 WHEN 0 THEN concat('["', p_type, '", "', p_brand, '"]') WHEN 1 THEN concat('"', p_type, '"')
+  WHEN 2 THEN concat('[''', p_type, ''']') WHEN 3 THEN '' WHEN 4 THEN CAST(p_size AS VARCHAR) ELSE p_name END"""
+
+
+def _lists():
+    kind = F.col("p_partkey") % 6
+    return (
+        F.when(kind == 0, F.concat(F.lit('["'), "p_type", F.lit('", "'), "p_brand", F.lit('"]')))
+        .when(kind == 1, F.concat(F.lit('"'), "p_type", F.lit('"')))
+        .when(kind == 2, F.concat(F.lit("['"), "p_type", F.lit("']")))
+        .when(kind == 3, "").when(kind == 4, F.col("p_size").cast("string")).otherwise(F.col("p_name"))
+    )
+
+
+@query("parse_json_list", f"""SELECT p_partkey, CASE WHEN raw = '' THEN '' WHEN json_valid(raw) AND json_type(raw) = 'ARRAY'
+  THEN array_to_string(CAST(from_json(CASE WHEN json_valid(raw) THEN raw ELSE '[]' END, '["VARCHAR"]') AS VARCHAR[]), '|')
+  WHEN json_valid(raw) THEN json_extract_string(raw, '$') ELSE raw END AS labels FROM (SELECT p_partkey, {LIST_SQL} AS raw FROM part)""")
+def json_list(spark, sf):
+    return b.table(spark, sf, "part").select("p_partkey", F.array_join(parse_json_list(_lists()), "|").alias("labels"))
+
+
+@query("project_features", with_(*BASE) + """SELECT problem, source, concat('["', lower(setting), '", "', split_part(problem, ' ', 1), '"]') AS domain,
+  difficulty, difficulty_tier FROM lab""")
+def project(spark, sf):
+    return ft.feature_frame(b.labelled(spark, sf), ft.TEXT_METADATA)
+
+
+@query("forbidden_columns", with_(*BASE) + """
+SELECT c AS "column", n FROM (SELECT unnest(['baseline_correct', 'single_correct', 'per_correct', 'broadcast_correct', 'oracle_label']) AS c,
+  (SELECT count(*) FROM lab) AS n)""")
+def forbidden_columns(spark, sf):
+    """The guard's verdict on a labelled table: cells that may not become features."""
+    m = b.labelled(spark, sf)
+    bad = [c for c in m.columns if is_forbidden(c)]
+    counts = m.agg(*[F.count(c).alias(c) for c in bad])
+    return counts.unpivot([], bad, "column", "n")
+
+
+def _featurized(spark, sf, spec):
+    rows = stratified_split(b.labelled(spark, sf), SplitConfig.primary())
+    model = ft.Featurizer(spec).fit(refit_rows(rows))
+    return model.transform(rows.where("split = 'test'"))
+
+
+def _vector(df):
+    values = vector_to_array("features")
+    return df.select("problem_uid", F.size(values).alias("width"),
+                     F.size(F.filter(values, lambda v: v != 0)).alias("active"))
+
+
+@query("one_hot")
+def one_hot(spark, sf):
+    return _vector(_featurized(spark, sf, ft.FeatureSpec(text=None, multilabel=(), numeric=())))
+
+
+@query("multi_hot")
+def multi_hot(spark, sf):
+    return _vector(_featurized(spark, sf, ft.FeatureSpec(text=None, categorical=(), numeric=())))
+
+
+@query("assemble")
+def assemble(spark, sf):
+    return _vector(_featurized(spark, sf, ft.TEXT_METADATA))
