@@ -12,11 +12,14 @@ from ..operators.resample import interaction_ci
 from ..operators.settings import label_settings, report_order
 
 
-def _published(table: DataFrame, dim: DataFrame, order: str, decimals: int) -> DataFrame:
+def _published(table: DataFrame, labelled: DataFrame, dim: DataFrame, order: str, decimals: int) -> DataFrame:
+    if "model_endpoint" in labelled.columns:
+        endpoints = labelled.groupBy("setting").agg(F.min("model_endpoint").alias("model_endpoint"))
+        table = table.join(endpoints, "setting", "left")
     named = report_order(label_settings(table, dim), dim, order)
     cols = [
         fixed(c, decimals).cast("double").alias(c) if t == "double" else F.col(c)
-        for c, t in named.dtypes if c not in ("setting", "solver", "setting_label", "report_rank")
+        for c, t in named.dtypes if c not in ("setting", "solver", "setting_label", "model_endpoint", "report_rank")
     ]
     return named.select("solver", F.col("setting_label").alias("setting"), *cols)
 
@@ -29,7 +32,7 @@ def published_tables(labelled: DataFrame, dim: DataFrame | None = None, resample
         "setting", format_ci("ci_low", "ci_high", 1).alias("broadcast_minus_per_ci_points")
     )
     return {
-        "matched_protocol_coverage": _published(coverage_table(labelled), dim, "coverage_ord", 2),
-        "oracle_label_distribution": _published(oracle_distribution(labelled), dim, "oracle_ord", 2),
-        "per_broadcast_interaction": _published(cross.join(bounds, "setting", "left"), dim, "oracle_ord", 1),
+        "matched_protocol_coverage": _published(coverage_table(labelled), labelled, dim, "coverage_ord", 2),
+        "oracle_label_distribution": _published(oracle_distribution(labelled), labelled, dim, "oracle_ord", 2),
+        "per_broadcast_interaction": _published(cross.join(bounds, "setting", "left"), labelled, dim, "oracle_ord", 1),
     }
