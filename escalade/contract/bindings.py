@@ -10,6 +10,7 @@ from ..functions.confidence import parse_confidence
 from ..functions.outcomes import difficulty_tier
 from ..operators.matched import with_oracle_label
 from ..operators.replay import replay
+from ..session import spread
 
 BY_LINE = {i + 1: p for i, p in enumerate(EXECUTIONS)}
 
@@ -78,7 +79,7 @@ def with_raw_confidence(events: DataFrame) -> DataFrame:
 
 
 def raw_confidence(spark: SparkSession, sf: str) -> DataFrame:
-    return with_raw_confidence(table(spark, sf, "events"))
+    return with_raw_confidence(spread(table(spark, sf, "events").select("event_id", "props")))
 
 
 def confident(spark: SparkSession, sf: str) -> DataFrame:

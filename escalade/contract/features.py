@@ -9,6 +9,7 @@ from ..functions.text import add_bigrams, parse_json_list, words
 from ..operators import features as ft
 from ..operators.leakage import is_forbidden
 from ..operators.splits import SplitConfig, refit_rows, stratified_split
+from ..session import spread
 from . import bindings as b
 from .base import BASE, query, rounded, with_
 
@@ -20,13 +21,13 @@ TRAIN = WORDS % "(SELECT documents.* FROM documents JOIN labels ON labels.doc_id
 
 @query("tokens_ngrams", with_(DOCS) + "SELECT doc_id, len(ws) AS n_words, len(terms) AS n_terms, md5(array_to_string(terms, '|')) AS digest FROM tm")
 def tokens(spark, sf):
-    docs = b.table(spark, sf, "documents").select("doc_id", words("text").alias("ws")).withColumn("terms", add_bigrams("ws"))
+    docs = spread(b.table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", words("text").alias("ws")).withColumn("terms", add_bigrams("ws"))
     return docs.select("doc_id", F.size("ws").cast("bigint").alias("n_words"), F.size("terms").cast("bigint").alias("n_terms"),
                        F.md5(F.array_join("terms", "|").cast("binary")).alias("digest"))
 
 
 def _train(spark, sf):
-    docs = b.table(spark, sf, "documents").select("doc_id", "text")
+    docs = spread(b.table(spark, sf, "documents").select("doc_id", "text"))
     return docs.join(b.table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
 
 

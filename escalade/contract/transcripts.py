@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import boxed, final_answer
 from ..operators import runlog, transcripts as tr
+from ..session import spread
 from . import bindings as b
 from .base import cnt, query, rat, with_
 
@@ -13,7 +14,7 @@ K = "CAST(regexp_extract(props, '(\\d+)', 1) AS BIGINT)"
 
 
 def _events(spark, sf):
-    return b.table(spark, sf, "events").withColumn("k", F.regexp_extract("props", r"(\d+)", 1)).withColumn(
+    return spread(b.table(spark, sf, "events")).withColumn("k", F.regexp_extract("props", r"(\d+)", 1)).withColumn(
         "setting", F.concat(F.lit("s"), (F.col("user_id") % 4).cast("string"))
     )
 

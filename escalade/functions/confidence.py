@@ -55,7 +55,7 @@ def parse_confidence(col, key: str = "PROBABILITY") -> Column:
         return out
 
     def number(text: Column, pattern: str) -> Column:
-        return F.nullif(F.regexp_extract(text, pattern, 1), F.lit("")).try_cast("double")
+        return F.regexp_extract(text, pattern, 1).try_cast("double")  # '' casts to NULL
 
     def ladder(text: Column) -> Column:
         payload = F.try_parse_json(F.when(text.startswith("{"), text))
@@ -64,9 +64,11 @@ def parse_confidence(col, key: str = "PROBABILITY") -> Column:
         first = F.get(F.filter(ints, lambda x: x <= 100), F.lit(0))
         return F.coalesce(bind(keyed, _clip), first)
 
-    raw = F.regexp_replace(_c(col).cast("string"), r"^\s+|\s+$", "")
-    usable = F.when(~F.lower(raw).isin("", "nan", "none", "null"), raw)
-    return bind(usable, ladder)
+    def present(raw: Column) -> Column:
+        return F.when(~F.lower(raw).isin("", "nan", "none", "null"), raw)
+
+    raw = F.btrim(_c(col).cast("string"), F.lit(" \t\n\r\f\x0b"))
+    return bind(bind(raw, present), ladder)
 
 
 def clip_confidence(col) -> Column:

@@ -129,11 +129,13 @@ def bin_index(p: Column, n_bins: int = 10) -> Column:
 
 def bins_from_table(table: DataFrame, by=(), n_bins: int = 10) -> DataFrame:
     """Reliability bins of a score table; empty bins do not appear."""
-    n = F.col("pos") + F.col("neg")
+    inside = F.col("bin").isNotNull()
+    pos = F.when(inside, F.col("pos")).otherwise(0)
+    n = F.when(inside, F.col("pos") + F.col("neg")).otherwise(0)
     sums = (
-        table.withColumn("bin", bin_index(F.col("score"), n_bins)).where("bin IS NOT NULL")
+        table.withColumn("bin", bin_index(F.col("score"), n_bins))
         .groupBy(*by, "bin")
-        .agg(F.sum(n).alias("n"), F.sum("pos").alias("pos"), F.sum(n * F.col("score")).alias("_sp"))
+        .agg(F.sum(n).alias("n"), F.sum(pos).alias("pos"), F.sum(n * F.col("score")).alias("_sp"))
         .where("n > 0")
     )
     width = 1.0 / n_bins
@@ -161,11 +163,12 @@ def ece(df: DataFrame, y: Column, p: Column, by=(), n_bins: int = 10) -> DataFra
 
 
 def confidence_report(df: DataFrame, by, confidence: str = "confidence", correct: str = "baseline_correct",
-                      n_bins: int = 10) -> DataFrame:
+                      n_bins: int = 10, points: list[float] | None = None) -> DataFrame:
     """Parse rate, failure AUROC, ECE, Brier and mean confidences per group.
 
     One pass builds the score table with the unparseable rows as its NULL
-    score; the denominators always include them.
+    score; the denominators always include them.  Scores parsed from text are
+    integers, at most 101 per group; ``points`` cut the windows of continuous ones.
     """
     by = [by] if isinstance(by, str) else list(by)
     cells = df.groupBy(*by, F.col(confidence).alias("confidence")).agg(
@@ -179,12 +182,14 @@ def confidence_report(df: DataFrame, by, confidence: str = "confidence", correct
         F.sum(F.when(p.isNotNull(), F.col("right"))).alias("_nr"), F.sum(F.when(p.isNotNull(), F.col("wrong"))).alias("_nw"),
         F.sum(F.col("right") * F.col("confidence")).alias("_cr"), F.sum(F.col("wrong") * F.col("confidence")).alias("_cw"),
     )
-    scored = cells.where("confidence IS NOT NULL")
-    risk = scored.select(*by, ((F.lit(100.0) - F.col("confidence")) / F.lit(100.0)).alias("score"),
-                         F.col("wrong").alias("pos"), F.col("right").alias("neg"))
-    prob = scored.select(*by, p.alias("score"), F.col("right").alias("pos"), F.col("wrong").alias("neg"))
+    # Unparseable cells stay in with zero counts: a filter would be pushed below
+    # the aggregate and give the three figures three different scans.
+    known = F.col("confidence").isNotNull()
+    right, wrong = (F.when(known, F.col(c)).otherwise(0) for c in ("right", "wrong"))
+    risk = cells.select(*by, ((F.lit(100.0) - F.col("confidence")) / F.lit(100.0)).alias("score"), wrong.alias("pos"), right.alias("neg"))
+    prob = cells.select(*by, p.alias("score"), right.alias("pos"), wrong.alias("neg"))
     out = (
-        base.join(auroc_from_table(risk, by).select(*by, "auroc"), by, "left")
+        base.join(auroc_from_table(risk, by, points).select(*by, "auroc"), by, "left")
         .join(ece_from_table(prob, by, n_bins).select(*by, "ece"), by, "left")
     )
     return out.select(
@@ -195,7 +200,7 @@ def confidence_report(df: DataFrame, by, confidence: str = "confidence", correct
     )
 
 
-def target_metrics(df: DataFrame, score: Column, by=("setting",), label="oracle_label") -> DataFrame:
+def target_metrics(df: DataFrame, score: Column, by=("setting",), label="oracle_label", points=None) -> DataFrame:
     """Per group and target: n parseable, positives, prevalence, AUROC, AP.
 
     One aggregate counts all four targets per score; the long form is taken
@@ -208,8 +213,8 @@ def target_metrics(df: DataFrame, score: Column, by=("setting",), label="oracle_
     )
     table = cells.unpivot([*by, "score", "_n"], list(targets), "target", "pos").withColumn("neg", F.col("_n") - F.col("pos"))
     keys = [*by, "target"]
-    a = auroc_from_table(table, keys)
-    ap = average_precision_from_table(table, keys).select(*keys, "average_precision")
+    a = auroc_from_table(table, keys, points)
+    ap = average_precision_from_table(table, keys, points).select(*keys, "average_precision")
     n = F.col("n_pos") + F.col("n_neg")
     return a.join(ap, keys).select(
         *keys, n.alias("n_parseable"), F.col("n_pos").alias("positive_n"), ratio("n_pos", n).alias("prevalence"),

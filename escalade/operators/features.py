@@ -18,8 +18,9 @@ from pyspark.ml.feature import (
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..functions.text import add_bigrams, parse_json_list, words
+from ..functions.text import add_bigrams, parse_json_list, term_frequencies, words
 from .leakage import assert_no_leakage
 
 
@@ -63,8 +64,12 @@ def with_terms(df: DataFrame, text: str, out: str = "terms") -> DataFrame:
 
 
 def term_counts(df: DataFrame, key: str, terms: str = "terms") -> DataFrame:
-    """``(key, term, tf)``; a document's repeats combine inside its own task."""
-    return df.select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    """``(key, term, tf)`` of a table with one row per document.
+
+    A document is one row, so its terms are counted in place; nothing is
+    shuffled.
+    """
+    return df.select(key, F.explode(term_frequencies(terms)).alias("t")).select(key, "t.term", "t.tf")
 
 
 def vocabulary(counts: DataFrame, min_df: int = 2, max_features: int = 20000) -> DataFrame:
@@ -80,13 +85,14 @@ def tfidf(counts: DataFrame, vocab: DataFrame, n_docs: int, key: str, max_featur
     """``(key, term, weight)``: tf x (ln((1+n)/(1+df)) + 1), scaled to unit length per document.
 
     The vocabulary is at most ``max_features`` rows by construction, so it is
-    broadcast; the norm is a partial aggregate joined back on the document key.
+    broadcast and bounds the rows of a document; the norm is a window over one
+    document.
     """
     idf = F.log(F.lit(float(1 + n_docs)) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
     side = F.broadcast(vocab.limit(max_features).select("term", idf.alias("idf")))
     raw = counts.join(side, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("raw"))
-    norms = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return raw.join(norms, key).select(key, "term", (F.col("raw") / F.col("norm")).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
+    return raw.select(key, "term", (F.col("raw") / norm).alias("weight"))
 
 
 # --- numbers ----------------------------------------------------------------

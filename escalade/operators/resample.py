@@ -26,13 +26,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, LongType
 
-from ..dims import LABELS, SHORT
 from ..functions.outcomes import escalation_direction, ratio
 from .calibration import auroc_from_table, ece_from_table
 from .replay import confusion_counts, macro_f1_from_counts
 
 LANES = 4
+DRAWS = 100
 UNIT = float(2**32)
 
 
@@ -54,18 +55,25 @@ def poisson_weight(bits: Column) -> Column:
 
 
 def _row_weighted(df: DataFrame, by, cell, unit: str, n: int, seed: int, measures) -> DataFrame:
-    blocks = F.sequence(F.lit(0), F.lit((n + LANES - 1) // LANES - 1))
-    rows = df.select(*by, *cell, *measures, F.col(unit).cast("string").alias("_unit"), F.explode(blocks).alias("_block"))
+    # Block -1 carries the unweighted rows as replicate -1.
+    blocks = F.sequence(F.lit(-1), F.lit((n + LANES - 1) // LANES - 1))
+    narrow = df.select(*by, *cell, *measures, F.col(unit).cast("string").alias("_unit"))
+    # Each row becomes n / LANES rows, so the partition sizes that suited the
+    # input no longer fit: spread the rows first, by the unit, evenly.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = narrow.repartition(tasks, "_unit").withColumn("_block", F.explode(blocks))
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("_block").cast("string"), F.col("_unit")).cast("binary"))
     rows = rows.withColumn("_h", digest)
-    lanes = [f"_w{i}" for i in range(LANES)]
     rows = rows.withColumns({
-        w: poisson_weight(F.conv(F.substring("_h", 8 * i + 1, 8), 16, 10).cast("bigint")) for i, w in enumerate(lanes)
+        f"_b{i}": F.conv(F.substring("_h", 8 * i + 1, 8), 16, 10).cast("bigint") for i in range(LANES)
+    })
+    rows = rows.withColumns({
+        f"_w{i}": F.when(F.col("_block") == -1, F.lit(1)).otherwise(poisson_weight(F.col(f"_b{i}"))) for i in range(LANES)
     })
     aggs = []
-    for i, w in enumerate(lanes):
-        aggs.append(F.sum(w).cast("bigint").alias(f"w{i}"))
-        aggs += [F.sum(F.col(w) * F.col(m)).alias(f"{m}{i}") for m in measures]
+    for i in range(LANES):
+        aggs.append(F.sum(f"_w{i}").cast("bigint").alias(f"w{i}"))
+        aggs += [F.sum(F.col(f"_w{i}") * F.col(m)).alias(f"{m}{i}") for m in measures]
     summed = rows.groupBy(*by, "_block", *cell).agg(*aggs)
     lane = F.array(*[
         F.struct((F.col("_block") * LANES + i).cast("int").alias("replicate"), F.col(f"w{i}").alias("w"),
@@ -73,26 +81,37 @@ def _row_weighted(df: DataFrame, by, cell, unit: str, n: int, seed: int, measure
         for i in range(LANES)
     ])
     out = summed.select(*by, *cell, F.explode(lane).alias("_l")).select(*by, *cell, "_l.*")
-    return out.where(F.col("replicate") < n)
+    return out.where((F.col("replicate") >= -1) & (F.col("replicate") < n))
 
 
 def _cell_weighted(df: DataFrame, by, cell, n: int, seed: int) -> DataFrame:
     counts = df.groupBy(*by, *cell).agg(F.count("*").alias("_count"))
-    drawn = counts.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    key = F.xxhash64(F.lit(seed), F.col("replicate"), *[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in [*by, *cell]])
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = F.sequence(F.lit(0), F.lit((n + DRAWS - 1) // DRAWS - 1))
+    drawn = counts.withColumn("_block", F.explode(blocks)).repartition(tasks, *by, *cell, "_block")
+    key = F.xxhash64(F.lit(seed), F.col("_block"), *[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in [*by, *cell]])
 
-    @pandas_udf("bigint")
+    @pandas_udf(ArrayType(LongType()))
     def draw(count: pd.Series, stream: pd.Series) -> pd.Series:
+        """One generator per (cell, block), whatever batch or task it falls into."""
         return pd.Series([
-            int(np.random.Generator(np.random.Philox(key=int(s) & (2**64 - 1))).poisson(c)) for c, s in zip(count, stream)
+            np.random.Generator(np.random.Philox(key=int(s) & (2**64 - 1))).poisson(c, DRAWS) for c, s in zip(count, stream)
         ])
 
-    return drawn.withColumn("w", draw("_count", key)).drop("_count")
+    first = F.col("_block") == 0
+    weights = F.when(first, F.concat(F.array("_count"), F.col("_w"))).otherwise(F.col("_w"))
+    long = drawn.withColumn("_w", draw("_count", key)).select(*by, *cell, "_block", F.posexplode(weights).alias("_i", "w"))
+    replicate = (F.col("_block") * DRAWS + F.col("_i") - (F.col("_block") == 0).cast("int")).cast("int")
+    return long.select(*by, *cell, replicate.alias("replicate"), "w").where(F.col("replicate") < n)
 
 
 def weighted_cells(df: DataFrame, by=(), cell=(), n: int = 2000, seed: int = 42, mode: str = "cells",
                    unit: str = "problem_uid", measures=()) -> DataFrame:
-    """``(by..., cell..., replicate, w[, w_<measure>...])`` for ``n`` replicates."""
+    """``(by..., cell..., replicate, w[, w_<measure>...])`` for ``n`` replicates.
+
+    Replicate -1 is the sample itself (each row once), so the point estimate
+    comes out of the same pass.
+    """
     by, cell, measures = list(by), list(cell), list(measures)
     if mode == "rows":
         return _row_weighted(df, by, cell, unit, n, seed, measures)
@@ -111,7 +130,7 @@ def multinomial_cells(df: DataFrame, cell=(), n: int = 2000, seed: int = 42, max
     counts = df.groupBy(*cell).agg(F.count("*").alias("count")).orderBy(*cell)
     rows = counts.limit(max_cells + 1).toPandas()
     if len(rows) > max_cells:
-        return weighted_cells(df, (), cell, n, seed)
+        return weighted_cells(df, (), cell, n, seed).where("replicate >= 0")
     sizes = rows["count"].to_numpy(dtype="int64")
     total = int(sizes.sum())
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in counts.schema.fields if f.name != "count")
@@ -130,34 +149,30 @@ def multinomial_cells(df: DataFrame, cell=(), n: int = 2000, seed: int = 42, max
 # --- intervals --------------------------------------------------------------
 
 
-def percentile_bounds(draws: DataFrame, value: str, by=(), alpha: float = 0.05) -> DataFrame:
-    """Linear-interpolation percentile bounds over finite draws, NULL without any."""
+def interval(draws: DataFrame, value: str, by=(), alpha: float = 0.05, keep=()) -> DataFrame:
+    """``point, ci_low, ci_high`` of a statistic per replicate.
+
+    The point is replicate -1; the bounds interpolate linearly over the finite
+    draws and are NULL without any.  ``keep`` names columns taken from the point.
+    """
     v = F.col(value).cast("double")
-    finite = F.when(~F.isnan(v) & (F.abs(v) != F.lit(float("inf"))), v)
+    own = F.col("replicate") == -1
+    finite = F.when(~own & ~F.isnan(v) & (F.abs(v) != F.lit(float("inf"))), v)
     return draws.groupBy(*by).agg(
-        F.percentile(finite, F.lit(alpha / 2)).alias("ci_low"), F.percentile(finite, F.lit(1 - alpha / 2)).alias("ci_high")
+        *[F.max(F.when(own, F.col(c))).alias(c) for c in keep], F.max(F.when(own, v)).alias("point"),
+        F.percentile(finite, F.lit(alpha / 2)).alias("ci_low"), F.percentile(finite, F.lit(1 - alpha / 2)).alias("ci_high"),
     )
 
 
-def _attach(point: DataFrame, bounds: DataFrame, keys: list[str]) -> DataFrame:
-    """Point estimates with their bounds; both sides have one row per result."""
-    if keys:
-        return point.join(bounds, keys, "left")
-    return point.withColumn("_one", F.lit(1)).join(bounds.withColumn("_one", F.lit(1)), "_one", "left").drop("_one")
-
-
 def bootstrap_ci(df: DataFrame, value: str, by=(), n: int = 2000, seed: int = 42, alpha: float = 0.05,
                  mode: str = "cells", unit: str = "problem_uid") -> DataFrame:
     """Point estimate and interval of the mean of a boolean column."""
     by = list(by)
-    point = df.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(F.col(value)).alias("_s")).select(
-        *by, "n", ratio("_s", "n").alias("point")
+    w = F.col("w")
+    draws = weighted_cells(df, by, [value], n, seed, mode, unit).groupBy(*by, "replicate").agg(
+        F.sum(w).alias("n"), ratio(F.sum(F.when(F.col(value), w).otherwise(0)), F.sum(w)).alias("draw")
     )
-    cells = weighted_cells(df, by, [value], n, seed, mode, unit)
-    draws = cells.groupBy(*by, "replicate").agg(
-        ratio(F.sum(F.when(F.col(value), F.col("w")).otherwise(0)), F.sum("w")).alias("draw")
-    )
-    return _attach(point, percentile_bounds(draws, "draw", by, alpha), by)
+    return interval(draws, "draw", by, alpha, ["n"])
 
 
 def bootstrap_metrics(df: DataFrame, metrics: dict[str, tuple[Column, Column]], cell: list[str], by=(), n: int = 2000,
@@ -167,25 +182,18 @@ def bootstrap_metrics(df: DataFrame, metrics: dict[str, tuple[Column, Column]],
 
     A metric is ``(numerator, denominator)``, each an expression over the cell
     columns that is summed with the resample weight; measures are referred to
-    as ``w_<measure>`` and enter already weighted.  The point estimate uses
-    weight one.
+    as ``w_<measure>`` and enter already weighted.
     """
-    by, measures = list(by), list(measures)
-
-    def totals(cells, *keys):
-        aggs = []
-        for i, (num, den) in enumerate(metrics.values()):
-            aggs += [F.sum(num).alias(f"n{i}"), F.sum(den).alias(f"d{i}")]
-        sums = cells.groupBy(*by, *keys).agg(*aggs)
-        rows = F.array(*[
-            F.struct(F.lit(name).alias("metric"), ratio(f"n{i}", f"d{i}").alias("value")) for i, name in enumerate(metrics)
-        ])
-        return sums.select(*by, *keys, F.explode(rows).alias("m")).select(*by, *keys, "m.metric", "m.value")
-
-    ones = df.groupBy(*by, *cell).agg(F.count("*").alias("w"), *[F.sum(m).alias(f"w_{m}") for m in measures])
-    point = totals(ones).withColumnRenamed("value", "point")
-    draws = totals(weighted_cells(df, by, cell, n, seed, mode, unit, measures), "replicate")
-    return _attach(point, percentile_bounds(draws, "value", [*by, "metric"], alpha), [*by, "metric"])
+    by = list(by)
+    aggs = []
+    for i, (num, den) in enumerate(metrics.values()):
+        aggs += [F.sum(num).alias(f"n{i}"), F.sum(den).alias(f"d{i}")]
+    sums = weighted_cells(df, by, cell, n, seed, mode, unit, measures).groupBy(*by, "replicate").agg(*aggs)
+    rows = F.array(*[
+        F.struct(F.lit(name).alias("metric"), ratio(f"n{i}", f"d{i}").alias("value")) for i, name in enumerate(metrics)
+    ])
+    draws = sums.select(*by, "replicate", F.explode(rows).alias("m")).select(*by, "replicate", "m.metric", "m.value")
+    return interval(draws, "value", [*by, "metric"], alpha)
 
 
 def misaligned(a: DataFrame, b: DataFrame, key: str = "problem_uid") -> DataFrame:
@@ -204,13 +212,11 @@ def paired_difference(df: DataFrame, a: str, b: str, by=(), n: int = 2000, seed:
     bad = F.raise_error(F.lit("paired arms must align: an arm is missing")).cast("int")
     step = F.coalesce(F.col(a).cast("int") - F.col(b).cast("int"), bad)
     rows = df.withColumn("_d", step)
-    s = F.lit(float(scale))
-    point = rows.groupBy(*by).agg(F.count("*").alias("n"), F.sum("_d").alias("_s")).select(
-        *by, "n", (s * ratio("_s", "n")).alias("point")
+    w = F.col("w")
+    draws = weighted_cells(rows, by, ["_d"], n, seed, mode, unit).groupBy(*by, "replicate").agg(
+        F.sum(w).alias("n"), (F.lit(float(scale)) * ratio(F.sum(w * F.col("_d")), F.sum(w))).alias("draw")
     )
-    cells = weighted_cells(rows, by, ["_d"], n, seed, mode, unit)
-    draws = cells.groupBy(*by, "replicate").agg((s * ratio(F.sum(F.col("w") * F.col("_d")), F.sum("w"))).alias("draw"))
-    return _attach(point, percentile_bounds(draws, "draw", by, alpha), by)
+    return interval(draws, "draw", by, alpha, ["n"])
 
 
 def _score_ci(df: DataFrame, figure, column: str, by, n, seed, alpha, mode, unit, confidence, correct, risk: bool) -> DataFrame:
@@ -218,20 +224,14 @@ def _score_ci(df: DataFrame, figure, column: str, by, n, seed, alpha, mode, unit
     usable = df.where(F.col(confidence).isNotNull()).select(
         *by, unit, F.col(confidence).alias("_c"), F.col(correct).alias("_ok")
     )
-    c = F.col("_c")
+    c, w = F.col("_c"), F.col("w")
     score = (F.lit(100.0) - c) / F.lit(100.0) if risk else c / F.lit(100.0)
     positive = ~F.col("_ok") if risk else F.col("_ok")
-
-    def table(cells, *keys):
-        return cells.groupBy(*by, *keys, score.alias("score")).agg(
-            F.sum(F.when(positive, F.col("w")).otherwise(0)).cast("bigint").alias("pos"),
-            F.sum(F.when(positive, 0).otherwise(F.col("w"))).cast("bigint").alias("neg"),
-        )
-
-    ones = usable.groupBy(*by, "_c", "_ok").agg(F.count("*").alias("w"))
-    point = figure(table(ones), by).select(*by, F.col(column).alias("point"))
-    draws = figure(table(weighted_cells(usable, by, ["_c", "_ok"], n, seed, mode, unit), "replicate"), [*by, "replicate"])
-    return _attach(point, percentile_bounds(draws, column, by, alpha), by)
+    table = weighted_cells(usable, by, ["_c", "_ok"], n, seed, mode, unit).groupBy(*by, "replicate", score.alias("score")).agg(
+        F.sum(F.when(positive, w).otherwise(0)).cast("bigint").alias("pos"),
+        F.sum(F.when(positive, 0).otherwise(w)).cast("bigint").alias("neg"),
+    )
+    return interval(figure(table, [*by, "replicate"]), column, by, alpha)
 
 
 def auroc_ci(df: DataFrame, by=("setting",), n: int = 2000, seed: int = 42, alpha: float = 0.05, mode: str = "cells",
@@ -271,32 +271,26 @@ def routing_ci(replayed: DataFrame, by=("setting",), n: int = 2000, seed: int =
     def total(cond):
         return F.sum(F.when(cond, w).otherwise(0))
 
-    def metrics(cells, *keys):
-        d = escalation_direction(p, g)
-        solvable = g != "none"
-        sums = cells.groupBy(*by, *keys).agg(
-            F.sum(w).alias("n"), total(F.col("success")).alias("n_success"), total(g == p).alias("n_mode"),
-            total(solvable).alias("n_solvable"), total(solvable & ~F.col("success")).alias("n_missed"),
-            *[total(d == k).alias(f"n_{k}") for k in ("over", "under", "match")],
-            *confusion_counts(g, p, w),
-        )
-        values = {
-            "solve_rate": ratio("n_success", "n"),
-            "mode_accuracy": ratio("n_mode", "n"),
-            "macro_f1": F.when(F.col("n") > 0, macro_f1_from_counts()),
-            "missed_success_rate": F.when(F.col("n") > 0, F.coalesce(ratio("n_missed", "n_solvable"), F.lit(0.0))),
-            "over_escalation_rate": ratio("n_over", "n"),
-            "under_escalation_rate": ratio("n_under", "n"),
-            "match_rate": ratio("n_match", "n"),
-        }
-        rows = F.array(*[F.struct(F.lit(k).alias("metric"), v.alias("value")) for k, v in values.items()])
-        return sums.select(*by, *keys, F.explode(rows).alias("m")).select(*by, *keys, "m.metric", "m.value")
-
-    ones = replayed.groupBy(*by, *cell).agg(F.count("*").alias("w"))
-    point = metrics(ones).withColumnRenamed("value", "point")
-    draws = metrics(weighted_cells(replayed, by, cell, n, seed, mode, unit), "replicate")
-    keys = [*by, "metric"]
-    return _attach(point, percentile_bounds(draws, "value", keys, alpha), keys)
+    d = escalation_direction(p, g)
+    solvable = g != "none"
+    sums = weighted_cells(replayed, by, cell, n, seed, mode, unit).groupBy(*by, "replicate").agg(
+        F.sum(w).alias("n"), total(F.col("success")).alias("n_success"), total(g == p).alias("n_mode"),
+        total(solvable).alias("n_solvable"), total(solvable & ~F.col("success")).alias("n_missed"),
+        *[total(d == k).alias(f"n_{k}") for k in ("over", "under", "match")],
+        *confusion_counts(g, p, w),
+    )
+    values = {
+        "solve_rate": ratio("n_success", "n"),
+        "mode_accuracy": ratio("n_mode", "n"),
+        "macro_f1": F.when(F.col("n") > 0, macro_f1_from_counts()),
+        "missed_success_rate": F.when(F.col("n") > 0, F.coalesce(ratio("n_missed", "n_solvable"), F.lit(0.0))),
+        "over_escalation_rate": ratio("n_over", "n"),
+        "under_escalation_rate": ratio("n_under", "n"),
+        "match_rate": ratio("n_match", "n"),
+    }
+    rows = F.array(*[F.struct(F.lit(k).alias("metric"), v.alias("value")) for k, v in values.items()])
+    draws = sums.select(*by, "replicate", F.explode(rows).alias("m")).select(*by, "replicate", "m.metric", "m.value")
+    return interval(draws, "value", [*by, "metric"], alpha)
 
 
 def bootstrap_statistic(df: DataFrame, statistic, result: str = "draw double", n: int = 200, seed: int = 42,
@@ -307,12 +301,9 @@ def bootstrap_statistic(df: DataFrame, statistic, result: str = "draw double", n
     so it is bounded by one replicate; prefer the aggregate forms above.
     """
     cols = [c for c in df.columns]
-    rows = weighted_cells(df, (), cols, n, seed, "rows", unit)
+    rows = weighted_cells(df, (), cols, n, seed, "rows", unit).where("replicate >= 0")
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"replicate": [int(frame["replicate"].iloc[0])], "draw": [float(statistic(frame))]})
 
     return rows.groupBy("replicate").applyInPandas(run, f"replicate int, {result}")
-
-
-SHORT_NAMES = tuple(SHORT[p] for p in LABELS)

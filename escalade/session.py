@@ -46,6 +46,16 @@ def bounded(df: DataFrame, max_rows: int) -> DataFrame | None:
     return df.sparkSession.createDataFrame(rows, df.schema)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rebalance a scan that has fewer splits than the application has cores.
+
+    For heavy per-row work on a few large row groups; a scan with enough splits
+    is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors' Python workers, once per application."""
     sc = spark.sparkContext
