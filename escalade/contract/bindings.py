@@ -15,8 +15,15 @@ from ..session import spread
 BY_LINE = {i + 1: p for i, p in enumerate(EXECUTIONS)}
 
 
+_schemas: dict = {}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A driver table; its schema is read from a footer once, not by a job per use."""
+    path = f"{sf}/{name}.parquet"
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
 
 
 def runs(spark: SparkSession, sf: str) -> DataFrame:

@@ -109,5 +109,9 @@ def protocol_dim(spark: SparkSession) -> DataFrame:
 
 
 def literal_map(mapping: dict):
-    """A Python dict as a Spark map literal."""
-    return F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
+    """A Python dict as a Spark map literal, built in one call."""
+
+    def lit(v) -> str:
+        return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" if isinstance(v, str) else f"{v!r}D" if isinstance(v, float) else str(v)
+
+    return F.expr("map(" + ", ".join(f"{lit(k)}, {lit(v)}" for k, v in mapping.items()) + ")")

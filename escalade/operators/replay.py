@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,44 +45,40 @@ def replay(df: DataFrame, pred: str = "predicted_label", label: str = "oracle_la
 # --- classification metrics -------------------------------------------------
 
 
-def confusion_counts(gold: Column, pred: Column, weight: Column | None = None) -> list[Column]:
+def confusion_counts(gold: str, pred: str, weight: str = "1") -> list[Column]:
     """Per label: true positives, predicted and gold counts, as aggregate columns.
 
     Fifteen conditional sums in one aggregate replace a confusion table and its
     second shuffle.
     """
-    w = weight if weight is not None else F.lit(1)
-
-    def total(cond):
-        return F.coalesce(F.sum(F.when(cond, w).otherwise(F.lit(0))), F.lit(0)).cast("bigint")
-
     out = []
     for lab in LABELS:
-        s = SHORT[lab]
+        conds = {"tp": f"{gold} = '{lab}' AND {pred} = '{lab}'", "np": f"{pred} = '{lab}'", "ng": f"{gold} = '{lab}'"}
         out += [
-            total((gold == lab) & (pred == lab)).alias(f"tp_{s}"),
-            total(pred == lab).alias(f"np_{s}"),
-            total(gold == lab).alias(f"ng_{s}"),
+            F.expr(f"CAST(coalesce(sum(CASE WHEN {c} THEN {weight} ELSE 0 END), 0) AS BIGINT)").alias(f"{k}_{SHORT[lab]}")
+            for k, c in conds.items()
         ]
     return out
 
 
+def _f1(s: str) -> str:
+    return f"CASE WHEN np_{s} + ng_{s} > 0 THEN (2D * tp_{s}) / CAST(np_{s} + ng_{s} AS DOUBLE) ELSE 0D END"
+
+
 def f1_from_counts(s: str) -> Column:
     """2tp / (predicted + gold), 0 on an empty denominator."""
-    den = F.col(f"np_{s}") + F.col(f"ng_{s}")
-    return F.when(den > 0, (F.lit(2.0) * F.col(f"tp_{s}")) / den.cast("double")).otherwise(F.lit(0.0))
+    return F.expr(_f1(s))
 
 
 def macro_f1_from_counts() -> Column:
     """Mean over all five labels, absent ones included."""
-    total = reduce(lambda a, b: a + b, [f1_from_counts(SHORT[p]) for p in LABELS])
-    return total / F.lit(5.0)
+    return F.expr("(" + " + ".join(f"({_f1(SHORT[p])})" for p in LABELS) + ") / 5D")
 
 
 def class_prf(df: DataFrame, gold: str, pred: str, by=()) -> DataFrame:
     """Precision, recall and F1 per label; five rows per group whatever occurs."""
     by = list(by)
-    counts = df.groupBy(*by).agg(*confusion_counts(F.col(gold), F.col(pred)))
+    counts = df.groupBy(*by).agg(*confusion_counts(gold, pred))
     rows = []
     for lab in LABELS:
         s = SHORT[lab]
@@ -101,7 +95,7 @@ def class_prf(df: DataFrame, gold: str, pred: str, by=()) -> DataFrame:
 
 def macro_f1(df: DataFrame, gold: str, pred: str, by=()) -> DataFrame:
     by = list(by)
-    return df.groupBy(*by).agg(*confusion_counts(F.col(gold), F.col(pred))).select(
+    return df.groupBy(*by).agg(*confusion_counts(gold, pred)).select(
         *by, macro_f1_from_counts().alias("macro_f1")
     )
 
@@ -148,7 +142,7 @@ def routing_summary(replayed: DataFrame, by=(), gold: str = "oracle_label", pred
         F.sum("tokens").alias("sum_tokens"),
         F.count("excess_tokens").alias("n_excess"),
         F.sum("excess_tokens").alias("sum_excess"),
-        *confusion_counts(g, p),
+        *confusion_counts(gold, pred),
     )
     complete = F.col("n_tokens") == F.col("n_examples")
     return counts.where("n_examples > 0").select(
@@ -172,7 +166,7 @@ def heldout_table(replayed: DataFrame, by=("setting",), pred: str = "predicted_l
         F.count_if(F.col("baseline_correct")).alias("n_base"),
         F.count_if("success").alias("n_success"),
         F.count_if("solvable").alias("n_solvable"),
-        *confusion_counts(g, p),
+        *confusion_counts(gold, pred),
     )
     return counts.select(
         *by, "n",

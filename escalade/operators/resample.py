@@ -19,7 +19,6 @@ No draw depends on partitioning or on a retry.
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -49,9 +48,9 @@ def poisson_thresholds() -> list[float]:
         term /= k
 
 
-def poisson_weight(bits: Column) -> Column:
-    """Poisson(1) from a 32-bit integer by inversion."""
-    return reduce(lambda a, b: a + b, [(bits >= F.lit(math.ceil(t * UNIT))).cast("int") for t in poisson_thresholds()])
+def poisson_weight(bits: str) -> Column:
+    """Poisson(1) by inversion from the column ``bits`` of 32-bit integers."""
+    return F.expr(" + ".join(f"CAST({bits} >= {math.ceil(t * UNIT)} AS INT)" for t in poisson_thresholds()))
 
 
 def _row_weighted(df: DataFrame, by, cell, unit: str, n: int, seed: int, measures) -> DataFrame:
@@ -68,7 +67,7 @@ def _row_weighted(df: DataFrame, by, cell, unit: str, n: int, seed: int, measure
         f"_b{i}": F.conv(F.substring("_h", 8 * i + 1, 8), 16, 10).cast("bigint") for i in range(LANES)
     })
     rows = rows.withColumns({
-        f"_w{i}": F.when(F.col("_block") == -1, F.lit(1)).otherwise(poisson_weight(F.col(f"_b{i}"))) for i in range(LANES)
+        f"_w{i}": F.when(F.col("_block") == -1, F.lit(1)).otherwise(poisson_weight(f"_b{i}")) for i in range(LANES)
     })
     aggs = []
     for i in range(LANES):
@@ -277,7 +276,7 @@ def routing_ci(replayed: DataFrame, by=("setting",), n: int = 2000, seed: int =
         F.sum(w).alias("n"), total(F.col("success")).alias("n_success"), total(g == p).alias("n_mode"),
         total(solvable).alias("n_solvable"), total(solvable & ~F.col("success")).alias("n_missed"),
         *[total(d == k).alias(f"n_{k}") for k in ("over", "under", "match")],
-        *confusion_counts(g, p, w),
+        *confusion_counts("oracle_label", "predicted_label", "w"),
     )
     values = {
         "solve_rate": ratio("n_success", "n"),
