@@ -11,7 +11,7 @@ from ..operators.leakage import is_forbidden
 from ..operators.splits import SplitConfig, refit_rows, stratified_split
 from ..session import spread
 from . import bindings as b
-from .base import BASE, query, rounded, with_
+from .base import BASE, query, rounded, split_sql, with_
 
 WORDS = r"""wd AS (SELECT doc_id, regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}_]{2,}') AS ws FROM %s),
 tm AS (SELECT doc_id, ws, list_concat(ws, list_transform(range(1, len(ws)), lambda i: concat(ws[i], ' ', ws[i + 1]))) AS terms FROM wd)"""
@@ -122,12 +122,21 @@ def _vector(df):
                      F.size(F.filter(values, lambda v: v != 0)).alias("active"))
 
 
-@query("one_hot")
+FIT = (*BASE, split_sql(0.8, 0.1, 42), "fit AS (SELECT * FROM sp WHERE split IN ('train', 'dev'))", "test AS (SELECT * FROM sp WHERE split = 'test')")
+
+
+@query("one_hot", with_(*FIT) + """
+SELECT problem_uid, CAST((SELECT count(DISTINCT source) FROM fit) AS INTEGER) AS width,
+  CAST(CASE WHEN source IN (SELECT source FROM fit) THEN 1 ELSE 0 END AS INTEGER) AS active FROM test""")
 def one_hot(spark, sf):
     return _vector(_featurized(spark, sf, ft.FeatureSpec(text=None, multilabel=(), numeric=())))
 
 
-@query("multi_hot")
+@query("multi_hot", with_(*FIT) + """, known AS (
+  SELECT lower(setting) AS lab FROM fit UNION SELECT split_part(problem, ' ', 1) FROM fit)
+SELECT problem_uid, CAST((SELECT count(*) FROM known) AS INTEGER) AS width,
+  CAST(CASE WHEN lower(setting) IN (SELECT lab FROM known) THEN 1 ELSE 0 END
+     + CASE WHEN split_part(problem, ' ', 1) IN (SELECT lab FROM known) AND split_part(problem, ' ', 1) <> lower(setting) THEN 1 ELSE 0 END AS INTEGER) AS active FROM test""")
 def multi_hot(spark, sf):
     return _vector(_featurized(spark, sf, ft.FeatureSpec(text=None, categorical=(), numeric=())))
 

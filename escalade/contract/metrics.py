@@ -11,6 +11,7 @@ from ..operators import reports
 from ..operators.calibration import bin_index
 from ..operators.heuristics import BucketMajority, TierMajority, majority_label
 from ..operators.splits import SplitConfig, refit_rows, stratified_split
+from ..plans.reports import published_tables
 from . import bindings as b
 from .base import (
     BASE,
@@ -28,7 +29,7 @@ from .base import (
     split_sql,
     with_,
 )
-from .outcomes import COVER, SHARE_COLS
+from .outcomes import COVER, DIM_SQL, SHARE_COLS, _dim
 
 REP = (*BASE, PRED, replay_sql("pred"))
 GATE_SQL = "CASE WHEN confidence >= 70 THEN 'baseline_llm' ELSE 'single_agent' END"
@@ -308,3 +309,19 @@ def cascade_query(spark, sf):
     model = TierMajority().fit(refit_rows(rows))
     test = model.transform(rows.where("split = 'test'"), "tier_label")
     return test.select("problem_uid", cascade("confidence", "tier_label").alias("predicted_label"))
+
+
+# --- published form ---------------------------------------------------------
+
+
+@query("published_tables", with_(*BASE, DIM_SQL) + f""", c AS (SELECT setting, count(*) AS n, {COVER} FROM lab GROUP BY setting)
+SELECT coalesce(solver, concat('endpoint/', lower(c.setting))) AS solver, coalesce(setting_label, c.setting) AS setting, n,
+  {', '.join(f"CAST(printf('%.2f', {k}_pct) AS DOUBLE) AS {k}_pct" for k in ('baseline', 'single', 'per', 'broadcast', 'oracle'))}
+FROM c LEFT JOIN dim ON dim.setting = c.setting""")
+def published(spark, sf):
+    return published_tables(b.labelled(spark, sf), _dim(spark), resamples=200)["matched_protocol_coverage"]
+
+
+@query("published_interaction")
+def published_interaction(spark, sf):
+    return published_tables(b.labelled(spark, sf), _dim(spark), resamples=200)["per_broadcast_interaction"]

@@ -45,12 +45,3 @@ def router_report(spark, sf):
     rows = _rows(spark, sf)
     router = rt.text_metadata_router().fit(refit_rows(rows))
     return rt.router_report(router.predict(rows.where("split = 'test'")))
-
-
-@query("published_tables")
-def published(spark, sf):
-    from ..plans.reports import published_tables
-    from .outcomes import _dim
-
-    out = published_tables(b.labelled(spark, sf), _dim(spark), resamples=200)
-    return out["per_broadcast_interaction"].withColumn("rank", F.lit(1)).drop("rank")

@@ -160,7 +160,7 @@ class Featurizer:
                        OneHotEncoder(inputCol=f"_ix_{c}", outputCol=f"_hot_{c}", dropLast=True)]
             self.parts.append(f"_hot_{c}")
         for c in s.multilabel:
-            stages.append(CountVectorizer(inputCol=f"_list_{c}", outputCol=f"_multi_{c}", binary=True, minDF=1.0))
+            stages.append(CountVectorizer(inputCol=f"_list_{c}", outputCol=f"_multi_{c}", binary=True, minDF=1.0, vocabSize=1 << 20))
             self.parts.append(f"_multi_{c}")
         numbers = [f"{c}_num" for c in s.numeric]
         stages.append(VectorAssembler(inputCols=self.parts + numbers, outputCol="features", handleInvalid="keep"))

@@ -292,17 +292,19 @@ def routing_ci(replayed: DataFrame, by=("setting",), n: int = 2000, seed: int =
     return interval(draws, "value", [*by, "metric"], alpha)
 
 
-def bootstrap_statistic(df: DataFrame, statistic, result: str = "draw double", n: int = 200, seed: int = 42,
-                        unit: str = "problem_uid") -> DataFrame:
-    """An arbitrary Python statistic per replicate over a weighted pandas frame.
+def bootstrap_statistic(df: DataFrame, statistic, cell, n: int = 200, seed: int = 42, max_cells: int = 100_000) -> DataFrame:
+    """An arbitrary Python statistic per replicate over the weighted cells.
 
-    ``statistic(frame) -> float`` gets one replicate's rows with a ``w`` column,
-    so it is bounded by one replicate; prefer the aggregate forms above.
+    ``statistic(frame) -> float`` gets one replicate's distinct cells with their
+    weights ``w``.  A frame holds at most ``max_cells`` rows; with more distinct
+    cells this raises, and the aggregate forms above are the way.
     """
-    cols = [c for c in df.columns]
-    rows = weighted_cells(df, (), cols, n, seed, "rows", unit).where("replicate >= 0")
+    cell = list(cell)
+    if df.select(*cell).distinct().limit(max_cells + 1).count() > max_cells:
+        raise ValueError(f"more than {max_cells} distinct cells: use an aggregate statistic")
+    rows = weighted_cells(df, (), cell, n, seed).where("replicate >= 0")
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"replicate": [int(frame["replicate"].iloc[0])], "draw": [float(statistic(frame))]})
 
-    return rows.groupBy("replicate").applyInPandas(run, f"replicate int, {result}")
+    return rows.groupBy("replicate").applyInPandas(run, "replicate int, draw double")

@@ -54,6 +54,22 @@ def _typed(df: DataFrame) -> DataFrame:
     })
 
 
+def _check_places(inventory: DataFrame, dim: DataFrame | None, one_each: bool, path: str) -> None:
+    """Missing settings, sources that mix settings, settings in two sources."""
+    if dim is not None:
+        absent = [r["setting"] for r in missing_settings(inventory, dim).limit(20).collect()]
+        if absent:
+            raise MatchedTableError(f"missing settings in {path}: {sorted(absent)}")
+    if inventory.isEmpty():
+        raise MatchedTableError(f"{path}: table is empty")
+    if one_each:
+        listed = filter_settings(inventory, dim) if dim is not None else inventory
+        for key, other, reason in (("_source", "setting", "mixed_settings"), ("setting", "_source", "settings in more than one source")):
+            twice = listed.groupBy(key).agg(F.count("*").alias("k")).where("k > 1").limit(5).collect()
+            if twice:
+                raise MatchedTableError(f"{path}: {reason}: {sorted(str(r[key]) for r in twice)}")
+
+
 def read_matched(spark: SparkSession, path: str, settings: DataFrame | None = None, strict: bool = True,
                  unit: str = "file", validate: bool = True) -> DataFrame:
     """A matched outcome table from a folder of CSVs (or one combined CSV), labelled.
@@ -76,18 +92,18 @@ def read_matched(spark: SparkSession, path: str, settings: DataFrame | None = No
         raise MatchedTableError(f"{path} has neither a setting_id nor a setting column")
     require_columns(df, REQUIRED_COLUMNS, path)
     dim = settings if settings is not None else setting_dim(spark, SETTINGS)
+    if strict or validate:
+        # One pass lists which setting occurs in which source; every check on
+        # places works on that list.
+        inventory = df.groupBy("_source", "setting").agg(F.count("*").alias("n")).persist()
+        try:
+            _check_places(inventory, dim if strict else None, validate and not combined, path)
+        finally:
+            inventory.unpersist()
     if strict:
-        absent = [r["setting"] for r in missing_settings(df, dim).limit(20).collect()]
-        if absent:
-            raise MatchedTableError(f"missing settings in {path}: {sorted(absent)}")
         df = filter_settings(df, dim)
     if validate:
-        assert_valid(df, None if combined else "_source")
-        if not combined:
-            doubled = df.select("setting", "_source").distinct().groupBy("setting").count().where("count > 1")
-            twice = [r["setting"] for r in doubled.limit(5).collect()]
-            if twice:
-                raise MatchedTableError(f"settings in more than one source: {sorted(twice)}")
+        assert_valid(df)
     return with_oracle_label(_typed(df.drop("_source")), parse=True)
 
 

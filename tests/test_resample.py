@@ -72,9 +72,22 @@ def test_measures_need_row_weights(table):
 
 
 def test_python_statistic_agrees_with_the_aggregate(table):
-    small = table.select("problem_uid", "a")
-    draws = rs.bootstrap_statistic(small, lambda f: float(np.average(f["a"].astype(float), weights=f["w"])), n=20)
-    want = rs.weighted_cells(small, (), ["a"], n=20, mode="rows").where("replicate >= 0").groupBy("replicate").agg(
+    draws = rs.bootstrap_statistic(table, lambda f: float(np.average(f["a"].astype(float), weights=f["w"])), ["a"], n=20)
+    want = rs.weighted_cells(table, (), ["a"], n=20).where("replicate >= 0").groupBy("replicate").agg(
         (F.sum(F.when(F.col("a"), F.col("w")).otherwise(0)) / F.sum("w")).alias("draw"))
     got = {r["replicate"]: r["draw"] for r in draws.collect()}
     assert all(abs(got[r["replicate"]] - r["draw"]) < 1e-12 for r in want.collect())
+    with pytest.raises(ValueError):
+        rs.bootstrap_statistic(table, len, ["problem_uid"], max_cells=100)
+
+
+def test_point_equals_the_plain_mean(table):
+    for mode in ("rows", "cells"):
+        r = rs.bootstrap_ci(table, "a", ["setting"], n=8, mode=mode).first()
+        assert (r["n"], r["point"]) == (600, table.where("a").count() / 600)
+
+
+def test_cell_draws_extend_with_more_replicates(table):
+    few = rs.weighted_cells(table, (), ["a"], n=100).where("replicate < 100")
+    many = rs.weighted_cells(table, (), ["a"], n=250).where("replicate < 100")
+    assert rows(few) == rows(many)
