@@ -162,7 +162,7 @@ def ece(df: DataFrame, y: Column, p: Column, by=(), n_bins: int = 10) -> DataFra
     return ece_from_table(score_table(df, y, p, by), by, n_bins)
 
 
-def confidence_report(df: DataFrame, by, confidence: str = "confidence", correct: str = "baseline_correct",
+def confidence_report(df: DataFrame, by=(), confidence: str = "confidence", correct: str = "baseline_correct",
                       n_bins: int = 10, points: list[float] | None = None) -> DataFrame:
     """Parse rate, failure AUROC, ECE, Brier and mean confidences per group.
 
@@ -171,6 +171,9 @@ def confidence_report(df: DataFrame, by, confidence: str = "confidence", correct
     integers, at most 101 per group; ``points`` cut the windows of continuous ones.
     """
     by = [by] if isinstance(by, str) else list(by)
+    if not by:
+        whole = confidence_report(df.withColumn("_all", F.lit(1)), ["_all"], confidence, correct, n_bins, points)
+        return whole.drop("_all")
     cells = df.groupBy(*by, F.col(confidence).alias("confidence")).agg(
         F.count_if(F.col(correct)).alias("right"), F.count_if(~F.col(correct)).alias("wrong")
     )
@@ -240,6 +243,8 @@ def threshold_sweep(df: DataFrame, thresholds: list[float], by=("setting",), con
     thresholds.
     """
     by = list(by)
+    if not by:
+        return threshold_sweep(df.withColumn("_all", F.lit(1)), thresholds, ["_all"], confidence).drop("_all")
     cells = df.groupBy(*by, F.col(confidence).alias("_c")).agg(
         F.count("*").alias("n"), F.count_if("baseline_correct").alias("b"), F.count_if("single_correct").alias("s")
     )

@@ -58,9 +58,9 @@ def _row_weighted(df: DataFrame, by, cell, unit: str, n: int, seed: int, measure
     blocks = F.sequence(F.lit(-1), F.lit((n + LANES - 1) // LANES - 1))
     narrow = df.select(*by, *cell, *measures, F.col(unit).cast("string").alias("_unit"))
     # Each row becomes n / LANES rows, so the partition sizes that suited the
-    # input no longer fit: spread the rows first, by the unit, evenly.
+    # input no longer fit: deal the rows out evenly first, whatever the units are.
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = narrow.repartition(tasks, "_unit").withColumn("_block", F.explode(blocks))
+    rows = narrow.repartition(tasks).withColumn("_block", F.explode(blocks))
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("_block").cast("string"), F.col("_unit")).cast("binary"))
     rows = rows.withColumn("_h", digest)
     rows = rows.withColumns({

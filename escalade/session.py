@@ -62,7 +62,10 @@ def ship_package(spark: SparkSession) -> None:
     if sc.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parent
-    folder = tempfile.mkdtemp(prefix="escalade-package-")
+    # Only the driver reads the archive; Spark copies it to the executors.
+    named = (spark.conf.get("spark.checkpoint.dir", None) or "").removeprefix("file:")
+    shared = Path(named) if named.startswith("/") and Path(named).is_dir() else None
+    folder = tempfile.mkdtemp(prefix="escalade-package-", dir=shared)
     archive = shutil.make_archive(f"{folder}/escalade", "zip", root_dir=root.parent, base_dir=root.name)
     sc.addPyFile(archive)
     _shipped.add(sc.applicationId)

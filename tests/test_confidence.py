@@ -151,3 +151,18 @@ def test_sweep_best_threshold(spark):
 def test_risk_direction(spark):
     assert spark.range(1).select(failure_risk(F.lit(85.0))).first()[0] == pytest.approx(0.15)
     assert not math.isnan(0.15)
+
+
+def test_report_and_sweep_without_groups(spark):
+    df = spark.createDataFrame([(90.0, True, False), (10.0, False, True), (None, True, True)],
+                               "confidence double, baseline_correct boolean, single_correct boolean")
+    r = cal.confidence_report(df).first()
+    assert (r["n_total"], r["n_parseable"], r["failure_auroc"]) == (3, 2, 1.0) and "_all" not in r.asDict()
+    assert [x["threshold"] for x in cal.threshold_sweep(df, [50.0, 95.0], by=()).where("is_best").collect()] == [50.0]
+
+
+def test_continuous_scores_through_the_report(spark):
+    df = spark.range(0, 300).select((F.col("id") * 0.31).alias("confidence"), (F.col("id") % 3 == 0).alias("baseline_correct"), F.lit("s").alias("setting"))
+    points = ranks.split_points(df.select((F.lit(1.0) - F.col("confidence") / 100).alias("r")), "r", 12)
+    plain, cut = cal.confidence_report(df, "setting").first(), cal.confidence_report(df, "setting", points=points).first()
+    assert plain["failure_auroc"] == cut["failure_auroc"]

@@ -156,3 +156,11 @@ def test_marginal_steps_add_up(table):
     assert sum(r["extra_solve_rate"] for r in steps) == pytest.approx(total)
     assert len(EXECUTIONS) == len(steps) + 1
     assert oracle_label() is not None
+
+
+def test_one_hot_label_still_spreads_over_many_windows(spark):
+    df = spark.range(0, 20000).select(F.lit("none").alias("g"), F.sha2(F.col("id").cast("string"), 256).alias("h"))
+    largest = df.groupBy("g", F.substring("h", 1, 3)).count().agg(F.max("count")).first()[0]
+    assert largest < 20000 * 0.002
+    out = ranks.hash_rank(df, "g", "h")
+    assert out.agg(F.max("rank"), F.count_distinct("rank")).first() == (20000, 20000)
