@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..dims import ALIASES, EXECUTIONS, SHORT, literal_map
+from ..dims import EXECUTIONS, SHORT, literal_map
 from ..functions.confidence import parse_confidence
 from ..functions.outcomes import difficulty_tier
 from ..operators.matched import with_oracle_label
@@ -109,6 +109,3 @@ def predictions(spark: SparkSession, sf: str) -> DataFrame:
 
 def replayed(spark: SparkSession, sf: str) -> DataFrame:
     return replay(labelled(spark, sf).withColumn("predicted_label", hash_prediction()))
-
-
-SPELLINGS = tuple(sorted(ALIASES))

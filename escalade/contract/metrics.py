@@ -134,10 +134,6 @@ def replay(spark, sf):
     return b.replayed(spark, sf).select(*REP_COLS)
 
 
-def _conf_sql(group: str) -> str:
-    return f"SELECT {group} count(*) AS n_rows, {confusion_sql()} FROM rep"
-
-
 PRF = " UNION ALL ".join(
     f"""SELECT setting, '{p}' AS label, tp_{s} AS tp, np_{s} - tp_{s} AS fp, ng_{s} - tp_{s} AS fn,
   coalesce({rat(f'tp_{s}', f'np_{s}')}, 0) AS "precision", coalesce({rat(f'tp_{s}', f'ng_{s}')}, 0) AS recall, {f1_sql(s)} AS f1 FROM cm"""

@@ -11,7 +11,7 @@ from ..session import new_folder
 from ..sources import problems as pb
 from ..sources import tables as tb
 from . import bindings as b
-from .base import BASE, RUN, cnt, query, with_
+from .base import BASE, RUN, query, with_
 from .outcomes import COVER, DIM_SQL, _dim
 
 
@@ -179,6 +179,3 @@ def events_query(spark, sf):
     return explode_events(_log(spark, sf)).groupBy("protocol", "stage").agg(
         F.count("*").alias("n"), F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens")
     )
-
-
-COUNT = cnt

@@ -108,24 +108,19 @@ REVIEW_TAILS = (
     "[Agree]", "[Route: Planner]", "[route:executor]", "[Route:Evaluator]", "no tag at all",
     "[Agree] but later [Route:Planner]", "[Agree]\nFinal Answer For Evaluator: \\boxed{7}", "bad [Route:Nobody]",
 )
+# A tilde stands for the line break inside a tail.
+TAILS_SQL = "[" + ", ".join("'" + t.replace("\n", "~") + "'" for t in REVIEW_TAILS) + "]"
 MARKER_SQL = " OR ".join(f"contains(both_, '{w}')" for w in (
     "boxed answer", "boxed", "format", "latex", "markup", "unit", "token", "raw numeric", "presentation", "output", "missing"))
 REVIEWS = f"""rv AS (
   SELECT concat('s', CAST(conv_id % 3 AS VARCHAR)) AS setting, conv_id, turn, turn % 3 = 2 AS eval_failed,
     CASE WHEN turn % 2 = 0 THEN 'check the unit' ELSE 'think again' END AS advice,
-    concat(text, chr(10), (['{"','".join(t.replace(chr(10), '~') for t in REVIEW_TAILS)}'])[(conv_id + turn) % 8 + 1]) AS review_text FROM conversations),
+    concat(text, chr(10), ({TAILS_SQL})[(conv_id + turn) % 8 + 1]) AS review_text FROM conversations),
 rt AS (SELECT *, lower(concat(advice, chr(10), replace(review_text, '~', chr(10)))) AS both_,
     lower(coalesce(regexp_extract_all(review_text, '(?i)\\[(Agree|Route:\\s*(?:Planner|Executor|Evaluate|Evaluator))\\]', 1)[-1], '')) AS tag FROM rv),
 rr AS (SELECT *, CASE WHEN tag LIKE '%planner' THEN 'planner' WHEN tag LIKE '%executor' THEN 'executor'
     WHEN eval_failed THEN CASE WHEN {MARKER_SQL} THEN 'executor' ELSE 'planner' END
-    WHEN tag = 'agree' THEN 'agree' WHEN tag LIKE '%evaluat%' THEN 'evaluate' ELSE 'executor' END AS route FROM rt)""".replace("'[\"", "'[").replace("\"]'", "]'")
-
-
-def _quote_tails() -> str:
-    return "[" + ", ".join("'" + t.replace("\n", "~") + "'" for t in REVIEW_TAILS) + "]"
-
-
-REVIEWS = REVIEWS[: REVIEWS.index("(['")] + "(" + _quote_tails() + REVIEWS[REVIEWS.index(")[(conv_id"):]
+    WHEN tag = 'agree' THEN 'agree' WHEN tag LIKE '%evaluat%' THEN 'evaluate' ELSE 'executor' END AS route FROM rt)"""
 
 
 def _reviews(spark, sf):

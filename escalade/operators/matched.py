@@ -10,8 +10,6 @@ from pyspark.sql.window import Window
 
 from ..dims import EXECUTIONS, LABELS, NONE, OUTCOME_COLUMNS, REQUIRED_COLUMNS, SHORT, TOKEN_COLUMNS
 from ..functions.outcomes import (
-    FALSE_SPELLINGS,
-    TRUE_SPELLINGS,
     canonical_protocol,
     oracle_label,
     strict_outcome,
@@ -175,6 +173,3 @@ def expect_rows(df: DataFrame, n: int) -> DataFrame:
     return df.agg(F.count("*").alias("loaded")).select(
         F.lit(n).cast("bigint").alias("expected"), "loaded", (F.col("loaded") == n).alias("ok")
     )
-
-
-ACCEPTED_OUTCOMES = TRUE_SPELLINGS + FALSE_SPELLINGS
