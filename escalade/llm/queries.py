@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from escalade.llm import line_dedup
+from escalade.llm import curriculum, line_dedup, quality
 
 QUERIES = {
+    "op4_curriculum_mix": curriculum.op4_curriculum_mix,
+    "op5_quality": quality.op5_quality,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 ORACLE = {
+    "op4_curriculum_mix": curriculum.SQL,
     "op10_line_dedup": line_dedup.SQL,
 }
