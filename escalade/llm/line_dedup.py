@@ -32,6 +32,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from escalade.llm.frames import read, settle
+
 #: Guaranteed length of a repeated run, in lines.
 WINDOW = 2
 #: A line with so many words is a run by itself.
@@ -78,6 +80,8 @@ def repeated_lines(docs: DataFrame, window: int = WINDOW, long_words: int = LONG
         "doc_id", F.xxhash64("text").alias("version"), bound(content_lines(F.col("text")), lambda x: windows_of(x, window, long_words)).alias("windows")
     )
     windows = seen.select("doc_id", "version", F.explode("windows").alias("w")).select("doc_id", "version", "w.*")
+    # Read three times below; a row is a few numbers, while making it means scanning the text.
+    windows = settle(windows, "line-windows")
     places = windows.groupBy("least").agg(
         F.min(F.struct("doc_id", "version", "at", "lines")).alias("low"), F.max(F.struct("doc_id", "version", "at", "lines")).alias("high")
     )
@@ -118,8 +122,6 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW, long_words: int = LONG_WO
 
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_removed, text: all documents after line dedup."""
-    from escalade.llm.frames import read
-
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_lines(docs).select("doc_id", "n_lines", "n_removed", "text")
 
