@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from escalade.llm import curriculum, line_dedup, quality, weighted_minhash, word_bpe
+from escalade.llm import curriculum, languages, line_dedup, projection_forest, quality, weighted_minhash, word_bpe
 
 QUERIES = {
     "op3_word_bpe": word_bpe.op3_word_bpe,
     "op4_curriculum_mix": curriculum.op4_curriculum_mix,
     "op5_quality": quality.op5_quality,
+    "op6_languages": languages.op6_languages,
+    "op8_projection_forest": projection_forest.op8_projection_forest,
     "op9_weighted_minhash": weighted_minhash.op9_weighted_minhash,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
