@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from escalade.llm import curriculum, languages, line_dedup, projection_forest, quality, weighted_minhash, word_bpe
+from escalade.llm import bloom_lookup, curriculum, languages, line_dedup, projection_forest, quality, warc, weighted_minhash, word_bpe
 
 QUERIES = {
+    "op1_bloom_lookup": bloom_lookup.op1_bloom_lookup,
+    "op2_warc_derivatives": warc.op2_warc_derivatives,
     "op3_word_bpe": word_bpe.op3_word_bpe,
     "op4_curriculum_mix": curriculum.op4_curriculum_mix,
     "op5_quality": quality.op5_quality,
