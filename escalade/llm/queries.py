@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from escalade.llm import bloom_lookup, curriculum, languages, line_dedup, projection_forest, quality, warc, weighted_minhash, word_bpe
+from escalade.llm import bloom_lookup, curriculum, languages, line_dedup, projection_forest, quality, suffix_dedup, warc, weighted_minhash, word_bpe
 
 QUERIES = {
     "op1_bloom_lookup": bloom_lookup.op1_bloom_lookup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_curriculum_mix": curriculum.op4_curriculum_mix,
     "op5_quality": quality.op5_quality,
     "op6_languages": languages.op6_languages,
+    "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
     "op8_projection_forest": projection_forest.op8_projection_forest,
     "op9_weighted_minhash": weighted_minhash.op9_weighted_minhash,
     "op10_line_dedup": line_dedup.op10_line_dedup,
