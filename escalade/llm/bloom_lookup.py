@@ -195,7 +195,8 @@ def compare_versions(versions: DataFrame, old: str = "old", new: str = "new") ->
         lists = [[sorted(digest[(pair == k) & (sign == s)].view(np.int64).tolist()) for k in range(len(a))] for s in (1, -1)]
         return pd.DataFrame({"only_old": lists[0], "only_new": lists[1], "likeness": likeness(left, right)})
 
-    return versions.withColumn("__r", recover(F.col(old), F.col(new))).select(*versions.columns, "__r.*")
+    rest = [c for c in versions.columns if c not in ("only_old", "only_new", "likeness")]
+    return versions.withColumn("__r", recover(F.col(old), F.col(new))).select(*rest, "__r.*")
 
 
 def _bounds(docs: DataFrame, key: str, block_rows: int) -> np.ndarray:

@@ -108,8 +108,9 @@ def place_documents(sized: DataFrame, schedule: Schedule, share: float = SHARE,
     """Adds source_size, target and ``copies`` to documents with ``source`` and ``size``.
 
     ``copies`` lists (copy, words, position) of every pass that the mix makes over the document, in order.
-    The last copy of a source may take only the first ``words`` words of its document.
+    The last copy of a source may take only the first ``words`` words of its document.  Columns of these names are replaced.
     """
+    sized = sized.drop("source_size", "target", "copies")
     keyed = sized.withColumns({
         "__none": F.col("source").isNull(), "__name": F.coalesce("source", F.lit("")),
         "__digest": F.coalesce(F.md5(F.col(order_by).cast("string")), F.lit("")),
@@ -142,7 +143,7 @@ def place_documents(sized: DataFrame, schedule: Schedule, share: float = SHARE,
 
 def training_order(placed: DataFrame) -> DataFrame:
     """One row per copy, with copy, words and position, range-sorted by position."""
-    rest = [c for c in placed.columns if c != "copies"]
+    rest = [c for c in placed.columns if c not in ("copies", "copy", "words", "position")]
     rows = placed.select(*rest, F.explode("copies").alias("__c")).select(*rest, "__c.*")
     return rows.orderBy("position", "doc_id", "copy")
 

@@ -98,25 +98,26 @@ def repeated_lines(docs: DataFrame, window: int = WINDOW, long_words: int = LONG
 def dedup_lines(docs: DataFrame, window: int = WINDOW, long_words: int = LONG_WORDS) -> DataFrame:
     """The documents without the later copies of repeated runs of lines.
 
-    Adds ``n_lines`` and ``n_removed`` (content lines); ``text`` is what is left, joined by newlines.
+    Adds ``n_lines`` and ``n_removed`` (content lines); ``text`` is what is left, joined by newlines.  Columns of these names are replaced.
     """
-    removed = repeated_lines(docs, window, long_words).withColumnsRenamed({"doc_id": "__id", "version": "__version"})
+    docs = docs.drop("n_lines", "n_removed")
+    removed = repeated_lines(docs, window, long_words).withColumnsRenamed({"doc_id": "__id", "version": "__version", "removed": "__removed"})
     same = docs["doc_id"].eqNullSafe(removed["__id"]) & (F.xxhash64(docs["text"]) == removed["__version"])
     joined = docs.join(removed, same, "left")
 
     def rest(lines):
         # Places among the content lines become places in the text; array_except is linear and keeps the order.
         places = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.trim(F.get(lines, i)) != "")
-        gone = bound(places, lambda at: F.transform("removed", lambda k: F.get(at, k)))
+        gone = bound(places, lambda at: F.transform("__removed", lambda k: F.get(at, k)))
         kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
         return F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
 
-    left = F.when(F.col("removed").isNull(), docs["text"]).otherwise(bound(F.split(docs["text"], "\n", -1), rest))
+    left = F.when(F.col("__removed").isNull(), docs["text"]).otherwise(bound(F.split(docs["text"], "\n", -1), rest))
     n_lines = F.size(F.filter(F.split(docs["text"], "\n", -1), lambda x: F.trim(x) != ""))
     return joined.select(
         *[left.alias("text") if c == "text" else docs[c] for c in docs.columns],
         F.when(docs["text"].isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"),
-        F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(F.size("__removed"), F.lit(0)).cast("long").alias("n_removed"),
     )
 
 
