@@ -10,7 +10,6 @@ from ..functions.confidence import parse_confidence
 from ..functions.outcomes import difficulty_tier
 from ..operators.matched import with_oracle_label
 from ..operators.replay import replay
-from ..session import spread
 
 BY_LINE = {i + 1: p for i, p in enumerate(EXECUTIONS)}
 
@@ -26,26 +25,31 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.schema(_schemas[path]).parquet(path)
 
 
+def lines(spark: SparkSession, sf: str) -> DataFrame:
+    """All lines; ``slot`` deals their seven numbers out to the four protocols."""
+    return table(spark, sf, "lineitem").withColumn("slot", ((F.col("l_linenumber") - 1) % 4 + 1).cast("int"))
+
+
 def runs(spark: SparkSession, sf: str) -> DataFrame:
     """Long run log: one row per (problem, protocol), protocols in mixed spellings."""
-    li = table(spark, sf, "lineitem").where("l_linenumber <= 4")
+    li = lines(spark, sf)
     spelled = literal_map({1: "Baseline", 2: "single_agent", 3: " PER ", 4: "broadcast"})
     return (
-        li.groupBy("l_partkey", "l_linenumber")
+        li.groupBy("l_partkey", "slot")
         .agg((2 * F.count_if(F.col("l_returnflag") == "R") < F.count("*")).alias("passed"),
              F.sum("l_quantity").cast("bigint").alias("q"))
         .select(F.col("l_partkey").alias("pk"), F.col("l_partkey").cast("string").alias("problem_uid"),
-                F.element_at(spelled, F.col("l_linenumber")).alias("protocol"), "passed",
-                (F.col("q") * F.col("l_linenumber")).alias("tokens"))
+                F.element_at(spelled, F.col("slot")).alias("protocol"), "passed",
+                (F.col("q") * F.col("slot")).alias("tokens"))
     )
 
 
 def matched(spark: SparkSession, sf: str) -> DataFrame:
     """Wide outcomes in one aggregate over ``lineitem``, joined to the problem attributes."""
-    li = table(spark, sf, "lineitem").where("l_linenumber <= 4")
+    li = lines(spark, sf)
     aggs = []
     for line, p in BY_LINE.items():
-        mine = F.col("l_linenumber") == line
+        mine = F.col("slot") == line
         aggs += [
             F.count_if(mine).alias(f"n{line}"),
             F.count_if(mine & (F.col("l_returnflag") == "R")).alias(f"r{line}"),
@@ -60,7 +64,7 @@ def matched(spark: SparkSession, sf: str) -> DataFrame:
     part = table(spark, sf, "part").select(
         F.col("p_partkey").alias("pk"), F.col("p_type").alias("setting"), F.col("p_brand").alias("source"),
         F.col("p_name").alias("problem"), "p_size", size.alias("difficulty"), difficulty_tier(size).alias("difficulty_tier"),
-        F.concat(F.lit('["'), F.lower("p_type"), F.lit('", "'), F.substring_index("p_name", " ", 1), F.lit('"]')).alias("domain"),
+        F.concat(F.lit('["'), F.lower("p_type"), F.lit('", "'), "p_name", F.lit('"]')).alias("domain"),
         F.concat(F.lit("endpoint/"), F.lower("p_type")).alias("model_endpoint"),
     )
     return outcomes.join(part, "pk").withColumn("problem_uid", F.col("pk").cast("string"))
@@ -86,7 +90,7 @@ def with_raw_confidence(events: DataFrame) -> DataFrame:
 
 
 def raw_confidence(spark: SparkSession, sf: str) -> DataFrame:
-    return with_raw_confidence(spread(table(spark, sf, "events").select("event_id", "props")))
+    return with_raw_confidence(table(spark, sf, "events").select("event_id", "props"))
 
 
 def confident(spark: SparkSession, sf: str) -> DataFrame:

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.confidence import confidence_gate, failure_risk, parse_confidence
+from ..functions.confidence import confidence_gate, failure_risk, parse_confidence, read_confidence
 from ..operators import calibration as cal
 from ..operators import ranks
-from ..operators.splits import SplitConfig, stratified_split
+from ..operators.heuristics import TierMajority
+from ..operators.splits import SplitConfig, refit_rows, stratified_split
 from . import bindings as b
 from .base import CBASE, PARSED, RAW, cnt, query, rat, rounded, split_sql, with_
-from .metrics import BIN_SQL, GATE_SQL
+from .metrics import BIN_SQL, GATE_SQL, PICK_SQL, POLICY_CTES, pick_outcome
 
 RISK_SQL = "(CAST(100 AS DOUBLE) - confidence) / CAST(100 AS DOUBLE)"
 USABLE = "u AS (SELECT *, confidence / 100 AS p, " + RISK_SQL + " AS risk FROM conf WHERE confidence IS NOT NULL)"
@@ -54,6 +55,31 @@ def threshold_sweep(spark, sf):
     return cal.threshold_sweep(dev, [float(t) for t in range(0, 105, 5)])
 
 
+CASCADE_PAIRS = [(float(h), float(w)) for h in (60, 70, 80, 90) for w in (5, 10, 20, 40)]
+
+
+@query("cascade_sweep", with_(*POLICY_CTES) + f""",
+t AS (SELECT unnest({[h for h, _ in CASCADE_PAIRS]}) AS high, unnest({[w for _, w in CASCADE_PAIRS]}) AS low),
+ok AS (SELECT *, {PICK_SQL} AS tier_correct FROM tiered),
+s AS (SELECT setting, CAST(high AS DOUBLE) AS high, CAST(low AS DOUBLE) AS low, count(*) AS n, {cnt('coalesce(confidence >= high, FALSE)')} AS kept_baseline,
+  {cnt('coalesce(confidence >= low AND confidence < high, FALSE)')} AS kept_single,
+  {cnt('CASE WHEN coalesce(confidence >= high, FALSE) THEN baseline_correct WHEN coalesce(confidence >= low, FALSE) THEN single_correct ELSE tier_correct END')} AS solved
+  FROM ok, t GROUP BY 1, 2, 3)
+SELECT setting, high, low, n, kept_baseline, kept_single, solved, {rat('solved', 'n')} AS solve_rate,
+  row_number() OVER (PARTITION BY setting ORDER BY solved DESC, high, low) = 1 AS is_best FROM s""")
+def cascade_sweep(spark, sf):
+    rows = stratified_split(b.confident(spark, sf), SplitConfig.primary())
+    test = TierMajority().fit(refit_rows(rows)).transform(rows.where("split = 'test'"), "tier_label")
+    return cal.cascade_sweep(test.withColumn("tier_correct", pick_outcome(F.col("tier_label"))), CASCADE_PAIRS)
+
+
+@query("read_confidence", """SELECT event_id, greatest(0, least(100, value)) AS confidence, greatest(0, least(100, value)) AS from_text FROM events""")
+def numeric_confidence(spark, sf):
+    """Numbers in a numeric column, and the same as decimal text."""
+    events = b.table(spark, sf, "events").select("event_id", "value", F.format_string("%.17g", "value").alias("cell"))
+    return events.select("event_id", read_confidence(events, "value").alias("confidence"), read_confidence(events, "cell").alias("from_text"))
+
+
 # --- ranking ----------------------------------------------------------------
 
 

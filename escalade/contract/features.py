@@ -9,7 +9,6 @@ from ..functions.text import add_bigrams, parse_json_list, words
 from ..operators import features as ft
 from ..operators.leakage import is_forbidden
 from ..operators.splits import SplitConfig, refit_rows, stratified_split
-from ..session import spread
 from . import bindings as b
 from .base import BASE, query, rounded, split_sql, with_
 
@@ -21,13 +20,13 @@ TRAIN = WORDS % "(SELECT documents.* FROM documents JOIN labels ON labels.doc_id
 
 @query("tokens_ngrams", with_(DOCS) + "SELECT doc_id, len(ws) AS n_words, len(terms) AS n_terms, md5(array_to_string(terms, '|')) AS digest FROM tm")
 def tokens(spark, sf):
-    docs = spread(b.table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", words("text").alias("ws")).withColumn("terms", add_bigrams("ws"))
+    docs = b.table(spark, sf, "documents").select("doc_id", "text").select("doc_id", words("text").alias("ws")).withColumn("terms", add_bigrams("ws"))
     return docs.select("doc_id", F.size("ws").cast("bigint").alias("n_words"), F.size("terms").cast("bigint").alias("n_terms"),
                        F.md5(F.array_join("terms", "|").cast("binary")).alias("digest"))
 
 
 def _train(spark, sf):
-    docs = spread(b.table(spark, sf, "documents").select("doc_id", "text"))
+    docs = b.table(spark, sf, "documents").select("doc_id", "text")
     return docs.join(b.table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
 
 
@@ -52,9 +51,12 @@ w AS (SELECT x.doc_id, term, raw / norm AS weight FROM x JOIN nm ON nm.doc_id =
 SELECT doc_id, count(*) AS n_terms, round(sum(weight), 6) AS sum_weight, round(max(weight), 6) AS max_weight,
   md5(string_agg(term, '|' ORDER BY term)) AS digest FROM w GROUP BY doc_id""")
 def tfidf(spark, sf):
-    counts = _counts(spark, sf)
-    n_docs = _train(spark, sf).count()
-    weights = ft.tfidf(counts, ft.vocabulary(counts), n_docs, "doc_id")
+    counts = _counts(spark, sf).persist()  # read twice: for the vocabulary and for the weights
+    n_docs = _train(spark, sf).select("doc_id").count()
+    return _digest(ft.tfidf(counts, ft.vocabulary(counts), n_docs, "doc_id"))
+
+
+def _digest(weights):
     out = weights.groupBy("doc_id").agg(
         F.count("*").alias("n_terms"), F.sum("weight").alias("sum_weight"), F.max("weight").alias("max_weight"),
         F.md5(F.array_join(F.array_sort(F.collect_list("term")), "|").cast("binary")).alias("digest"),
@@ -62,6 +64,25 @@ def tfidf(spark, sf):
     return rounded(out, "sum_weight", "max_weight", digits=6)
 
 
+OTHERS = """ow AS (SELECT doc_id, regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}_]{2,}') AS ws
+  FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)),
+om AS (SELECT doc_id, list_concat(ws, list_transform(range(1, len(ws)), lambda i: concat(ws[i], ' ', ws[i + 1]))) AS terms FROM ow),
+oc AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(terms) AS term FROM om) GROUP BY 1, 2)"""
+
+
+@query("tfidf_unseen", with_(TRAIN, COUNTS, VOCAB, OTHERS) + """, x AS (
+  SELECT oc.doc_id, oc.term, tf * (ln(CAST(1 + (SELECT count(*) FROM wd) AS DOUBLE) / (1 + df)) + 1) AS raw FROM oc JOIN vc ON vc.term = oc.term),
+nm AS (SELECT doc_id, sqrt(sum(raw * raw)) AS norm FROM x GROUP BY doc_id),
+w AS (SELECT x.doc_id, term, raw / norm AS weight FROM x JOIN nm ON nm.doc_id = x.doc_id)
+SELECT doc_id, count(*) AS n_terms, round(sum(weight), 6) AS sum_weight, round(max(weight), 6) AS max_weight,
+  md5(string_agg(term, '|' ORDER BY term)) AS digest FROM w GROUP BY doc_id""")
+def tfidf_unseen(spark, sf):
+    """Weights of documents outside the fitting rows, by the vocabulary of those rows."""
+    docs, fitted = b.table(spark, sf, "documents").select("doc_id", "text"), b.table(spark, sf, "labels").select("doc_id")
+    others = ft.term_counts(ft.with_terms(docs.join(fitted, "doc_id", "left_anti"), "text"), "doc_id")
+    return _digest(ft.tfidf(others, ft.vocabulary(_counts(spark, sf)), _train(spark, sf).select("doc_id").count(), "doc_id"))
+
+
 @query("scale_numeric", with_(*BASE) + """
 SELECT problem_uid, round(difficulty / (SELECT stddev_pop(difficulty) FROM lab), 9) AS difficulty_scaled,
   round(difficulty_tier / (SELECT stddev_pop(difficulty_tier) FROM lab), 9) AS difficulty_tier_scaled FROM lab""")
@@ -93,7 +114,7 @@ def json_list(spark, sf):
     return b.table(spark, sf, "part").select("p_partkey", F.array_join(parse_json_list(_lists()), "|").alias("labels"))
 
 
-@query("project_features", with_(*BASE) + """SELECT problem, source, concat('["', lower(setting), '", "', split_part(problem, ' ', 1), '"]') AS domain,
+@query("project_features", with_(*BASE) + """SELECT problem, source, concat('["', lower(setting), '", "', problem, '"]') AS domain,
   difficulty, difficulty_tier FROM lab""")
 def project(spark, sf):
     return ft.feature_frame(b.labelled(spark, sf), ft.TEXT_METADATA)
@@ -133,10 +154,10 @@ def one_hot(spark, sf):
 
 
 @query("multi_hot", with_(*FIT) + """, known AS (
-  SELECT lower(setting) AS lab FROM fit UNION SELECT split_part(problem, ' ', 1) FROM fit)
+  SELECT lower(setting) AS lab FROM fit UNION SELECT problem FROM fit)
 SELECT problem_uid, CAST((SELECT count(*) FROM known) AS INTEGER) AS width,
   CAST(CASE WHEN lower(setting) IN (SELECT lab FROM known) THEN 1 ELSE 0 END
-     + CASE WHEN split_part(problem, ' ', 1) IN (SELECT lab FROM known) AND split_part(problem, ' ', 1) <> lower(setting) THEN 1 ELSE 0 END AS INTEGER) AS active FROM test""")
+     + CASE WHEN problem IN (SELECT lab FROM known) AND problem <> lower(setting) THEN 1 ELSE 0 END AS INTEGER) AS active FROM test""")
 def multi_hot(spark, sf):
     return _vector(_featurized(spark, sf, ft.FeatureSpec(text=None, categorical=(), numeric=())))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..dims import BASELINE, EXECUTIONS, LABELS, SHORT, SINGLE
+from ..dims import BASELINE, EXECUTIONS, LABELS, OUTCOME_COLUMNS, SHORT, SINGLE
 from ..functions.confidence import cascade, confidence_gate
 from ..operators import replay as rp
 from ..operators import reports
@@ -268,6 +268,15 @@ POLICIES = {
     "Cascade": CASCADE_SQL,
     "Fixed-order oracle": "oracle_label",
 }
+PICK_SQL = ("CASE tier_label WHEN 'none' THEN FALSE WHEN 'baseline_llm' THEN baseline_correct WHEN 'single_agent' THEN single_correct "
+            "WHEN 'planner_executor_reviewer' THEN per_correct ELSE broadcast_correct END")
+
+
+def pick_outcome(label):
+    """Whether the protocol that a label names solved the problem."""
+    return rp._pick(label, OUTCOME_COLUMNS, False)
+
+
 LONG = "long AS (" + " UNION ALL ".join(f"SELECT *, '{k}' AS policy, {v} AS predicted_label FROM tiered" for k, v in POLICIES.items()) + ")"
 
 
@@ -310,14 +319,29 @@ def cascade_query(spark, sf):
 # --- published form ---------------------------------------------------------
 
 
+SHARES = [SHORT[p] for p in LABELS]
+SHARES_SQL = f"SELECT setting, count(*) AS n, {SHARE_COLS} FROM lab GROUP BY setting"
+ROUND_SQL = "CAST(printf('%.{d}f', {c}) AS DOUBLE) AS {c}"
+NAMED_SQL = "coalesce(solver, concat('endpoint/', lower(c.setting))) AS solver, coalesce(setting_label, c.setting) AS setting"
+
+
+def _published(spark, sf, name):
+    return published_tables(b.labelled(spark, sf), _dim(spark), resamples=2000)[name]
+
+
 @query("published_tables", with_(*BASE, DIM_SQL) + f""", c AS (SELECT setting, count(*) AS n, {COVER} FROM lab GROUP BY setting)
-SELECT coalesce(solver, concat('endpoint/', lower(c.setting))) AS solver, coalesce(setting_label, c.setting) AS setting, n,
-  {', '.join(f"CAST(printf('%.2f', {k}_pct) AS DOUBLE) AS {k}_pct" for k in ('baseline', 'single', 'per', 'broadcast', 'oracle'))}
+SELECT {NAMED_SQL}, n, {', '.join(ROUND_SQL.format(d=2, c=f'{k}_pct') for k in ('baseline', 'single', 'per', 'broadcast', 'oracle'))}
 FROM c LEFT JOIN dim ON dim.setting = c.setting""")
 def published(spark, sf):
-    return published_tables(b.labelled(spark, sf), _dim(spark), resamples=200)["matched_protocol_coverage"]
+    return _published(spark, sf, "matched_protocol_coverage")
+
+
+@query("published_distribution", with_(*BASE, DIM_SQL) + f""", c AS ({SHARES_SQL})
+SELECT {NAMED_SQL}, n, {', '.join(ROUND_SQL.format(d=2, c=f'{k}_pct') for k in SHARES)} FROM c LEFT JOIN dim ON dim.setting = c.setting""")
+def published_distribution(spark, sf):
+    return _published(spark, sf, "oracle_label_distribution")
 
 
 @query("published_interaction")
 def published_interaction(spark, sf):
-    return published_tables(b.labelled(spark, sf), _dim(spark), resamples=200)["per_broadcast_interaction"]
+    return _published(spark, sf, "per_broadcast_interaction")

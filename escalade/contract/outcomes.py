@@ -244,12 +244,14 @@ def report_order(spark, sf):
     return settings.report_order(reports.coverage_table(b.labelled(spark, sf)), _dim(spark), "oracle_ord")
 
 
-@query("union_settings", with_(*BASE) + "SELECT problem_uid, setting, CASE WHEN setting = 'SMALL' THEN baseline_tokens ELSE -1 END AS baseline_tokens FROM lab WHERE setting IN ('SMALL', 'LARGE')")
+@query("union_settings", with_(*BASE) + "SELECT problem_uid, setting, CASE WHEN setting IN ('SMALL', 'ECONOMY', 'STANDARD') THEN baseline_tokens ELSE -1 END AS baseline_tokens FROM lab")
 def union_settings(spark, sf):
     m = b.labelled(spark, sf)
-    small = m.where("setting = 'SMALL'").select("problem_uid", "setting", "baseline_tokens")
-    large = m.where("setting = 'LARGE'").select("problem_uid", "setting")
-    return settings.union_settings([small, large]).fillna(-1, ["baseline_tokens"])
+    with_tokens, settings_seen = ["SMALL", "ECONOMY", "STANDARD"], [*[d[0] for d in DIM if d[0] != "ABSENT"], "PROMO"]
+    frames = [
+        m.where(F.col("setting") == s).select("problem_uid", "setting", *(["baseline_tokens"] if s in with_tokens else [])) for s in settings_seen
+    ]
+    return settings.union_settings(frames).fillna(-1, ["baseline_tokens"])
 
 
 # --- filters ----------------------------------------------------------------

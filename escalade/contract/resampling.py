@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import resample as rs
 from ..operators.heuristics import TierMajority
 from ..operators.replay import _pick
+from ..functions.outcomes import ratio
 from ..operators.splits import SplitConfig, refit_rows, stratified_split
 from ..dims import OUTCOME_COLUMNS
 from . import bindings as b
@@ -16,7 +17,7 @@ from .base import BASE, CBASE, MACRO_F1, PRED, cnt, confusion_sql, query, rank_s
 from .calibration import BIN_SQL, RISK_SQL, auroc_sql
 from .metrics import FITROWS, majority_sql
 
-B = 200
+B = 2000
 SEED = 42
 ROWS = {"n": B, "seed": SEED, "mode": "rows"}
 
@@ -168,24 +169,49 @@ def routing_ci(spark, sf):
     return rounded(rs.routing_ci(b.replayed(spark, sf), **ROWS), "point", "ci_low", "ci_high")
 
 
-# The default weights: cost independent of the number of rows, no SQL twin.
+# The default weights: cost independent of the number of rows.  SQL cannot repeat the draws; it compares the points and
+# counts, and that the bounds lie around the point.  The tests hold the bounds against those of the row weights.
 
 
-@query("bootstrap_ci_cells")
+def bracketed(df):
+    """Rounded points, and whether the bounds lie around them, instead of the bounds."""
+    around = (F.col("ci_low") <= F.col("point")) & (F.col("point") <= F.col("ci_high")) & (F.col("ci_low") < F.col("ci_high"))
+    certain = F.col("point").isin(0.0, 1.0) & (F.col("ci_low") == F.col("ci_high")) & (F.col("ci_low") == F.col("point"))
+    return rounded(df.withColumn("brackets", around | certain).drop("ci_low", "ci_high"), "point")
+
+
+@query("bootstrap_ci_cells", with_(*BASE) + f"""
+SELECT setting, count(*) AS n, round({rat(cnt('per_correct'), 'count(*)')}, 9) AS point, TRUE AS brackets FROM lab GROUP BY setting""")
 def bootstrap_ci_cells(spark, sf):
-    return rs.bootstrap_ci(b.labelled(spark, sf), "per_correct", ["setting"], n=2000)
+    return bracketed(rs.bootstrap_ci(b.labelled(spark, sf), "per_correct", ["setting"], n=B))
+
+
+@query("auroc_ci_cells", with_(*CBASE, USABLE_W, auroc_sql("setting", "a", "u", "NOT baseline_correct", "risk")) + """
+SELECT setting, round(auroc, 9) AS point, TRUE AS brackets FROM a""")
+def auroc_ci_cells(spark, sf):
+    return bracketed(rs.auroc_ci(b.confident(spark, sf), n=B))
+
+
+@query("ece_ci_cells", with_(*CBASE, USABLE_W, ece_sql("setting", "u", "e", "1")) + "SELECT setting, round(ece, 9) AS point FROM e")
+def ece_ci_cells(spark, sf):
+    """The calibration error of a resample is biased upwards, so its bounds need not lie around the point."""
+    return bracketed(rs.ece_ci(b.confident(spark, sf), n=B)).drop("brackets")
 
 
-@query("routing_ci_cells")
+@query("routing_ci_cells", with_(*BASE, PRED, replay_sql("pred"), "ones AS (SELECT *, 1 AS w FROM rep)", summary_sql("ones", "setting", "pt")) + """
+SELECT setting, metric, round(value, 9) AS point FROM pt""")
 def routing_ci_cells(spark, sf):
-    return rs.routing_ci(b.replayed(spark, sf), n=B)
+    return bracketed(rs.routing_ci(b.replayed(spark, sf), n=B)).drop("brackets")
 
 
-@query("multinomial_cells")
+@query("multinomial_cells", with_(*BASE) + f"""
+SELECT count(*) AS n, CAST({B} AS BIGINT) AS replicates, round({rat(cnt('broadcast_correct'), 'count(*)')}, 9) AS point, TRUE AS brackets FROM lab""")
 def multinomial(spark, sf):
-    cells = rs.multinomial_cells(b.labelled(spark, sf), ["baseline_correct", "broadcast_correct"], n=B)
-    draws = cells.groupBy("replicate").agg(
-        (F.sum(F.when(F.col("broadcast_correct"), F.col("w")).otherwise(0)).cast("double") / F.sum("w").cast("double")).alias("draw"),
-        F.sum("w").alias("n"),
+    """Every replicate has as many draws as there are rows, over one cell per problem."""
+    rows = b.labelled(spark, sf)
+    draws = rs.multinomial_cells(rows, ["problem_uid", "broadcast_correct"], n=B).groupBy("replicate").agg(
+        ratio(F.sum(F.when(F.col("broadcast_correct"), F.col("w")).otherwise(0)), F.sum("w")).alias("draw"), F.sum("w").alias("n"),
     )
-    return draws.groupBy("n").agg(F.percentile("draw", F.lit(0.025)).alias("ci_low"), F.percentile("draw", F.lit(0.975)).alias("ci_high"))
+    bounds = draws.groupBy("n").agg(F.count("*").alias("replicates"), F.percentile("draw", F.lit(0.025)).alias("ci_low"), F.percentile("draw", F.lit(0.975)).alias("ci_high"))
+    point = rows.agg(F.avg(F.col("broadcast_correct").cast("double")).alias("point")).scalar()
+    return bracketed(bounds.withColumn("point", point))

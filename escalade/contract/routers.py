@@ -2,18 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
-from ..operators.features import METADATA_ONLY, TEXT_METADATA
+from ..operators.features import TEXT_METADATA
 from ..operators.splits import SplitConfig, refit_rows, stratified_split
 from ..plans import router as rt
 from . import bindings as b
 from .base import query
 
-# Two of the six grid points, for the queries that search.
-SMALL_GRID = ({"class_weight": None, "C": 1.0}, {"class_weight": "balanced", "C": 1.0})
-
-
 def _rows(spark, sf):
     keep = ["problem_uid", "setting", "oracle_label", *TEXT_METADATA.columns()]
     return stratified_split(b.labelled(spark, sf).select(*keep), SplitConfig.primary())
@@ -22,21 +16,21 @@ def _rows(spark, sf):
 @query("logistic_router")
 def logistic_router(spark, sf):
     rows = _rows(spark, sf)
-    router = rt.metadata_only_router(class_weight=None).fit(refit_rows(rows))
+    router = rt.text_metadata_router(class_weight=None).fit(refit_rows(rows))
     return router.predict(rows.where("split = 'test'")).select("problem_uid", "oracle_label", "predicted_label")
 
 
 @query("select_on_dev")
 def select_on_dev(spark, sf):
     rows = _rows(spark, sf)
-    best, log = rt.select_on_dev(rows.where("split = 'train'"), rows.where("split = 'dev'"), METADATA_ONLY)
+    best, log = rt.select_on_dev(rows.where("split = 'train'"), rows.where("split = 'dev'"), TEXT_METADATA)
     table = [(r["class_weight"] or "none", r["C"], r["dev_macro_f1"], all(r[k] == best[k] for k in best)) for r in log]
     return spark.createDataFrame(table, "class_weight string, C double, dev_macro_f1 double, chosen boolean")
 
 
 @query("fit_refit_evaluate")
 def fit_refit_evaluate(spark, sf):
-    *_, predictions = rt.fit_refit_evaluate(_rows(spark, sf), TEXT_METADATA, SMALL_GRID)
+    *_, predictions = rt.fit_refit_evaluate(_rows(spark, sf), TEXT_METADATA)
     return predictions.select("problem_uid", "oracle_label", "predicted_label")
 
 

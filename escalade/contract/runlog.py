@@ -32,7 +32,7 @@ def token_ledger(spark, sf):
     return runlog.token_ledger(calls(spark, sf))
 
 
-@query("first_pass_round", """WITH e AS (SELECT conv_id, turn, length(text) % 5 = 0 AS passed, substr(text, 1, 10) AS answer FROM conversations WHERE turn < 6),
+@query("first_pass_round", """WITH e AS (SELECT conv_id, turn, length(text) % 5 = 0 AS passed, text AS answer FROM conversations WHERE turn < 6),
 f AS (SELECT conv_id, min(turn) FILTER (WHERE passed) AS first, max(turn) AS last FROM e GROUP BY conv_id)
 SELECT f.conv_id AS problem_id, first IS NOT NULL AS passed, coalesce(first, last) + 1 AS rounds_used,
   CASE WHEN first IS NOT NULL THEN 'evaluator_pass' ELSE 'max_rounds_exhausted' END AS stop_reason, e.answer AS final_answer
@@ -40,7 +40,7 @@ FROM f JOIN e ON e.conv_id = f.conv_id AND e.turn = coalesce(first, last)""")
 def first_pass_round(spark, sf):
     evals = b.table(spark, sf, "conversations").select(
         F.col("conv_id").alias("problem_id"), F.col("turn").alias("round"), (F.length("text") % 5 == 0).alias("passed"),
-        F.substring("text", 1, 10).alias("answer"),
+        F.col("text").alias("answer"),
     )
     return runlog.fold_rounds(evals, 6)
 

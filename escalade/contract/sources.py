@@ -131,9 +131,9 @@ def dataset_fingerprint(spark, sf):
 
 
 def _run_records(spark, sf):
-    """Nested run records, one event per thousand tokens or part of it."""
+    """Nested run records, one event per hundred tokens or part of it."""
     r = b.runs(spark, sf)
-    n = F.least(F.lit(5), F.floor(F.col("tokens") / 100) + 1).cast("int")
+    n = (F.floor(F.col("tokens") / 100) + 1).cast("int")
     event = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(
         F.lit("message").alias("type"), F.concat(F.lit("step_"), i.cast("string")).alias("stage"), F.lit("solver").alias("role"),
         F.lit("Solver").alias("sender"), F.concat(F.lit("text "), i.cast("string")).alias("content"),
@@ -159,7 +159,7 @@ def _log(spark, sf):
     return tb.read_run_log(spark, path)
 
 
-N = "CAST(least(5, floor(CAST(tokens AS DOUBLE) / 100) + 1) AS INTEGER)"
+N = "CAST(floor(CAST(tokens AS DOUBLE) / 100) + 1 AS INTEGER)"
 NAME = "(['baseline', 'single_agent', 'per', 'broadcast'])[ln]"
 
 

@@ -34,7 +34,7 @@ def stream_ledger(spark, sf):
         F.floor("value").cast("bigint").alias("completion_tokens"),
     )
     st.stream_ledger(rows, out, checkpoint)
-    return spark.read.parquet(out)
+    return st.read_ledger(spark, out)
 
 
 @query("stream_gate", with_(RAW, PARSED) + f"SELECT event_id, coalesce(confidence, -1) AS confidence, {GATE_SQL} AS predicted_label FROM parsed")

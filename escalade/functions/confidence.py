@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from ..dims import BASELINE, SINGLE
 from .outcomes import _c, bind
@@ -39,7 +40,7 @@ def _json_integer(payload: Column, key: str) -> Column:
 def parse_confidence(col, key: str = "PROBABILITY") -> Column:
     """Raw response text to a 0-100 score, NULL when nothing is parseable.
 
-    Steps, first hit wins: the key of a JSON object; ``KEY: n`` anywhere; a bare
+    For text; :func:`read_confidence` takes numbers too.  Steps, first hit wins: the key of a JSON object; ``KEY: n`` anywhere; a bare
     integer; the first standalone integer up to 100.  Intermediate values are
     bound once, so the plan stays small when the optimizer copies the expression.
     """
@@ -71,6 +72,20 @@ def parse_confidence(col, key: str = "PROBABILITY") -> Column:
     return bind(bind(raw, present), ladder)
 
 
+def read_confidence(df: DataFrame, column: str, key: str = "PROBABILITY") -> Column:
+    """The 0-100 score of a column of numbers or of raw responses, by its type.
+
+    A number is a score already.  In a table of texts (a CSV file) a cell that
+    is a decimal number with a point, an exponent, a sign or more than three
+    digits is a number as well; whole numbers read alike either way.
+    """
+    if isinstance(df.schema[column].dataType, NumericType):
+        return clip_confidence(column)
+    text = F.btrim(_c(column).cast("string"))
+    number = F.when(text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), text.try_cast("double"))
+    return F.coalesce(clip_confidence(number), parse_confidence(column, key))
+
+
 def clip_confidence(col) -> Column:
     """Numeric confidence column clipped to [0, 100]; NaN and NULL are unparseable."""
     c = _c(col).cast("double")

@@ -125,10 +125,10 @@ def value_target_columns(label="oracle_label", baseline="baseline_correct") -> d
 
 
 def difficulty_tier(col, low: int = 1, high: int = 10) -> Column:
-    """Half-even rounding, clipped; NULL stays NULL (greatest/least skip NULLs)."""
+    """Half-even rounding, clipped; NULL and NaN give NULL (greatest/least skip NULLs)."""
     c = _c(col).cast("double")
     return F.when(
-        c.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), F.bround(c, 0).cast("int")))
+        c.isNotNull() & ~F.isnan(c), F.greatest(F.lit(low), F.least(F.lit(high), F.bround(c, 0).cast("int")))
     )
 
 

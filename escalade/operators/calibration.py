@@ -236,26 +236,58 @@ def gate_replay(df: DataFrame, threshold: float, by=("setting",), confidence: st
                        ratio("_s", "n").alias("gate_solve_rate"))
 
 
+def _bands(df: DataFrame, cuts: list[float], by: list[str], confidence: str, **outcomes: str) -> DataFrame:
+    """One row per group: for each band between cuts (the number of cuts reached, 0 for NULL) its rows and successes."""
+    reached = F.coalesce(F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c <= F.col(confidence))), F.lit(0))
+    reached = F.when(F.col(confidence).isNull(), 0).otherwise(reached).alias("k")
+    sums = df.groupBy(*by, reached).agg(F.count("*").alias("n"), *[F.count_if(c).alias(name) for name, c in outcomes.items()])
+    return sums.groupBy(*by).agg(F.collect_list(F.struct("k", "n", *outcomes)).alias("_bands"))
+
+
+def _total(low: Column | int, high: Column | int, field: str) -> Column:
+    """Sum of a field over the bands from ``low`` up to, but without, ``high``."""
+    chosen = F.filter("_bands", lambda x: (x["k"] >= low) & (x["k"] < high))
+    return F.aggregate(chosen, F.lit(0).cast("long"), lambda t, x: t + x[field])
+
+
 def threshold_sweep(df: DataFrame, thresholds: list[float], by=("setting",), confidence: str = "confidence") -> DataFrame:
     """The gate at many thresholds in one pass; the best keeps the lowest threshold on ties.
 
-    Rows reduce to (group, score) counts first; only those cells meet the
-    thresholds.
+    Rows reduce to one count per band between thresholds; a threshold's figures add up bands, so no row meets every threshold.
     """
-    by = list(by)
-    if not by:
-        return threshold_sweep(df.withColumn("_all", F.lit(1)), thresholds, ["_all"], confidence).drop("_all")
-    cells = df.groupBy(*by, F.col(confidence).alias("_c")).agg(
-        F.count("*").alias("n"), F.count_if("baseline_correct").alias("b"), F.count_if("single_correct").alias("s")
-    )
-    at = cells.withColumn("threshold", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])))
-    kept = F.coalesce(F.col("_c") >= F.col("threshold"), F.lit(False))
-    sums = at.groupBy(*by, "threshold").agg(
-        F.sum("n").alias("n"), F.sum(F.when(kept, F.col("n")).otherwise(0)).alias("kept_baseline"),
-        F.sum(F.when(kept, F.col("b")).otherwise(F.col("s"))).alias("solved"),
+    by, cuts = list(by), sorted({float(t) for t in thresholds})
+    sums = _bands(df, cuts, by, confidence, b="baseline_correct", s="single_correct")
+    points = F.array(*[F.struct(F.lit(t).alias("threshold"), F.lit(k + 1).alias("at")) for k, t in enumerate(cuts)])
+    top = len(cuts) + 1
+    at = sums.withColumn("_p", F.explode(points)).select(
+        *by, "_p.threshold", _total(0, top, "n").alias("n"), _total(F.col("_p.at"), top, "n").alias("kept_baseline"),
+        (_total(F.col("_p.at"), top, "b") + _total(0, F.col("_p.at"), "s")).alias("solved"),
     )
-    best = sums.groupBy(*by).agg(F.max_by("threshold", F.struct(F.col("solved"), -F.col("threshold"))).alias("_best"))
-    return sums.join(best, by).select(
-        *by, "threshold", "n", "kept_baseline", "solved", ratio("solved", "n").alias("solve_rate"),
-        (F.col("threshold") == F.col("_best")).alias("is_best"),
+    return _with_best(at, by, ["threshold"])
+
+
+def cascade_sweep(df: DataFrame, pairs: list[tuple[float, float]], by=("setting",), confidence: str = "confidence",
+                  tier_success: str = "tier_correct") -> DataFrame:
+    """The cascade at many (high, low) pairs in one pass; the best keeps the lowest pair on ties.
+
+    From ``high`` on the cheapest protocol decides, from ``low`` on the single agent, below it (and without a confidence) the tier's label.
+    """
+    by, cuts = list(by), sorted({float(t) for pair in pairs for t in pair})
+    place = {t: k + 1 for k, t in enumerate(cuts)}
+    sums = _bands(df, cuts, by, confidence, b="baseline_correct", s="single_correct", t=tier_success)
+    points = F.array(*[
+        F.struct(F.lit(float(h)).alias("high"), F.lit(float(w)).alias("low"), F.lit(place[float(h)]).alias("at_high"), F.lit(place[float(w)]).alias("at_low"))
+        for h, w in pairs
+    ])
+    top, high, low = len(cuts) + 1, F.col("_p.at_high"), F.col("_p.at_low")
+    at = sums.withColumn("_p", F.explode(points)).select(
+        *by, "_p.high", "_p.low", _total(0, top, "n").alias("n"), _total(high, top, "n").alias("kept_baseline"), _total(low, high, "n").alias("kept_single"),
+        (_total(high, top, "b") + _total(low, high, "s") + _total(0, F.least(low, high), "t")).alias("solved"),
     )
+    return _with_best(at, by, ["high", "low"])
+
+
+def _with_best(sums: DataFrame, by: list[str], keys: list[str]) -> DataFrame:
+    """Adds the solve rate, and whether a row has its group's most solved at the lowest keys."""
+    order = Window.partitionBy(*by).orderBy(F.desc("solved"), *keys)
+    return sums.withColumns({"solve_rate": ratio("solved", "n"), "is_best": F.row_number().over(order) == 1})

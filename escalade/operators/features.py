@@ -81,15 +81,15 @@ def vocabulary(counts: DataFrame, min_df: int = 2, max_features: int = 20000) ->
     return totals.orderBy(F.desc("n_total"), "term").limit(max_features)
 
 
-def tfidf(counts: DataFrame, vocab: DataFrame, n_docs: int, key: str, max_features: int = 20000) -> DataFrame:
+def tfidf(counts: DataFrame, vocab: DataFrame, n_docs: int, key: str) -> DataFrame:
     """``(key, term, weight)``: tf x (ln((1+n)/(1+df)) + 1), scaled to unit length per document.
 
-    The vocabulary is at most ``max_features`` rows by construction, so it is
-    broadcast and bounds the rows of a document; the norm is a window over one
-    document.
+    Every term of the given vocabulary counts, whatever its size; ``counts`` may
+    be of other documents than those that the vocabulary was made from.  The norm
+    is a window over one document, whose rows the vocabulary bounds.
     """
     idf = F.log(F.lit(float(1 + n_docs)) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
-    side = F.broadcast(vocab.limit(max_features).select("term", idf.alias("idf")))
+    side = vocab.select("term", idf.alias("idf"))
     raw = counts.join(side, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("raw"))
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
     return raw.select(key, "term", (F.col("raw") / norm).alias("weight"))
@@ -160,7 +160,7 @@ class Featurizer:
                        OneHotEncoder(inputCol=f"_ix_{c}", outputCol=f"_hot_{c}", dropLast=True)]
             self.parts.append(f"_hot_{c}")
         for c in s.multilabel:
-            stages.append(CountVectorizer(inputCol=f"_list_{c}", outputCol=f"_multi_{c}", binary=True, minDF=1.0, vocabSize=1 << 20))
+            stages.append(CountVectorizer(inputCol=f"_list_{c}", outputCol=f"_multi_{c}", binary=True, minDF=1.0, vocabSize=(1 << 31) - 1))
             self.parts.append(f"_multi_{c}")
         numbers = [f"{c}_num" for c in s.numeric]
         stages.append(VectorAssembler(inputCols=self.parts + numbers, outputCol="features", handleInvalid="keep"))

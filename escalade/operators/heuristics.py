@@ -6,14 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..dims import BASELINE, LABELS, literal_map
-from ..session import bounded
 
 RANK = {p: i for i, p in enumerate(LABELS)}
 
-# A fitted lookup up to this many rows travels as a literal table and broadcasts;
-# a longer one stays distributed and takes an ordinary equi-join.
-MAX_LOOKUP_ROWS = 100_000
-
 
 def majority_label(df: DataFrame, by=(), label: str = "oracle_label") -> DataFrame:
     """Most frequent label per group; ties go to the cheaper one."""
@@ -26,15 +21,15 @@ def majority_label(df: DataFrame, by=(), label: str = "oracle_label") -> DataFra
 class BucketMajority:
     """Majority label over a chain of bucket columns, then the global majority.
 
-    ``fit`` counts every level in one aggregate: a row is exploded to its
-    (level, value) pairs and combined before the shuffle.
+    ``fit`` only describes one aggregate over all levels: a row is exploded to its
+    (level, value) pairs and combined before the shuffle.  Nothing is collected;
+    ``transform`` joins the counted table in the same plan, where the run-time
+    sizes decide how.
     """
 
     def __init__(self, cols: list[str], label: str = "oracle_label"):
         self.cols, self.label = list(cols), label
         self.table: DataFrame | None = None
-        self.lookup: DataFrame | None = None
-        self.global_majority = BASELINE
 
     def fit(self, df: DataFrame) -> "BucketMajority":
         pairs = F.array(
@@ -43,24 +38,17 @@ class BucketMajority:
         )
         long = df.select(F.explode(pairs).alias("b"), F.col(self.label).alias("label")).select("b.level", "b.value", "label")
         self.table = majority_label(long.where("value IS NOT NULL"), ["level", "value"], "label").drop("n_rows")
-        self.lookup = bounded(self.table, MAX_LOOKUP_ROWS)
-        source = self.lookup if self.lookup is not None else self.table
-        top = source.where("level = '*'").limit(1).collect()
-        if top:
-            self.global_majority = top[0]["majority"]
         return self
 
     def transform(self, df: DataFrame, out: str = "predicted_label") -> DataFrame:
-        source = self.lookup if self.lookup is not None else self.table
         found = []
         for c in self.cols:
             name = f"_m_{c}"
-            side = source.where(F.col("level") == c).select(F.col("value").alias(f"_v_{c}"), F.col("majority").alias(name))
-            if self.lookup is not None:
-                side = F.broadcast(side)
+            side = self.table.where(F.col("level") == c).select(F.col("value").alias(f"_v_{c}"), F.col("majority").alias(name))
             df = df.join(side, F.col(c).cast("string") == F.col(f"_v_{c}"), "left").drop(f"_v_{c}")
             found.append(F.col(name))
-        return df.withColumn(out, F.coalesce(*found, F.lit(self.global_majority))).drop(*[f"_m_{c}" for c in self.cols])
+        overall = self.table.where("level = '*'").agg(F.max("majority")).scalar()
+        return df.withColumn(out, F.coalesce(*found, overall, F.lit(BASELINE))).drop(*[f"_m_{c}" for c in self.cols])
 
 
 class TierMajority(BucketMajority):

@@ -114,43 +114,48 @@ def reconcile(a: DataFrame, b: DataFrame, text: str, uid: str, cols: list[str])
 def drop_ambiguous(df: DataFrame, key) -> DataFrame:
     """Rows whose key is unique.
 
-    ``min(struct)`` of a one-row group is that row, so no window gathers the
-    duplicates.
+    Any value of a one-row group is that row, so no window gathers the
+    duplicates, and columns need no order (maps are allowed).
     """
-    cols = df.columns
-    grouped = df.groupBy(key.alias("_key") if not isinstance(key, str) else F.col(key).alias("_key")).agg(
-        F.count("*").alias("_n"), F.min(F.struct(*[F.col(c) for c in cols])).alias("_row")
-    )
+    named = (F.col(key) if isinstance(key, str) else key).alias("_key")
+    grouped = df.groupBy(named).agg(F.count("*").alias("_n"), F.any_value(F.struct(*[F.col(c) for c in df.columns])).alias("_row"))
     return grouped.where("_n = 1").select("_row.*")
 
 
 def table_diff(produced: DataFrame, reference: DataFrame, keys: list[str], tol: float = 0.0) -> DataFrame:
-    """Cells that differ beyond ``tol``, rows on one side only, and missing columns.
+    """Cells that differ beyond ``tol``, keys with unequal numbers of rows, and missing columns.
 
-    Output ``(keys..., column, produced, reference)``; empty means equal.
+    Output ``(keys..., column, produced, reference)``; empty means equal.  The
+    column ``<row>`` gives the numbers of rows of a key where they differ; cells
+    are compared where both sides have one row.
     """
     value_cols = [c for c in reference.columns if c not in keys]
     missing = [c for c in value_cols if c not in produced.columns]
     shared = [c for c in value_cols if c in produced.columns]
 
-    def long(df, name):
-        cells = F.array(*[
-            F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias(name)) for c in shared
-        ], F.struct(F.lit("<row>").alias("column"), F.lit("present").alias(name)))
-        return df.select(*keys, F.explode(cells).alias("c")).select(*keys, F.col("c.column").alias("column"), f"c.{name}")
+    def single(df, name):
+        cells = F.struct(F.lit(0).alias("_"), *[F.col(c).cast("string").alias(c) for c in shared])
+        return df.groupBy(*keys).agg(F.count("*").alias(f"n_{name}"), F.any_value(cells).alias(name))
 
-    both = long(produced, "produced").join(long(reference, "reference"), [*keys, "column"], "full_outer")
+    a, b = single(produced, "produced"), single(reference, "reference").withColumnsRenamed({k: f"_{k}" for k in keys})
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    both = a.join(b, same, "full_outer").select(
+        *[F.coalesce(k, f"_{k}").alias(k) for k in keys], F.coalesce("n_produced", F.lit(0)).alias("n_produced"),
+        F.coalesce("n_reference", F.lit(0)).alias("n_reference"), "produced", "reference",
+    )
+    rows = F.struct(F.lit("<row>").alias("column"), F.col("n_produced").cast("string").alias("produced"), F.col("n_reference").cast("string").alias("reference"))
+    cells = [F.struct(F.lit(c).alias("column"), F.col(f"produced.{c}").alias("produced"), F.col(f"reference.{c}").alias("reference")) for c in shared]
+    uneven = F.col("n_produced") != F.col("n_reference")
+    one = (F.col("n_produced") == 1) & (F.col("n_reference") == 1)
+    listed = F.when(uneven, F.array(rows)).when(one, F.array(*cells)).otherwise(F.array().cast("array<struct<column:string,produced:string,reference:string>>"))
+    long = both.select(*keys, F.explode(listed).alias("c")).select(*keys, "c.*")
     p, r = F.col("produced").try_cast("double"), F.col("reference").try_cast("double")
     close = F.when(p.isNotNull() & r.isNotNull(), F.abs(p - r) <= F.lit(float(tol))).otherwise(
         F.trim("produced").eqNullSafe(F.trim("reference"))
     )
-    diffs = both.where(~close)
+    diffs = long.where((F.col("column") == "<row>") | ~close)
     if missing:
-        absent = reduce(
-            DataFrame.unionByName,
-            [reference.limit(1).select(*[F.lit(None).cast(reference.schema[k].dataType).alias(k) for k in keys],
-                                       F.lit(c).alias("column"), F.lit(None).cast("string").alias("produced"),
-                                       F.lit("<missing column>").alias("reference")) for c in missing],
-        )
-        diffs = diffs.unionByName(absent)
+        schema = ", ".join(f"`{k}` {reference.schema[k].dataType.simpleString()}" for k in keys)
+        absent = [(*[None] * len(keys), c, None, "<missing column>") for c in missing]
+        diffs = diffs.unionByName(reference.sparkSession.createDataFrame(absent, f"{schema}, column string, produced string, reference string"))
     return diffs

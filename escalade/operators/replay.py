@@ -107,12 +107,12 @@ def accuracy(df: DataFrame, gold: str, pred: str, by=()) -> DataFrame:
     return df.groupBy(*by).agg(F.when(n == 0, F.lit(0.0)).otherwise(hit / n.cast("double")).alias("accuracy"))
 
 
-def _direction_counts(gold: Column, pred: Column) -> list[Column]:
+def direction_counts(gold: Column, pred: Column) -> list[Column]:
     d = escalation_direction(pred, gold)
     return [F.count_if(d == k).alias(f"n_{k}") for k in ("over", "under", "match")]
 
 
-def _direction_rates(n="n") -> list[Column]:
+def direction_rates(n="n") -> list[Column]:
     return [
         F.coalesce(ratio("n_over", n), F.lit(0.0)).alias("over_escalation_rate"),
         F.coalesce(ratio("n_under", n), F.lit(0.0)).alias("under_escalation_rate"),
@@ -123,8 +123,8 @@ def _direction_rates(n="n") -> list[Column]:
 def escalation_rates(df: DataFrame, gold: str, pred: str, by=()) -> DataFrame:
     """Over, under and match shares."""
     by = list(by)
-    counts = df.groupBy(*by).agg(F.count("*").alias("n"), *_direction_counts(F.col(gold), F.col(pred)))
-    return counts.select(*by, "n", *_direction_rates())
+    counts = df.groupBy(*by).agg(F.count("*").alias("n"), *direction_counts(F.col(gold), F.col(pred)))
+    return counts.select(*by, "n", *direction_rates())
 
 
 def routing_summary(replayed: DataFrame, by=(), gold: str = "oracle_label", pred: str = "predicted_label") -> DataFrame:
@@ -137,7 +137,7 @@ def routing_summary(replayed: DataFrame, by=(), gold: str = "oracle_label", pred
         F.count_if(g == p).alias("n_mode"),
         F.count_if("solvable").alias("n_solvable"),
         F.count_if(F.col("solvable") & ~F.col("success")).alias("n_missed"),
-        *_direction_counts(g, p),
+        *direction_counts(g, p),
         F.count("tokens").alias("n_tokens"),
         F.sum("tokens").alias("sum_tokens"),
         F.count("excess_tokens").alias("n_excess"),
@@ -151,7 +151,7 @@ def routing_summary(replayed: DataFrame, by=(), gold: str = "oracle_label", pred
         ratio("n_mode", "n_examples").alias("mode_accuracy"),
         macro_f1_from_counts().alias("macro_f1"),
         F.coalesce(ratio("n_missed", "n_solvable"), F.lit(0.0)).alias("missed_success_rate"),
-        *_direction_rates("n_examples"),
+        *direction_rates("n_examples"),
         F.when(complete, ratio("sum_tokens", "n_tokens")).alias("avg_tokens"),
         F.when(complete, ratio("sum_excess", "n_excess")).alias("avg_excess_tokens_vs_oracle"),
     )

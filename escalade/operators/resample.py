@@ -34,6 +34,8 @@ from .replay import confusion_counts, macro_f1_from_counts
 LANES = 4
 DRAWS = 100
 UNIT = float(2**32)
+# Children of a node of the multinomial tree: one byte of the digest.
+FAN_OUT = 256
 
 
 def poisson_thresholds() -> list[float]:
@@ -119,30 +121,55 @@ def weighted_cells(df: DataFrame, by=(), cell=(), n: int = 2000, seed: int = 42,
     return _cell_weighted(df, by, cell, n, seed)
 
 
-def multinomial_cells(df: DataFrame, cell=(), n: int = 2000, seed: int = 42, max_cells: int = 100_000) -> DataFrame:
+def _node(level: int) -> Column:
+    """The tree node of a cell: the first ``level`` bytes of its digest."""
+    return F.substring("_digest", 1, 2 * level)
+
+
+def multinomial_cells(df: DataFrame, cell=(), n: int = 2000, seed: int = 42) -> DataFrame:
     """Exact draws of as many problems as there are, with replacement, over cells.
 
-    The cell counts are the only state a draw needs; above ``max_cells`` distinct
-    cells the Poisson weights of :func:`weighted_cells` are used instead.
+    A multinomial draw is split down a tree: a node's draws are shared out among
+    its children by their counts, and so on to the cells.  A node is a prefix of
+    the cells' digests, one byte a level, and the levels follow the number of
+    cells, so a node has a few hundred children whatever the size.  Each
+    (replicate, node) has a generator of its own.  Every replicate adds up to
+    the number of rows.
     """
     cell = list(cell)
-    counts = df.groupBy(*cell).agg(F.count("*").alias("count")).orderBy(*cell)
-    rows = counts.limit(max_cells + 1).toPandas()
-    if len(rows) > max_cells:
-        return weighted_cells(df, (), cell, n, seed).where("replicate >= 0")
-    sizes = rows["count"].to_numpy(dtype="int64")
-    total = int(sizes.sum())
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in counts.schema.fields if f.name != "count")
+    spark = df.sparkSession
+    counts = df.groupBy(*cell).agg(F.count("*").alias("_count"))
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in cell]
+    keyed = counts.withColumn("_digest", F.md5(F.concat_ws("\x1f", F.lit(""), *parts)))
+    levels = max(1, math.ceil(math.log(max(1, counts.count()), FAN_OUT)))
 
-    def draw(batches):
-        for batch in batches:
-            for r in batch["replicate"]:
-                rng = np.random.Generator(np.random.Philox(key=(seed << 32) + int(r)))
-                take = rng.multinomial(total, sizes / total)
-                yield rows[cell].assign(replicate=int(r), w=take)
-
-    ids = df.sparkSession.range(n).withColumnRenamed("id", "replicate")
-    return ids.mapInPandas(draw, f"{schema}, replicate int, w bigint")
+    @pandas_udf(ArrayType(LongType()))
+    def share(total: pd.Series, sizes: pd.Series, stream: pd.Series) -> pd.Series:
+        out = []
+        for t, own, s in zip(total, sizes, stream):
+            own = np.asarray(own, dtype="int64")
+            out.append(np.random.Generator(np.random.Philox(key=int(s) & (2**64 - 1))).multinomial(int(t), own / own.sum()))
+        return pd.Series(out)
+
+    def split(draws: DataFrame, children: DataFrame) -> DataFrame:
+        """``children``: _node and a list of (child, _count) in a fixed order."""
+        joined = draws.join(children, "_node")
+        stream = F.xxhash64(F.lit(seed), F.col("replicate"), F.col("_node"))
+        taken = joined.withColumn("_taken", share("w", F.transform("_children", lambda c: c["_count"]), stream))
+        pairs = F.arrays_zip(F.transform("_children", lambda c: c["child"]).alias("child"), F.col("_taken").alias("w"))
+        return taken.select("replicate", F.explode(pairs).alias("_p")).select("replicate", "_p.child", "_p.w")
+
+    total = counts.agg(F.sum("_count").alias("w")).where("w > 0")
+    draws = total.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("replicate"), "w", F.lit("").alias("_node"))
+    for level in range(1, levels):
+        sums = keyed.groupBy(_node(level).alias("child")).agg(F.sum("_count").alias("_count"))
+        children = sums.groupBy(F.substring("child", 1, 2 * (level - 1)).alias("_node")).agg(
+            F.array_sort(F.collect_list(F.struct("child", "_count"))).alias("_children")
+        )
+        draws = split(draws, children).withColumnRenamed("child", "_node")
+    leaf = F.struct(F.struct("_digest", *cell).alias("child"), "_count")
+    cells = keyed.groupBy(_node(levels - 1).alias("_node")).agg(F.array_sort(F.collect_list(leaf)).alias("_children"))
+    return split(draws, cells).select(*[F.col(f"child.{c}").alias(c) for c in cell], F.col("replicate").cast("int"), "w")
 
 
 # --- intervals --------------------------------------------------------------
@@ -203,17 +230,34 @@ def misaligned(a: DataFrame, b: DataFrame, key: str = "problem_uid") -> DataFram
 
 def paired_difference(df: DataFrame, a: str, b: str, by=(), n: int = 2000, seed: int = 42, alpha: float = 0.05,
                       mode: str = "cells", unit: str = "problem_uid", scale: float = 1.0) -> DataFrame:
-    """``mean(a) - mean(b)`` of two boolean arms held on the same row, so one weight serves both.
+    """``mean(a) - mean(b)`` of two arms held on the same row, so one weight serves both.
 
-    A missing arm is an error; use :func:`misaligned` before joining two tables.
+    Arms are booleans or numbers.  Numbers that differ from row to row make as
+    many cells as there are differences, so they take the weights of rows.  A
+    missing arm is an error; use :func:`misaligned` before joining two tables.
     """
     by = list(by)
-    bad = F.raise_error(F.lit("paired arms must align: an arm is missing")).cast("int")
-    step = F.coalesce(F.col(a).cast("int") - F.col(b).cast("int"), bad)
-    rows = df.withColumn("_d", step)
+    kinds = {dict(df.dtypes)[c] for c in (a, b)}
+    step_type = "int" if kinds == {"boolean"} else "double"
+    bad = F.raise_error(F.lit("paired arms must align: an arm is missing")).cast(step_type)
+    rows = df.withColumn("_d", F.coalesce(F.col(a).cast(step_type) - F.col(b).cast(step_type), bad))
     w = F.col("w")
-    draws = weighted_cells(rows, by, ["_d"], n, seed, mode, unit).groupBy(*by, "replicate").agg(
-        F.sum(w).alias("n"), (F.lit(float(scale)) * ratio(F.sum(w * F.col("_d")), F.sum(w))).alias("draw")
+    if step_type == "int":
+        weighted, total = weighted_cells(rows, by, ["_d"], n, seed, mode, unit), F.sum(w * F.col("_d"))
+    else:
+        weighted, total = weighted_cells(rows, by, [], n, seed, "rows", unit, ["_d"]), F.sum("w__d")
+    draws = weighted.groupBy(*by, "replicate").agg(
+        F.sum(w).alias("n"), (F.lit(float(scale)) * ratio(total, F.sum(w))).alias("draw")
+    )
+    return interval(draws, "draw", by, alpha, ["n"])
+
+
+def mean_ci(df: DataFrame, value: str, by=(), n: int = 2000, seed: int = 42, alpha: float = 0.05, unit: str = "problem_uid") -> DataFrame:
+    """Point estimate and interval of the mean of a numeric column; NULLs are left out."""
+    by = list(by)
+    rows = df.where(F.col(value).isNotNull()).withColumn("_v", F.col(value).cast("double"))
+    draws = weighted_cells(rows, by, [], n, seed, "rows", unit, ["_v"]).groupBy(*by, "replicate").agg(
+        F.sum("w").alias("n"), ratio(F.sum("w__v"), F.sum("w")).alias("draw")
     )
     return interval(draws, "draw", by, alpha, ["n"])
 
@@ -290,21 +334,3 @@ def routing_ci(replayed: DataFrame, by=("setting",), n: int = 2000, seed: int =
     rows = F.array(*[F.struct(F.lit(k).alias("metric"), v.alias("value")) for k, v in values.items()])
     draws = sums.select(*by, "replicate", F.explode(rows).alias("m")).select(*by, "replicate", "m.metric", "m.value")
     return interval(draws, "value", [*by, "metric"], alpha)
-
-
-def bootstrap_statistic(df: DataFrame, statistic, cell, n: int = 200, seed: int = 42, max_cells: int = 100_000) -> DataFrame:
-    """An arbitrary Python statistic per replicate over the weighted cells.
-
-    ``statistic(frame) -> float`` gets one replicate's distinct cells with their
-    weights ``w``.  A frame holds at most ``max_cells`` rows; with more distinct
-    cells this raises, and the aggregate forms above are the way.
-    """
-    cell = list(cell)
-    if df.select(*cell).distinct().limit(max_cells + 1).count() > max_cells:
-        raise ValueError(f"more than {max_cells} distinct cells: use an aggregate statistic")
-    rows = weighted_cells(df, (), cell, n, seed).where("replicate >= 0")
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"replicate": [int(frame["replicate"].iloc[0])], "draw": [float(statistic(frame))]})
-
-    return rows.groupBy("replicate").applyInPandas(run, "replicate int, draw double")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.outcomes import ratio
-from ..functions.text import is_meaningful
+from ..functions.text import is_meaningful, normalize_boxed
 
 CALL_COUNTERS = ("prompt_tokens", "completion_tokens", "calls", "http_attempts", "failed_calls")
 
@@ -147,13 +147,16 @@ def approval_vote(votes: DataFrame, policy: str = "unanimous", keys=("problem_id
 
 def choose_candidate(votes: DataFrame, policy: str = "majority_revision", keys=("problem_id", "approval_round"),
                      value: str = "revised_answer", order: str = "seq") -> DataFrame:
-    """Replacement candidate per round; NULL keeps the current one.
+    """Replacement candidate per round, as a box; NULL keeps the current one.
+
+    Revisions without a box do not count.
 
     ``majority_revision`` takes the most common revision, first seen on ties;
     ``latest_revision`` and ``first_revision`` take the last and the first.
     """
     keys = list(keys)
-    given = F.coalesce(F.col(value) != "", F.lit(False))
+    votes = votes.withColumn(value, normalize_boxed(value))
+    given = F.col(value) != ""
     if policy == "majority_revision":
         counts = votes.groupBy(*keys, value).agg(F.count("*").alias("_n"), F.min(order).alias("_first"))
         best = F.when(given, F.struct(F.col("_n"), -F.col("_first")))

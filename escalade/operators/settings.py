@@ -5,21 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Largest setting list that is hinted as broadcast; longer lists take an
-# ordinary equi-join, where Spark decides from run-time sizes.
-MAX_SETTINGS = 10_000
-
-
-def _small(dim: DataFrame) -> DataFrame:
-    from ..session import bounded
-
-    literal = bounded(dim, MAX_SETTINGS)
-    return F.broadcast(literal) if literal is not None else dim
-
 
 def filter_settings(df: DataFrame, dim: DataFrame) -> DataFrame:
     """Keep listed settings."""
-    return df.join(_small(dim.select("setting")), "setting", "left_semi")
+    return df.join(dim.select("setting"), "setting", "left_semi")
 
 
 def missing_settings(df: DataFrame, dim: DataFrame) -> DataFrame:
@@ -31,7 +20,7 @@ def missing_settings(df: DataFrame, dim: DataFrame) -> DataFrame:
 def label_settings(df: DataFrame, dim: DataFrame) -> DataFrame:
     """Display names; an unknown setting shows its endpoint and its raw name."""
     named = df.drop("solver", "setting_label").join(
-        _small(dim.select("setting", "solver", "setting_label")), "setting", "left"
+        dim.select("setting", "solver", "setting_label"), "setting", "left"
     )
     fallback = F.col("model_endpoint") if "model_endpoint" in df.columns else F.col("setting")
     return named.withColumn("solver", F.coalesce("solver", fallback)).withColumn(
@@ -41,7 +30,7 @@ def label_settings(df: DataFrame, dim: DataFrame) -> DataFrame:
 
 def report_order(df: DataFrame, dim: DataFrame, order: str = "coverage_ord") -> DataFrame:
     """Report rows with their position: known settings first, others by name."""
-    ranked = df.join(_small(dim.select("setting", F.col(order).alias("_ord"))), "setting", "left")
+    ranked = df.join(dim.select("setting", F.col(order).alias("_ord")), "setting", "left")
     return ranked.withColumn("report_rank", F.coalesce(F.col("_ord"), F.lit(1_000_000_000)).cast("bigint")).drop(
         "_ord"
     ).orderBy("report_rank", "setting")

@@ -1,13 +1,14 @@
-"""Session helpers: the shared work folder and size-checked small tables."""
+"""Session helpers: the shared work folder and the package on the executors."""
 
 from __future__ import annotations
 
+import atexit
 import shutil
 import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 _local_dir: str | None = None
 _shipped: set[str] = set()
@@ -16,15 +17,18 @@ _shipped: set[str] = set()
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only when the session names none (single-machine tests) is a local folder
-    created and registered as the checkpoint folder.
+    Where the session names none, a session on one machine gets a local folder,
+    removed when the program ends; on a cluster this is an error.
     """
     global _local_dir
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if _local_dir is None:
         _local_dir = tempfile.mkdtemp(prefix="escalade-")
+        atexit.register(shutil.rmtree, _local_dir, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(_local_dir)
     return _local_dir
 
@@ -34,28 +38,6 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/escalade/{name}-{uuid.uuid4().hex}"
 
 
-def bounded(df: DataFrame, max_rows: int) -> DataFrame | None:
-    """``df`` as a literal table if it has at most ``max_rows`` rows, else ``None``.
-
-    A literal table has a size Catalyst knows, so joins to it broadcast without
-    shuffling the large side.  At most ``max_rows + 1`` rows reach the driver.
-    """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return None
-    return df.sparkSession.createDataFrame(rows, df.schema)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Rebalance a scan that has fewer splits than the application has cores.
-
-    For heavy per-row work on a few large row groups; a scan with enough splits
-    is returned as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors' Python workers, once per application."""
     sc = spark.sparkContext

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.text import strip
 
@@ -80,43 +81,55 @@ def read_raw(spark: SparkSession, path: str) -> DataFrame:
     """Non-blank lines with their place; ``row`` is NULL for a line that is not a JSON object.
 
     Values stay text whatever their JSON type, so one schema fits every file.
+    ``at`` numbers the lines of a split in order, blank ones too.
     """
     lines = spark.read.text(path).select(
-        F.col("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")
+        F.col("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"),
     )
     parsed = F.try_parse_json(strip("value"))
     is_object = F.schema_of_variant(parsed).startswith("OBJECT")
     row = F.when(is_object, F.from_json("value", "map<string,string>"))
-    return lines.where(strip("value") != "").withColumn("row", row)
+    return lines.withColumn("row", row)
+
+
+def with_line_numbers(places: DataFrame, lines: DataFrame) -> DataFrame:
+    """Adds ``line_number`` (from 1, within the file) to rows with file, block and at.
+
+    The lines of the splits before are counted once; a file's splits are few, and only they are put in order.
+    """
+    splits = lines.groupBy("file", "block").agg(F.count("*").alias("_n"), F.min("at").alias("_first"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    numbered = places.join(splits, ["file", "block"])
+    return numbered.withColumn("line_number", F.col("at") - F.col("_first") + F.col("_before") + 1).drop("_first", "_before")
 
 
 def read_problems(spark: SparkSession, path: str, loader: str = "jsonl") -> tuple[DataFrame, DataFrame]:
     """``(problems, violations)`` of a JSONL file or folder.
 
-    Violations name the file, the reason and the start of the line.
+    Violations name the file, the number of the line, the reason, and the line.
     """
     raw = read_raw(spark, path)
-    good = normalize_fields(raw.where("row IS NOT NULL").withColumn("_r", F.col("row")), loader, "_r")
+    held = raw.where(strip("value") != "")
+    good = normalize_fields(held.where("row IS NOT NULL").withColumn("_r", F.col("row")), loader, "_r")
     problems = good.where("input <> '' AND answer <> ''")
-    bad_json = raw.where("row IS NULL").select("file", F.lit("invalid_json").alias("reason"), F.substring("value", 1, 80).alias("line"))
-    name = normalize_loader(loader)
-    fields = FIELD_PRIORITY[name]
-    rows = raw.where("row IS NOT NULL")
-    empty = rows.select(
-        "file",
-        F.when(first_non_empty(F.col("row"), fields["input"]) == "", "no_question")
-        .when(first_non_empty(F.col("row"), fields["answer"]) == "", "no_answer").alias("reason"),
-        F.substring("value", 1, 80).alias("line"),
-    ).where("reason IS NOT NULL")
-    return problems, bad_json.unionByName(empty)
+    fields = FIELD_PRIORITY[normalize_loader(loader)]
+    reason = (
+        F.when(F.col("row").isNull(), "invalid_json")
+        .when(first_non_empty(F.col("row"), fields["input"]) == "", "no_question")
+        .when(first_non_empty(F.col("row"), fields["answer"]) == "", "no_answer")
+    )
+    bad = held.withColumn("reason", reason).where("reason IS NOT NULL")
+    return problems, with_line_numbers(bad, raw).select("file", "line_number", "reason", F.col("value").alias("line"))
 
 
 def load_problems(spark: SparkSession, path: str, loader: str = "jsonl", expected_rows: int | None = None) -> DataFrame:
-    """Like :func:`read_problems`, failing on the first violations or a wrong count."""
+    """Like :func:`read_problems`, failing with the first five violations or a wrong count."""
     problems, bad = read_problems(spark, path, loader)
-    first = bad.limit(5).collect()
+    first = bad.orderBy("file", "line_number").limit(5).collect()
     if first:
-        raise ProblemFileError("; ".join(f"{r['reason']} in {r['file']}: {r['line']}" for r in first))
+        raise ProblemFileError("; ".join(f"{r['reason']} in {r['file']}, line {r['line_number']}: {r['line']}" for r in first))
     if expected_rows is not None:
         n = problems.count()
         if n != expected_rows:

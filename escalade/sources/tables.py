@@ -57,7 +57,7 @@ def _typed(df: DataFrame) -> DataFrame:
 def _check_places(inventory: DataFrame, dim: DataFrame | None, one_each: bool, path: str) -> None:
     """Missing settings, sources that mix settings, settings in two sources."""
     if dim is not None:
-        absent = [r["setting"] for r in missing_settings(inventory, dim).limit(20).collect()]
+        absent = [r["setting"] for r in missing_settings(inventory, dim).collect()]
         if absent:
             raise MatchedTableError(f"missing settings in {path}: {sorted(absent)}")
     if inventory.isEmpty():

@@ -31,14 +31,18 @@ def stream_run_log(stream: DataFrame, out: str, checkpoint: str, keys=("problem_
 
 
 def stream_ledger(stream: DataFrame, out: str, checkpoint: str) -> None:
-    """Running totals per role, rewritten whole at each trigger (one row per role)."""
+    """Running totals per role (one row each), a folder per trigger; the latest complete one counts.
+
+    A trigger writes one file, so a reader sees all of it or the folder of an
+    earlier trigger; :func:`read_ledger` finds the latest.
+    """
     totals = stream.groupBy("role").agg(
         F.count("*").alias("calls"), F.sum("prompt_tokens").alias("prompt_tokens"),
         F.sum("completion_tokens").alias("completion_tokens"),
     )
 
-    def replace(batch: DataFrame, _epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
+    def replace(batch: DataFrame, epoch: int) -> None:
+        batch.coalesce(1).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
     (
         totals.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(replace)
@@ -46,6 +50,12 @@ def stream_ledger(stream: DataFrame, out: str, checkpoint: str) -> None:
     )
 
 
+def read_ledger(spark: SparkSession, out: str) -> DataFrame:
+    """The totals of the latest trigger."""
+    totals = spark.read.parquet(out)
+    return totals.where(F.col("epoch") == totals.agg(F.max("epoch")).first()[0]).drop("epoch")
+
+
 def stream_gate(stream: DataFrame, out: str, checkpoint: str, threshold: float = 70.0, raw: str = "confidence_raw") -> None:
     """Parse the confidence of arriving rows and gate them; stateless."""
     gated = stream.withColumn("confidence", parse_confidence(raw)).withColumn(

@@ -166,3 +166,14 @@ def test_continuous_scores_through_the_report(spark):
     points = ranks.split_points(df.select((F.lit(1.0) - F.col("confidence") / 100).alias("r")), "r", 12)
     plain, cut = cal.confidence_report(df, "setting").first(), cal.confidence_report(df, "setting", points=points).first()
     assert plain["failure_auroc"] == cut["failure_auroc"]
+
+
+def test_numbers_pass_through_and_are_clipped(spark):
+    from escalade.functions.confidence import read_confidence
+
+    values = [85.7, 0.93, 1000.0, -3.0, float("nan"), None]
+    frame = spark.createDataFrame([(v, None if v is None else str(v)) for v in values], "number double, cell string").coalesce(1)
+    got = frame.select(read_confidence(frame, "number").alias("a"), read_confidence(frame, "cell").alias("b")).collect()
+    assert [r["a"] for r in got] == [85.7, 0.93, 100.0, 0.0, None, None] == [r["b"] for r in got]
+    text = spark.createDataFrame([('{"PROBABILITY": 86}',), ("about 40 percent",), ("70",)], "cell string").coalesce(1)
+    assert [r[0] for r in text.select(read_confidence(text, "cell")).collect()] == [86.0, 40.0, 70.0]

@@ -150,3 +150,10 @@ def test_shares_cover_all_labels_and_empty_input(spark):
 def test_setting_registry_orders():
     assert sorted(s[3] for s in SETTINGS) == list(range(1, 11))
     assert sorted(s[4] for s in SETTINGS) == list(range(1, 11))
+
+
+def test_tier_of_nan_is_null(spark):
+    from escalade.functions.outcomes import difficulty_tier
+
+    frame = spark.createDataFrame([(float("nan"),), (None,), (2.5,), (99.0,)], "d double").coalesce(1)
+    assert [r[0] for r in frame.select(difficulty_tier("d")).collect()] == [None, None, 2, 10]

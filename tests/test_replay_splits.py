@@ -131,18 +131,17 @@ def test_cut_running_totals_equal_one_window(spark, descending):
 def test_tier_majority_ties_and_fallback(spark):
     fit = spark.createDataFrame([(1, "broadcast"), (1, "single_agent"), (2, "none"), (2, "none"), (None, "none")], "difficulty_tier int, oracle_label string")
     model = heuristics.TierMajority().fit(fit)
-    assert model.global_majority == "none"
     out = model.transform(spark.createDataFrame([(1,), (2,), (9,), (None,)], "difficulty_tier int")).collect()
     assert [r["predicted_label"] for r in out] == ["single_agent", "none", "none", "none"]
 
 
-def test_unbounded_lookup_takes_the_join(spark, table, monkeypatch):
-    small = heuristics.BucketMajority(["difficulty_tier", "source"]).fit(table)
-    want = rows(small.transform(table).select("problem_uid", "predicted_label"))
-    monkeypatch.setattr(heuristics, "MAX_LOOKUP_ROWS", 2)
-    big = heuristics.BucketMajority(["difficulty_tier", "source"]).fit(table)
-    assert big.lookup is None
-    assert rows(big.transform(table).select("problem_uid", "predicted_label")) == want
+def test_a_fit_is_lazy_and_joined_in_one_plan(spark, table):
+    model = heuristics.BucketMajority(["difficulty_tier", "source"]).fit(table)
+    out = model.transform(table).select("problem_uid", "predicted_label")
+    plan = out._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and out.count() == table.count()
+    empty = heuristics.BucketMajority(["source"]).fit(table.where("1 = 0")).transform(table)
+    assert {r[0] for r in empty.select("predicted_label").distinct().collect()} == {"baseline_llm"}
 
 
 def test_group_holdout_keeps_groups_whole(table):

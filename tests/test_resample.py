@@ -1,4 +1,6 @@
 import numpy as np
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -30,11 +32,36 @@ def test_interval_brackets_the_point_and_has_the_right_width(table, mode):
     assert r["ci_high"] - r["ci_low"] == pytest.approx(width, rel=0.2)
 
 
-def test_multinomial_draws_exactly_n(table):
-    cells = rs.multinomial_cells(table, ["a", "b"], n=50)
-    assert {r[0] for r in cells.groupBy("replicate").agg(F.sum("w")).select("sum(w)").collect()} == {600}
-    fallback = rs.multinomial_cells(table, ["a", "b"], n=20, max_cells=2)
-    assert fallback.select("replicate").distinct().count() == 20
+@pytest.mark.parametrize("cell", [["a", "b"], ["problem_uid", "a"], []])
+def test_multinomial_draws_exactly_n(table, cell):
+    """Every replicate adds up to the rows, for four cells and for as many cells as rows (two levels of the tree)."""
+    cells = rs.multinomial_cells(table, cell, n=50)
+    totals = cells.groupBy("replicate").agg(F.sum("w").alias("n")).collect()
+    assert len(totals) == 50 and {r["n"] for r in totals} == {600}
+    assert rows(cells) == rows(rs.multinomial_cells(table.repartition(3), cell, n=50))
+
+
+def test_multinomial_agrees_with_the_counts(table):
+    cells = rs.multinomial_cells(table, ["problem_uid", "a"], n=400)
+    share = cells.groupBy("replicate").agg((F.sum(F.when(F.col("a"), F.col("w")).otherwise(0)) / F.sum("w")).alias("p"))
+    mean, spread = share.agg(F.avg("p"), F.stddev("p")).first()
+    p = table.where("a").count() / 600
+    assert mean == pytest.approx(p, abs=4 * math.sqrt(p * (1 - p) / 600 / 400)) and spread == pytest.approx(math.sqrt(p * (1 - p) / 600), rel=0.15)
+
+
+def test_cells_and_rows_give_like_bounds(table):
+    for fn, args in ((rs.bootstrap_ci, ("a", ["setting"])), (rs.paired_difference, ("a", "b", ["setting"]))):
+        x, y = fn(table, *args, mode="cells").first(), fn(table, *args, mode="rows").first()
+        width = y["ci_high"] - y["ci_low"]
+        assert x["point"] == y["point"] and abs(x["ci_low"] - y["ci_low"]) < 0.15 * width and abs(x["ci_high"] - y["ci_high"]) < 0.15 * width
+
+
+def test_numeric_arms_and_means(table):
+    scored = table.withColumns({"x": F.when(F.col("a"), 0.9).otherwise(0.2), "y": F.lit(0.5)})
+    got = rs.paired_difference(scored, "x", "y", ["setting"], n=200).first()
+    want = scored.agg(F.avg(F.col("x") - F.col("y"))).first()[0]
+    assert got["point"] == pytest.approx(want) and got["ci_low"] < want < got["ci_high"]
+    assert rs.mean_ci(scored, "x", ["setting"], n=50).first()["point"] == pytest.approx(want + 0.5)
 
 
 @pytest.mark.parametrize("mode", ["rows", "cells"])
@@ -71,16 +98,6 @@ def test_measures_need_row_weights(table):
         rs.weighted_cells(table, measures=["tokens"])
 
 
-def test_python_statistic_agrees_with_the_aggregate(table):
-    draws = rs.bootstrap_statistic(table, lambda f: float(np.average(f["a"].astype(float), weights=f["w"])), ["a"], n=20)
-    want = rs.weighted_cells(table, (), ["a"], n=20).where("replicate >= 0").groupBy("replicate").agg(
-        (F.sum(F.when(F.col("a"), F.col("w")).otherwise(0)) / F.sum("w")).alias("draw"))
-    got = {r["replicate"]: r["draw"] for r in draws.collect()}
-    assert all(abs(got[r["replicate"]] - r["draw"]) < 1e-12 for r in want.collect())
-    with pytest.raises(ValueError):
-        rs.bootstrap_statistic(table, len, ["problem_uid"], max_cells=100)
-
-
 def test_point_equals_the_plain_mean(table):
     for mode in ("rows", "cells"):
         r = rs.bootstrap_ci(table, "a", ["setting"], n=8, mode=mode).first()

@@ -34,13 +34,13 @@ def test_speaker_ties_deferred_and_proposals(spark):
 
 
 def test_votes(spark):
-    v = spark.createDataFrame([(1, 0, True, "a", 1), (1, 0, True, "b", 2), (1, 0, False, "b", 3), (1, 0, False, "a", 4), (2, 0, True, "", 1)],
+    v = spark.createDataFrame([(1, 0, True, "\\boxed{a}", 1), (1, 0, True, "so \\boxed{b}", 2), (1, 0, False, "\\boxed{b}", 3), (1, 0, False, "\\boxed{a}", 4), (2, 0, True, "", 1)],
                               "problem_id int, approval_round int, approve boolean, revised_answer string, seq int")
     una = {r["problem_id"]: r["approved"] for r in runlog.approval_vote(v).collect()}
     maj = {r["problem_id"]: r["approved"] for r in runlog.approval_vote(v, "majority").collect()}
     assert (una, maj) == ({1: False, 2: True}, {1: False, 2: True})
     pick = {p: {r["problem_id"]: r["candidate"] for r in runlog.choose_candidate(v, p).collect()} for p in ("majority_revision", "first_revision", "latest_revision")}
-    assert pick == {"majority_revision": {1: "a", 2: None}, "first_revision": {1: "a", 2: None}, "latest_revision": {1: "a", 2: None}}
+    assert pick == {p: {1: "\\boxed{a}", 2: None} for p in pick}
 
 
 def test_ledger_total_equals_roles(spark):
@@ -113,3 +113,29 @@ def test_artifact_split_keeps_reasons(spark):
     df = spark.createDataFrame([("As shown in the FIGURE, see figure 2",), ("plain",), (None,)], "t string")
     kept, out = filters.split_missing_artifact(df, "t")
     assert kept.count() == 2 and out.first()["reasons"] == ["as shown in the figure", "see figure"]
+
+
+def test_table_diff_counts_rows_and_names_missing_columns(spark):
+    from escalade.operators.joins import table_diff
+
+    one = spark.createDataFrame([("a", 1.0)], "k string, x double")
+    twice = spark.createDataFrame([("a", 1.0), ("a", 1.0)], "k string, x double")
+    assert rows(table_diff(twice, one, ["k"])) == [("a", "<row>", "2", "1")] and rows(table_diff(one, one, ["k"])) == []
+    assert rows(table_diff(one.where("1 = 0"), one, ["k"])) == [("a", "<row>", "0", "1")]
+    assert rows(table_diff(one.drop("x"), one.where("1 = 0"), ["k"])) == [("a", "<row>", "1", "0"), (None, "x", None, "<missing column>")]
+    assert rows(table_diff(one, one.withColumn("x", F.lit(1.5)), ["k"], 0.1)) == [("a", "x", "1.0", "1.5")]
+
+
+def test_unique_rows_may_hold_maps(spark):
+    from escalade.operators.joins import drop_ambiguous
+
+    table = spark.createDataFrame([("a", {"x": "1"}), ("b", {"x": "2"}), ("b", {"x": "3"})], "k string, metadata map<string,string>")
+    assert [r["metadata"] for r in drop_ambiguous(table, "k").collect()] == [{"x": "1"}]
+
+
+def test_revisions_without_a_box_do_not_count(spark):
+    from escalade.operators.runlog import choose_candidate
+
+    votes = spark.createDataFrame([(1, 1, 1, "x 3"), (1, 1, 2, "x 3"), (1, 1, 3, "so \\boxed{4}"), (2, 1, 1, "none")], "problem_id int, approval_round int, seq int, revised_answer string")
+    for policy in ("majority_revision", "latest_revision", "first_revision"):
+        assert rows(choose_candidate(votes, policy)) == [(1, 1, "\\boxed{4}"), (2, 1, None)]

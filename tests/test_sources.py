@@ -8,7 +8,7 @@ from escalade.dims import OUTCOME_COLUMNS, REQUIRED_COLUMNS, SETTINGS, setting_d
 from escalade.operators import features as ft
 from escalade.operators.leakage import LeakageError, assert_no_leakage, is_forbidden
 from escalade.operators.matched import MatchedTableError
-from escalade.session import bounded, new_folder, shared_dir
+from escalade.session import new_folder, shared_dir
 from escalade.sources import problems as pb
 from escalade.sources import tables as tb
 
@@ -118,6 +118,17 @@ def test_loader_names():
         pb.normalize_loader("parquet")
 
 
+def test_bad_lines_have_numbers(spark, tmp_path):
+    lines = ['{"question": "q", "answer": "a"}', "", "x" * 200, '{"question": "", "answer": "a"}', "  ", '{"question": "q"}']
+    (tmp_path / "p.jsonl").write_text("\n".join(lines) + "\n")
+    (tmp_path / "q.jsonl").write_text("bad\n")
+    _, bad = pb.read_problems(spark, str(tmp_path))
+    got = sorted((r["file"].rsplit("/", 1)[1], r["line_number"], r["reason"], r["line"]) for r in bad.collect())
+    assert got == [("p.jsonl", 3, "invalid_json", "x" * 200), ("p.jsonl", 4, "no_question", lines[3]), ("p.jsonl", 6, "no_answer", lines[5]), ("q.jsonl", 1, "invalid_json", "bad")]
+    with pytest.raises(pb.ProblemFileError, match="line 3"):
+        pb.load_problems(spark, str(tmp_path))
+
+
 def test_fingerprint_is_order_free_and_sensitive(spark):
     df = spark.createDataFrame([(str(i), f"q{i}", f"a{i}") for i in range(50)], "id string, input string, answer string")
     a = rows(pb.fingerprint(df))
@@ -128,7 +139,14 @@ def test_fingerprint_is_order_free_and_sensitive(spark):
 def test_shared_folder_follows_the_session(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
     assert new_folder(spark, "x").startswith(shared_dir(spark)) and new_folder(spark, "x") != new_folder(spark, "x")
-    assert bounded(spark.range(5), 4) is None and bounded(spark.range(5), 5).count() == 5
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: default), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_dir(session)
 
 
 @pytest.mark.parametrize("name", ["baseline_correct", " Oracle_Label ", "baseline_success", "verdict", "per_solved", "gold_x", "first_success_protocol", "y_true",
