@@ -11,8 +11,9 @@
    texts of similarity 0.8 share a bucket with a probability of 0.9998.
 4. In a bucket every node is paired with the least and the greatest node only,
    never with all others.  Pairs are verified by the weighted Jaccard similarity
-   of their whole texts.  Nodes that match neither end form the bucket anew,
-   until a round links nothing more.
+   of their whole texts: first each node with the least one of its buckets in the
+   first bands; what this joins counts as one in the buckets of all bands.  Nodes
+   that are still alone meet again in the smaller buckets that two bands make together.
 5. Links are joined to classes by their least doc_id.
 
 A hot bucket combines map-side into its two ends; texts are joined to pairs by
@@ -27,6 +28,7 @@ same result; a doc_id that stands on several texts joins their classes.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -43,6 +45,8 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS = 12
 ROWS = 3
+#: Bands that join most of a class before the others are looked at.
+FIRST_BANDS = 4
 #: Places of the hashed vocabulary (a power of two).
 VOCABULARY = 1 << 18
 _SHIFT = np.uint64(64 - 18)
@@ -133,8 +137,10 @@ def _bands(idf, bands: int, rows: int):
             for chunk in arrays.chunks(batch.column("text")):
                 keys = band_keys(chunk, table, bands, rows).view(np.int64)
                 has = np.flatnonzero(keys.any(axis=1))
+                places = chunk.offsets.tolist()
+                digests = [hashlib.blake2b(chunk.data[places[k]:places[k + 1]].tobytes(), digest_size=16).digest() for k in has.tolist()]
                 yield pa.RecordBatch.from_pydict({
-                    "node": batch.column("node").slice(chunk.first, chunk.last - chunk.first).take(pa.array(has)),
+                    "id": batch.column("id").slice(chunk.first, chunk.last - chunk.first).take(pa.array(has)), "digest": pa.array(digests, pa.binary()),
                     "bands": pa.FixedSizeListArray.from_arrays(pa.array(keys[has].ravel()), bands).cast(pa.list_(pa.int64())),
                 })
 
@@ -168,57 +174,72 @@ def _verify(idf, threshold: float):
     return run
 
 
+def _ends(members: DataFrame) -> DataFrame:
+    """Buckets of several nodes: (bucket, node, low, high)."""
+    ends = members.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
+    return members.join(ends, "bucket")
+
+
+def _pairs(paired: DataFrame) -> DataFrame:
+    """Each node with both ends of its buckets, as (a, b) with a < b."""
+    each = paired.select("node", F.explode(F.array("low", "high")).alias("end")).where("node <> end")
+    return each.select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b")).distinct()
+
+
 def near_links(docs: DataFrame, key: str = "doc_id", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
     """(key, node) of every document with words, and the verified links (a, b, similarity) between nodes."""
     spark = docs.sparkSession
-    texts = docs.where(F.col(key).isNotNull() & F.col("text").isNotNull()).select(key, "text")
+    texts = docs.where(F.col(key).isNotNull() & F.col("text").isNotNull()).select(F.col(key).alias("id"), "text")
     idf = spark.sparkContext.broadcast(inverse_frequencies(texts))
     kind = docs.schema[key].dataType.simpleString()
-    copies = texts.select(key, F.unhex(F.sha2("text", 256)).alias("digest"))
-    nodes = copies.groupBy("digest").agg(F.min(key).alias("node"))
-    signed = settle(texts.withColumnRenamed(key, "node").mapInArrow(_bands(idf, bands, rows), f"node {kind}, bands array<long>"), "bands")
-    worded = signed.select(F.col("node").alias(key)).distinct()
-    membership = settle(copies.join(nodes, "digest").select(key, "node").distinct().join(worded, key, "left_semi"), "nodes")
-    # A node's own row stands for its copies; the bands of a doc_id with several texts are all its node's.
-    members = signed.join(membership.select("node").distinct(), "node", "left_semi").select("node", F.explode("bands").alias("bucket")).distinct()
-    ends = members.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
-    members = settle(members.join(ends.select("bucket"), "bucket"), "buckets")
-    pool = settle(texts.join(members.select(F.col("node").alias(key)).distinct(), key, "left_semi").distinct(), "pool")
-    links = []
-    while True:
-        ends = members.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
-        paired = members.join(ends, "bucket")
-        pairs = paired.select(F.col("node").alias("a"), F.explode(F.array("low", "high")).alias("b")).where("a <> b")
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        sides = pairs.join(pool.select(F.col(key).alias("a"), F.col("text").alias("text_a")), "a")
-        sides = sides.join(pool.select(F.col(key).alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
-        judged = settle(sides.mapInArrow(_verify(idf, threshold), f"a {kind}, b {kind}, similarity double, linked boolean"), "judged")
-        found = judged.where("linked").select("a", "b", "similarity")
-        if found.isEmpty():
-            break
-        links.append(found)
-        ended = paired.where("node <> low AND node <> high").withColumns({
-            "p": F.struct(F.least("node", "low").alias("a"), F.greatest("node", "low").alias("b")),
-            "q": F.struct(F.least("node", "high").alias("a"), F.greatest("node", "high").alias("b")),
-        })
-        pair = found.select(F.struct("a", "b").alias("pair"))
-        ended = ended.join(pair, ended["p"] == pair["pair"], "left_anti").join(pair, ended["q"] == pair["pair"], "left_anti")
-        members = settle(ended.select("node", "bucket"), "buckets")
-    out = links[0] if links else judged.where("linked").select("a", "b", "similarity")
-    for more in links[1:]:
-        out = out.unionByName(more)
-    return membership, out
+    signed = settle(texts.mapInArrow(_bands(idf, bands, rows), f"id {kind}, digest binary, bands array<long>"), "bands")
+    nodes = signed.groupBy("digest").agg(F.min("id").alias("node"), F.any_value("bands").alias("bands"))
+    membership = signed.select("id", "digest").join(nodes.select("digest", "node"), "digest").select(F.col("id").alias(key), "node")
+
+    def judge(pairs: DataFrame, source: DataFrame, name: str) -> DataFrame:
+        sides = pairs.join(source.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+        sides = sides.join(source.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+        judged = sides.mapInArrow(_verify(idf, threshold), f"a {kind}, b {kind}, similarity double, linked boolean")
+        return settle(judged.where("linked").select("a", "b", "similarity"), name)
+
+    def pool(pairs: DataFrame) -> DataFrame:
+        return settle(texts.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi"), "pool")
+
+    # First each node with the least one that it meets in the first bands, which joins most of a class.
+    early = _ends(nodes.select("node", F.explode(F.slice("bands", 1, FIRST_BANDS)).alias("bucket")).distinct())
+    least = settle(early.where("node > low").groupBy(F.col("node").alias("b")).agg(F.min("low").alias("a")), "pairs")
+    first = judge(least, pool(least), "links")
+    label = first.select(F.col("b").alias("node"), F.col("a").alias("label"))
+    further = first.select(F.col("b").alias("label"), F.col("a").alias("next"))
+    label = label.join(further, "label", "left").select("node", F.coalesce("next", "label").alias("label"))
+    # Then, in all bands, the least node of every label: what hangs on one label is joined already.
+    named = nodes.join(label, "node", "left").select("node", F.coalesce("label", "node").alias("label"), F.explode("bands").alias("bucket"))
+    paired = settle(_ends(named.groupBy("bucket", "label").agg(F.min("node").alias("node")).select("bucket", "node")), "buckets")
+    pairs = settle(_pairs(paired).join(least, ["a", "b"], "left_anti"), "pairs")
+    held = pool(pairs)
+    second = judge(pairs, held, "links")
+    links = first.unionByName(second)
+    # Nodes that neither has linked meet those of their buckets anew, in the smaller buckets that two bands make together.
+    linked = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    alone = paired.select("node").distinct().join(linked, "node", "left_anti")
+    near = paired.join(paired.join(alone, "node", "left_semi").select("bucket").distinct(), "bucket", "left_semi")
+    twice = near.groupBy("node").agg(F.array_sort(F.collect_set("bucket")).alias("own"))
+    two = F.flatten(F.transform("own", lambda x, i: F.transform(F.slice("own", i + 2, bands), lambda y: F.xxhash64(x, y))))
+    tight = _ends(twice.select("node", F.explode(two).alias("bucket")))
+    third = _pairs(tight.join(alone, "node", "left_semi")).join(pairs.unionByName(least), ["a", "b"], "left_anti")
+    return membership, links.unionByName(judge(third, held, "links"))
 
 
 def near_classes(docs: DataFrame, key: str = "doc_id", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Adds ``class_id`` and ``kept`` to the documents: each class keeps its least document."""
+    """Adds ``class_id`` and ``kept`` to the documents: each class keeps its least document.  Columns of these names are replaced."""
+    docs = docs.drop("class_id", "kept")
     membership, links = near_links(docs, key, threshold, bands, rows)
     # A doc_id with several texts hangs its nodes together, as each is linked with it.
     own = membership.where(F.col(key) != F.col("node")).select(F.col(key).alias("a"), F.col("node").alias("b"))
-    classes = components(links.select("a", "b").unionByName(own)).select(F.col("node").alias("__node"), "component")
+    classes = components(links.select("a", "b").unionByName(own)).select(F.col("node").alias("__node"), F.col("component").alias("__component"))
     joined = docs.join(classes, docs[key] == classes["__node"], "left")
-    class_id = F.coalesce("component", key)
-    return joined.select(*[docs[c] for c in docs.columns], class_id.alias("class_id"), (F.col(key).eqNullSafe(class_id)).alias("kept"))
+    class_id = F.coalesce(F.col("__component"), docs[key])
+    return joined.select(*[docs[c] for c in docs.columns], class_id.alias("class_id"), docs[key].eqNullSafe(class_id).alias("kept"))
 
 
 def op9_weighted_minhash(spark, sf_dir: str) -> DataFrame:
