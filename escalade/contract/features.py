@@ -121,14 +121,16 @@ def project(spark, sf):
 
 
 @query("forbidden_columns", with_(*BASE) + """
-SELECT c AS "column", n FROM (SELECT unnest(['baseline_correct', 'single_correct', 'per_correct', 'broadcast_correct', 'oracle_label']) AS c,
-  (SELECT count(*) FROM lab) AS n)""")
+SELECT c AS "column", n FROM (SELECT unnest(['baseline_correct', 'single_correct', 'per_correct', 'broadcast_correct', 'oracle_label',
+  'x_final_passed', 'router_score', 'Gold_Answer', 'is_wrong', 'oracle', 'first_success_protocol', ' Verdict ']) AS c, (SELECT count(*) FROM lab) AS n)""")
 def forbidden_columns(spark, sf):
     """The guard's verdict on a labelled table: cells that may not become features."""
-    m = b.labelled(spark, sf)
+    # One name of every family beside the table's own, and three that only look like one.
+    offered = ["x_final_passed", "router_score", "Gold_Answer", "is_wrong", "oracle", "first_success_protocol", " Verdict ", "goldfish", "scored", "is_correctly"]
+    m = b.labelled(spark, sf).withColumns({c: F.lit(1) for c in offered})
     bad = [c for c in m.columns if is_forbidden(c)]
-    counts = m.agg(*[F.count(c).alias(c) for c in bad])
-    return counts.unpivot([], bad, "column", "n")
+    counts = m.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in bad])
+    return counts.unpivot([], [F.col(f"`{c}`") for c in bad], "column", "n")
 
 
 def _featurized(spark, sf, spec):
@@ -138,30 +140,45 @@ def _featurized(spark, sf, spec):
 
 
 def _vector(df):
+    """The width, and the places and values of all entries that are not 0."""
     values = vector_to_array("features")
-    return df.select("problem_uid", F.size(values).alias("width"),
-                     F.size(F.filter(values, lambda v: v != 0)).alias("active"))
+    spelled = F.transform(values, lambda v, i: F.when(v != 0, F.concat(i.cast("string"), F.lit(":"), F.format_string("%.6f", v))))
+    return df.select("problem_uid", F.size(values).alias("width"), F.array_join(F.array_compact(spelled), " ").alias("entries"))
 
 
 FIT = (*BASE, split_sql(0.8, 0.1, 42), "fit AS (SELECT * FROM sp WHERE split IN ('train', 'dev'))", "test AS (SELECT * FROM sp WHERE split = 'test')")
+# Sources in alphabetic order; labels by how many rows have them, ties by name.
+PLACES = """src AS (SELECT source, row_number() OVER (ORDER BY source) - 1 AS pos FROM (SELECT DISTINCT source FROM fit))"""
 
 
-@query("one_hot", with_(*FIT) + """
-SELECT problem_uid, CAST((SELECT count(DISTINCT source) FROM fit) AS INTEGER) AS width,
-  CAST(CASE WHEN source IN (SELECT source FROM fit) THEN 1 ELSE 0 END AS INTEGER) AS active FROM test""")
+@query("one_hot", with_(*FIT, PLACES) + """
+SELECT problem_uid, CAST((SELECT count(*) FROM src) AS INTEGER) AS width,
+  coalesce(CAST(pos AS VARCHAR) || ':1.000000', '') AS entries FROM test LEFT JOIN src ON src.source = test.source""")
 def one_hot(spark, sf):
     return _vector(_featurized(spark, sf, ft.FeatureSpec(text=None, multilabel=(), numeric=())))
 
 
-@query("multi_hot", with_(*FIT) + """, known AS (
-  SELECT lower(setting) AS lab FROM fit UNION SELECT problem FROM fit)
-SELECT problem_uid, CAST((SELECT count(*) FROM known) AS INTEGER) AS width,
-  CAST(CASE WHEN lower(setting) IN (SELECT lab FROM known) THEN 1 ELSE 0 END
-     + CASE WHEN problem IN (SELECT lab FROM known) AND problem <> lower(setting) THEN 1 ELSE 0 END AS INTEGER) AS active FROM test""")
+LISTED = """fl AS (SELECT problem_uid, unnest([lower(setting), problem]) AS lab FROM fit),
+known AS (SELECT lab, row_number() OVER (ORDER BY count(DISTINCT problem_uid) DESC, lab) - 1 AS pos FROM fl GROUP BY lab)"""
+
+
+@query("multi_hot", with_(*FIT, LISTED) + """, tl AS (SELECT DISTINCT problem_uid, unnest([lower(setting), problem]) AS lab FROM test)
+SELECT test.problem_uid, CAST((SELECT count(*) FROM known) AS INTEGER) AS width,
+  coalesce(string_agg(CAST(pos AS VARCHAR) || ':1.000000', ' ' ORDER BY pos), '') AS entries
+FROM test JOIN tl ON tl.problem_uid = test.problem_uid LEFT JOIN known ON known.lab = tl.lab GROUP BY test.problem_uid""")
 def multi_hot(spark, sf):
     return _vector(_featurized(spark, sf, ft.FeatureSpec(text=None, categorical=(), numeric=())))
 
 
-@query("assemble")
+@query("assemble", with_(*FIT, PLACES, LISTED) + """, tl AS (SELECT DISTINCT problem_uid, unnest([lower(setting), problem]) AS lab FROM test),
+e AS (
+  SELECT problem_uid, pos, '1.000000' AS v FROM test JOIN src ON src.source = test.source
+  UNION ALL SELECT problem_uid, (SELECT count(*) FROM src) + pos, '1.000000' FROM tl JOIN known ON known.lab = tl.lab
+  UNION ALL SELECT problem_uid, (SELECT count(*) FROM src) + (SELECT count(*) FROM known), printf('%.6f', difficulty / (SELECT stddev_pop(difficulty) FROM fit)) FROM test
+  UNION ALL SELECT problem_uid, (SELECT count(*) FROM src) + (SELECT count(*) FROM known) + 1,
+    printf('%.6f', difficulty_tier / (SELECT stddev_pop(difficulty_tier) FROM fit)) FROM test)
+SELECT problem_uid, CAST((SELECT count(*) FROM src) + (SELECT count(*) FROM known) + 2 AS INTEGER) AS width,
+  string_agg(CAST(pos AS VARCHAR) || ':' || v, ' ' ORDER BY pos) AS entries FROM e GROUP BY problem_uid""")
 def assemble(spark, sf):
-    return _vector(_featurized(spark, sf, ft.TEXT_METADATA))
+    """All kinds but text, whose weights the TF-IDF queries compare."""
+    return _vector(_featurized(spark, sf, ft.METADATA_ONLY))

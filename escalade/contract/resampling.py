@@ -133,14 +133,20 @@ ARMS = (*BASE, split_sql(0.7, 0.15, 20260712), FITROWS, majority_sql("fit", "dif
 
 @query("router_delta_ci", with_(*ARMS, weights_sql("pairs")) + paired_sql("setting, pair", "pairs", "arm_a", "arm_b"))
 def router_delta_ci(spark, sf):
+    return rounded(rs.router_delta_ci(_arms(spark, sf), ROUTER_PAIRS, **ROWS), "ci_low", "ci_high")
+
+
+ROUTER_PAIRS = {"router_minus_tier_majority": ("router_ok", "tier_ok"), "router_minus_baseline": ("router_ok", "baseline_correct")}
+
+
+def _arms(spark, sf):
+    """Test rows with the outcomes of two routers."""
     from ..functions.outcomes import canonical_protocol
 
     rows = stratified_split(b.labelled(spark, sf), SplitConfig.six_setting())
     model = TierMajority().fit(refit_rows(rows))
     test = model.transform(rows.where("split = 'test'"), "tier_label").withColumn("router_label", canonical_protocol(b.hash_prediction()))
-    arms = test.withColumn("tier_ok", _routed("tier_label")).withColumn("router_ok", _routed("router_label"))
-    pairs = {"router_minus_tier_majority": ("router_ok", "tier_ok"), "router_minus_baseline": ("router_ok", "baseline_correct")}
-    return rounded(rs.router_delta_ci(arms, pairs, **ROWS), "ci_low", "ci_high")
+    return test.withColumn("tier_ok", _routed("tier_label")).withColumn("router_ok", _routed("router_label"))
 
 
 P, G = rank_sql("predicted_label"), rank_sql("oracle_label")
@@ -204,6 +210,18 @@ def routing_ci_cells(spark, sf):
     return bracketed(rs.routing_ci(b.replayed(spark, sf), n=B)).drop("brackets")
 
 
+@query("interaction_ci_cells", with_(*BASE, BOTH) + f"""
+SELECT setting, count(*) AS n, round(CAST(100 AS DOUBLE) * ({rat(f"{cnt('broadcast_correct')} - {cnt('per_correct')}", 'count(*)')}), 9) AS point FROM bf GROUP BY setting""")
+def interaction_ci_cells(spark, sf):
+    return bracketed(rs.interaction_ci(b.labelled(spark, sf), n=B)).drop("brackets")
+
+
+@query("router_delta_ci_cells", with_(*ARMS) + f"""
+SELECT setting, pair, count(*) AS n, round(CAST(100 AS DOUBLE) * ({rat(f"{cnt('arm_a')} - {cnt('arm_b')}", 'count(*)')}), 9) AS point FROM pairs GROUP BY setting, pair""")
+def router_delta_ci_cells(spark, sf):
+    return bracketed(rs.router_delta_ci(_arms(spark, sf), ROUTER_PAIRS, n=B)).drop("brackets")
+
+
 @query("multinomial_cells", with_(*BASE) + f"""
 SELECT count(*) AS n, CAST({B} AS BIGINT) AS replicates, round({rat(cnt('broadcast_correct'), 'count(*)')}, 9) AS point, TRUE AS brackets FROM lab""")
 def multinomial(spark, sf):

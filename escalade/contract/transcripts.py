@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import boxed, final_answer
+from ..functions.text import AGREE, EXECUTOR_MARKERS, PLACEHOLDERS, ROUTE_NAMES, SUBMISSION_PHRASE, boxed, final_answer
 from ..operators import runlog, transcripts as tr
 from . import bindings as b
 from .base import cnt, query, rat, with_
@@ -109,14 +109,14 @@ REVIEW_TAILS = (
 )
 # A tilde stands for the line break inside a tail.
 TAILS_SQL = "[" + ", ".join("'" + t.replace("\n", "~") + "'" for t in REVIEW_TAILS) + "]"
-MARKER_SQL = " OR ".join(f"contains(both_, '{w}')" for w in (
-    "boxed answer", "boxed", "format", "latex", "markup", "unit", "token", "raw numeric", "presentation", "output", "missing"))
+MARKER_SQL = " OR ".join(f"contains(both_, '{w}')" for w in EXECUTOR_MARKERS)
+ROUTES_SQL = f"'(?i)\\[({AGREE}|Route:\\s*(?:{'|'.join(ROUTE_NAMES)}))\\]'"
 REVIEWS = f"""rv AS (
   SELECT concat('s', CAST(conv_id % 3 AS VARCHAR)) AS setting, conv_id, turn, turn % 3 = 2 AS eval_failed,
     CASE WHEN turn % 2 = 0 THEN 'check the unit' ELSE 'think again' END AS advice,
     concat(text, chr(10), ({TAILS_SQL})[(conv_id + turn) % 8 + 1]) AS review_text FROM conversations),
 rt AS (SELECT *, lower(concat(advice, chr(10), replace(review_text, '~', chr(10)))) AS both_,
-    lower(coalesce(regexp_extract_all(review_text, '(?i)\\[(Agree|Route:\\s*(?:Planner|Executor|Evaluate|Evaluator))\\]', 1)[-1], '')) AS tag FROM rv),
+    lower(coalesce(regexp_extract_all(review_text, {ROUTES_SQL}, 1)[-1], '')) AS tag FROM rv),
 rr AS (SELECT *, CASE WHEN tag LIKE '%planner' THEN 'planner' WHEN tag LIKE '%executor' THEN 'executor'
     WHEN eval_failed THEN CASE WHEN {MARKER_SQL} THEN 'executor' ELSE 'planner' END
     WHEN tag = 'agree' THEN 'agree' WHEN tag LIKE '%evaluat%' THEN 'evaluate' ELSE 'executor' END AS route FROM rt)"""
@@ -149,9 +149,10 @@ POLL_TEXT = (
     ("score: ", None, ", candidate answer: \\boxed{9}"),
     ('{"score": "', None, '", "intent": "none"}'),
     ('{"intent": "', None, '", "reason": null}'),
+    ("```json\n{}\n``` score: ", None),
 )
-POLLS_SQL = f"""pt AS (SELECT *, {texts_sql('event_id % 6', POLL_TEXT)} AS t FROM ev),
-pj AS (SELECT *, CASE WHEN json_valid(t) THEN t WHEN contains(t, '```') THEN trim(regexp_extract(t, '(?s)```json\\s*(.+?)```', 1), chr(10))
+POLLS_SQL = f"""pt AS (SELECT *, {texts_sql('event_id % 7', POLL_TEXT)} AS t FROM ev),
+pj AS (SELECT *, CASE WHEN contains(t, '{{}}') THEN NULL WHEN json_valid(t) THEN t WHEN contains(t, '```') THEN trim(regexp_extract(t, '(?s)```json\\s*(.+?)```', 1), chr(10))
     WHEN contains(t, '{{"') THEN regexp_extract(t, '(\\{{.*\\}})', 1) END AS body FROM pt),
 pp AS (SELECT *, greatest(1, least(100, coalesce(CASE WHEN body IS NOT NULL AND json_extract_string(body, '$.score') IS NOT NULL
       THEN TRY_CAST(json_extract_string(body, '$.score') AS INTEGER)
@@ -163,7 +164,7 @@ pl AS (SELECT *, CASE WHEN named <> '' THEN named ELSE regexp_extract(CASE WHEN
 
 
 def _poll_texts(spark, sf):
-    return _events(spark, sf).withColumn("text", texts_spark(F.col("event_id") % 6, POLL_TEXT))
+    return _events(spark, sf).withColumn("text", texts_spark(F.col("event_id") % 7, POLL_TEXT))
 
 
 @query("poll_rounds", with_(EV, POLLS_SQL) + f"""
@@ -185,11 +186,12 @@ VOTE_TEXT = (
     ("approve = yes; revised answer: \\boxed{", None, "}"),
     ("I reject ", None),
     ('{"approve": 0, "revised_answer": "no box ', None, '"}'),
+    ("```json\n{}\n```\napprove: yes ", None),
 )
-VOTES_SQL = f"""vt AS (SELECT *, {texts_sql('event_id % 6', VOTE_TEXT)} AS t FROM ev),
-vj AS (SELECT *, CASE WHEN json_valid(t) THEN t END AS body FROM vt),
+VOTES_SQL = f"""vt AS (SELECT *, {texts_sql('event_id % 7', VOTE_TEXT)} AS t FROM ev),
+vj AS (SELECT *, CASE WHEN json_valid(t) AND NOT contains(t, '{{}}') THEN t END AS body FROM vt),
 vp AS (SELECT *, CASE WHEN body IS NULL THEN lower(regexp_extract(t, '(?i)"?approve"?\\s*[:=]\\s*(true|false|yes|no)', 1)) IN ('true', 'yes')
-      ELSE coalesce(lower(json_extract_string(body, '$.approve')), '') IN ('true', 'yes', 'y', '1', 'approve', 'approved') END AS approve,
+      ELSE coalesce(lower(json_extract_string(body, '$.approve')), '') IN {tr.YES} END AS approve,
     regexp_extract(CASE WHEN body IS NULL THEN CASE WHEN contains(t, 'revised answer') THEN t ELSE '' END ELSE coalesce(json_extract_string(body, '$.revised_answer'), '') END,
       '(\\\\boxed\\{{[^{{}}]+\\}})', 1) AS revised FROM vj)"""
 
@@ -198,7 +200,7 @@ vp AS (SELECT *, CASE WHEN body IS NULL THEN lower(regexp_extract(t, '(?i)"?appr
 SELECT setting, event_id % 3 AS approval_round, count(*) AS n_votes, {cnt('approve')} AS n_approve, {cnt("revised <> ''")} AS n_revised,
   count(body) AS n_parsed, {rat('count(body)', 'count(*)')} AS parse_rate FROM vp GROUP BY 1, 2""")
 def approval_rounds(spark, sf):
-    rows = _events(spark, sf).withColumn("text", texts_spark(F.col("event_id") % 6, VOTE_TEXT)).withColumn(
+    rows = _events(spark, sf).withColumn("text", texts_spark(F.col("event_id") % 7, VOTE_TEXT)).withColumn(
         "approval_round", F.col("event_id") % 3
     )
     return tr.approval_rounds(rows)
@@ -209,16 +211,19 @@ def approval_rounds(spark, sf):
 NOTE_TAILS = ("", "\nFinal Answer For Evaluator: \\boxed{5}\n[Agree] ok", " [Route:Planner] go", "\nFinal Answer For Evaluator: all of this")
 NOTE_SQL = "(['', '~Final Answer For Evaluator: \\boxed{5}~[Agree] ok', ' [Route:Planner] go', '~Final Answer For Evaluator: all of this'])[(conv_id + turn) % 4 + 1]"
 SQUEEZE = r"trim(regexp_replace({0}, '[\s\p{{Z}}\x1c-\x1f\x85]+', ' ', 'g'))"
+ENDS_SQL = rf"(\n\[(?:Route:{ROUTE_NAMES[0]}|Route:{ROUTE_NAMES[1]}|{AGREE})\]|\z)"
+SUBMISSION_SQL = rf"'(?is){SUBMISSION_PHRASE}:\s*.*?{ENDS_SQL}'"
+TAG_SQL = r"'\[(?:" + "|".join([*(f"Route:{x}" for x in ROUTE_NAMES), AGREE]) + r")\]'"
 NOTES = rf"""nt AS (SELECT conv_id, turn, replace(concat(CASE WHEN turn % 4 = 3 THEN 'n/a' ELSE text END, {NOTE_SQL}), '~', chr(10)) AS content FROM conversations),
-nc AS (SELECT *, {SQUEEZE.format(r"regexp_replace(regexp_replace(content, '(?is)Final Answer For Evaluator:\s*.*?(\n\[(?:Route:Planner|Route:Executor|Agree)\]|\z)', '\1', 'g'), '\[(?:Route:Planner|Route:Executor|Route:Evaluator|Route:Evaluate|Agree)\]', '', 'g')")} AS clean,
+nc AS (SELECT *, {SQUEEZE.format(rf"regexp_replace(regexp_replace(content, {SUBMISSION_SQL}, '\1', 'g'), {TAG_SQL}, '', 'g')")} AS clean,
   {SQUEEZE.format("content")} AS plain FROM nt)"""
 
 
-@query("trail_text", with_(NOTES) + """
+@query("trail_text", (with_(NOTES) + """
 SELECT conv_id, turn, CASE WHEN length(clean) <= 80 THEN clean ELSE concat(rtrim(substr(clean, 1, 77)), '...') END AS note,
-  length(plain) >= 3 AND lower(plain) NOT IN ('[none]', 'none', 'n/a', 'na', 'null', '[empty]', '-') AS meaningful,
+  length(plain) >= 3 AND lower(plain) NOT IN PLACEHOLDER_LIST AS meaningful,
   CASE WHEN contains(content, '\\boxed{5}') THEN '\\boxed{5}' WHEN clean = '' THEN '[No candidate answer]'
-    WHEN length(clean) <= 240 THEN clean ELSE concat(rtrim(substr(clean, 1, 237)), '...') END AS candidate FROM nc""")
+    WHEN length(clean) <= 240 THEN clean ELSE concat(rtrim(substr(clean, 1, 237)), '...') END AS candidate FROM nc""").replace("PLACEHOLDER_LIST", str(PLACEHOLDERS)))
 def trail_text(spark, sf):
     tail = F.get(F.array(*[F.lit(t) for t in NOTE_TAILS]), ((F.col("conv_id") + F.col("turn")) % 4).cast("int"))
     base = F.when(F.col("turn") % 4 == 3, F.lit("n/a")).otherwise(F.col("text"))

@@ -7,7 +7,6 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import (
-    CountVectorizer,
     CountVectorizerModel,
     ElementwiseProduct,
     Normalizer,
@@ -160,7 +159,12 @@ class Featurizer:
                        OneHotEncoder(inputCol=f"_ix_{c}", outputCol=f"_hot_{c}", dropLast=True)]
             self.parts.append(f"_hot_{c}")
         for c in s.multilabel:
-            stages.append(CountVectorizer(inputCol=f"_list_{c}", outputCol=f"_multi_{c}", binary=True, minDF=1.0, vocabSize=(1 << 31) - 1))
+            # All labels, those of most rows first and ties by name, so that places do not depend on the run.
+            labels = prepared.select(F.explode(F.array_distinct(f"_list_{c}")).alias("label")).groupBy("label").count()
+            known = [r["label"] for r in labels.orderBy(F.desc("count"), "label").collect()]
+            if not known:
+                continue
+            stages.append(CountVectorizerModel.from_vocabulary(known, inputCol=f"_list_{c}", outputCol=f"_multi_{c}", minTF=1.0, binary=True))
             self.parts.append(f"_multi_{c}")
         numbers = [f"{c}_num" for c in s.numeric]
         stages.append(VectorAssembler(inputCols=self.parts + numbers, outputCol="features", handleInvalid="keep"))
