@@ -84,6 +84,20 @@ def range_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
     return mix((prefix[end] - prefix[start]) * inverse[start] + (end - start).astype(np.uint64))
 
 
+def equal_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether data[a:a + size] equals data[b:b + size], for arrays of places."""
+    out = np.ones(len(a), dtype=bool)
+    # A few thousand ranges at a time, as every byte takes several numbers here.
+    for begin in range(0, len(a), 1 << 14):
+        s = slice(begin, begin + (1 << 14))
+        own = size[s]
+        row = np.repeat(np.arange(len(own)), own)
+        step = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
+        differ = data[a[s][row] + step] != data[b[s][row] + step]
+        out[s] = np.bincount(row[differ], minlength=len(own)) == 0
+    return out
+
+
 def _word_table() -> np.ndarray:
     table = np.zeros(256, dtype=bool)
     for a, b in ((48, 58), (65, 91), (97, 123), (128, 256)):

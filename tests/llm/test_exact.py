@@ -109,6 +109,7 @@ def test_bpe_is_the_library(spark, docs):
             ids = tokenizer.encode(r.text or "", add_special_tokens=False).ids
             want[r.doc_id, tuple(ids), tokenizer.decode(ids, skip_special_tokens=False)] += 1
         assert got == want
+        assert Counter((r.doc_id, tuple(r.ids), r.text) for r in word_bpe.encode(table, PATH, decoded=True).collect()) == want
     assert word_bpe.encode(empty_documents(spark), PATH).count() == 0
 
 
