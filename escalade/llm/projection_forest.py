@@ -25,6 +25,7 @@ a null vec_id links with nothing (component null, kept).
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,6 +59,29 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return body.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
+def _unit_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Unit vectors of the rows that have one, and a digest of their direction."""
+    for batch in batches:
+        x = batch.column("x")
+        length = x.value_lengths().to_numpy()
+        filled = np.flatnonzero(length > 0)
+        values, row = x.flatten().fill_null(np.nan).to_numpy(zero_copy_only=False).astype(float), np.repeat(np.arange(len(filled)), length[filled])
+        starts = np.cumsum(length[filled]) - length[filled]
+        # Scaled by the greatest component before squaring, so that no square overflows or vanishes.
+        most = np.maximum.reduceat(np.abs(values), starts) if len(filled) else np.zeros(0)
+        sound = np.isfinite(most) & (most > 0)
+        keep = sound[row]
+        row, values = (np.cumsum(sound) - 1)[row[keep]], values[keep] / most[row[keep]]
+        values /= np.sqrt(np.bincount(row, weights=values * values))[row]
+        ends = np.concatenate([[0], np.cumsum(length[filled][sound])])
+        steps = (np.rint(values * DIRECTIONS).astype(np.int64) + 0).astype("<i8")
+        digests = [hashlib.blake2b(steps[a:b].tobytes(), digest_size=16).digest() for a, b in zip(ends[:-1], ends[1:])]
+        yield pa.RecordBatch.from_pydict({
+            "id": batch.column("id").take(pa.array(filled[sound])), "point": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values)),
+            "direction": pa.array(digests, pa.binary()),
+        })
+
+
 def _projected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each point's value along its node's direction."""
     for batch in batches:
@@ -144,16 +168,9 @@ def near_vectors(
     task_points: int = TASK_POINTS, leaf: int = LEAF_POINTS,
 ) -> DataFrame:
     """(key, n_links, component_id, kept) of every row."""
-    sound = F.coalesce(
-        (F.size(column) > 0) & F.forall(column, lambda x: F.coalesce((F.abs(x) < float("inf")) & ~F.isnan(x), F.lit(False))) & F.exists(column, lambda x: x != 0),
-        F.lit(False),
-    )
-    # Scaled by the greatest component before squaring, so that no square overflows or vanishes.
-    usable = vectors.where(F.col(key).isNotNull() & sound).select(F.col(key).alias("id"), F.transform(column, lambda x: x.cast("double")).alias("x"))
-    usable = usable.withColumn("most", F.array_max(F.transform("x", F.abs))).select("id", F.transform("x", lambda x: x / F.col("most")).alias("x"))
-    usable = usable.withColumn("norm", F.sqrt(F.aggregate("x", F.lit(0.0), lambda t, x: t + x * x)))
-    usable = usable.select("id", F.transform("x", lambda x: x / F.col("norm")).alias("point"))
-    usable = usable.select("id", "point", F.transform("point", lambda x: F.round(x * DIRECTIONS).cast("long")).alias("direction"))
+    kind = vectors.schema[key].dataType.simpleString()
+    named = vectors.where(F.col(key).isNotNull() & F.col(column).isNotNull()).select(F.col(key).alias("id"), F.col(column).cast("array<double>").alias("x"))
+    usable = settle(named.mapInArrow(_unit_vectors, f"id {kind}, point array<double>, direction binary"), "units")
     nodes = usable.groupBy("direction").agg(F.min("id").alias("node"), F.min_by("point", "id").alias("point"), F.count_distinct("id").alias("copies"))
     nodes = settle(nodes, "points")
     own = settle(usable.join(nodes, "direction").select("id", "node", "copies").distinct(), "copies")
