@@ -45,13 +45,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from escalade.llm import arrays
-from escalade.llm.arrays import BASE, Chunk, mix, powers, prefix_hash
+from escalade.llm.arrays import BASE, Chunk, equal_bytes, mix, powers, prefix_hash
 from escalade.llm.frames import read
 
 LENGTH = 50
 GRAM = 25
 #: Text of a block, on average.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: Documents that share an anchor from which on its strings are sent by their own hashes.
 COMMON = 256
 #: Bytes of an anchor's hash that are sent, besides its part.
@@ -205,19 +205,6 @@ def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
     return ((keys >> np.uint64(8 * HASH_BYTES)) % np.uint64(parts)).astype(np.int64)
 
 
-def equal_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Whether data[a:a + size] equals data[b:b + size], for arrays of places."""
-    out = np.ones(len(a), dtype=bool)
-    for begin in range(0, len(a), 1 << 17):
-        s = slice(begin, begin + (1 << 17))
-        own = size[s]
-        row = np.repeat(np.arange(len(own)), own)
-        step = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
-        differ = data[a[s][row] + step] != data[b[s][row] + step]
-        out[s] = np.bincount(row[differ], minlength=len(own)) == 0
-    return out
-
-
 def distinct_segments(data, start, size, left, key, content, ids) -> Segments:
     """Segments of equal bytes as one; equal hashes are verified, and a segment that only looks equal stays apart."""
     order = np.lexsort((start, left, content, key))
@@ -316,8 +303,10 @@ class SuffixOrder:
 def least_ids(data: np.ndarray, start: np.ndarray, size: np.ndarray, left: np.ndarray, key: np.ndarray, ids: np.ndarray, length: int) -> np.ndarray:
     """For every string of every segment, in order: the least id of the segments that hold it."""
     count = size - length + 1
-    segment = np.repeat(np.arange(len(start)), count)
-    step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    # Strings are many; 32 bits hold their places, as a part is about as large as a block.
+    kind = np.int32 if count.sum() + len(data) < 1 << 31 else np.int64
+    segment = np.repeat(np.arange(len(start), dtype=kind), count)
+    step = np.arange(count.sum(), dtype=kind) - np.repeat((np.cumsum(count) - count).astype(kind), count)
     least = ids[segment]
     order = np.argsort(key, kind="stable")
     new = np.r_[True, key[order][1:] != key[order][:-1]] if len(order) else np.zeros(0, bool)
@@ -325,19 +314,19 @@ def least_ids(data: np.ndarray, start: np.ndarray, size: np.ndarray, left: np.nd
     family[order] = np.cumsum(new) - 1
     several = np.bincount(family)[family] > 1 if len(order) else np.zeros(0, bool)
     # Equal strings stand alike around their anchor, so only those with one distance to it can be equal.
-    chosen = np.flatnonzero(several[segment])
+    chosen = np.flatnonzero(several[segment]).astype(kind)
     if not len(chosen):
         return least
     suffixes = SuffixOrder(data, length)
-    place = start[segment[chosen]] + step[chosen]
-    distance = left[segment[chosen]] - step[chosen] + length
+    place = start.astype(kind)[segment[chosen]] + step[chosen]
+    distance = left.astype(kind)[segment[chosen]] - step[chosen] + length
     # Strings whose hash is alone in the part need not be sorted.
     look = mix(fixed_hash(suffixes.prefix, place, length) ^ mix(family[segment[chosen]].astype(np.uint64) * np.uint64(4 * length) + distance.astype(np.uint64)))
-    by = np.argsort(look, kind="stable")
-    twice = np.zeros(len(by), dtype=bool)
-    same = look[by][1:] == look[by][:-1]
+    by = np.argsort(look, kind="stable").astype(kind)
+    twice, same = np.zeros(len(by), dtype=bool), look[by[1:]] == look[by[:-1]]
     twice[by[1:]] |= same
     twice[by[:-1]] |= same
+    del look, by, same, step
     chosen, place, distance = chosen[twice], place[twice], distance[twice]
     group = family[segment[chosen]] * (4 * length) + distance
     order = np.argsort(place, kind="stable")
@@ -477,8 +466,8 @@ def repeated_strings(docs: DataFrame, key: str = "doc_id", length: int = LENGTH,
             base += len(told[part])
         least = np.concatenate(least)
         cover = np.zeros(len(own.data) + 1, dtype=np.int32)
-        for s in range(0, len(found.at), 1 << 17):
-            of, at = found.of[s:s + (1 << 17)], found.at[s:s + (1 << 17)]
+        for s in range(0, len(found.at), 1 << 15):
+            of, at = found.of[s:s + (1 << 15)], found.at[s:s + (1 << 15)]
             n = count[of]
             step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             where = np.repeat(at, n) + step
