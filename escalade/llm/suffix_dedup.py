@@ -232,12 +232,27 @@ def shared_flags(lists: list[np.ndarray], counts: list[np.ndarray], common: int)
 
 
 class SuffixOrder:
-    """Suffixes of a buffer, of at least ``length`` bytes each, compared by hashes."""
+    """Suffixes in the segments of a buffer, of at least ``length`` bytes each, compared by hashes.
 
-    def __init__(self, data: np.ndarray, length: int):
+    The polynomial's powers begin anew with every segment, so few of them are needed.
+    """
+
+    def __init__(self, data: np.ndarray, start: np.ndarray, size: np.ndarray, length: int):
         self.data, self.length = data, length
-        self.prefix = prefix_hash(data)
-        self.inverse = powers(len(data) + 1, pow(BASE, -1, 1 << 64))
+        self.inside = np.arange(len(data) + 1, dtype=np.int32 if len(data) < 1 << 31 else np.int64)
+        self.inside[:-1] -= np.repeat(start.astype(self.inside.dtype), size)
+        self.inside[-1] = 0
+        most = int(size.max()) + 1 if len(size) else 1
+        terms = data.astype(np.uint64)
+        terms += np.uint64(1)
+        terms *= powers(most)[self.inside[:-1]]
+        self.prefix = np.zeros(len(data) + 1, dtype=np.uint64)
+        np.cumsum(terms, out=self.prefix[1:])
+        self.inverse = powers(most, pow(BASE, -1, 1 << 64))
+
+    def hashes(self, at: np.ndarray, size: np.ndarray | int) -> np.ndarray:
+        """Polynomial hash of ``size`` bytes from each place on, the same wherever they stand."""
+        return (self.prefix[at + size] - self.prefix[at]) * self.inverse[self.inside[at]]
 
     def extension(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The number of bytes, up to ``length``, that the suffixes at a and b have in common: binary search over prefix hashes."""
@@ -256,7 +271,7 @@ class SuffixOrder:
         return low
 
     def _same(self, a, b, size):
-        return (self.prefix[a + size] - self.prefix[a]) * self.inverse[a] == (self.prefix[b + size] - self.prefix[b]) * self.inverse[b]
+        return self.hashes(a, size) == self.hashes(b, size)
 
     def before(self, a: np.ndarray, b: np.ndarray, or_equal: np.ndarray) -> np.ndarray:
         """Whether the suffix at a comes before that at b (or equals it, where asked)."""
@@ -300,8 +315,9 @@ class SuffixOrder:
         return place, group
 
 
-def least_ids(data: np.ndarray, start: np.ndarray, size: np.ndarray, left: np.ndarray, key: np.ndarray, ids: np.ndarray, length: int) -> np.ndarray:
+def least_ids(suffixes: SuffixOrder, start: np.ndarray, size: np.ndarray, left: np.ndarray, key: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """For every string of every segment, in order: the least id of the segments that hold it."""
+    data, length = suffixes.data, suffixes.length
     count = size - length + 1
     # Strings are many; 32 bits hold their places, as a part is about as large as a block.
     kind = np.int32 if count.sum() + len(data) < 1 << 31 else np.int64
@@ -317,11 +333,10 @@ def least_ids(data: np.ndarray, start: np.ndarray, size: np.ndarray, left: np.nd
     chosen = np.flatnonzero(several[segment]).astype(kind)
     if not len(chosen):
         return least
-    suffixes = SuffixOrder(data, length)
     place = start.astype(kind)[segment[chosen]] + step[chosen]
     distance = left.astype(kind)[segment[chosen]] - step[chosen] + length
     # Strings whose hash is alone in the part need not be sorted.
-    look = mix(fixed_hash(suffixes.prefix, place, length) ^ mix(family[segment[chosen]].astype(np.uint64) * np.uint64(4 * length) + distance.astype(np.uint64)))
+    look = mix(suffixes.hashes(place, length) ^ mix(family[segment[chosen]].astype(np.uint64) * np.uint64(4 * length) + distance.astype(np.uint64)))
     by = np.argsort(look, kind="stable").astype(kind)
     twice, same = np.zeros(len(by), dtype=bool), look[by[1:]] == look[by[:-1]]
     twice[by[1:]] |= same
@@ -443,10 +458,11 @@ def repeated_strings(docs: DataFrame, key: str = "doc_id", length: int = LENGTH,
         key = np.concatenate([np.frombuffer(r["keys"], "<u8") for r in rows])
         left, ids = np.concatenate([unpack(r["lefts"], r["n"]) for r in rows]), np.concatenate([unpack(r["least"], r["n"]) for r in rows])
         start = np.cumsum(all_sizes) - all_sizes
-        content = mix(fixed_hash(prefix_hash(data), start, all_sizes) + all_sizes.astype(np.uint64))
+        suffixes = SuffixOrder(data, start, all_sizes, length)
+        content = mix(suffixes.hashes(start, all_sizes) + all_sizes.astype(np.uint64))
         # Segments that several blocks sent are one before the sort.
         found = distinct_segments(data, start, all_sizes, left, key, content, ids)
-        least = least_ids(data, found.start, found.size, found.left, found.key, found.least, length)
+        least = least_ids(suffixes, found.start, found.size, found.left, found.key, found.least)
         count = found.size - length + 1
         begin = np.cumsum(count) - count
         own = count[found.of]
