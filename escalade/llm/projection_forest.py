@@ -41,7 +41,7 @@ TREES = 10
 #: Share of a node's points on either side of the median that goes to both.
 SPILL = 0.06
 #: Points that one task splits by itself.
-TASK_POINTS = 8192
+TASK_POINTS = 65536
 #: Vectors whose unit vectors agree to one part in so many are one point; their cosine is over 1 - 1e-15.
 DIRECTIONS = 1 << 30
 #: Points of a leaf.
