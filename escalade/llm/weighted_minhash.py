@@ -9,14 +9,20 @@
    that two texts draw the same with a probability of their weighted Jaccard
    similarity.  ``BANDS`` bands of ``ROWS`` draws make the candidate buckets; two
    texts of similarity 0.8 share a bucket with a probability of 0.9998.
-4. In a bucket every node is paired with the least and the greatest node only,
-   never with all others.  Pairs are verified by the weighted Jaccard similarity
-   of their whole texts: first each node with the least one of its buckets in the
-   first bands; what this joins counts as one in the buckets of all bands.  Nodes
-   that are still alone meet again in the smaller buckets that two bands make together.
-5. Links are joined to classes by their least doc_id.
-
-A hot bucket combines map-side into its two ends; texts are joined to pairs by
+4. Most of a class is joined by few comparisons: each node with the least one of
+   its buckets in the first bands; what this joins counts as one in the buckets of
+   all bands, where it is compared with the bucket's ends.
+5. Then all pairs of nodes that share a bucket and are not in one class yet are
+   compared.  A bucket of up to ``FEW`` nodes emits its pairs.  The nodes of larger
+   ones meet by a weighted prefix filter, which loses no pair: in a common order,
+   rarest first, two texts at or over the threshold share a shingle among those
+   before which at most a share of 1 - threshold of the weight stands.  Shingles of
+   up to ``MANY`` nodes emit pairs; the nodes of others are dealt out as pairs of
+   blocks, and a task compares all nodes of two blocks by matrix products.
+6. Links are joined to classes by their least doc_id.
+
+Pairs are verified by the weighted Jaccard similarity of their whole texts.  A hot
+bucket combines map-side into its two ends; texts are joined to pairs by
 equi-joins on doc_id, whose hot partitions can be split.
 
 Special cases: texts are compared by their words without punctuation, ASCII
@@ -47,6 +53,15 @@ BANDS = 12
 ROWS = 3
 #: Bands that join most of a class before the others are looked at.
 FIRST_BANDS = 4
+#: Nodes of a bucket that emits all its pairs.
+FEW = 8
+#: Nodes of a prefix shingle that emits all its pairs, and of a block where there are more.
+MANY = 64
+BLOCK = 512
+#: Places of the hashed shingles that the order of the prefixes counts.
+PLACES = 1 << 20
+#: Columns of a matrix product.
+_COLUMNS = 4096
 #: Places of the hashed vocabulary (a power of two).
 VOCABULARY = 1 << 18
 _SHIFT = np.uint64(64 - 18)
@@ -160,6 +175,73 @@ def similarities(left: Chunk, right: Chunk, idf: np.ndarray) -> np.ndarray:
     return shared / np.maximum(total - shared, 1e-300)
 
 
+def all_similarities(chunk: Chunk, idf: np.ndarray) -> np.ndarray:
+    """Weighted Jaccard similarity of each two different texts of a chunk (the diagonal is not filled)."""
+    n = len(chunk.offsets) - 1
+    doc, hashes, weight = weighted_shingles(chunk, idf)
+    total = np.bincount(doc, weights=weight, minlength=n)
+    shared = np.zeros((n, n))
+    _, column = np.unique(hashes, return_inverse=True)
+    taken = np.zeros(len(doc))
+    while len(doc):
+        # The least weight that a shingle still has is shared by all texts that have it; what is left of the others is the next layer.
+        several = np.bincount(column)[column] > 1
+        doc, weight, taken = doc[several], weight[several], taken[several]
+        _, column = np.unique(column[several], return_inverse=True)
+        if not len(doc):
+            break
+        least = np.full(column.max() + 1, np.inf)
+        np.minimum.at(least, column, weight)
+        root = np.sqrt(least[column] - taken)
+        order = np.argsort(column, kind="stable")
+        for begin in range(0, len(least), _COLUMNS):
+            some = order[slice(*np.searchsorted(column[order], [begin, begin + _COLUMNS]))]
+            matrix = np.zeros((n, min(_COLUMNS, len(least) - begin)))
+            matrix[doc[some], column[some] - begin] = root[some]
+            shared += matrix @ matrix.T
+        more = weight > least[column]
+        doc, weight, taken, column = doc[more], weight[more], least[column][more], column[more]
+    return shared / np.maximum(total[:, None] + total[None, :] - shared, 1e-300)
+
+
+def _shingle_counts(idf):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(PLACES, dtype=np.int64)
+        for batch in batches:
+            for chunk in arrays.chunks(batch.column("text")):
+                _, hashes, _ = weighted_shingles(chunk, idf.value)
+                total += np.bincount((hashes % np.uint64(PLACES)).astype(np.int64), minlength=PLACES)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"place": pa.array(used, pa.int32()), "n": pa.array(total[used], pa.int64())})
+
+    return run
+
+
+def prefixes(chunk: Chunk, idf: np.ndarray, counts: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Text number and hash of the rarest shingles: two texts at or over the threshold share one of them."""
+    doc, hashes, weight = weighted_shingles(chunk, idf)
+    rare = counts[(hashes % np.uint64(PLACES)).astype(np.int64)]
+    order = np.lexsort((hashes, rare, doc))
+    doc, hashes, weight, rare = doc[order], hashes[order], weight[order], rare[order]
+    total = np.bincount(doc, weights=weight, minlength=len(chunk.offsets) - 1)
+    upto = np.cumsum(weight) - weight
+    before = upto - (np.cumsum(total) - total)[doc]
+    # What only one text has needs no row.
+    chosen = (before <= (1 - threshold + 1e-6) * total[doc] + 1e-6) & (rare > 1)
+    return doc[chosen], hashes[chosen]
+
+
+def _prefixes(idf, counts, threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk in arrays.chunks(batch.column("text")):
+                doc, hashes = prefixes(chunk, idf.value, counts.value, threshold)
+                rows = batch.select(["node", "label"]).slice(chunk.first, chunk.last - chunk.first).take(pa.array(doc))
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(hashes.view(np.int64))], names=["node", "label", "shingle"])
+
+    return run
+
+
 def _verify(idf, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = idf.value
@@ -186,6 +268,40 @@ def _pairs(paired: DataFrame) -> DataFrame:
     return each.select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b")).distinct()
 
 
+def _all_pairs(members: DataFrame, key: str) -> DataFrame:
+    """Pairs (a, b), a < b, of different labels in each of the (small) groups."""
+    x = members.groupBy(key).agg(F.collect_set(F.struct("node", "label")).alias("all")).select("all", F.explode("all").alias("x"))
+    pairs = x.select("x", F.explode("all").alias("y")).where("x.node < y.node and x.label <> y.label")
+    return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+
+
+def _block_links(members: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
+    """Links (a, b, similarity) between nodes of different labels in the groups (shingle, node, label), by pairs of blocks."""
+    kind = members.schema["node"].dataType.simpleString()
+    # A label with many nodes has blocks of its own, which are not compared with each other.
+    labels = members.groupBy("shingle", "label").count()
+    big = labels.where(F.col("count") > BLOCK).select("shingle", "label", F.ceil(F.col("count") / BLOCK).alias("parts"), F.col("label").alias("big"))
+    pools = labels.where(F.col("count") <= BLOCK).groupBy("shingle").agg(F.ceil(F.sum("count") / BLOCK).alias("pools"))
+    dealt = members.join(big, ["shingle", "label"], "left").join(pools, "shingle", "left")
+    own = F.when(F.col("big").isNotNull(), F.xxhash64("big", F.pmod(F.xxhash64("node"), "parts"))).otherwise(F.pmod(F.xxhash64("label"), "pools"))
+    dealt = settle(dealt.select("shingle", "node", "label", "big", own.alias("own")), "blocks")
+    blocks = dealt.select("shingle", F.col("own").alias("other"), F.col("big").alias("other_big")).distinct()
+    met = dealt.join(blocks, "shingle").where("big is null or other_big is null or big <> other_big")
+    met = met.select("shingle", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "label")
+
+    def compare(key, table):
+        ids, labels, own = (table.column(c).to_numpy() for c in ("node", "label", "own"))
+        (chunk,) = arrays.chunks(table.column("text"), 1 << 62)
+        found = all_similarities(chunk, idf.value)
+        a, b = np.nonzero((found >= threshold) & (labels[:, None] != labels[None, :]) & (ids[:, None] < ids[None, :]))
+        if key[1].as_py() != key[2].as_py():
+            a, b = a[own[a] != own[b]], b[own[a] != own[b]]
+        return pa.table({"a": pa.array(ids[a]), "b": pa.array(ids[b]), "similarity": pa.array(found[a, b], pa.float64())})
+
+    own_texts = texts.join(members.select("node").distinct(), "node", "left_semi").select("node", "text").distinct()
+    return met.join(own_texts, "node").groupBy("shingle", "low", "high").applyInArrow(compare, f"a {kind}, b {kind}, similarity double").distinct()
+
+
 def near_links(docs: DataFrame, key: str = "doc_id", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
     """(key, node) of every document with words, and the verified links (a, b, similarity) between nodes."""
     spark = docs.sparkSession
@@ -219,15 +335,33 @@ def near_links(docs: DataFrame, key: str = "doc_id", threshold: float = THRESHOL
     held = pool(pairs)
     second = judge(pairs, held, "links")
     links = first.unionByName(second)
-    # Nodes that neither has linked meet those of their buckets anew, in the smaller buckets that two bands make together.
-    linked = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    alone = paired.select("node").distinct().join(linked, "node", "left_anti")
-    near = paired.join(paired.join(alone, "node", "left_semi").select("bucket").distinct(), "bucket", "left_semi")
-    twice = near.groupBy("node").agg(F.array_sort(F.collect_set("bucket")).alias("own"))
-    two = F.flatten(F.transform("own", lambda x, i: F.transform(F.slice("own", i + 2, bands), lambda y: F.xxhash64(x, y))))
-    tight = _ends(twice.select("node", F.explode(two).alias("bucket")))
-    third = _pairs(tight.join(alone, "node", "left_semi")).join(pairs.unionByName(least), ["a", "b"], "left_anti")
-    return membership, links.unionByName(judge(third, held, "links"))
+    # All other pairs that share a bucket and are not in one class yet.
+    label = components(links.select("a", "b")).select("node", F.col("component").alias("label"))
+    named = nodes.join(label, "node", "left").select("node", F.coalesce("label", "node").alias("label"), F.explode("bands").alias("bucket")).distinct()
+    sizes = named.groupBy("bucket").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
+    mixed = settle(named.join(sizes.where("low <> high").select("bucket", "n"), "bucket"), "mixed")
+    crowd = mixed.where(F.col("n") > FEW).select("node", "label").distinct()
+    crowded = settle(texts.withColumnRenamed("id", "node").join(crowd, "node").select("node", "label", "text"), "crowd")
+    counted = crowded.select("text").mapInArrow(_shingle_counts(idf), "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(PLACES, dtype=np.int32)
+    counts[counted["place"].to_numpy(dtype=np.int64)] = np.minimum(counted["n"].to_numpy(dtype=np.int64), np.iinfo(np.int32).max)
+    counts = spark.sparkContext.broadcast(counts)
+    marks = settle(crowded.mapInArrow(_prefixes(idf, counts, threshold), f"node {kind}, label {kind}, shingle long").distinct(), "prefixes")
+    groups = marks.groupBy("shingle").agg(
+        F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"),
+        F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"),
+    ).where("low <> high")
+    # Shingles of the same nodes are one group.
+    groups = settle(groups.groupBy("n", "x", "y").agg(F.min("shingle").alias("shingle")).select("n", "shingle"), "groups")
+    grouped = marks.join(groups, "shingle")
+    sides = [nodes.select(F.col("node").alias(x), F.col("bands").alias(f"bands_{x}")) for x in "ab"]
+    close = _all_pairs(grouped.where(F.col("n") <= MANY), "shingle").join(sides[0], "a").join(sides[1], "b")
+    close = close.where(F.arrays_overlap("bands_a", "bands_b")).select("a", "b")
+    rest = _all_pairs(mixed.where(F.col("n") <= FEW), "bucket").unionByName(close).distinct()
+    rest = settle(rest.join(pairs.unionByName(least), ["a", "b"], "left_anti"), "pairs")
+    third = judge(rest, pool(rest), "links")
+    dense = settle(_block_links(grouped.where(F.col("n") > MANY).select("shingle", "node", "label"), crowded, idf, threshold), "links")
+    return membership, links.unionByName(third).unionByName(dense)
 
 
 def near_classes(docs: DataFrame, key: str = "doc_id", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:

@@ -305,6 +305,50 @@ def test_near_classes(docs):
     assert all(r.kept == (r.doc_id == r.class_id) for r in got)
 
 
+@pytest.mark.parametrize("few, many, block", [(8, 64, 512), (2, 3, 20)])
+def test_pairs_within_a_template(spark, monkeypatch, few, many, block):
+    """Pairs in the middle of buckets that a shared passage makes hot, texts that lean on it still more, and links between groups of linked nodes."""
+    for name, value in (("FEW", few), ("MANY", many), ("BLOCK", block)):
+        monkeypatch.setattr(weighted_minhash, name, value)
+    template, rows = prose(50, 150), []
+    for k in range(120):
+        own = prose(1000 + k, 90).split()
+        rows += [" ".join([template, *own]), " ".join([template, *own[:-12], prose(3000 + k, 12)])]
+    # Over a fifth of the weight is the passage's: its shingles reach into the prefixes.
+    rows += [" ".join([prose(50, 150), prose(5000 + k, 25)]) for k in range(90)]
+    # Chains, of which each text is near to its neighbours only.
+    for k in range(8):
+        words = prose(7000 + k, 130).split()
+        rows += [" ".join([template, *words[8 * j:8 * j + 70]]) for j in range(7)]
+    order = np.random.default_rng(5).permutation(len(rows))
+    texts = [rows[k] for k in order]
+    table = weights(texts)
+    want = {(i, j) for j in range(len(texts)) for i in range(j) if table[i].keys() & table[j].keys() and similarity(table[i], table[j]) >= 0.8}
+    root = list(range(len(texts)))
+    for _ in texts:
+        for i, j in want:
+            root[i] = root[j] = min(root[i], root[j])
+    assert len(want) > 120 and len(set(root)) > 100
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in weighted_minhash.near_classes(table).collect()}
+    assert [got[k] for k in range(len(texts))] == root
+
+
+def test_all_similarities_of_a_chunk():
+    import pyarrow as pa
+
+    from escalade.llm import arrays
+
+    texts = [prose(1, 60) * 3, prose(1, 60), prose(1, 50) + " " + prose(2, 20), "a", "", "a " * 40, "a " * 25]
+    idf = np.random.default_rng(0).uniform(1, 9, weighted_minhash.VOCABULARY)
+    (chunk,) = arrays.chunks(pa.array(texts))
+    found = weighted_minhash.all_similarities(chunk, idf)
+    for i, a in enumerate(texts):
+        for j, b in enumerate(texts):
+            (left,), (right,) = arrays.chunks(pa.array([a])), arrays.chunks(pa.array([b]))
+            assert i == j or abs(found[i, j] - weighted_minhash.similarities(left, right, idf)[0]) < 1e-9
+
+
 def test_draws_estimate_the_weighted_similarity():
     import pyarrow as pa
 
