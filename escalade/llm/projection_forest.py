@@ -9,7 +9,11 @@
    split.  The others are split further inside one task each, down to leaves.
 4. Points of a leaf are compared by cosine in double precision.  Pairs at or over
    the threshold come out of several trees and are made distinct.
-5. Links and components count the copies of each point.
+5. Pairs that the trees find join points to components; in a large group of close
+   points they are a part of its links only.  So the links are counted exactly within
+   each component: up to ``BLOCK`` points in one task, larger ones dealt out as pairs
+   of blocks.  Only counts leave these tasks, no pairs.
+6. Links and components count the copies of each point.
 
 No node ever meets a task with more than ``TASK_POINTS`` points, whatever the
 size of a cluster of vectors: distinct points can always be split.  Only pairs
@@ -46,6 +50,9 @@ TASK_POINTS = 65536
 DIRECTIONS = 1 << 30
 #: Points of a leaf.
 LEAF_POINTS = 128
+#: Points of a block in which links are counted, and rows of it that are compared at a time.
+BLOCK = 8192
+_STRIP = 512
 
 
 def direction(tree: int, path: int, size: int) -> np.ndarray:
@@ -163,9 +170,76 @@ def point_links(points: DataFrame, threshold: float, trees: int, spill: float, t
     return pairs.where("a <> b").distinct()
 
 
+def link_counts(codes: np.ndarray, vectors: list[np.ndarray], copies: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes (codes) of the left points, and the copies of the other nodes of the right points that they link with.
+
+    A node may have several points, also of different lengths; it counts once.
+    """
+    left, right = (x[np.argsort(codes[x], kind="stable")] for x in (left, right))
+    begins, ends = np.unique(codes[left], return_index=True)[1], np.unique(codes[right], return_index=True)[1]
+    sizes = np.array([len(v) for v in vectors])
+    matrices = {n: np.stack([vectors[k] for k in right[sizes[right] == n]]) for n in np.unique(sizes[right])}
+    weight, counts = copies[right[ends]].astype(float), []
+    for first in range(0, len(begins), _STRIP):
+        own = begins[first:first + _STRIP]
+        rows = left[own[0]:begins[first + _STRIP] if first + _STRIP < len(begins) else len(left)]
+        near = np.zeros((len(rows), len(right)), dtype=bool)
+        for n, matrix in matrices.items():
+            some = np.flatnonzero(sizes[rows] == n)
+            if len(some):
+                near[np.ix_(some, np.flatnonzero(sizes[right] == n))] = np.stack([vectors[k] for k in rows[some]]) @ matrix.T >= threshold
+        if len(ends) < len(right):
+            near = np.logical_or.reduceat(near, ends, axis=1)
+        if len(own) < len(rows):
+            near = np.logical_or.reduceat(near, own - own[0], axis=0)
+        near &= codes[left[own]][:, None] != codes[right[ends]][None, :]
+        counts.append(near @ weight)
+    return codes[left[begins]], np.concatenate(counts).astype(np.int64)
+
+
+def component_links(points: DataFrame, threshold: float, block: int) -> DataFrame:
+    """(node, others): copies of the other nodes that a node links with, from (node, point, copies, component)."""
+    kind = points.schema["node"].dataType.simpleString()
+    sizes = points.groupBy("component").count()
+    sized = points.join(sizes, "component")
+    small = sizes.where(F.col("count") <= block).agg(F.sum("count")).first()[0] or 0
+    pool = F.pmod(F.xxhash64("component"), F.lit(small // block + 1))
+    columns = ["component", "node", "point", "copies", "own", "low", "high"]
+    # Small components share a task; large ones are dealt out as pairs of blocks.
+    together = sized.where(F.col("count") <= block).withColumns({"own": F.lit(0).cast("long"), "low": F.lit(-1).cast("long"), "high": pool})
+    parts = F.ceil(F.col("count") / block)
+    apart = sized.where(F.col("count") > block).withColumns({"own": F.pmod(F.xxhash64("node"), parts), "other": F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))})
+    apart = apart.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
+    dealt = together.select(*columns, F.lit(None).cast(kind).alias("large")).unionByName(apart.select(*columns, F.col("component").alias("large")))
+
+    def count(key, table):
+        ids, codes = np.unique(table.column("node").to_numpy(), return_inverse=True)
+        groups = np.unique(table.column("component").to_numpy(), return_inverse=True)[1]
+        copies, own = table.column("copies").to_numpy(), table.column("own").to_numpy()
+        body = table.column("point").combine_chunks()
+        ends = np.cumsum(body.value_lengths().to_numpy())
+        vectors = np.split(body.flatten().to_numpy(zero_copy_only=False), ends[:-1])
+        low, high = key[1].as_py(), key[2].as_py()
+        if key[0].as_py() is None:
+            order = np.argsort(groups, kind="stable")
+            sides = [(x, x) for x in np.split(order, np.flatnonzero(np.diff(groups[order])) + 1)]
+        elif low == high:
+            sides = [(np.arange(len(codes)),) * 2]
+        else:
+            a, b = np.flatnonzero(own == low), np.flatnonzero(own == high)
+            sides = [(a, b), (b, a)] if len(a) and len(b) else []
+        found = [link_counts(codes, vectors, copies, a, b, threshold) for a, b in sides]
+        nodes = np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.int64)
+        others = np.concatenate([x for _, x in found]) if found else np.zeros(0, np.int64)
+        return pa.table({"node": pa.array(ids[nodes]), "others": pa.array(others, pa.int64())})
+
+    counted = dealt.groupBy("large", "low", "high").applyInArrow(count, f"node {kind}, others long")
+    return counted.groupBy("node").agg(F.sum("others").alias("others"))
+
+
 def near_vectors(
     vectors: DataFrame, key: str = "vec_id", column: str = "embedding", threshold: float = THRESHOLD, trees: int = TREES, spill: float = SPILL,
-    task_points: int = TASK_POINTS, leaf: int = LEAF_POINTS,
+    task_points: int = TASK_POINTS, leaf: int = LEAF_POINTS, block: int = BLOCK,
 ) -> DataFrame:
     """(key, n_links, component_id, kept) of every row."""
     kind = vectors.schema[key].dataType.simpleString()
@@ -176,10 +250,10 @@ def near_vectors(
     own = settle(usable.join(nodes, "direction").select("id", "node", "copies").distinct(), "copies")
     links = settle(point_links(nodes, threshold, trees, spill, task_points, leaf), "vector-links")
     sizes = nodes.groupBy("node").agg(F.max("copies").alias("copies"))
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    others = both.join(sizes.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("copies").alias("others"))
     hung = own.where("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))
     classes = components(links.unionByName(hung)).withColumnRenamed("node", "id")
+    members = nodes.select("node", "point").join(sizes, "node").join(classes.withColumnRenamed("id", "node"), "node")
+    others = component_links(members, threshold, block)
     counted = own.join(others, "node", "left").groupBy("id").agg(F.sum(F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
     result = counted.join(classes, "id", "left").withColumnRenamed("id", "__id")
     rows = vectors.select(key).join(result, F.col(key) == F.col("__id"), "left")

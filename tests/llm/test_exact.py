@@ -267,6 +267,29 @@ def test_vector_links(spark):
     assert projection_forest.near_vectors(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block", [700, projection_forest.BLOCK])
+def test_links_of_a_large_cluster(spark, block):
+    """Distinct close vectors, far more than a leaf holds; small groups and a vec_id with several vectors stand beside them."""
+    rng = np.random.default_rng(8)
+    cluster = rng.standard_normal(32) + 0.2 * rng.standard_normal((3000, 32))
+    pairs = np.repeat(rng.standard_normal((100, 32)), 3, axis=0) + 0.2 * rng.standard_normal((300, 32))
+    x = np.vstack([cluster, pairs])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= 0.9
+    ids = np.arange(len(x))
+    ids[3299] = 5
+    near[5] |= near[3299]
+    near[:, 5] |= near[:, 3299]
+    near = near[:3299, :3299]
+    np.fill_diagonal(near, False)
+    table = spark.createDataFrame([(int(i), [float(c) for c in v]) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in projection_forest.near_vectors(table, block=block).collect()}
+    want = near.sum(axis=1)
+    assert want[:3000].mean() > 1000
+    assert sum(got.values()) >= 0.999 * want.sum() and all(got[k] <= want[k] for k in got)
+    assert [got[k] for k in range(3000) if k != 5] == [want[k] for k in range(3000) if k != 5]
+
+
 # op9
 
 def weights(texts):
