@@ -44,9 +44,14 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The least document of each class of near duplicates, once."""
+    """The least document of each class of near duplicates, once; every row with a null doc_id, and every text of a kept doc_id."""
     ship_package(spark)
-    return weighted_minhash.near_classes(docs).where("kept").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    kept = weighted_minhash.near_classes(docs).where("kept").select(*COLUMNS)
+    named = kept.where(F.col("doc_id").isNotNull())
+    # One row of those that repeat doc_id and text: the one with the least other columns.
+    others = F.struct(*[F.col(c) for c in COLUMNS if c not in ("doc_id", "text")])
+    once = named.groupBy("doc_id", "text").agg(F.min(others).alias("o")).select("doc_id", "text", "o.*")
+    return once.select(*COLUMNS).unionByName(kept.where(F.col("doc_id").isNull()))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -213,6 +213,15 @@ def test_near_stage(stages):
     assert sorted(after["doc_id"]) == [i for i in ids if find(i) == i]
 
 
+def test_near_stage_of_odd_documents(spark):
+    """Rows without doc_id stay, whatever they hold; a kept doc_id keeps each of its texts once."""
+    odd = odd_documents(spark).unionByName(odd_documents(spark).where("doc_id = 16 or doc_id is null"))
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, odd, "").collect()), key=str)
+    gone = {2, 12, 13}
+    want = [(i, t) for i, t, _, _ in ODD_ROWS if i not in gone] + [(i, t) for i, t, _, _ in ODD_ROWS if i is None]
+    assert got == sorted(want, key=str)
+
+
 def test_mixing_stage(stages):
     before, after = stages["mixing"]
     words = lambda texts: texts.map(lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t)))
