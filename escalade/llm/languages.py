@@ -8,10 +8,11 @@ machines of its own, which see only that family's texts and so can use the
 small differences between close relatives.
 
 Machines are fitted on a bounded sample: about ``PER_LANGUAGE`` texts of each
-language, drawn by the hash of the text.  The model learns at most
-``LANGUAGES`` languages, the most frequent ones.  Each family is fitted by a
-task of its own, which holds its sample and nothing else; predictions go over
-whole texts of all documents.
+language, drawn by the hash of the text.  All languages are learned: where more
+than ``GROUP`` families (or languages of a family) stand side by side, groups of
+them are told apart first, in as many levels as it takes.  Each family and each
+group is fitted by a task of its own, which holds its sample and nothing else;
+predictions go over whole texts of all documents.
 
 Special cases: ``und`` with score 0 for a null text, a text without a letter,
 and any text if nothing could be learned; equal texts get equal predictions;
@@ -36,8 +37,8 @@ from escalade.llm.frames import read
 
 #: Texts that each language's machines are fitted on (expected number).
 PER_LANGUAGE = 1200
-#: Languages that a model can hold.
-LANGUAGES = 256
+#: Classes that one level tells apart.
+GROUP = 32
 FEATURES = 1 << 11
 
 # Languages by family.
@@ -132,22 +133,62 @@ def has_letter(text: Column) -> Column:
     return F.coalesce(text.rlike("\\p{L}"), F.lit(False))
 
 
+def tree_of(languages: dict[str, list[str]]) -> dict[str, list[str]]:
+    """Children of every level: the root ``""`` leads to families ``f:``, these to languages ``l:``, by groups where there are many."""
+    tree = {}
+
+    def grow(level: str, children: list[str]) -> None:
+        depth = 0
+        while len(children) > GROUP:
+            depth += 1
+            groups = {f"{level or 'g:'}/{depth}.{k:06d}": children[k:k + GROUP] for k in range(0, len(children), GROUP)}
+            tree.update(groups)
+            children = list(groups)
+        tree[level] = children
+
+    for family, own in languages.items():
+        grow(f"f:{family}", [f"l:{language}" for language in sorted(own)])
+    grow("", [f"f:{family}" for family in sorted(languages)])
+    return tree
+
+
+def _places(tree: dict[str, list[str]], drawn: dict[str, float], per_language: int) -> list[tuple[str, str, str, float]]:
+    """(language, level, child, share): where a language's sample goes.  Each child gets about as many texts as one language, or all it has."""
+    below = {}
+
+    def leaves(child: str) -> list[str]:
+        if child not in below:
+            below[child] = [child[2:]] if child.startswith("l:") else [x for c in tree[child] for x in leaves(c)]
+        return below[child]
+
+    out = []
+    for level, children in tree.items():
+        for child in children if len(children) > 1 else ():
+            own = leaves(child)
+            share = min(1.0, per_language / sum(drawn[x] for x in own))
+            out.extend((x, level, child, share) for x in own)
+    return out
+
+
 def fit(train: DataFrame, per_language: int = PER_LANGUAGE, families: dict[str, str] = FAMILY_OF) -> dict:
-    """The model from ``text`` and ``lang``: languages by family, and machines by level (``""`` for families)."""
+    """The model from ``text`` and ``lang``: the tree of levels, and machines by level (``""`` for the root)."""
+    spark = train.sparkSession
     known = train.where(F.col("lang").isNotNull() & has_letter(F.col("text"))).select("lang", F.lower("text").alias("text"))
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
-    model = {"languages": {}, "machines": {}}
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    model = {"tree": {}, "machines": {}}
     if not counts:
         return model
-    for language in sorted(counts):
-        model["languages"].setdefault(families.get(language, language), []).append(language)
-    family = F.create_map(*[F.lit(v) for language in counts for v in (language, families.get(language, language))])[F.col("lang")]
-    share = F.create_map(*[F.lit(v) for language, n in counts.items() for v in (language, min(1.0, per_language / n))])[F.col("lang")]
-    drawn = known.where(F.xxhash64("text") / F.lit(2.0**64) + 0.5 < share).mapInArrow(_sampled, "lang string, x binary").withColumn("family", family)
-    # A family of several languages sends each to the upper level in part, so that its sample has the same bound.
-    part = F.create_map(*[F.lit(v) for name, own in model["languages"].items() for v in (name, 1.0 / len(own))])[F.col("family")]
-    upper = drawn.where(F.xxhash64("x") / F.lit(2.0**64) + 0.5 < part).select(F.lit("").alias("level"), F.col("family").alias("name"), "x")
-    groups = drawn.select(F.col("family").alias("level"), F.col("lang").alias("name"), "x").unionByName(upper)
+    languages = {}
+    for language in counts:
+        languages.setdefault(families.get(language, language), []).append(language)
+    model["tree"] = tree_of(languages)
+    shares = spark.createDataFrame([(x, min(1.0, per_language / n)) for x, n in counts.items()], "lang string, share double")
+    places = _places(model["tree"], {x: min(n, per_language) for x, n in counts.items()}, per_language)
+    places = spark.createDataFrame(places, "lang string, level string, name string, part double")
+    # Both tables have a few rows a language and come from the driver: texts need no shuffle to meet them.
+    drawn = known.join(F.broadcast(shares), "lang").where(F.xxhash64("text") / F.lit(2.0**64) + 0.5 < F.col("share")).select("lang", "text")
+    drawn = drawn.mapInArrow(_sampled, "lang string, x binary")
+    groups = drawn.join(F.broadcast(places), "lang").where(F.xxhash64("x") / F.lit(2.0**64) + 0.5 < F.col("part")).select("level", "name", "x")
     for row in groups.groupBy("level").applyInPandas(fit_group, "level string, a string, b string, w binary").collect():
         model["machines"].setdefault(row["level"], []).append((row["a"], row["b"], np.frombuffer(row["w"], "<f4")))
     return model
@@ -171,25 +212,30 @@ def decide(x: np.ndarray, names: list[str], machines: list) -> tuple[np.ndarray,
 
 def predict(docs: DataFrame, model: dict) -> DataFrame:
     """Adds ``lang_pred`` and ``score`` to the documents, from ``text`` alone."""
-    families = sorted(model["languages"])
+    tree, machines = model["tree"], model["machines"]
+
+    def descend(x: np.ndarray, level: str, rows: np.ndarray, names: np.ndarray, sure: np.ndarray) -> None:
+        best, found = decide(x[rows], tree[level], machines.get(level, []))
+        sure[rows] *= found
+        for k in np.unique(best):
+            child, some = tree[level][k], rows[best == k]
+            if child.startswith("l:"):
+                names[some] = child[2:]
+            else:
+                descend(x, child, some, names, sure)
 
     @F.pandas_udf("lang_pred string, score double")
     def guess(texts: pd.Series) -> pd.DataFrame:
         found, scores = [], []
         for chunk in arrays.chunks(pa.array(texts, pa.string())):
             x = features(chunk)
-            family, sure = decide(x, families, model["machines"].get("", []))
-            names = np.empty(len(x), dtype=object)
-            for k in np.unique(family):
-                rows = np.flatnonzero(family == k)
-                own = model["languages"][families[k]]
-                best, second = decide(x[rows], own, model["machines"].get(families[k], []))
-                names[rows], sure[rows] = np.array(own, dtype=object)[best], sure[rows] * second
+            names, sure = np.empty(len(x), dtype=object), np.ones(len(x))
+            descend(x, "", np.arange(len(x)), names, sure)
             found.append(names)
             scores.append(sure)
         return pd.DataFrame({"lang_pred": np.concatenate(found) if found else [], "score": np.concatenate(scores) if scores else []})
 
-    if not families:
+    if not tree:
         return docs.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0)})
     lettered = has_letter(F.col("text"))
     guessed = docs.withColumn("__g", guess(F.lower(F.coalesce("text", F.lit("")))))

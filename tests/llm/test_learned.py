@@ -82,6 +82,17 @@ def test_odd_languages(spark):
     assert {r.lang_pred for r in languages.predict(odd, one).collect()} == {"und", "en"}
 
 
+def test_all_of_many_languages_are_learned(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for k in range(280):
+        words = ["".join(chr(97 + c) for c in rng.integers(0, 26, 6)) for _ in range(6)]
+        rows += [(f"x{k:03d}", " ".join(rng.choice(words, 40))) for _ in range(2)]
+    table = spark.createDataFrame(rows, "lang string, text string")
+    got = languages.predict(table, languages.fit(table)).collect()
+    assert len({r.lang for r in got if r.lang == r.lang_pred}) > 270
+
+
 def test_three_relatives_are_told_apart():
     rng = np.random.default_rng(0)
     centre = rng.standard_normal((3, 20))
