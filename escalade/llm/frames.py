@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from escalade.session import new_folder, ship_package
 
-__all__ = ["components", "read", "settle", "ship_package"]
+__all__ = ["components", "join_counted", "read", "settle", "ship_package"]
+
+#: A key is hot if it has more than this part of all rows, so there are fewer hot keys than this.
+HOT_KEYS = 1024
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -23,6 +26,22 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def join_counted(rows: DataFrame, table: DataFrame, on: str | list[str], n: str = "n", how: str = "inner") -> DataFrame:
+    """``rows`` joined (inner or left) with ``table``, which has one row per key and counts in ``n`` the rows of that key.
+
+    Hot keys, of which there are fewer than ``HOT_KEYS`` whatever the data, are
+    joined by broadcast, so their rows stay where they are; no other key has
+    more than 1/HOT_KEYS of the rows.  Both tables should be settled, as both
+    are read twice; rows of ``table`` should be short.  ``n`` is left out of the result.
+    """
+    on = [on] if isinstance(on, str) else list(on)
+    limit = (table.agg(F.sum(n)).first()[0] or 0) // HOT_KEYS
+    hot = table.where(F.col(n) > limit).drop(n)
+    spread = rows.join(F.broadcast(hot), on)
+    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(table.where(F.col(n) <= limit).drop(n), on, how)
+    return spread.unionByName(rest)
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of undirected links (a, b): the smallest node that each node reaches.
 
