@@ -69,25 +69,30 @@ def item_windows(benchmark: DataFrame, size: int = SIZE) -> tuple[DataFrame, Dat
     return settle(numbered, "windows"), lists
 
 
-def _document_windows(found: Column, lengths: list[int]) -> Column:
-    """Place, length and hash of every window of the given lengths, behind a mark that every document has."""
-    def of(length: int) -> Column:
-        places = F.sequence(F.lit(0), F.size(found) - length)
-        each = F.transform(places, lambda i: F.struct(
-            i.cast("int").alias("at"), F.lit(length).alias("length"), F.xxhash64(F.slice(found, i + 1, length)).alias("hash")
-        ))
-        return F.when(F.size(found) >= length, each).otherwise(F.array())
+def _document_windows(found: DataFrame, lengths: list[int]) -> DataFrame:
+    """Place, length and hash of every window of the given lengths, after a mark (place -1) that every document has.
 
-    mark = F.array(F.struct(F.lit(-1).alias("at"), F.lit(0).alias("length"), F.lit(None).cast("long").alias("hash")))
-    return F.concat(mark, *[of(n) for n in lengths])
+    One place is one row, and a window is hashed word by word from the row's array: compiled code all through, nothing copied.
+    """
+    placed = found.select("*", F.explode(F.sequence(F.lit(-1), F.col("n_words").cast("int") - 1)).alias("at"))
+
+    def hashed(length: int) -> Column:
+        own = F.xxhash64(*[F.get("words", F.col("at") + k) for k in range(length)])
+        return F.when((F.col("at") >= 0) & (F.col("at") + length <= F.col("n_words")), own)
+
+    if len(lengths) == 1:
+        return placed.select("*", F.lit(lengths[0]).alias("length"), hashed(lengths[0]).alias("hash"))
+    each = F.array(*[F.struct(F.lit(n).alias("length"), hashed(n).alias("hash")) for n in lengths or [1]])
+    several = placed.select("*", F.explode(each).alias("w")).select(*placed.columns, "w.*")
+    return several.where((F.col("at") >= 0) | (F.col("length") == F.lit((lengths or [1])[0])))
 
 
 def document_hits(docs: DataFrame, windows: DataFrame, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """(doc_id, version, n_words, at, length, list): every verified hit, and for every row of ``docs`` one mark with place -1."""
     lengths = sorted(r["length"] for r in windows.select("length").distinct().collect())  # at most the size of a window
     found = docs.select("doc_id", F.xxhash64("text").alias("version"), words(F.col("text")).alias("words"))
-    each = found.select("doc_id", "version", "words", F.size("words").cast("long").alias("n_words"), F.explode(_document_windows(F.col("words"), lengths)).alias("w"))
-    each = each.select("doc_id", "version", "words", "n_words", "w.*")
+    found = found.withColumn("n_words", F.size("words").cast("long"))
+    each = _document_windows(found, lengths)
     keys = ["doc_id", "version", "n_words", "at", "length"]
     table = windows.select("hash", "window", "list")
     if windows.count() <= max_windows:
@@ -97,11 +102,11 @@ def document_hits(docs: DataFrame, windows: DataFrame, max_windows: int = MAX_WI
     places = met.groupBy("doc_id", "version").agg(F.collect_set(F.struct("at", "length", "hash")).alias("places"))
     places = settle(places.select(F.col("doc_id").alias("__id"), F.col("version").alias("__version"), "places"), "places")
     again = found.join(places, found["doc_id"].eqNullSafe(places["__id"]) & (found["version"] == places["__version"]))
-    again = again.select("doc_id", "version", F.size("words").cast("long").alias("n_words"), F.explode(F.transform("places", lambda p: F.struct(
+    again = again.select("doc_id", "version", "n_words", F.explode(F.transform("places", lambda p: F.struct(
         p["at"].alias("at"), p["length"].alias("length"), p["hash"].alias("hash"), _spelled(F.col("words"), p["at"], p["length"]).alias("window")
     ))).alias("w")).select("doc_id", "version", "n_words", "w.*")
     hits = again.join(table, ["hash", "window"]).select(*keys, "list")
-    marks = found.select("doc_id", "version", F.size("words").cast("long").alias("n_words"), F.lit(-1).alias("at"), F.lit(0).alias("length"))
+    marks = found.select("doc_id", "version", "n_words", F.lit(-1).alias("at"), F.lit(0).alias("length"))
     return hits.unionByName(marks.withColumn("list", F.lit(None).cast("long")))
 
 
