@@ -1,4 +1,4 @@
-"""Intervals.  The twins use per-row weights, which SQL can hash as well."""
+"""Intervals.  The twins repeat the hashed draws of both kinds of weights."""
 
 from __future__ import annotations
 
@@ -175,59 +175,96 @@ def routing_ci(spark, sf):
     return rounded(rs.routing_ci(b.replayed(spark, sf), **ROWS), "point", "ci_low", "ci_high")
 
 
-# The default weights: cost independent of the number of rows.  SQL cannot repeat the draws; it compares the points and
-# counts, and that the bounds lie around the point.  The tests hold the bounds against those of the row weights.
+# The default weights: cost independent of the number of rows.  Every draw is repeated: counts per cell, a table of
+# cumulative probabilities for each different count, and the place of the draw's 52 bits in it.
 
 
-def bracketed(df):
-    """Rounded points, and whether the bounds lie around them, instead of the bounds."""
-    around = (F.col("ci_low") <= F.col("point")) & (F.col("point") <= F.col("ci_high")) & (F.col("ci_low") < F.col("ci_high"))
-    certain = F.col("point").isin(0.0, 1.0) & (F.col("ci_low") == F.col("ci_high")) & (F.col("ci_low") == F.col("point"))
-    return rounded(df.withColumn("brackets", around | certain).drop("ci_low", "ci_high"), "point")
+def cells_sql(source: str, columns: str, out: str = "wt") -> str:
+    """Twin of the cell weights over the columns of a cell (groups first)."""
+    key = "concat_ws('|', " + ", ".join(f"coalesce(CAST({c.strip()} AS VARCHAR), '<null>')" for c in columns.split(",")) + ")"
+    spread = "(12 * sqrt(c) + 40)"
+    lanes = " UNION ALL ".join(
+        f"SELECT * EXCLUDE (h, twin), 2 * twin + {i} AS replicate, CAST(concat('0x', substr(h, {16 * i + 1}, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE) AS u FROM {out}_h"
+        for i in (0, 1))
+    return f"""{out}_n AS (SELECT {columns}, count(*) AS c, {key} AS key FROM {source} GROUP BY {columns}),
+{out}_r AS (SELECT DISTINCT c, CAST(floor(greatest(c - {spread}, 0)) AS BIGINT) AS low, CAST(floor(c + {spread}) AS BIGINT) AS high FROM {out}_n),
+{out}_k AS (SELECT c, unnest(range(low, high + 1)) AS k FROM {out}_r),
+{out}_t AS (SELECT c, k, sum(exp(k * ln(c) - c - lgamma(k + 1))) OVER (PARTITION BY c ORDER BY k) AS upto FROM {out}_k),
+{out}_h AS (SELECT n.* EXCLUDE (key), twin, md5(concat('{SEED}|', CAST(twin AS VARCHAR), '|', key)) AS h FROM {out}_n n, (SELECT unnest(range({B // 2})) AS twin)),
+{out}_u AS ({lanes}),
+{out} AS (SELECT d.* EXCLUDE (c, u), coalesce(t.k + 1, r.low) AS w FROM {out}_u d JOIN {out}_r r ON r.c = d.c ASOF LEFT JOIN {out}_t t ON t.c = d.c AND d.u >= t.upto)"""
 
 
-@query("bootstrap_ci_cells", with_(*BASE) + f"""
-SELECT setting, count(*) AS n, round({rat(cnt('per_correct'), 'count(*)')}, 9) AS point, TRUE AS brackets FROM lab GROUP BY setting""")
+CI = ("ci_low", "ci_high")
+
+
+@query("bootstrap_ci_cells", with_(*BASE, cells_sql("lab", "setting, per_correct")) + f""",
+d AS (SELECT setting, replicate, {rat('sum(w) FILTER (WHERE per_correct)', 'sum(w)')} AS draw FROM wt GROUP BY 1, 2),
+c AS ({bounds('setting', 'd')})
+SELECT lab.setting, count(*) AS n, {rat(cnt('per_correct'), 'count(*)')} AS point, any_value(ci_low) AS ci_low, any_value(ci_high) AS ci_high
+FROM lab JOIN c ON c.setting = lab.setting GROUP BY lab.setting""")
 def bootstrap_ci_cells(spark, sf):
-    return bracketed(rs.bootstrap_ci(b.labelled(spark, sf), "per_correct", ["setting"], n=B))
+    return rounded(rs.bootstrap_ci(b.labelled(spark, sf), "per_correct", ["setting"], n=B), *CI)
+
+
+SCORE_CELLS = cells_sql("u", "setting, confidence, baseline_correct", "wc") + f", wt AS (SELECT *, confidence / 100 AS p, {RISK_SQL} AS risk FROM wc)"
 
 
-@query("auroc_ci_cells", with_(*CBASE, USABLE_W, auroc_sql("setting", "a", "u", "NOT baseline_correct", "risk")) + """
-SELECT setting, round(auroc, 9) AS point, TRUE AS brackets FROM a""")
+@query("auroc_ci_cells", with_(*CBASE, USABLE_W, SCORE_CELLS, auroc_sql("setting", "a", "u", "NOT baseline_correct", "risk"),
+       auroc_sql("setting, replicate", "d", "wt", "NOT baseline_correct", "risk", "w")) + f""", c AS ({bounds('setting', 'd', 'auroc')})
+SELECT a.setting, auroc AS point, ci_low, ci_high FROM a JOIN c ON a.setting = c.setting""")
 def auroc_ci_cells(spark, sf):
-    return bracketed(rs.auroc_ci(b.confident(spark, sf), n=B))
+    return rounded(rs.auroc_ci(b.confident(spark, sf), n=B), *CI)
 
 
-@query("ece_ci_cells", with_(*CBASE, USABLE_W, ece_sql("setting", "u", "e", "1")) + "SELECT setting, round(ece, 9) AS point FROM e")
+@query("ece_ci_cells", with_(*CBASE, USABLE_W, SCORE_CELLS, ece_sql("setting", "u", "e", "1"), ece_sql("setting, replicate", "wt", "d", "w")) + f""",
+c AS ({bounds('setting', 'd', 'ece')}) SELECT e.setting, round(ece, 9) AS point, ci_low, ci_high FROM e JOIN c ON e.setting = c.setting""")
 def ece_ci_cells(spark, sf):
-    """The calibration error of a resample is biased upwards, so its bounds need not lie around the point."""
-    return bracketed(rs.ece_ci(b.confident(spark, sf), n=B)).drop("brackets")
+    return rounded(rs.ece_ci(b.confident(spark, sf), n=B), "point", *CI)
 
 
-@query("routing_ci_cells", with_(*BASE, PRED, replay_sql("pred"), "ones AS (SELECT *, 1 AS w FROM rep)", summary_sql("ones", "setting", "pt")) + """
-SELECT setting, metric, round(value, 9) AS point FROM pt""")
+@query("routing_ci_cells", with_(*BASE, PRED, replay_sql("pred"), "ones AS (SELECT *, 1 AS w FROM rep)", cells_sql("rep", "setting, oracle_label, predicted_label, success", "wc"),
+       "wt AS (SELECT *, oracle_label = predicted_label AS mode_correct, oracle_label <> 'none' AS solvable FROM wc)",
+       summary_sql("ones", "setting", "pt"), summary_sql("wt", "setting, replicate", "dr")) + f""", c AS ({bounds('setting, metric', 'dr', 'value')})
+SELECT pt.setting, pt.metric, round(pt.value, 9) AS point, ci_low, ci_high FROM pt JOIN c ON c.setting = pt.setting AND c.metric = pt.metric""")
 def routing_ci_cells(spark, sf):
-    return bracketed(rs.routing_ci(b.replayed(spark, sf), n=B)).drop("brackets")
+    return rounded(rs.routing_ci(b.replayed(spark, sf), n=B), "point", *CI)
+
+
+def difference_sql(by: str, source: str, a: str, z: str) -> str:
+    """The paired difference in points over the cells of equal differences."""
+    on = " AND ".join(f"p.{c.strip()} = c.{c.strip()}" for c in by.split(","))
+    cols = ", ".join(f"p.{c.strip()}" for c in by.split(","))
+    point = f"CAST(100 AS DOUBLE) * ({rat(f'{cnt(a)} - {cnt(z)}', 'count(*)')})"
+    return f"""sd AS (SELECT *, CAST({a} AS INTEGER) - CAST({z} AS INTEGER) AS diff FROM {source}), {cells_sql('sd', by + ', diff')},
+d AS (SELECT {by}, replicate, CAST(100 AS DOUBLE) * ({rat('sum(w * diff)', 'sum(w)')}) AS draw FROM wt GROUP BY {by}, replicate),
+c AS ({bounds(by, 'd')}), p AS (SELECT {by}, count(*) AS n, round({point}, 9) AS point FROM {source} GROUP BY {by})
+SELECT {cols}, n, point, ci_low, ci_high FROM p JOIN c ON {on}"""
 
 
-@query("interaction_ci_cells", with_(*BASE, BOTH) + f"""
-SELECT setting, count(*) AS n, round(CAST(100 AS DOUBLE) * ({rat(f"{cnt('broadcast_correct')} - {cnt('per_correct')}", 'count(*)')}), 9) AS point FROM bf GROUP BY setting""")
+@query("interaction_ci_cells", with_(*BASE, BOTH) + ", " + difference_sql("setting", "bf", "broadcast_correct", "per_correct"))
 def interaction_ci_cells(spark, sf):
-    return bracketed(rs.interaction_ci(b.labelled(spark, sf), n=B)).drop("brackets")
+    return rounded(rs.interaction_ci(b.labelled(spark, sf), n=B), "point", *CI)
 
 
-@query("router_delta_ci_cells", with_(*ARMS) + f"""
-SELECT setting, pair, count(*) AS n, round(CAST(100 AS DOUBLE) * ({rat(f"{cnt('arm_a')} - {cnt('arm_b')}", 'count(*)')}), 9) AS point FROM pairs GROUP BY setting, pair""")
+@query("router_delta_ci_cells", with_(*ARMS) + ", " + difference_sql("setting, pair", "pairs", "arm_a", "arm_b"))
 def router_delta_ci_cells(spark, sf):
-    return bracketed(rs.router_delta_ci(_arms(spark, sf), ROUTER_PAIRS, n=B)).drop("brackets")
+    return rounded(rs.router_delta_ci(_arms(spark, sf), ROUTER_PAIRS, n=B), "point", *CI)
+
+
+def bracketed(df):
+    """Rounded points, and whether the bounds lie around them, instead of the bounds: no other engine repeats these draws."""
+    around = (F.col("ci_low") <= F.col("point")) & (F.col("point") <= F.col("ci_high")) & (F.col("ci_low") < F.col("ci_high"))
+    certain = F.col("point").isin(0.0, 1.0) & (F.col("ci_low") == F.col("ci_high")) & (F.col("ci_low") == F.col("point"))
+    return rounded(df.withColumn("brackets", around | certain).drop("ci_low", "ci_high"), "point")
 
 
 @query("multinomial_cells", with_(*BASE) + f"""
 SELECT count(*) AS n, CAST({B} AS BIGINT) AS replicates, round({rat(cnt('broadcast_correct'), 'count(*)')}, 9) AS point, TRUE AS brackets FROM lab""")
 def multinomial(spark, sf):
-    """Every replicate has as many draws as there are rows, over one cell per problem."""
+    """Every replicate has as many draws as there are rows, over one cell per problem; the share of successes splits no node below it."""
     rows = b.labelled(spark, sf)
-    draws = rs.multinomial_cells(rows, ["problem_uid", "broadcast_correct"], n=B).groupBy("replicate").agg(
+    draws = rs.multinomial_cells(rows, ["problem_uid", "broadcast_correct"], n=B, of=["broadcast_correct"]).groupBy("replicate").agg(
         ratio(F.sum(F.when(F.col("broadcast_correct"), F.col("w")).otherwise(0)), F.sum("w")).alias("draw"), F.sum("w").alias("n"),
     )
     bounds = draws.groupBy("n").agg(F.count("*").alias("replicates"), F.percentile("draw", F.lit(0.025)).alias("ci_low"), F.percentile("draw", F.lit(0.975)).alias("ci_high"))

@@ -7,21 +7,28 @@ cell.  There are two ways to get them.
 
 ``cells`` (default)  Rows are counted per cell first.  The weight of a cell with
     c problems is Poisson(c), the sum of c independent Poisson(1) weights, so
-    the cost is replicates x cells whatever the number of rows.
+    the cost is replicates x cells whatever the number of rows.  A draw inverts
+    the distribution at 52 bits of a hash of (seed, replicate, cell).
 ``rows``  Each problem gets its own Poisson(1) weight from a hash of (seed,
     replicate, id): needed when the statistic sums a per-row measure such as
-    tokens, and checkable outside Spark.  One hash serves four replicates, and
-    the partial aggregate collapses the explode inside each map task.
+    tokens.  One hash serves four replicates.  A task keeps one array of all
+    replicates' sums per group and adds its rows up in it, so a task hands on one
+    row per group, and never a row per problem and replicate.
 
-No draw depends on partitioning or on a retry.
+Both kinds of draws can be repeated outside Spark, and none depends on
+partitioning or on a retry.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -36,6 +43,9 @@ DRAWS = 100
 UNIT = float(2**32)
 # Children of a node of the multinomial tree: one byte of the digest.
 FAN_OUT = 256
+# Rows that are weighted at once, and numbers that a task holds before it hands groups on.
+PORTION = 256
+HELD = 1 << 23
 
 
 def poisson_thresholds() -> list[float]:
@@ -50,39 +60,125 @@ def poisson_thresholds() -> list[float]:
         term /= k
 
 
-def poisson_weight(bits: str) -> Column:
-    """Poisson(1) by inversion from the column ``bits`` of 32-bit integers."""
-    return F.expr(" + ".join(f"CAST({bits} >= {math.ceil(t * UNIT)} AS INT)" for t in poisson_thresholds()))
+def _lane_bits(seeded: list, unit: bytes) -> bytes:
+    """The hashes of one unit in all blocks, four lanes of 32 bits each."""
+    out = []
+    for start in seeded:
+        own = start.copy()
+        own.update(unit)
+        out.append(own.digest())
+    return b"".join(out)
+
+
+def _row_sums(keys: list[str], kinds: dict[str, str], n: int, seed: int):
+    """Rows to one row per group: the group's columns, and arrays of the sample's sum and all replicates' sums."""
+    blocks = (n + LANES - 1) // LANES
+    edges = np.array([math.ceil(t * UNIT) for t in poisson_thresholds()], dtype=np.uint64)
+    measures = list(kinds)
+    types = {m: np.int64 if kinds[m] == "bigint" else np.float64 for m in measures}
+
+    def told(held: dict) -> pa.RecordBatch:
+        first = [h[0] for h in held.values()]
+        rows = {c: pa.concat_arrays([f.column(c) for f in first]) for c in keys}
+        sums = {"w": pa.array([h[1] for h in held.values()], pa.list_(pa.int64()))}
+        sums |= {m: pa.array([h[2][m] for h in held.values()], pa.list_(pa.int64() if kinds[m] == "bigint" else pa.float64())) for m in measures}
+        return pa.RecordBatch.from_pydict(rows | sums)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seeded = [hashlib.md5(f"{seed}|{block}|".encode()) for block in range(blocks)]
+        held: dict[tuple, tuple] = {}
+        for batch in batches:
+            names = list(zip(*(batch.column(c).to_pylist() for c in keys))) if keys else [()] * batch.num_rows
+            units = batch.column("_unit").to_pylist()
+            values = {m: batch.column(m).fill_null(0).to_numpy(zero_copy_only=False).astype(types[m]) for m in measures}
+            members: dict[tuple, list[int]] = {}
+            for k, name in enumerate(names):
+                members.setdefault(name, []).append(k)
+            for name, rows in members.items():
+                if name not in held:
+                    held[name] = (batch.select(keys).slice(rows[0], 1), np.zeros(n + 1, np.int64), {m: np.zeros(n + 1, types[m]) for m in measures})
+                _, total, sums = held[name]
+                for begin in range(0, len(rows), PORTION):
+                    part = rows[begin:begin + PORTION]
+                    bits = np.frombuffer(b"".join(_lane_bits(seeded, (units[k] or "").encode()) for k in part), dtype=">u4")
+                    weight = np.searchsorted(edges, bits.astype(np.uint64), side="right").reshape(len(part), -1)[:, :n]
+                    total[0] += len(part)
+                    total[1:] += weight.sum(axis=0)
+                    for m in measures:
+                        own = values[m][part]
+                        sums[m][0] += own.sum()
+                        sums[m][1:] += (weight * own[:, None]).sum(axis=0)
+            if len(held) * (n + 1) * (1 + len(measures)) > HELD:
+                yield told(held)
+                held = {}
+        if held:
+            yield told(held)
+
+    return run
+
+
+def _added(keys: list[str], kinds: dict[str, str]):
+    """Adds up the arrays of neighbouring rows of one group."""
+    names = ["w", *kinds]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, sums, schema = None, None, None
+        for batch in batches:
+            groups = list(zip(*(batch.column(c).to_pylist() for c in keys))) if keys else [()] * batch.num_rows
+            arrays = {c: (batch.column(c).offsets.to_numpy(), batch.column(c).values.to_numpy()) for c in names}
+            schema = batch.schema
+            for k, group in enumerate(groups):
+                row = [arrays[c][1][arrays[c][0][k]:arrays[c][0][k + 1]] for c in names]
+                if own is not None and group == own[0]:
+                    sums = [a + b for a, b in zip(sums, row)]
+                    continue
+                if own is not None:
+                    yield _one(own[1], sums, schema)
+                own, sums = (group, batch.select(keys).slice(k, 1)), row
+        if own is not None:
+            yield _one(own[1], sums, schema)
+
+    def _one(first: pa.RecordBatch, sums: list[np.ndarray], schema: pa.Schema) -> pa.RecordBatch:
+        columns = list(first.columns) + [pa.array([s], schema.field(c).type) for c, s in zip(names, sums)]
+        return pa.RecordBatch.from_arrays(columns, names=[*keys, *names])
+
+    return run
 
 
 def _row_weighted(df: DataFrame, by, cell, unit: str, n: int, seed: int, measures) -> DataFrame:
-    # Block -1 carries the unweighted rows as replicate -1.
-    blocks = F.sequence(F.lit(-1), F.lit((n + LANES - 1) // LANES - 1))
-    narrow = df.select(*by, *cell, *measures, F.col(unit).cast("string").alias("_unit"))
-    # Each row becomes n / LANES rows, so the partition sizes that suited the
-    # input no longer fit: deal the rows out evenly first, whatever the units are.
+    keys = [*by, *cell]
+    narrow = df.select(*keys, *[F.col(m).cast("bigint" if dict(df.dtypes)[m] in ("tinyint", "smallint", "int", "bigint") else "double") for m in measures],
+                       F.coalesce(F.col(unit).cast("string"), F.lit("")).alias("_unit"))
+    kinds = {m: dict(narrow.dtypes)[m] for m in measures}
+    schema = ", ".join([f"`{c}` {dict(narrow.dtypes)[c]}" for c in keys] + ["w array<bigint>"] + [f"`{m}` array<{k}>" for m, k in kinds.items()])
+    # Hashing costs far more than moving a row: deal the rows out evenly first, whatever the partitions of the input are.
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = narrow.repartition(tasks).withColumn("_block", F.explode(blocks))
-    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("_block").cast("string"), F.col("_unit")).cast("binary"))
-    rows = rows.withColumn("_h", digest)
-    rows = rows.withColumns({
-        f"_b{i}": F.conv(F.substring("_h", 8 * i + 1, 8), 16, 10).cast("bigint") for i in range(LANES)
-    })
-    rows = rows.withColumns({
-        f"_w{i}": F.when(F.col("_block") == -1, F.lit(1)).otherwise(poisson_weight(f"_b{i}")) for i in range(LANES)
-    })
-    aggs = []
-    for i in range(LANES):
-        aggs.append(F.sum(f"_w{i}").cast("bigint").alias(f"w{i}"))
-        aggs += [F.sum(F.col(f"_w{i}") * F.col(m)).alias(f"{m}{i}") for m in measures]
-    summed = rows.groupBy(*by, "_block", *cell).agg(*aggs)
-    lane = F.array(*[
-        F.struct((F.col("_block") * LANES + i).cast("int").alias("replicate"), F.col(f"w{i}").alias("w"),
-                 *[F.col(f"{m}{i}").alias(f"w_{m}") for m in measures])
-        for i in range(LANES)
-    ])
-    out = summed.select(*by, *cell, F.explode(lane).alias("_l")).select(*by, *cell, "_l.*")
-    return out.where((F.col("replicate") >= -1) & (F.col("replicate") < n))
+    sums = narrow.repartition(tasks).mapInArrow(_row_sums(keys, kinds, n, seed), schema)
+    gathered = sums.repartition(tasks, *keys).sortWithinPartitions(*keys) if keys else sums.coalesce(1)
+    total = gathered.mapInArrow(_added(keys, kinds), schema)
+    each = F.transform("w", lambda w, i: F.struct(
+        (i - 1).cast("int").alias("replicate"), w.alias("w"), *[F.get(F.col(m), i).alias(f"w_{m}") for m in measures]
+    ))
+    return total.select(*keys, F.explode(each).alias("_l")).select(*keys, "_l.*")
+
+
+@lru_cache(maxsize=64)
+def poisson_inverse(count: int) -> tuple[int, np.ndarray]:
+    """The least value of a table, and the probability of no more than each value from there on.
+
+    The table ends where probabilities no longer reach the 52 bits of a draw, on both sides.
+    """
+    middle = int(count)
+    spread = 12 * math.sqrt(count) + 40
+    low, high = max(0, int(middle - spread)), int(middle + spread)
+    k = np.arange(low, high + 1, dtype=float)
+    steps = np.where(k > low, math.log(count) - np.log(np.maximum(k, 1.0)), 0.0)
+    steps[0] = low * math.log(count) - count - math.lgamma(low + 1)
+    return low, np.cumsum(np.exp(np.cumsum(steps)))
+
+
+def _cell_key(columns) -> Column:
+    return F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("<null>")) for c in columns]) if columns else F.lit("")
 
 
 def _cell_weighted(df: DataFrame, by, cell, n: int, seed: int) -> DataFrame:
@@ -90,18 +186,21 @@ def _cell_weighted(df: DataFrame, by, cell, n: int, seed: int) -> DataFrame:
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = F.sequence(F.lit(0), F.lit((n + DRAWS - 1) // DRAWS - 1))
     drawn = counts.withColumn("_block", F.explode(blocks)).repartition(tasks, *by, *cell, "_block")
-    key = F.xxhash64(F.lit(seed), F.col("_block"), *[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in [*by, *cell]])
 
     @pandas_udf(ArrayType(LongType()))
-    def draw(count: pd.Series, stream: pd.Series) -> pd.Series:
-        """One generator per (cell, block), whatever batch or task it falls into."""
-        return pd.Series([
-            np.random.Generator(np.random.Philox(key=int(s) & (2**64 - 1))).poisson(c, DRAWS) for c, s in zip(count, stream)
-        ])
+    def draw(count: pd.Series, key: pd.Series, block: pd.Series) -> pd.Series:
+        """One hash serves two replicates, whatever batch or task they fall into."""
+        out = []
+        for c, name, b in zip(count, key, block):
+            hashes = b"".join(hashlib.md5(f"{seed}|{pair}|{name}".encode()).digest() for pair in range(b * DRAWS // 2, (b + 1) * DRAWS // 2))
+            part = np.frombuffer(hashes, dtype=">u8").astype(np.uint64) >> np.uint64(12)
+            low, upto = poisson_inverse(int(c))
+            out.append(low + np.searchsorted(upto, part / float(1 << 52), side="right"))
+        return pd.Series(out)
 
     first = F.col("_block") == 0
     weights = F.when(first, F.concat(F.array("_count"), F.col("_w"))).otherwise(F.col("_w"))
-    long = drawn.withColumn("_w", draw("_count", key)).select(*by, *cell, "_block", F.posexplode(weights).alias("_i", "w"))
+    long = drawn.withColumn("_w", draw("_count", _cell_key([*by, *cell]), "_block")).select(*by, *cell, "_block", F.posexplode(weights).alias("_i", "w"))
     replicate = (F.col("_block") * DRAWS + F.col("_i") - (F.col("_block") == 0).cast("int")).cast("int")
     return long.select(*by, *cell, replicate.alias("replicate"), "w").where(F.col("replicate") < n)
 
@@ -126,21 +225,46 @@ def _node(level: int) -> Column:
     return F.substring("_digest", 1, 2 * level)
 
 
-def multinomial_cells(df: DataFrame, cell=(), n: int = 2000, seed: int = 42) -> DataFrame:
+def multinomial_cells(df: DataFrame, cell=(), n: int = 2000, seed: int = 42, of=None) -> DataFrame:
     """Exact draws of as many problems as there are, with replacement, over cells.
 
     A multinomial draw is split down a tree: a node's draws are shared out among
-    its children by their counts, and so on to the cells.  A node is a prefix of
-    the cells' digests, one byte a level, and the levels follow the number of
-    cells, so a node has a few hundred children whatever the size.  Each
+    its children by their counts, and so on to the cells.  The upper part of the
+    tree tells cells apart by the columns ``of`` that a statistic reads (all of
+    them if not given).  Below it all cells of a node agree in the statistic, so
+    the node is split no further: (``of``..., replicate, w) come out, and neither
+    the draws nor their sums cost more than the distinct values.  The draws of
+    ``share_out`` go on from there to the cells.
+
+    A node is a prefix of the digests, one byte a level, and the levels follow
+    their number, so a node has a few hundred children whatever the size.  Each
     (replicate, node) has a generator of its own.  Every replicate adds up to
     the number of rows.
     """
-    cell = list(cell)
-    spark = df.sparkSession
+    of = list(cell if of is None else of)
+    counts = df.groupBy(*of).agg(F.count("*").alias("_count"))
+    total = counts.agg(F.sum("_count").alias("w")).where("w > 0")
+    draws = total.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("replicate"), "w", F.lit("").alias("_node"))
+    return _split_down(draws, counts, of, [], seed)
+
+
+def share_out(df: DataFrame, draws: DataFrame, cell, of, seed: int = 42) -> DataFrame:
+    """Draws of ``multinomial_cells(..., of=of)`` shared out among the cells (which name the columns ``of`` too) below them."""
+    cell, of = list(cell), list(of)
     counts = df.groupBy(*cell).agg(F.count("*").alias("_count"))
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in cell]
-    keyed = counts.withColumn("_digest", F.md5(F.concat_ws("\x1f", F.lit(""), *parts)))
+    return _split_down(draws.withColumn("_node", _digest(of)), counts, cell, of, seed)
+
+
+def _digest(columns) -> Column:
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in columns]
+    return F.md5(F.concat_ws("\x1f", F.lit(""), *parts))
+
+
+def _split_down(draws: DataFrame, counts: DataFrame, cell: list[str], above: list[str], seed: int) -> DataFrame:
+    """``draws``: (replicate, w, _node) of the nodes above, named by the digest of ``above`` or '' for all cells."""
+    root = _digest(above) if above else F.lit("")
+    rest = [c for c in cell if c not in above]
+    keyed = counts.withColumn("_digest", _digest(rest)).withColumn("_root", root)
     levels = max(1, math.ceil(math.log(max(1, counts.count()), FAN_OUT)))
 
     @pandas_udf(ArrayType(LongType()))
@@ -153,22 +277,21 @@ def multinomial_cells(df: DataFrame, cell=(), n: int = 2000, seed: int = 42) ->
 
     def split(draws: DataFrame, children: DataFrame) -> DataFrame:
         """``children``: _node and a list of (child, _count) in a fixed order."""
-        joined = draws.join(children, "_node")
+        joined = draws.select("replicate", "w", "_node").join(children, "_node")
         stream = F.xxhash64(F.lit(seed), F.col("replicate"), F.col("_node"))
         taken = joined.withColumn("_taken", share("w", F.transform("_children", lambda c: c["_count"]), stream))
         pairs = F.arrays_zip(F.transform("_children", lambda c: c["child"]).alias("child"), F.col("_taken").alias("w"))
         return taken.select("replicate", F.explode(pairs).alias("_p")).select("replicate", "_p.child", "_p.w")
 
-    total = counts.agg(F.sum("_count").alias("w")).where("w > 0")
-    draws = total.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("replicate"), "w", F.lit("").alias("_node"))
+    def node(level: int) -> Column:
+        return F.concat("_root", _node(level)) if level else F.col("_root")
+
     for level in range(1, levels):
-        sums = keyed.groupBy(_node(level).alias("child")).agg(F.sum("_count").alias("_count"))
-        children = sums.groupBy(F.substring("child", 1, 2 * (level - 1)).alias("_node")).agg(
-            F.array_sort(F.collect_list(F.struct("child", "_count"))).alias("_children")
-        )
+        sums = keyed.groupBy(node(level - 1).alias("_node"), node(level).alias("child")).agg(F.sum("_count").alias("_count"))
+        children = sums.groupBy("_node").agg(F.array_sort(F.collect_list(F.struct("child", "_count"))).alias("_children"))
         draws = split(draws, children).withColumnRenamed("child", "_node")
     leaf = F.struct(F.struct("_digest", *cell).alias("child"), "_count")
-    cells = keyed.groupBy(_node(levels - 1).alias("_node")).agg(F.array_sort(F.collect_list(leaf)).alias("_children"))
+    cells = keyed.groupBy(node(levels - 1).alias("_node")).agg(F.array_sort(F.collect_list(leaf)).alias("_children"))
     return split(draws, cells).select(*[F.col(f"child.{c}").alias(c) for c in cell], F.col("replicate").cast("int"), "w")
 
 

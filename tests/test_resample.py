@@ -108,3 +108,70 @@ def test_cell_draws_extend_with_more_replicates(table):
     few = rs.weighted_cells(table, (), ["a"], n=100).where("replicate < 100")
     many = rs.weighted_cells(table, (), ["a"], n=250).where("replicate < 100")
     assert rows(few) == rows(many)
+
+
+def test_a_task_hands_on_one_row_a_group(monkeypatch):
+    """Sums of all replicates against single hashes; groups that no longer fit are handed on in parts."""
+    import hashlib
+
+    import pyarrow as pa
+
+    n, units = 30, [f"u{k}" for k in range(300)]
+    batch = pa.RecordBatch.from_pydict({"g": pa.array([k % 3 for k in range(300)]), "m": pa.array([None if k == 9 else k for k in range(300)], pa.int64()), "_unit": pa.array(units)})
+    edges = [math.ceil(t * rs.UNIT) for t in rs.poisson_thresholds()]
+
+    def weight(unit, replicate):
+        h = hashlib.md5(f"7|{replicate // 4}|{unit}".encode()).hexdigest()
+        bits = int(h[8 * (replicate % 4):8 * (replicate % 4) + 8], 16)
+        return sum(bits >= e for e in edges)
+
+    halves = [batch.slice(0, 120), batch.slice(120)]
+    out = [r for b in rs._row_sums(["g"], {"m": "bigint"}, n, 7)(iter(halves)) for r in b.to_pylist()]
+    assert sorted(r["g"] for r in out) == [0, 1, 2]
+    for r in out:
+        own = [k for k in range(300) if k % 3 == r["g"]]
+        assert r["w"] == [100] + [sum(weight(units[k], i) for k in own) for i in range(n)]
+        assert r["m"] == [sum(k for k in own if k != 9)] + [sum(weight(units[k], i) * k for k in own if k != 9) for i in range(n)]
+    monkeypatch.setattr(rs, "HELD", 50)
+    parts = [r for b in rs._row_sums(["g"], {"m": "bigint"}, n, 7)(iter(halves)) for r in b.to_pylist()]
+    assert len(parts) == 6
+    for group in range(3):
+        whole = next(r["w"] for r in out if r["g"] == group)
+        assert [sum(x) for x in zip(*(p["w"] for p in parts if p["g"] == group))] == whole
+
+
+@pytest.mark.parametrize("count", [1, 2, 37, 5000, 4_000_000])
+def test_poisson_inverse_is_the_distribution(count):
+    low, upto = rs.poisson_inverse(count)
+    step = np.diff(np.r_[0.0, upto])
+    k = low + np.arange(len(step))
+    assert upto[-1] == pytest.approx(1, abs=1e-8)
+    assert (k * step).sum() == pytest.approx(count, rel=1e-7) and ((k - count) ** 2 * step).sum() == pytest.approx(count, rel=1e-6)
+
+
+def test_cell_draws_are_inverted_hashes(table):
+    import hashlib
+
+    draws = {(r["a"], r["replicate"]): r["w"] for r in rs.weighted_cells(table, ["setting"], ["a"], n=9, seed=5).collect()}
+    for a in (True, False):
+        count = table.where(F.col("a") == a).count()
+        assert draws[a, -1] == count
+        for replicate in range(9):
+            h = hashlib.md5(f"5|{replicate // 2}|s|{str(a).lower()}".encode()).hexdigest()
+            u, k, p = int(h[16 * (replicate % 2):][:13], 16) / 2**52, 0, 0.0
+            while True:
+                p += math.exp(k * math.log(count) - count - math.lgamma(k + 1))
+                if u < p:
+                    break
+                k += 1
+            assert draws[a, replicate] == k
+
+
+def test_a_node_whose_cells_agree_is_not_split(table):
+    """Draws of the statistic's values alone, and the same draws shared out to the cells below."""
+    few = rs.multinomial_cells(table, ["problem_uid", "a"], n=40, of=["a"])
+    assert few.columns == ["a", "replicate", "w"] and few.count() == 80
+    cells = rs.share_out(table, few, ["problem_uid", "a"], ["a"])
+    assert cells.count() == 40 * 600
+    assert rows(cells.groupBy("a", "replicate").agg(F.sum("w").alias("w"))) == rows(few)
+    assert {r["n"] for r in few.groupBy("replicate").agg(F.sum("w").alias("n")).collect()} == {600}

@@ -114,3 +114,61 @@ def test_wide_binding_equals_the_long_operator(spark, sf):
     full, _ = matched_outcomes(b.runs(spark, sf), ("problem_uid",))
     wide = b.matched(spark, sf).select(*full.columns)
     assert rows(wide) == rows(full)
+
+
+def _noisy(spark, n=1200):
+    """Rows whose label depends on the features only in part, so that the optimum is inside."""
+    x = F.pmod(F.xxhash64("id"), F.lit(97)) / 97
+    df = spark.range(n).select(
+        F.col("id").cast("string").alias("problem_uid"), (F.col("id") % 7).cast("int").alias("difficulty_tier"), x.alias("difficulty"),
+        F.concat(F.lit("src"), (F.col("id") % 5).cast("string")).alias("source"), F.concat_ws(" ", F.lit("word"), F.concat(F.lit("w"), (F.col("id") % 11).cast("string"))).alias("problem"),
+        F.lit('["a"]').alias("domain"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(100)).alias("_r"),
+    )
+    label = F.when(F.col("_r") < 20 + 40 * F.col("difficulty"), "baseline_llm").when(F.col("_r") < 70 + 2 * F.col("difficulty_tier"), "single_agent").otherwise("broadcast")
+    return df.withColumn("oracle_label", label).drop("_r")
+
+
+def test_grid_is_every_single_fit(spark):
+    from escalade.plans import grid
+
+    df = _noisy(spark).coalesce(2).persist()
+    featurizer, models = router.fit_grid(df)
+    assert models.coefficients.shape == (6, featurizer.n_features(df) + 1, 3) and models.classes == ["baseline_llm", "single_agent", "broadcast"]
+    passes = []
+    for place, config in list(enumerate(router.GRID))[:3]:
+        _, alone = router.fit_grid(df, grid=[config])
+        passes.append(alone.passes)
+        assert abs(alone.coefficients[0] - models.coefficients[place]).max() < 1e-6
+    # As many passes as the slowest configuration of six takes, not as all together.
+    assert models.passes < sum(passes) and models.passes < 2.5 * max(passes)
+    # And Spark's solver, which stops earlier, comes near the same optimum.
+    mine = models.coefficients[1]
+    theirs = router.LogisticRouter(C=1.0, class_weight=None).fit(df, featurizer)
+    w = theirs.model.coefficientMatrix.toArray()[[0, 1, 3]].T
+    assert abs(mine[:-1] - w).max() < 0.1
+    y = router.LABELS
+    told = models.predictions(grid.sparse_rows(featurizer.transform(df), F.lit(0), "oracle_label"), "oracle_label")
+    hits = {r["place"]: r["n"] for r in told.where("oracle_label = predicted_label").groupBy("place").agg(F.sum("n").alias("n")).collect()}
+    single = theirs.predict(df).where("oracle_label = predicted_label").count()
+    assert len(y) == 5 and abs(hits[1] - single) <= 6 and sum(r["n"] for r in told.collect()) == 6 * df.count()
+
+
+def test_grid_gradients_are_differences_of_losses():
+    import numpy as np
+    import pyarrow as pa
+
+    from escalade.plans import grid
+
+    rng = np.random.default_rng(1)
+    places = [sorted(rng.choice(6, rng.integers(0, 4), replace=False).tolist()) for _ in range(40)]
+    batch = pa.RecordBatch.from_pydict({
+        "y": pa.array(rng.integers(0, 3, 40), pa.int32()), "places": pa.array(places, pa.list_(pa.int32())),
+        "values": pa.array([rng.normal(size=len(p)).tolist() for p in places], pa.list_(pa.float64())),
+    })
+    x, weights = rng.normal(size=(7, 6)), rng.random((2, 3))
+    base = grid._loss_and_gradient(x, weights, 3, [batch])
+    for place in ((0, 0), (3, 4), (6, 5), (6, 1)):
+        more = x.copy()
+        more[place] += 1e-6
+        config = place[1] // 3 * 3
+        assert (grid._loss_and_gradient(more, weights, 3, [batch])[-1, config] - base[-1, config]) / 1e-6 == pytest.approx(base[place], abs=1e-4)
