@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from escalade.session import new_folder, ship_package
 
-__all__ = ["components", "join_counted", "read", "settle", "ship_package"]
+__all__ = ["components", "discard", "join_counted", "read", "settle", "ship_package"]
 
 #: A key is hot if it has more than this part of all rows, so there are fewer hot keys than this.
 HOT_KEYS = 1024
@@ -23,7 +23,9 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: later steps survive lost executors."""
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._settled = path
+    return table
 
 
 def join_counted(rows: DataFrame, table: DataFrame, on: str | list[str], n: str = "n", how: str = "inner") -> DataFrame:
@@ -48,8 +50,9 @@ def components(links: DataFrame) -> DataFrame:
     Large-star and small-star rounds in turn: every node hangs its greater
     neighbours, then its smaller ones, on the least of them, until nothing
     changes.  The rounds grow with the logarithm of the longest path; each one
-    is grouping by minimum and an equi-join, so a node with a third of all
-    links combines map-side and its join partition can be split.
+    is grouping by minimum, which combines map-side, and ``join_counted``, so a
+    node with a third of all links is no single task.  A round's tables go when
+    the next ones are written.
     """
     edges = settle(
         links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links"
@@ -57,12 +60,14 @@ def components(links: DataFrame) -> DataFrame:
     mark = _mark(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = settle(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "stars")
-        now = _mark(edges)
+        least = settle(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"), "least")
+        large = settle(join_counted(both, least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")), "large")
+        lower = settle(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "lower")
+        small = join_counted(large, lower, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        stars = settle(small.unionByName(lower.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        now = _mark(stars)
+        discard(edges, least, large, lower)
+        edges = stars
         if now == mark:
             break
         mark = now
@@ -70,6 +75,14 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Remove written tables that nothing will read again."""
+    for table in tables:
+        jvm = table.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(table._settled)
+        path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def _mark(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("v", "u"))).first()
     return tuple(row)

@@ -2,22 +2,26 @@
 
 The content lines of a document (those that are not blank) form a sequence of
 64-bit line hashes.  Among any ``window`` consecutive lines the one with the
-least hash is the window's fingerprint, so two equal runs of ``window`` lines
-always share a fingerprint: runs of that length cannot be missed.
+least hash (the first of equal ones) is the window's fingerprint, so two equal runs
+of ``window`` lines always share a fingerprint: runs of that length cannot be missed.
 
-1. Each document selects its fingerprints inside its own row.
+1. Each document selects its fingerprints inside its own row.  Only these are
+   written out: place, hash, the neighbouring line hashes that a window around
+   it can reach, and the windows that it stands for.
 2. Fingerprints that occur once in the corpus are dropped: nothing repeats there.
-3. The windows of the others are joined by their hash: the first occurrence
-   (by doc_id, then place) stays, every later one is a match.  Matches of
-   neighbouring windows overlap, so that a match grows both ways until the
-   lines differ; the union of a document's later matches is what it loses.
+   The positions of the others are joined by their hash.
+3. Each position is extended both ways, over its neighbours, to the windows that it
+   is the least line of.  The first occurrence of an extension (by doc_id, then
+   place) stays, every later one is a match.  Matches of neighbouring windows
+   overlap, so that a match grows until the lines differ; the union of a
+   document's later matches is what it loses.
 
 A line of ``long_words`` words or more is a run of its own, since a whole
 passage may stand on one line.
 
 Only hashes and places are shuffled before the final join.  Minima and counts
-per hash combine map-side; the joins by hash are equi-joins whose hot
-partitions can be split, and no pair of occurrences is ever formed.
+per hash combine map-side and are written; a hash of very many positions is joined
+by ``join_counted``, and no pair of occurrences is ever formed.
 
 Results in special cases: a null text stays null and counts as no lines; blank
 lines are kept and do not interrupt a run; rows that repeat doc_id and text are
@@ -32,7 +36,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from escalade.llm.frames import read, settle
+from escalade.llm.frames import join_counted, read, settle
 
 #: Guaranteed length of a repeated run, in lines.
 WINDOW = 2
@@ -54,21 +58,31 @@ def content_lines(text: Column) -> Column:
     return F.filter(every, lambda x: ~x["col3"])
 
 
-def windows_of(lines: Column, window: int, long_words: int) -> Column:
-    """Every window of lines with its least hash, and every long line as a window of one line."""
-    def one(hashes, i):
-        part = F.slice(hashes, i + 1, window)
-        return F.struct(i.alias("at"), F.array_min(part).alias("least"), F.xxhash64(part).alias("content"), F.lit(window).alias("lines"))
+def fingerprints_of(lines: Column, window: int, long_words: int) -> Column:
+    """The least line of every window, once, and every long line: its place and hash, the hashes around it from place
+    ``first`` on, and the runs (start, lines) that it stands for."""
+    def least(hashes):
+        def of(i):
+            part = F.slice(hashes, i + 1, window)
+            return (i + F.array_position(part, F.array_min(part)) - 1).cast("int")
 
-    def runs(hashes):
-        return F.when(F.size(hashes) >= window, F.transform(F.sequence(F.lit(0), F.size(hashes) - window), lambda i: one(hashes, i)))
+        return F.when(F.size(hashes) >= window, F.transform(F.sequence(F.lit(0), F.size(hashes) - window), of)).otherwise(F.array().cast("array<int>"))
 
-    singles = F.transform(lines, lambda x, i: F.struct(
-        i.alias("at"), x["h"].alias("least"), F.xxhash64(F.array(x["h"])).alias("content"), F.when(x["words"] >= long_words, 1).alias("lines")
-    ))
-    return F.concat(
-        F.coalesce(bound(F.transform(lines, lambda x: x["h"]), runs), F.array()), F.filter(singles, lambda x: x["lines"].isNotNull())
-    )
+    def one(hashes, places, at):
+        first, last = F.greatest(at - window + 1, F.lit(0)), F.least(at, F.size(hashes) - window)
+        starts = F.filter(F.sequence(first, last), lambda i: F.get(places, i) == at)
+        return F.struct(
+            at.alias("at"), F.get(hashes, at).alias("h"), F.slice(hashes, first + 1, 2 * window - 1).alias("around"), first.alias("first"),
+            F.transform(starts, lambda i: F.struct(i.alias("start"), F.lit(window).alias("lines"))).alias("runs"),
+        )
+
+    def selected(hashes):
+        return bound(least(hashes), lambda places: F.transform(F.array_distinct(places), lambda at: one(hashes, places, at)))
+
+    singles = F.transform(F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("at"), x["h"].alias("h"), x["words"].alias("words"))), lambda x: x["words"] >= long_words),
+                          lambda x: F.struct(x["at"].alias("at"), x["h"].alias("h"), F.array(x["h"]).alias("around"), x["at"].alias("first"),
+                                             F.array(F.struct(x["at"].alias("start"), F.lit(1).alias("lines"))).alias("runs")))
+    return F.concat(bound(F.transform(lines, lambda x: x["h"]), selected), singles)
 
 
 def repeated_lines(docs: DataFrame, window: int = WINDOW, long_words: int = LONG_WORDS) -> DataFrame:
@@ -77,19 +91,21 @@ def repeated_lines(docs: DataFrame, window: int = WINDOW, long_words: int = LONG
     ``version`` is the 64-bit hash of the text; documents without such lines are absent.
     """
     seen = docs.where("text is not null").select(
-        "doc_id", F.xxhash64("text").alias("version"), bound(content_lines(F.col("text")), lambda x: windows_of(x, window, long_words)).alias("windows")
-    )
-    windows = seen.select("doc_id", "version", F.explode("windows").alias("w")).select("doc_id", "version", "w.*")
-    # Read three times below; a row is a few numbers, while making it means scanning the text.
-    windows = settle(windows, "line-windows")
-    places = windows.groupBy("least").agg(
-        F.min(F.struct("doc_id", "version", "at", "lines")).alias("low"), F.max(F.struct("doc_id", "version", "at", "lines")).alias("high")
+        "doc_id", F.xxhash64("text").alias("version"), bound(content_lines(F.col("text")), lambda x: fingerprints_of(x, window, long_words)).alias("prints")
     )
-    shared = places.where("low <> high").select("least")
-    candidates = windows.join(shared, "least", "left_semi")
-    first = candidates.groupBy("content").agg(F.min(F.struct("doc_id", "version", "at")).alias("first"), F.max(F.struct("doc_id", "version", "at")).alias("last"))
-    first = first.where("first <> last").select("content", "first")
-    later = candidates.join(first, "content").where(F.struct("doc_id", "version", "at") > F.col("first"))
+    prints = seen.select("doc_id", "version", F.explode("prints").alias("p")).select("doc_id", "version", "p.*")
+    # Read several times below; a row is a few numbers, while making it means scanning the text.
+    prints = settle(prints, "line-fingerprints")
+    place = F.struct("doc_id", "version", "at")
+    shared = prints.groupBy("h").agg(F.min(place).alias("low"), F.max(place).alias("high"), F.count("*").alias("n"))
+    shared = settle(shared.where("low <> high").select("h", "n"), "shared-lines")
+    met = join_counted(prints, shared, "h").select("doc_id", "version", "h", "around", "first", F.explode("runs").alias("r"))
+    extended = met.select("doc_id", "version", "h", F.col("r.start").alias("at"), F.col("r.lines").alias("lines"),
+                          F.xxhash64(F.slice("around", F.col("r.start") - F.col("first") + 1, F.col("r.lines"))).alias("run"))
+    extended = settle(extended, "extended-lines")
+    first = extended.groupBy("h", "run").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n"))
+    first = settle(first.where("first <> last").select("h", "run", "first", "n"), "first-runs")
+    later = join_counted(extended, first, ["h", "run"]).where(place > F.col("first"))
     spans = later.groupBy("doc_id", "version").agg(F.collect_set(F.struct("at", "lines")).alias("spans"))
     covered = F.flatten(F.transform("spans", lambda s: F.sequence(s["at"], s["at"] + s["lines"] - 1)))
     return spans.select("doc_id", "version", F.array_distinct(covered).alias("removed"))

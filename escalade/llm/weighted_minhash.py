@@ -16,14 +16,19 @@
    compared.  A bucket of up to ``FEW`` nodes emits its pairs.  The nodes of larger
    ones meet by a weighted prefix filter, which loses no pair: in a common order,
    rarest first, two texts at or over the threshold share a shingle among those
-   before which at most a share of 1 - threshold of the weight stands.  Shingles of
-   up to ``MANY`` nodes emit pairs; the nodes of others are dealt out as pairs of
-   blocks, and a task compares all nodes of two blocks by matrix products.
+   before which at most a share of 1 - threshold of the weight stands.  What
+   stands before the first common one bounds the shared weight, and so do the
+   whole weights: both drop pairs, groups and blocks that cannot reach the
+   threshold before any text is moved.  Shingles of up to ``MANY`` nodes emit
+   the other pairs; nodes of others are dealt out as pairs of blocks, where a task
+   looks at weights and bands alone.  It names the pairs that are left, or, if they
+   are many, has all texts of the two blocks compared by matrix products.
 6. Links are joined to classes by their least doc_id.
 
 Pairs are verified by the weighted Jaccard similarity of their whole texts.  A hot
-bucket combines map-side into its two ends; texts are joined to pairs by
-equi-joins on doc_id, whose hot partitions can be split.
+bucket or copied text combines map-side and is joined by ``join_counted``; texts are
+joined to pairs by equi-joins on doc_id, whose hot partitions can be split, as the
+texts stand in a written table.
 
 Special cases: texts are compared by their words without punctuation, ASCII
 letters in lower case; a text of fewer than five words is one shingle; a text
@@ -45,7 +50,7 @@ from pyspark.sql import functions as F
 
 from escalade.llm import arrays
 from escalade.llm.arrays import Chunk
-from escalade.llm.frames import components, read, settle
+from escalade.llm.frames import components, join_counted, read, settle
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -58,6 +63,8 @@ FEW = 8
 #: Nodes of a prefix shingle that emits all its pairs, and of a block where there are more.
 MANY = 64
 BLOCK = 512
+#: Pairs of two blocks, a node, that are verified one by one; where there are more, all texts of the blocks are compared.
+PAIRS = 16
 #: Places of the hashed shingles that the order of the prefixes counts.
 PLACES = 1 << 20
 #: Columns of a matrix product.
@@ -217,8 +224,8 @@ def _shingle_counts(idf):
     return run
 
 
-def prefixes(chunk: Chunk, idf: np.ndarray, counts: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Text number and hash of the rarest shingles: two texts at or over the threshold share one of them."""
+def prefixes(chunk: Chunk, idf: np.ndarray, counts: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text number and hash of the rarest shingles, the text's weight and that before the shingle: two texts at or over the threshold share one."""
     doc, hashes, weight = weighted_shingles(chunk, idf)
     rare = counts[(hashes % np.uint64(PLACES)).astype(np.int64)]
     order = np.lexsort((hashes, rare, doc))
@@ -228,16 +235,18 @@ def prefixes(chunk: Chunk, idf: np.ndarray, counts: np.ndarray, threshold: float
     before = upto - (np.cumsum(total) - total)[doc]
     # What only one text has needs no row.
     chosen = (before <= (1 - threshold + 1e-6) * total[doc] + 1e-6) & (rare > 1)
-    return doc[chosen], hashes[chosen]
+    return doc[chosen], hashes[chosen], total[doc[chosen]], before[chosen]
 
 
 def _prefixes(idf, counts, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in arrays.chunks(batch.column("text")):
-                doc, hashes = prefixes(chunk, idf.value, counts.value, threshold)
+                doc, hashes, total, before = prefixes(chunk, idf.value, counts.value, threshold)
                 rows = batch.select(["node", "label"]).slice(chunk.first, chunk.last - chunk.first).take(pa.array(doc))
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(hashes.view(np.int64))], names=["node", "label", "shingle"])
+                yield pa.RecordBatch.from_arrays(
+                    [*rows.columns, pa.array(hashes.view(np.int64)), pa.array(total), pa.array(before)], names=["node", "label", "shingle", "total", "before"]
+                )
 
     return run
 
@@ -258,8 +267,8 @@ def _verify(idf, threshold: float):
 
 def _ends(members: DataFrame) -> DataFrame:
     """Buckets of several nodes: (bucket, node, low, high)."""
-    ends = members.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
-    return members.join(ends, "bucket")
+    ends = members.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).where("low <> high")
+    return join_counted(members, settle(ends, "ends"), "bucket")
 
 
 def _pairs(paired: DataFrame) -> DataFrame:
@@ -268,38 +277,104 @@ def _pairs(paired: DataFrame) -> DataFrame:
     return each.select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b")).distinct()
 
 
-def _all_pairs(members: DataFrame, key: str) -> DataFrame:
-    """Pairs (a, b), a < b, of different labels in each of the (small) groups."""
-    x = members.groupBy(key).agg(F.collect_set(F.struct("node", "label")).alias("all")).select("all", F.explode("all").alias("x"))
+def _all_pairs(members: DataFrame, key: str | list[str], threshold: float | None = None) -> DataFrame:
+    """Pairs (a, b), a < b, of different labels in each of the (small) groups.
+
+    With a threshold, members have ``total`` and ``before`` at the group's shingle,
+    and only pairs that can reach it are made.
+    """
+    more = [] if threshold is None else ["total", "before"]
+    x = members.groupBy(key).agg(F.collect_set(F.struct("node", "label", *more)).alias("all")).select("all", F.explode("all").alias("x"))
     pairs = x.select("x", F.explode("all").alias("y")).where("x.node < y.node and x.label <> y.label")
+    if threshold is not None:
+        pairs = pairs.where(_reach(F.col("x"), F.col("y"), threshold))
     return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
-def _block_links(members: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
-    """Links (a, b, similarity) between nodes of different labels in the groups (shingle, node, label), by pairs of blocks."""
-    kind = members.schema["node"].dataType.simpleString()
+def _reach(x, y, threshold: float):
+    """Whether two texts whose first common shingle this is can be at or over the threshold.
+
+    The lesser weight is at most the similarity's share of the greater one; and
+    what they share stands at or behind that shingle in both.
+    """
+    low, high = F.least(x["total"], y["total"]), F.greatest(x["total"], y["total"])
+    left = F.least(x["total"] - x["before"], y["total"] - y["before"])
+    return (low >= threshold * high * (1 - 1e-6)) & (left * (1 + 1e-6) >= threshold / (1 + threshold) * (low + high))
+
+
+def _groups(marks: DataFrame, threshold: float) -> DataFrame:
+    """(shingle, n) of the groups with two labels and a node that can be the lighter one of a pair; of those of the same nodes, the first shingle's."""
+    # The lighter one shares more than half of a sum of two weights, neither of them below its own.
+    lighter = F.col("before") <= ((1 - threshold) / (1 + threshold) + 1e-6) * F.col("total") + 1e-6
+    found = marks.groupBy("shingle").agg(
+        F.count("*").alias("n"), F.count_if(lighter).alias("lighter"), F.min("label").alias("low"), F.max("label").alias("high"), F.sum("before").alias("before"),
+        F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"),
+    ).where("low <> high and lighter > 0")
+    # Shingles stand in one order in all texts: among those of the same nodes, the first has the least before it.
+    return found.groupBy("n", "x", "y").agg(F.min_by("shingle", "before").alias("shingle")).select("shingle", "n")
+
+
+def _block_pairs(members: DataFrame) -> DataFrame:
+    """The members (shingle, node, label, ...) of each two blocks that are to be compared: adds low, high (the blocks) and own; written."""
     # A label with many nodes has blocks of its own, which are not compared with each other.
     labels = members.groupBy("shingle", "label").count()
     big = labels.where(F.col("count") > BLOCK).select("shingle", "label", F.ceil(F.col("count") / BLOCK).alias("parts"), F.col("label").alias("big"))
     pools = labels.where(F.col("count") <= BLOCK).groupBy("shingle").agg(F.ceil(F.sum("count") / BLOCK).alias("pools"))
     dealt = members.join(big, ["shingle", "label"], "left").join(pools, "shingle", "left")
     own = F.when(F.col("big").isNotNull(), F.xxhash64("big", F.pmod(F.xxhash64("node"), "parts"))).otherwise(F.pmod(F.xxhash64("label"), "pools"))
-    dealt = settle(dealt.select("shingle", "node", "label", "big", own.alias("own")), "blocks")
+    dealt = settle(dealt.select(*members.columns, "big", own.alias("own")), "blocks")
     blocks = dealt.select("shingle", F.col("own").alias("other"), F.col("big").alias("other_big")).distinct()
     met = dealt.join(blocks, "shingle").where("big is null or other_big is null or big <> other_big")
-    met = met.select("shingle", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "label")
+    return met.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")}).drop("big", "other", "other_big")
+
+
+def _two_blocks(key, ids: np.ndarray, labels: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Which pairs of rows are pairs of two labels, and of two blocks if there are two."""
+    apart = (labels[:, None] != labels[None, :]) & (ids[:, None] < ids[None, :])
+    return apart & (own[:, None] != own[None, :]) if key[1].as_py() != key[2].as_py() else apart
+
+
+def _candidates(met: DataFrame, kind: str, threshold: float) -> DataFrame:
+    """(shingle, low, high, a, b): pairs of two blocks that share a bucket and can reach the threshold by their weights.
+
+    Two blocks with more of them than ``PAIRS`` a node give one row without a pair: all their texts are compared.
+    """
+    def choose(key, table):
+        ids, labels, own, total, before = (table.column(c).to_numpy() for c in ("node", "label", "own", "total", "before"))
+        bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+        left = total - before
+        found = _two_blocks(key, ids, labels, own)
+        found &= np.minimum(total[:, None], total) >= threshold * np.maximum(total[:, None], total) * (1 - 1e-6)
+        found &= np.minimum(left[:, None], left) * (1 + 1e-6) >= threshold / (1 + threshold) * (total[:, None] + total)
+        a, b = np.nonzero(found)
+        shared = np.zeros(len(a), dtype=bool)
+        for band in bands.T:
+            shared |= band[a] == band[b]
+        a, b = a[shared], b[shared]
+        pairs = (ids[a], ids[b]) if len(a) <= PAIRS * len(ids) else ([None], [None])
+        n = len(pairs[0])
+        return pa.table({
+            "shingle": pa.array([key[0].as_py()] * n, pa.int64()), "low": pa.array([key[1].as_py()] * n, pa.int64()), "high": pa.array([key[2].as_py()] * n, pa.int64()),
+            "a": pa.array(pairs[0], table.schema.field("node").type), "b": pa.array(pairs[1], table.schema.field("node").type),
+        })
+
+    return met.groupBy("shingle", "low", "high").applyInArrow(choose, f"shingle long, low long, high long, a {kind}, b {kind}")
+
+
+def _block_links(met: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
+    """Links (a, b, similarity) between nodes of different labels, all texts of two blocks at once."""
+    kind = met.schema["node"].dataType.simpleString()
 
     def compare(key, table):
         ids, labels, own = (table.column(c).to_numpy() for c in ("node", "label", "own"))
         (chunk,) = arrays.chunks(table.column("text"), 1 << 62)
         found = all_similarities(chunk, idf.value)
-        a, b = np.nonzero((found >= threshold) & (labels[:, None] != labels[None, :]) & (ids[:, None] < ids[None, :]))
-        if key[1].as_py() != key[2].as_py():
-            a, b = a[own[a] != own[b]], b[own[a] != own[b]]
+        a, b = np.nonzero((found >= threshold) & _two_blocks(key, ids, labels, own))
         return pa.table({"a": pa.array(ids[a]), "b": pa.array(ids[b]), "similarity": pa.array(found[a, b], pa.float64())})
 
-    own_texts = texts.join(members.select("node").distinct(), "node", "left_semi").select("node", "text").distinct()
-    return met.join(own_texts, "node").groupBy("shingle", "low", "high").applyInArrow(compare, f"a {kind}, b {kind}, similarity double").distinct()
+    own_texts = texts.join(met.select("node").distinct(), "node", "left_semi").select("node", "text").distinct()
+    rows = met.select("shingle", "low", "high", "own", "node", "label").join(own_texts, "node")
+    return rows.groupBy("shingle", "low", "high").applyInArrow(compare, f"a {kind}, b {kind}, similarity double").distinct()
 
 
 def near_links(docs: DataFrame, key: str = "doc_id", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
@@ -309,8 +384,10 @@ def near_links(docs: DataFrame, key: str = "doc_id", threshold: float = THRESHOL
     idf = spark.sparkContext.broadcast(inverse_frequencies(texts))
     kind = docs.schema[key].dataType.simpleString()
     signed = settle(texts.mapInArrow(_bands(idf, bands, rows), f"id {kind}, digest binary, bands array<long>"), "bands")
-    nodes = signed.groupBy("digest").agg(F.min("id").alias("node"), F.any_value("bands").alias("bands"))
-    membership = signed.select("id", "digest").join(nodes.select("digest", "node"), "digest").select(F.col("id").alias(key), "node")
+    nodes = settle(signed.groupBy("digest").agg(F.min("id").alias("node"), F.any_value("bands").alias("bands"), F.count("*").alias("n")), "nodes")
+    # A text that nothing repeats is its own node.
+    several = join_counted(signed.select("id", "digest"), nodes.where("n > 1").select("digest", "node", "n"), "digest").select(F.col("id").alias(key), "node")
+    membership = several.unionByName(nodes.where("n = 1").select(F.col("node").alias(key), "node"))
 
     def judge(pairs: DataFrame, source: DataFrame, name: str) -> DataFrame:
         sides = pairs.join(source.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
@@ -339,28 +416,30 @@ def near_links(docs: DataFrame, key: str = "doc_id", threshold: float = THRESHOL
     label = components(links.select("a", "b")).select("node", F.col("component").alias("label"))
     named = nodes.join(label, "node", "left").select("node", F.coalesce("label", "node").alias("label"), F.explode("bands").alias("bucket")).distinct()
     sizes = named.groupBy("bucket").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
-    mixed = settle(named.join(sizes.where("low <> high").select("bucket", "n"), "bucket"), "mixed")
+    sizes = settle(sizes.where("low <> high").select("bucket", "n", F.col("n").alias("rows")), "sizes")
+    mixed = settle(join_counted(named, sizes, "bucket", "rows"), "mixed")
     crowd = mixed.where(F.col("n") > FEW).select("node", "label").distinct()
     crowded = settle(texts.withColumnRenamed("id", "node").join(crowd, "node").select("node", "label", "text"), "crowd")
     counted = crowded.select("text").mapInArrow(_shingle_counts(idf), "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(PLACES, dtype=np.int32)
     counts[counted["place"].to_numpy(dtype=np.int64)] = np.minimum(counted["n"].to_numpy(dtype=np.int64), np.iinfo(np.int32).max)
     counts = spark.sparkContext.broadcast(counts)
-    marks = settle(crowded.mapInArrow(_prefixes(idf, counts, threshold), f"node {kind}, label {kind}, shingle long").distinct(), "prefixes")
-    groups = marks.groupBy("shingle").agg(
-        F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"),
-        F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"),
-    ).where("low <> high")
-    # Shingles of the same nodes are one group.
-    groups = settle(groups.groupBy("n", "x", "y").agg(F.min("shingle").alias("shingle")).select("n", "shingle"), "groups")
-    grouped = marks.join(groups, "shingle")
+    schema = f"node {kind}, label {kind}, shingle long, total double, before double"
+    marks = settle(crowded.mapInArrow(_prefixes(idf, counts, threshold), schema).distinct(), "prefixes")
+    groups = settle(_groups(marks, threshold), "groups")
+    grouped = join_counted(marks, groups.where(F.col("n") <= MANY), "shingle")
     sides = [nodes.select(F.col("node").alias(x), F.col("bands").alias(f"bands_{x}")) for x in "ab"]
-    close = _all_pairs(grouped.where(F.col("n") <= MANY), "shingle").join(sides[0], "a").join(sides[1], "b")
+    close = settle(_all_pairs(grouped, "shingle", threshold), "close").join(sides[0], "a").join(sides[1], "b")
     close = close.where(F.arrays_overlap("bands_a", "bands_b")).select("a", "b")
-    rest = _all_pairs(mixed.where(F.col("n") <= FEW), "bucket").unionByName(close).distinct()
+    # Shingles of many nodes, by pairs of blocks: first their weights and bands, then the texts of what is left.
+    many = join_counted(marks, groups.where(F.col("n") > MANY), "shingle").join(nodes.select("node", "bands"), "node")
+    met = settle(_block_pairs(many), "met")
+    chosen = settle(_candidates(met, kind, threshold), "candidates")
+    rest = _all_pairs(mixed.where(F.col("n") <= FEW), "bucket").unionByName(close).unionByName(chosen.where("a is not null").select("a", "b")).distinct()
     rest = settle(rest.join(pairs.unionByName(least), ["a", "b"], "left_anti"), "pairs")
     third = judge(rest, pool(rest), "links")
-    dense = settle(_block_links(grouped.where(F.col("n") > MANY).select("shingle", "node", "label"), crowded, idf, threshold), "links")
+    full = met.join(chosen.where("a is null").select("shingle", "low", "high"), ["shingle", "low", "high"])
+    dense = settle(_block_links(full, crowded, idf, threshold), "links")
     return membership, links.unionByName(third).unionByName(dense)
 
 

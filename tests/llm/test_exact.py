@@ -328,10 +328,10 @@ def test_near_classes(docs):
     assert all(r.kept == (r.doc_id == r.class_id) for r in got)
 
 
-@pytest.mark.parametrize("few, many, block", [(8, 64, 512), (2, 3, 20)])
-def test_pairs_within_a_template(spark, monkeypatch, few, many, block):
+@pytest.mark.parametrize("few, many, block, pairs", [(8, 64, 512, 16), (2, 3, 20, 16), (2, 3, 20, 0)])
+def test_pairs_within_a_template(spark, monkeypatch, few, many, block, pairs):
     """Pairs in the middle of buckets that a shared passage makes hot, texts that lean on it still more, and links between groups of linked nodes."""
-    for name, value in (("FEW", few), ("MANY", many), ("BLOCK", block)):
+    for name, value in (("FEW", few), ("MANY", many), ("BLOCK", block), ("PAIRS", pairs)):
         monkeypatch.setattr(weighted_minhash, name, value)
     template, rows = prose(50, 150), []
     for k in range(120):
