@@ -9,6 +9,7 @@ from ..functions.text import add_bigrams, parse_json_list, words
 from ..operators import features as ft
 from ..operators.leakage import is_forbidden
 from ..operators.splits import SplitConfig, refit_rows, stratified_split
+from ..session import written
 from . import bindings as b
 from .base import BASE, query, rounded, split_sql, with_
 
@@ -51,7 +52,7 @@ w AS (SELECT x.doc_id, term, raw / norm AS weight FROM x JOIN nm ON nm.doc_id =
 SELECT doc_id, count(*) AS n_terms, round(sum(weight), 6) AS sum_weight, round(max(weight), 6) AS max_weight,
   md5(string_agg(term, '|' ORDER BY term)) AS digest FROM w GROUP BY doc_id""")
 def tfidf(spark, sf):
-    counts = _counts(spark, sf).persist()  # read twice: for the vocabulary and for the weights
+    counts = written(_counts(spark, sf), "term-counts")  # read twice: for the vocabulary and for the weights
     n_docs = _train(spark, sf).select("doc_id").count()
     return _digest(ft.tfidf(counts, ft.vocabulary(counts), n_docs, "doc_id"))
 
@@ -170,15 +171,31 @@ def multi_hot(spark, sf):
     return _vector(_featurized(spark, sf, ft.FeatureSpec(text=None, categorical=(), numeric=())))
 
 
-@query("assemble", with_(*FIT, PLACES, LISTED) + """, tl AS (SELECT DISTINCT problem_uid, unnest([lower(setting), problem]) AS lab FROM test),
+def _terms_sql(out: str, source: str) -> str:
+    """Counts of the terms of a problem's text."""
+    return rf"""{out}_w AS (SELECT problem_uid, regexp_extract_all(strip_accents(lower(problem)), '[\p{{L}}\p{{N}}_]{{2,}}') AS ws FROM {source}),
+{out}_m AS (SELECT problem_uid, list_concat(ws, list_transform(range(1, len(ws)), lambda i: concat(ws[i], ' ', ws[i + 1]))) AS terms FROM {out}_w),
+{out} AS (SELECT problem_uid, term, count(*) AS tf FROM (SELECT problem_uid, unnest(terms) AS term FROM {out}_m) GROUP BY 1, 2)"""
+
+
+N_TERMS, N_SOURCES, N_LABELS = "(SELECT count(*) FROM known_terms)", "(SELECT count(*) FROM src)", "(SELECT count(*) FROM known)"
+
+
+@query("assemble", with_(*FIT, PLACES, LISTED, _terms_sql("fit_terms", "fit"), _terms_sql("test_terms", "test")) + f""",
+tl AS (SELECT DISTINCT problem_uid, unnest([lower(setting), problem]) AS lab FROM test),
+known_terms AS (SELECT term, df, row_number() OVER (ORDER BY n_total DESC, term) - 1 AS pos FROM (
+  SELECT term, sum(tf) AS n_total, count(*) AS df FROM fit_terms GROUP BY term HAVING count(*) >= 2 ORDER BY n_total DESC, term LIMIT 20000)),
+x AS (SELECT problem_uid, pos, tf * (ln(CAST(1 + (SELECT count(*) FROM fit) AS DOUBLE) / (1 + df)) + 1) AS raw
+  FROM test_terms JOIN known_terms ON known_terms.term = test_terms.term),
+nm AS (SELECT problem_uid, sqrt(sum(raw * raw)) AS norm FROM x GROUP BY problem_uid),
 e AS (
-  SELECT problem_uid, pos, '1.000000' AS v FROM test JOIN src ON src.source = test.source
-  UNION ALL SELECT problem_uid, (SELECT count(*) FROM src) + pos, '1.000000' FROM tl JOIN known ON known.lab = tl.lab
-  UNION ALL SELECT problem_uid, (SELECT count(*) FROM src) + (SELECT count(*) FROM known), printf('%.6f', difficulty / (SELECT stddev_pop(difficulty) FROM fit)) FROM test
-  UNION ALL SELECT problem_uid, (SELECT count(*) FROM src) + (SELECT count(*) FROM known) + 1,
-    printf('%.6f', difficulty_tier / (SELECT stddev_pop(difficulty_tier) FROM fit)) FROM test)
-SELECT problem_uid, CAST((SELECT count(*) FROM src) + (SELECT count(*) FROM known) + 2 AS INTEGER) AS width,
+  SELECT x.problem_uid, pos, printf('%.6f', raw / norm) AS v FROM x JOIN nm ON nm.problem_uid = x.problem_uid
+  UNION ALL SELECT problem_uid, {N_TERMS} + pos, '1.000000' FROM test JOIN src ON src.source = test.source
+  UNION ALL SELECT problem_uid, {N_TERMS} + {N_SOURCES} + pos, '1.000000' FROM tl JOIN known ON known.lab = tl.lab
+  UNION ALL SELECT problem_uid, {N_TERMS} + {N_SOURCES} + {N_LABELS}, printf('%.6f', difficulty / (SELECT stddev_pop(difficulty) FROM fit)) FROM test
+  UNION ALL SELECT problem_uid, {N_TERMS} + {N_SOURCES} + {N_LABELS} + 1, printf('%.6f', difficulty_tier / (SELECT stddev_pop(difficulty_tier) FROM fit)) FROM test)
+SELECT problem_uid, CAST({N_TERMS} + {N_SOURCES} + {N_LABELS} + 2 AS INTEGER) AS width,
   string_agg(CAST(pos AS VARCHAR) || ':' || v, ' ' ORDER BY pos) AS entries FROM e GROUP BY problem_uid""")
 def assemble(spark, sf):
-    """All kinds but text, whose weights the TF-IDF queries compare."""
-    return _vector(_featurized(spark, sf, ft.METADATA_ONLY))
+    """All kinds of features: places and weights of terms, categories, labels and numbers."""
+    return _vector(_featurized(spark, sf, ft.TEXT_METADATA))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import AGREE, EXECUTOR_MARKERS, PLACEHOLDERS, ROUTE_NAMES, SUBMISSION_PHRASE, boxed, final_answer
+from ..functions.text import AGREE, EXECUTOR_MARKERS, PASSING_TAGS, PLACEHOLDERS, ROUTE_NAMES, SUBMISSION_PHRASE, TAGS, boxed, final_answer
 from ..operators import runlog, transcripts as tr
 from . import bindings as b
 from .base import cnt, query, rat, with_
@@ -211,12 +211,20 @@ def approval_rounds(spark, sf):
 NOTE_TAILS = ("", "\nFinal Answer For Evaluator: \\boxed{5}\n[Agree] ok", " [Route:Planner] go", "\nFinal Answer For Evaluator: all of this")
 NOTE_SQL = "(['', '~Final Answer For Evaluator: \\boxed{5}~[Agree] ok', ' [Route:Planner] go', '~Final Answer For Evaluator: all of this'])[(conv_id + turn) % 4 + 1]"
 SQUEEZE = r"trim(regexp_replace({0}, '[\s\p{{Z}}\x1c-\x1f\x85]+', ' ', 'g'))"
-ENDS_SQL = rf"(\n\[(?:Route:{ROUTE_NAMES[0]}|Route:{ROUTE_NAMES[1]}|{AGREE})\]|\z)"
-SUBMISSION_SQL = rf"'(?is){SUBMISSION_PHRASE}:\s*.*?{ENDS_SQL}'"
-TAG_SQL = r"'\[(?:" + "|".join([*(f"Route:{x}" for x in ROUTE_NAMES), AGREE]) + r")\]'"
+PHRASE_SQL = f"instr(lower(x.kept), '{SUBMISSION_PHRASE.lower()}:')"
+# The walk over the lines as a fold: state 0 outside a submission, 1 in one that has been blank so far, 2 in one.
+PASSES_SQL = f"starts_with(x.kept, '[') AND contains(x.kept, ']') AND lower(split_part(x.kept[2:], ']', 1)) IN {PASSING_TAGS}"
+STATE_SQL = f"(CASE WHEN a.state = 2 AND {PASSES_SQL} THEN 0 ELSE a.state END)"
+LINES_SQL = f"""list_reduce(list_prepend({{'kept': '', 'state': 0}}, list_transform(string_split(trim(content), chr(10)), lambda x: {{'kept': x, 'state': 0}})), lambda a, x: {{
+    'kept': CASE WHEN {STATE_SQL} > 0 THEN a.kept WHEN {PHRASE_SQL} > 0 THEN concat(a.kept, chr(10), x.kept[:{PHRASE_SQL} - 1]) ELSE concat(a.kept, chr(10), x.kept) END,
+    'state': CASE WHEN {STATE_SQL} = 0 AND {PHRASE_SQL} = 0 THEN 0
+      WHEN {STATE_SQL} < 2 AND trim(CASE WHEN {STATE_SQL} = 0 THEN x.kept[{PHRASE_SQL} + {len(SUBMISSION_PHRASE) + 1}:] ELSE x.kept END) = '' THEN 1 ELSE 2 END}}).kept"""
+UNTAGGED_SQL = f"""array_to_string(list_transform(string_split(left_over, '['), lambda p, i: CASE WHEN i = 1 THEN p
+  WHEN contains(p, ']') AND split_part(p, ']', 1) IN {TAGS} THEN p[length(split_part(p, ']', 1)) + 2:] ELSE concat('[', p) END), '')"""
 NOTES = rf"""nt AS (SELECT conv_id, turn, replace(concat(CASE WHEN turn % 4 = 3 THEN 'n/a' ELSE text END, {NOTE_SQL}), '~', chr(10)) AS content FROM conversations),
-nc AS (SELECT *, {SQUEEZE.format(rf"regexp_replace(regexp_replace(content, {SUBMISSION_SQL}, '\1', 'g'), {TAG_SQL}, '', 'g')")} AS clean,
-  {SQUEEZE.format("content")} AS plain FROM nt)"""
+nl AS (SELECT *, {LINES_SQL} AS left_over FROM nt),
+nc AS (SELECT *, {SQUEEZE.format(UNTAGGED_SQL)} AS clean,
+  {SQUEEZE.format("content")} AS plain FROM nl)"""
 
 
 @query("trail_text", (with_(NOTES) + """
