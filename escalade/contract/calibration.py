@@ -128,7 +128,7 @@ def _continuous(spark, sf):
 @query("auroc_continuous", with_(VALUE_SQL, auroc_sql("event_type", "a", "v", "y", "value")) + "SELECT * FROM a")
 def auroc_continuous(spark, sf):
     rows = _continuous(spark, sf)
-    return cal.auroc(rows, F.col("y"), F.col("value"), ["event_type"], ranks.split_points(rows, "value", 64))
+    return cal.auroc(rows, F.col("y"), F.col("value"), ["event_type"])
 
 
 @query("average_precision", with_(*CBASE, USABLE, ap_sql("setting", "a", "u", "NOT baseline_correct", "risk")) + "SELECT * FROM a")

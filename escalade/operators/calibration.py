@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.outcomes import bind, ratio, value_target_columns
-from .ranks import add_range, running_totals
+from .ranks import add_range, by_ranges, running_totals
 
 
 def score_table(df: DataFrame, y: Column, score: Column, by=(), weight: Column | None = None) -> DataFrame:
@@ -32,10 +32,10 @@ def _wide(col: str) -> Column:
     return F.col(col).cast("decimal(18,0)")
 
 
-def auroc_from_table(table: DataFrame, by=(), points=None) -> DataFrame:
-    """Tie-averaged AUROC, NULL when a class is absent."""
+def auroc_from_table(table: DataFrame, by=(), points=None, bounded: bool = False) -> DataFrame:
+    """Tie-averaged AUROC, NULL when a class is absent; ``points`` and ``bounded`` as of ``running_totals``."""
     by = list(by)
-    t = running_totals(table, by, "score", ["neg"], points=points)
+    t = running_totals(table, by, "score", ["neg"], points=points, bounded=bounded)
     pair = _wide("pos") * (F.lit(2) * _wide("cum_neg") + _wide("neg"))
     sums = t.groupBy(*by).agg(
         F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.sum(pair.cast("decimal(38,0)")).alias("_u2")
@@ -57,7 +57,7 @@ def average_precision_from_table(table: DataFrame, by=(), points=None) -> DataFr
 
 
 def auroc(df: DataFrame, y: Column, score: Column, by=(), points=None) -> DataFrame:
-    """``points`` (see ``ranks.split_points``) cut the window for continuous scores."""
+    """Any number of different scores; ``points`` (see ``ranks.split_points``) replace the sampled ranges."""
     return auroc_from_table(score_table(df, y, score, by), by, points)
 
 
@@ -83,7 +83,7 @@ def average_precision_ordered(df: DataFrame, y: Column, score: Column, order: st
     per_score = running_totals(
         cells.groupBy(*by, "score").agg(F.sum("n").alias("n"), F.sum("p").alias("p")), by, "score", ["n", "p"], descending=True
     ).select(*by, "score", F.col("cum_n").alias("_sn"), F.col("cum_p").alias("_sp"))
-    per_range = running_totals(cells, [*by, "score"], "_range", ["n", "p"]).select(
+    per_range = running_totals(cells, [*by, "score"], "_range", ["n", "p"], bounded=True).select(
         *by, "score", "_range", F.col("cum_n").alias("_rn"), F.col("cum_p").alias("_rp")
     )
     offsets = per_range.join(per_score, [*by, "score"]).select(
@@ -167,8 +167,8 @@ def confidence_report(df: DataFrame, by=(), confidence: str = "confidence", corr
     """Parse rate, failure AUROC, ECE, Brier and mean confidences per group.
 
     One pass builds the score table with the unparseable rows as its NULL
-    score; the denominators always include them.  Scores parsed from text are
-    integers, at most 101 per group; ``points`` cut the windows of continuous ones.
+    score; the denominators always include them.  Scores may be continuous;
+    ``points`` replace the sampled ranges of their order.
     """
     by = [by] if isinstance(by, str) else list(by)
     if not by:
@@ -216,6 +216,8 @@ def target_metrics(df: DataFrame, score: Column, by=("setting",), label="oracle_
     )
     table = cells.unpivot([*by, "score", "_n"], list(targets), "target", "pos").withColumn("neg", F.col("_n") - F.col("pos"))
     keys = [*by, "target"]
+    if points is None:
+        table = by_ranges(table, keys, "score")
     a = auroc_from_table(table, keys, points)
     ap = average_precision_from_table(table, keys, points).select(*keys, "average_precision")
     n = F.col("n_pos") + F.col("n_neg")

@@ -24,7 +24,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pandas as pd
@@ -403,7 +403,8 @@ def _score_ci(df: DataFrame, figure, column: str, by, n, seed, alpha, mode, unit
 def auroc_ci(df: DataFrame, by=("setting",), n: int = 2000, seed: int = 42, alpha: float = 0.05, mode: str = "cells",
              unit: str = "problem_uid", confidence: str = "confidence", correct: str = "baseline_correct") -> DataFrame:
     """Failure AUROC on parseable rows with its interval."""
-    return _score_ci(df, auroc_from_table, "auroc", by, n, seed, alpha, mode, unit, confidence, correct, True)
+    # A replicate's score table has a row per cell at most.
+    return _score_ci(df, partial(auroc_from_table, bounded=True), "auroc", by, n, seed, alpha, mode, unit, confidence, correct, True)
 
 
 def ece_ci(df: DataFrame, by=("setting",), n: int = 2000, seed: int = 42, alpha: float = 0.05, mode: str = "cells",

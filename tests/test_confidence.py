@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import rows
 from escalade.functions.confidence import cascade, clip_confidence, confidence_gate, failure_risk, parse_confidence
 from escalade.operators import calibration as cal
 from escalade.operators import ranks
@@ -87,6 +88,26 @@ def test_auroc_and_ap_against_pairs(scored, cut):
             assert got is None or abs(got - want) < 1e-12
 
 
+def test_a_group_of_distinct_scores_is_many_ranges(spark):
+    """A third of all rows in one group, every score another one, and a group without a name: the ranges come from the sort alone."""
+    from escalade.operators.ranks import by_ranges, running_totals
+
+    n = 6000
+    g = F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, F.concat(F.lit("g"), (F.col("id") % 50).cast("string")))
+    df = spark.range(n).select(g.alias("g"), F.xxhash64("id").alias("score"), (F.col("id") % 7).alias("v"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ranged = by_ranges(df, ["g"], "score")
+        sizes = {r[0]: r[1] for r in ranged.where("g = 'hot'").groupBy("_range").count().collect()}
+        assert len(sizes) >= 3 and max(sizes.values()) < n / 4
+        for descending in (False, True):
+            whole = running_totals(df, ["g"], "score", ["v"], descending, bounded=True)
+            for cut in (running_totals(df, ["g"], "score", ["v"], descending), running_totals(ranged, ["g"], "score", ["v"], descending)):
+                assert cut.columns == whole.columns and rows(cut) == rows(whole)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_auroc_mirror(scored):
     _, df = scored
     up = {r["g"]: r["auroc"] for r in cal.auroc(df, F.col("y"), F.col("s"), ["g"]).collect()}
