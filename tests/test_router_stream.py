@@ -97,6 +97,68 @@ def test_streams_match_batch_and_resume(spark, sf, tmp_path):
     assert spark.read.parquet(out).count() == events.select("user_id", "event_type").distinct().count()
 
 
+def _run_records(spark, path, records):
+    spark.createDataFrame(records, "problem_id string, protocol string, ts timestamp, n int").coalesce(1).write.mode("append").parquet(path)
+
+
+def test_late_repeats_are_found(spark, tmp_path):
+    """A repeat comes years after the first, in both directions of time; nulls are a key like any other."""
+    from datetime import datetime
+
+    source, out, cp = (str(tmp_path / x) for x in "soc")
+    schema = "problem_id string, protocol string, ts timestamp, n int"
+    _run_records(spark, source, [("a", "x", datetime(2020, 1, 1), 1), ("a", "x", datetime(2019, 1, 1), 2), ("b", None, datetime(2021, 1, 1), 3)])
+    st.stream_run_log(spark.readStream.schema(schema).parquet(source), out, cp)
+    _run_records(spark, source, [("a", "x", datetime(2030, 1, 1), 4), ("b", None, datetime(2000, 1, 1), 5), ("c", "x", datetime(2001, 1, 1), 6)])
+    _run_records(spark, source, [("c", "x", datetime(2040, 1, 1), 7)])
+    st.stream_run_log(spark.readStream.schema(schema).parquet(source), out, cp)
+    st.stream_run_log(spark.readStream.schema(schema).parquet(source), out, cp)
+    assert rows(spark.read.parquet(out).select("problem_id", "protocol", "n")) == rows(spark.createDataFrame([("a", "x", 2), ("b", None, 3), ("c", "x", 6)], "a string, b string, n int"))
+
+
+def test_a_batch_may_be_handled_again(spark, tmp_path):
+    """A batch that fails after half of its work, and one that is handled twice, leave what one handling leaves."""
+    from datetime import datetime
+
+    out, schema = str(tmp_path / "o"), "problem_id string, protocol string, ts timestamp, n int"
+    handle = st.append_new(out, buckets=4)
+    first = spark.createDataFrame([(f"p{k}", "x", datetime(2020, 1, 1), k) for k in range(40)], schema)
+    second = spark.createDataFrame([(f"p{k}", "x", datetime(2020, 1, 2), k) for k in range(20, 60)], schema)
+    handle(first, 0)
+    # Files that a broken attempt left in the folder of the batch.
+    second.withColumn("bucket", F.lit(1)).limit(7).write.partitionBy("bucket").parquet(f"{out}/epoch=1")
+    for _ in range(2):
+        handle(second, 1)
+        got = spark.read.parquet(out)
+        assert got.count() == 60 == got.select("problem_id").distinct().count() and got.where("epoch = 1").agg(F.min("n")).first()[0] == 40
+    handle(first, 0)  # the first batch again, when the second is there
+    assert spark.read.parquet(out).count() == 60
+
+    source, live, cp = (str(tmp_path / x) for x in "slc")
+    first.write.parquet(source)
+    stream = spark.readStream.schema(schema).parquet(source).withColumn("ts", F.col("ts"))
+    inner = st.append_new(live)
+
+    def broken(batch, epoch):
+        inner(batch, epoch)
+        raise RuntimeError("lost")
+
+    with pytest.raises(Exception, match="lost"):
+        stream.writeStream.option("checkpointLocation", cp).foreachBatch(broken).trigger(availableNow=True).start().awaitTermination()
+    st.stream_run_log(spark.readStream.schema(schema).parquet(source), live, cp)
+    assert spark.read.parquet(live).count() == 40
+
+
+def test_the_ledger_keeps_two_triggers(spark, tmp_path):
+    source, out, cp = (str(tmp_path / x) for x in "soc")
+    schema = "role string, prompt_tokens bigint, completion_tokens bigint"
+    for k in range(4):
+        spark.createDataFrame([("r", 1, k)], schema).write.mode("append").parquet(source)
+        st.stream_ledger(spark.readStream.schema(schema).parquet(source), out, cp)
+    assert len([f for f in (tmp_path / "o").iterdir() if f.name.startswith("epoch=")]) == 2
+    assert tuple(st.read_ledger(spark, out).select("calls", "prompt_tokens", "completion_tokens").first()) == (4, 4, 6)
+
+
 def test_published_tables_round_and_order(spark, sf):
     from escalade.contract.outcomes import _dim
 
