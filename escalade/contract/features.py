@@ -178,14 +178,14 @@ def _terms_sql(out: str, source: str) -> str:
 {out} AS (SELECT problem_uid, term, count(*) AS tf FROM (SELECT problem_uid, unnest(terms) AS term FROM {out}_m) GROUP BY 1, 2)"""
 
 
+KNOWN_TERMS = """known_terms AS (SELECT term, df, row_number() OVER (ORDER BY n_total DESC, term) - 1 AS pos FROM (
+  SELECT term, sum(tf) AS n_total, count(*) AS df FROM fit_terms GROUP BY term HAVING count(*) >= 2 ORDER BY n_total DESC, term LIMIT 20000))"""
 N_TERMS, N_SOURCES, N_LABELS = "(SELECT count(*) FROM known_terms)", "(SELECT count(*) FROM src)", "(SELECT count(*) FROM known)"
 
 
 @query("assemble", with_(*FIT, PLACES, LISTED, _terms_sql("fit_terms", "fit"), _terms_sql("test_terms", "test")) + f""",
 tl AS (SELECT DISTINCT problem_uid, unnest([lower(setting), problem]) AS lab FROM test),
-known_terms AS (SELECT term, df, row_number() OVER (ORDER BY n_total DESC, term) - 1 AS pos FROM (
-  SELECT term, sum(tf) AS n_total, count(*) AS df FROM fit_terms GROUP BY term HAVING count(*) >= 2 ORDER BY n_total DESC, term LIMIT 20000)),
-x AS (SELECT problem_uid, pos, tf * (ln(CAST(1 + (SELECT count(*) FROM fit) AS DOUBLE) / (1 + df)) + 1) AS raw
+{KNOWN_TERMS}, x AS (SELECT problem_uid, pos, tf * (ln(CAST(1 + (SELECT count(*) FROM fit) AS DOUBLE) / (1 + df)) + 1) AS raw
   FROM test_terms JOIN known_terms ON known_terms.term = test_terms.term),
 nm AS (SELECT problem_uid, sqrt(sum(raw * raw)) AS norm FROM x GROUP BY problem_uid),
 e AS (

@@ -340,8 +340,3 @@ def published(spark, sf):
 SELECT {NAMED_SQL}, n, {', '.join(ROUND_SQL.format(d=2, c=f'{k}_pct') for k in SHARES)} FROM c LEFT JOIN dim ON dim.setting = c.setting""")
 def published_distribution(spark, sf):
     return _published(spark, sf, "oracle_label_distribution")
-
-
-@query("published_interaction")
-def published_interaction(spark, sf):
-    return _published(spark, sf, "per_broadcast_interaction")

@@ -15,7 +15,8 @@ from ..dims import OUTCOME_COLUMNS
 from . import bindings as b
 from .base import BASE, CBASE, MACRO_F1, PRED, cnt, confusion_sql, query, rank_sql, rat, replay_sql, rounded, split_sql, with_
 from .calibration import BIN_SQL, RISK_SQL, auroc_sql
-from .metrics import FITROWS, majority_sql
+from .metrics import FITROWS, NAMED_SQL, ROUND_SQL, _inter, _published, majority_sql
+from .outcomes import DIM_SQL
 
 B = 2000
 SEED = 42
@@ -231,14 +232,17 @@ def routing_ci_cells(spark, sf):
     return rounded(rs.routing_ci(b.replayed(spark, sf), n=B), "point", *CI)
 
 
+def difference_draws_sql(by: str, source: str, a: str, z: str) -> str:
+    return f"""sd AS (SELECT *, CAST({a} AS INTEGER) - CAST({z} AS INTEGER) AS diff FROM {source}), {cells_sql('sd', by + ', diff')},
+d AS (SELECT {by}, replicate, CAST(100 AS DOUBLE) * ({rat('sum(w * diff)', 'sum(w)')}) AS draw FROM wt GROUP BY {by}, replicate)"""
+
+
 def difference_sql(by: str, source: str, a: str, z: str) -> str:
     """The paired difference in points over the cells of equal differences."""
     on = " AND ".join(f"p.{c.strip()} = c.{c.strip()}" for c in by.split(","))
     cols = ", ".join(f"p.{c.strip()}" for c in by.split(","))
     point = f"CAST(100 AS DOUBLE) * ({rat(f'{cnt(a)} - {cnt(z)}', 'count(*)')})"
-    return f"""sd AS (SELECT *, CAST({a} AS INTEGER) - CAST({z} AS INTEGER) AS diff FROM {source}), {cells_sql('sd', by + ', diff')},
-d AS (SELECT {by}, replicate, CAST(100 AS DOUBLE) * ({rat('sum(w * diff)', 'sum(w)')}) AS draw FROM wt GROUP BY {by}, replicate),
-c AS ({bounds(by, 'd')}), p AS (SELECT {by}, count(*) AS n, round({point}, 9) AS point FROM {source} GROUP BY {by})
+    return f"""{difference_draws_sql(by, source, a, z)}, c AS ({bounds(by, 'd')}), p AS (SELECT {by}, count(*) AS n, round({point}, 9) AS point FROM {source} GROUP BY {by})
 SELECT {cols}, n, point, ci_low, ci_high FROM p JOIN c ON {on}"""
 
 
@@ -247,6 +251,18 @@ def interaction_ci_cells(spark, sf):
     return rounded(rs.interaction_ci(b.labelled(spark, sf), n=B), "point", *CI)
 
 
+INTER_PCT = ("per_solve_pct", "broadcast_solve_pct", "broadcast_minus_per_points", "per_only_pct", "broadcast_only_pct", "both_pct", "neither_pct")
+
+
+@query("published_interaction", with_(*BASE, DIM_SQL, BOTH) + f""", {difference_draws_sql("setting", "bf", "broadcast_correct", "per_correct")},
+q AS (SELECT setting, quantile_cont(draw, 0.025) AS lo, quantile_cont(draw, 0.975) AS hi FROM d GROUP BY setting),
+c AS (SELECT {_inter("setting")} FROM bf GROUP BY setting)
+SELECT {NAMED_SQL}, n, {", ".join(ROUND_SQL.format(d=1, c=k) for k in INTER_PCT)}, per_only_count, broadcast_only_count, both_count, neither_count,
+  printf('[%.1f,%.1f]', lo, hi) AS broadcast_minus_per_ci_points FROM c JOIN q ON q.setting = c.setting LEFT JOIN dim ON dim.setting = c.setting""")
+def published_interaction(spark, sf):
+    return _published(spark, sf, "per_broadcast_interaction")
+
+
 @query("router_delta_ci_cells", with_(*ARMS) + ", " + difference_sql("setting, pair", "pairs", "arm_a", "arm_b"))
 def router_delta_ci_cells(spark, sf):
     return rounded(rs.router_delta_ci(_arms(spark, sf), ROUTER_PAIRS, n=B), "point", *CI)

@@ -108,7 +108,7 @@ class _Descent:
     def __init__(self, size: int, tol: float):
         self.tol, self.x, self.f, self.g = tol, np.zeros(size), None, None
         self.history: list[tuple[np.ndarray, np.ndarray]] = []
-        self.trial, self.done, self.steps = self.x, False, 0
+        self.trial, self.done = self.x, False
 
     def _direction(self) -> np.ndarray:
         q, alphas = self.g.copy(), []
@@ -165,7 +165,7 @@ class _Descent:
         s, y = self.trial - self.x, g - self.g
         if s @ y > 1e-300:
             self.history = [*self.history[1 - MEMORY:], (s, y)]
-        self.x, self.f, self.g, self.steps = self.trial, f, g, self.steps + 1
+        self.x, self.f, self.g = self.trial, f, g
         self._start()
 
 
@@ -176,7 +176,8 @@ class Grid:
     classes: list[str]
     coefficients: np.ndarray
     passes: int = 0
-    steps: list[int] = field(default_factory=list)
+    #: The greatest entry of each configuration's gradient, per unit of weight.
+    gradients: list[float] = field(default_factory=list)
 
     def predictions(self, rows: DataFrame, gold: str) -> DataFrame:
         """(place, gold, predicted_label, n): how often each configuration predicts a class, by the gold label; one pass."""
@@ -235,4 +236,4 @@ def fit_grid(rows: DataFrame, counts: dict[str, int], classes: list[str], width:
             gradient = sums[:-1, j * k:(j + 1) * k].copy()
             gradient[:-1] += penalty[i] * x[:-1]
             d.take(float(sums[-1, j * k]) + penalty[i] / 2 * float((x[:-1] ** 2).sum()), gradient.ravel())
-    return Grid(list(classes), np.stack([d.x.reshape(width + 1, k) for d in descents]), passes, [d.steps for d in descents])
+    return Grid(list(classes), np.stack([d.x.reshape(width + 1, k) for d in descents]), passes, [float(np.abs(d.g).max()) for d in descents])
