@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from escalade.session import new_folder, ship_package
 
-__all__ = ["components", "discard", "join_counted", "read", "settle", "ship_package"]
+__all__ = ["components", "discard", "join_counted", "pick", "read", "settle", "ship_package"]
 
 #: A key is hot if it has more than this part of all rows, so there are fewer hot keys than this.
 HOT_KEYS = 1024
+#: Keys that may be broadcast, as text and with their share of a hash table.
+KEY_BYTES = 96 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -44,6 +46,16 @@ def join_counted(rows: DataFrame, table: DataFrame, on: str | list[str], n: str
     return spread.unionByName(rest)
 
 
+def pick(rows: DataFrame, keys: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
+    """``rows`` of the written table ``keys`` (short rows, each key once), joined by broadcast while all keys are measured to fit.
+
+    Long rows then stay where they are, instead of being shuffled to be thrown
+    away; beyond ``KEY_BYTES`` both sides are shuffled.
+    """
+    size = keys.agg(F.sum(F.octet_length(F.col(on).cast("string")) + 24 * len(keys.columns))).first()[0] or 0
+    return rows.join(F.broadcast(keys) if size <= KEY_BYTES else keys, on, how)
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of undirected links (a, b): the smallest node that each node reaches.
 

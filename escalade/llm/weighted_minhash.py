@@ -50,7 +50,7 @@ from pyspark.sql import functions as F
 
 from escalade.llm import arrays
 from escalade.llm.arrays import Chunk
-from escalade.llm.frames import components, join_counted, read, settle
+from escalade.llm.frames import components, join_counted, pick, read, settle
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -317,11 +317,12 @@ def _groups(marks: DataFrame, threshold: float) -> DataFrame:
 def _block_pairs(members: DataFrame) -> DataFrame:
     """The members (shingle, node, label, ...) of each two blocks that are to be compared: adds low, high (the blocks) and own; written."""
     # A label with many nodes has blocks of its own, which are not compared with each other.
-    labels = members.groupBy("shingle", "label").count()
-    big = labels.where(F.col("count") > BLOCK).select("shingle", "label", F.ceil(F.col("count") / BLOCK).alias("parts"), F.col("label").alias("big"))
-    pools = labels.where(F.col("count") <= BLOCK).groupBy("shingle").agg(F.ceil(F.sum("count") / BLOCK).alias("pools"))
-    dealt = members.join(big, ["shingle", "label"], "left").join(pools, "shingle", "left")
+    members = settle(members, "dense")
+    labels = settle(members.groupBy("shingle", "label").agg(F.count("*").alias("n")), "labels")
+    pools = labels.where(F.col("n") <= BLOCK).groupBy("shingle").agg(F.ceil(F.sum("n") / BLOCK).alias("pools"))
+    labels = settle(labels.join(pools, "shingle", "left").withColumn("big", F.when(F.col("n") > BLOCK, F.col("label"))).withColumn("parts", F.ceil(F.col("n") / BLOCK)), "labels")
     own = F.when(F.col("big").isNotNull(), F.xxhash64("big", F.pmod(F.xxhash64("node"), "parts"))).otherwise(F.pmod(F.xxhash64("label"), "pools"))
+    dealt = join_counted(members, labels, ["shingle", "label"])
     dealt = settle(dealt.select(*members.columns, "big", own.alias("own")), "blocks")
     blocks = dealt.select("shingle", F.col("own").alias("other"), F.col("big").alias("other_big")).distinct()
     met = dealt.join(blocks, "shingle").where("big is null or other_big is null or big <> other_big")
@@ -372,7 +373,7 @@ def _block_links(met: DataFrame, texts: DataFrame, idf, threshold: float) -> Dat
         a, b = np.nonzero((found >= threshold) & _two_blocks(key, ids, labels, own))
         return pa.table({"a": pa.array(ids[a]), "b": pa.array(ids[b]), "similarity": pa.array(found[a, b], pa.float64())})
 
-    own_texts = texts.join(met.select("node").distinct(), "node", "left_semi").select("node", "text").distinct()
+    own_texts = pick(texts, settle(met.select("node").distinct(), "ids"), "node").select("node", "text").distinct()
     rows = met.select("shingle", "low", "high", "own", "node", "label").join(own_texts, "node")
     return rows.groupBy("shingle", "low", "high").applyInArrow(compare, f"a {kind}, b {kind}, similarity double").distinct()
 
@@ -396,7 +397,8 @@ def near_links(docs: DataFrame, key: str = "doc_id", threshold: float = THRESHOL
         return settle(judged.where("linked").select("a", "b", "similarity"), name)
 
     def pool(pairs: DataFrame) -> DataFrame:
-        return settle(texts.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi"), "pool")
+        ids = settle(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+        return settle(pick(texts, ids, "id"), "pool")
 
     # First each node with the least one that it meets in the first bands, which joins most of a class.
     early = _ends(nodes.select("node", F.explode(F.slice("bands", 1, FIRST_BANDS)).alias("bucket")).distinct())
@@ -418,8 +420,8 @@ def near_links(docs: DataFrame, key: str = "doc_id", threshold: float = THRESHOL
     sizes = named.groupBy("bucket").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
     sizes = settle(sizes.where("low <> high").select("bucket", "n", F.col("n").alias("rows")), "sizes")
     mixed = settle(join_counted(named, sizes, "bucket", "rows"), "mixed")
-    crowd = mixed.where(F.col("n") > FEW).select("node", "label").distinct()
-    crowded = settle(texts.withColumnRenamed("id", "node").join(crowd, "node").select("node", "label", "text"), "crowd")
+    crowd = settle(mixed.where(F.col("n") > FEW).select("node", "label").distinct(), "crowd-nodes")
+    crowded = settle(pick(texts.withColumnRenamed("id", "node"), crowd, "node", "inner").select("node", "label", "text"), "crowd")
     counted = crowded.select("text").mapInArrow(_shingle_counts(idf), "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(PLACES, dtype=np.int32)
     counts[counted["place"].to_numpy(dtype=np.int64)] = np.minimum(counted["n"].to_numpy(dtype=np.int64), np.iinfo(np.int32).max)
