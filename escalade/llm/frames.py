@@ -62,9 +62,9 @@ def components(links: DataFrame) -> DataFrame:
     Large-star and small-star rounds in turn: every node hangs its greater
     neighbours, then its smaller ones, on the least of them, until nothing
     changes.  The rounds grow with the logarithm of the longest path; each one
-    is grouping by minimum, which combines map-side, and ``join_counted``, so a
-    node with a third of all links is no single task.  A round's tables go when
-    the next ones are written.
+    is grouping by minimum, which combines map-side, and an equi-join with the
+    written minima, whose hot partitions AQE can split, as both sides come
+    straight from a shuffle.  A round's tables go when the next ones are written.
     """
     edges = settle(
         links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links"
@@ -72,10 +72,10 @@ def components(links: DataFrame) -> DataFrame:
     mark = _mark(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = settle(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"), "least")
-        large = settle(join_counted(both, least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")), "large")
-        lower = settle(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "lower")
-        small = join_counted(large, lower, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = settle(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = settle(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")), "large")
+        lower = settle(large.groupBy("u").agg(F.min("v").alias("m")), "lower")
+        small = large.join(lower, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         stars = settle(small.unionByName(lower.select("u", F.col("m").alias("v"))).distinct(), "stars")
         now = _mark(stars)
         discard(edges, least, large, lower)
