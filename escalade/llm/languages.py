@@ -7,8 +7,8 @@ machines over all languages, and the languages of a family by one-versus-one
 machines of its own, which see only that family's texts and so can use the
 small differences between close relatives.
 
-Machines are fitted on a bounded sample: about ``PER_LANGUAGE`` texts of each
-language, drawn by the hash of the text.  All languages are learned: where more
+Machines are fitted on a bounded sample: about ``PER_LANGUAGE`` different texts of
+each language, drawn by the hash of the text; copies count once.  All languages are learned: where more
 than ``GROUP`` families (or languages of a family) stand side by side, groups of
 them are told apart first, in as many levels as it takes.  Each family and each
 group is fitted by a task of its own, which holds its sample and nothing else;
@@ -110,7 +110,8 @@ def fit_machine(x: np.ndarray, y: np.ndarray, decay: float = 1e-4, rounds: int =
 
 
 def fit_group(rows: pd.DataFrame) -> pd.DataFrame:
-    """One machine for each two classes of a group (all families, or the languages of one)."""
+    """One machine for each two classes of a group (all families, or the languages of one); rows in one order, so that reruns add up alike."""
+    rows = rows.sort_values(["name", "x"])
     x = np.stack([np.frombuffer(r, "<f2") for r in rows["x"]]).astype(np.float32)
     names = rows["name"].to_numpy()
     out = []
@@ -170,11 +171,24 @@ def _places(tree: dict[str, list[str]], drawn: dict[str, float], per_language: i
     return out
 
 
+def texts_by_language(known: DataFrame) -> dict[str, int]:
+    """The number of different texts of each language; an estimate, as it sets shares only."""
+    return {r["lang"]: max(r["n"], 1) for r in known.groupBy("lang").agg(F.approx_count_distinct("text", 0.02).alias("n")).collect()}
+
+
+def sampled_texts(known: DataFrame, counts: dict[str, int], per_language: int) -> DataFrame:
+    """(lang, text): about ``per_language`` different texts of each language, or all; copies are drawn together and count once."""
+    shares = known.sparkSession.createDataFrame([(x, min(1.0, per_language / n)) for x, n in counts.items()], "lang string, share double")
+    # A few rows a language, from the driver: texts need no shuffle to meet them.
+    drawn = known.join(F.broadcast(shares), "lang").where(F.xxhash64("text") / F.lit(2.0**64) + 0.5 < F.col("share"))
+    return drawn.select("lang", "text").distinct()
+
+
 def fit(train: DataFrame, per_language: int = PER_LANGUAGE, families: dict[str, str] = FAMILY_OF) -> dict:
     """The model from ``text`` and ``lang``: the tree of levels, and machines by level (``""`` for the root)."""
     spark = train.sparkSession
     known = train.where(F.col("lang").isNotNull() & has_letter(F.col("text"))).select("lang", F.lower("text").alias("text"))
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    counts = texts_by_language(known)
     model = {"tree": {}, "machines": {}}
     if not counts:
         return model
@@ -182,11 +196,10 @@ def fit(train: DataFrame, per_language: int = PER_LANGUAGE, families: dict[str,
     for language in counts:
         languages.setdefault(families.get(language, language), []).append(language)
     model["tree"] = tree_of(languages)
-    shares = spark.createDataFrame([(x, min(1.0, per_language / n)) for x, n in counts.items()], "lang string, share double")
     places = _places(model["tree"], {x: min(n, per_language) for x, n in counts.items()}, per_language)
     places = spark.createDataFrame(places, "lang string, level string, name string, part double")
-    # Both tables have a few rows a language and come from the driver: texts need no shuffle to meet them.
-    drawn = known.join(F.broadcast(shares), "lang").where(F.xxhash64("text") / F.lit(2.0**64) + 0.5 < F.col("share")).select("lang", "text")
+    # Places have a few rows a language and come from the driver: texts need no shuffle to meet them.
+    drawn = sampled_texts(known, counts, per_language)
     drawn = drawn.mapInArrow(_sampled, "lang string, x binary")
     groups = drawn.join(F.broadcast(places), "lang").where(F.xxhash64("x") / F.lit(2.0**64) + 0.5 < F.col("part")).select("level", "name", "x")
     for row in groups.groupBy("level").applyInPandas(fit_group, "level string, a string, b string, w binary").collect():

@@ -6,8 +6,8 @@
    label.  It needs only how often each pattern of votes occurs: at most
    3**labellers patterns, whatever the size of the corpus, counted by one
    grouping over all documents.
-3. The posterior of each pattern labels a sample of ``SAMPLE`` documents (the
-   only bounded step, chosen by a hash of the text), on which a linear scorer
+3. The posterior of each pattern labels a sample of ``SAMPLE`` different texts (the
+   only bounded step, chosen by a hash of the text; copies count once), on which a linear scorer
    over hashed features learns.  Features are byte trigrams after letters are
    folded into classes (capital, small, non-ASCII, digit), so it learns shape
    and punctuation and not words, next to the labellers' figures.
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from escalade.llm import arrays
 from escalade.llm.arrays import Chunk
 
-#: Most documents that the scorer is fitted on (expected number; drawn by the hash of the text).
+#: Most texts that the scorer is fitted on (expected number; drawn by the hash of the text).
 SAMPLE = 6000
 #: Hashed features of the scorer.
 FEATURES = 1 << 11
@@ -206,6 +206,18 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"pattern": pa.array(codes, pa.int64()), "x": pa.array([r.astype("<f2").tobytes() for r in x], pa.binary())})
 
 
+def sampled_texts(texts: DataFrame, sample: int) -> DataFrame:
+    """About ``sample`` different texts, or all if there are fewer.
+
+    Copies of a text are drawn together and count once, so the sample is bounded
+    whatever is repeated; an estimate of the number of different texts sets its share.
+    """
+    different = texts.agg(F.approx_count_distinct("text", 0.02)).first()[0]
+    share = min(1.0, sample / max(different, 1))
+    drawn = texts if share == 1 else texts.where(F.xxhash64("text") < F.lit(int((share - 0.5) * (1 << 64))))
+    return drawn.distinct()
+
+
 def fit(docs: DataFrame, sample: int = SAMPLE) -> dict:
     """The fitted model: labeller accuracies, posterior by pattern, and the scorer's weights (None without documents)."""
     texts = docs.select("text").where("text is not null")
@@ -216,11 +228,11 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> dict:
     patterns = codes[:, None] // (3 ** np.arange(LABELLERS)) % 3 - 1
     posterior, model = expectation_maximisation(patterns, counted["n"].to_numpy(float))
     of = dict(zip(codes.tolist(), posterior.tolist()))
-    share = min(1.0, sample / counted["n"].sum())
-    drawn = texts if share == 1 else texts.where(F.xxhash64("text") < F.lit(int((share - 0.5) * (1 << 64))))
-    chosen = drawn.mapInArrow(_sampled, "pattern long, x binary")
+    chosen = sampled_texts(texts, sample).mapInArrow(_sampled, "pattern long, x binary")
 
     def learn(rows: pd.DataFrame) -> pd.DataFrame:
+        # In one order, so that reruns add up alike.
+        rows = rows.sort_values(["pattern", "x"])
         y = rows["pattern"].map(of)
         known = y.notna().to_numpy()
         if not known.any():
@@ -228,7 +240,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> dict:
         x = np.stack([np.frombuffer(r, "<f2") for r in rows["x"][known]]).astype(np.float32)
         return pd.DataFrame({"weights": [fit_scorer(x, y[known].to_numpy(np.float32)).astype("<f4").tobytes()]})
 
-    # The sample is the scorer's only input and has a fixed bound, so one task may hold it.
+    # The sample is the scorer's only input and has a fixed bound, whatever is repeated, so one task may hold it.
     fitted = chosen.groupBy(F.lit(0).alias("all")).applyInPandas(learn, "weights binary").collect()
     weights = bytes(fitted[0]["weights"]) if fitted else b""
     return model | {"weights": np.frombuffer(weights, "<f4") if weights else None}

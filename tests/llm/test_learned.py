@@ -56,6 +56,26 @@ def test_odd_quality(spark):
     assert quality.score(odd, quality.fit(empty)).where("kept").count() == sum(bool((t or "").strip()) for _, t, _, _ in ODD_ROWS)
 
 
+def test_quality_sample_is_bounded_whatever_is_repeated(spark):
+    # The text of the least hash is in every sample; a third of all rows repeat it.
+    hot = spark.range(100).select(F.concat(F.lit("hot "), F.col("id")).alias("text")).orderBy(F.xxhash64("text")).first()["text"]
+    rows = spark.range(6000).select(F.when(F.col("id") % 3 == 0, F.lit(hot)).otherwise(F.concat(F.lit("text "), F.col("id"))).alias("text"))
+    drawn = quality.sampled_texts(rows, 400).toPandas()["text"]
+    assert drawn.is_unique and hot in set(drawn) and 200 < len(drawn) < 800
+    assert quality.sampled_texts(rows, 5000).count() == 4001
+
+
+def test_language_samples_are_bounded_whatever_is_repeated(spark):
+    hot = spark.range(100).select(F.concat(F.lit("hot "), F.col("id")).alias("text")).orderBy(F.xxhash64("text")).first()["text"]
+    rows = spark.range(6000).select(F.when(F.col("id") % 3 == 0, F.lit(hot)).otherwise(F.concat(F.lit("text "), F.col("id"))).alias("text"))
+    known = rows.crossJoin(spark.createDataFrame([("en",), ("fr",)], "lang string"))
+    counts = languages.texts_by_language(known)
+    drawn = languages.sampled_texts(known, counts, 400).toPandas()
+    assert all(abs(n - 4001) < 300 for n in counts.values())
+    for _, texts in drawn.groupby("lang")["text"]:
+        assert texts.is_unique and hot in set(texts) and 200 < len(texts) < 800
+
+
 # op6
 
 def test_languages_of_held_out_documents(spark):
