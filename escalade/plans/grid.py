@@ -2,12 +2,18 @@
 
 All configurations share the rows and differ in their weights and penalties, so
 their coefficients are stacked side by side and one pass over the data gives the
-losses and gradients of all of them: a task multiplies its rows with the stacked
-matrix, and the partial sums are added up in a tree.  Each configuration then
-takes a quasi-Newton step of its own on the driver, where only coefficients and
-their history live (features x classes x configurations numbers, as large as the
-models themselves).  The number of passes is that of the slowest configuration
-and not their sum; no configuration's steps depend on another one.
+losses, gradients and curvatures of all of them: a task multiplies its rows with
+the stacked matrix, and the partial sums are added up in a tree.  Each
+configuration then takes a step of its own on the driver, where only coefficients,
+their history and the curvature live (features x classes x configurations numbers,
+as large as the models themselves, and ``BLOCK`` squared a configuration).  The
+number of passes is that of the slowest configuration and not their sum; no
+configuration's steps depend on another one.
+
+The curvature is the exact matrix of second derivatives of the features with the
+greatest squares, up to ``BLOCK`` coefficients, and the diagonal of the others.
+While all features fit, steps are Newton's, of which about a dozen are needed
+however alike features are; beyond that, a quasi-Newton history corrects it.
 
 A configuration minimizes the weighted sum of losses plus half the squared
 coefficients over C, divided by the sum of weights.  Intercepts are not penalized.
@@ -25,7 +31,9 @@ from pyspark.sql import functions as F
 
 #: Entries of rows that are multiplied at once, to bound a task's memory.
 ENTRIES = 1 << 16
-#: Steps that the curvature is estimated from; the driver keeps two arrays of the size of a model for each.
+#: Coefficients of a configuration whose second derivatives are all known, and pairs of entries that are summed at once.
+BLOCK, PAIRS = 1024, 1 << 18
+#: Steps that the rest of the curvature is estimated from; the driver keeps two arrays of the size of a model for each.
 MEMORY = 20
 #: Fixed values of the step search: sufficient decrease and curvature (strong Wolfe conditions).
 DECREASE, CURVATURE = 1e-4, 0.9
@@ -75,11 +83,39 @@ def _scores(coefficients: np.ndarray, n: int, place: np.ndarray, value: np.ndarr
     return out
 
 
-def _loss_and_gradient(coefficients: np.ndarray, weights: np.ndarray, classes: int, batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-    """One array: the gradient, and a last row with each configuration's loss in the column of its first class."""
+def _pairs(place: np.ndarray, value: np.ndarray, row: np.ndarray, n: int, heavy: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(cell, product, row) of all pairs of entries that stand in one row: cells of the upper half of a ``heavy`` x ``heavy`` square, the intercept last."""
+    size = len(heavy) + 1
+    at = np.searchsorted(heavy, place)
+    kept = np.flatnonzero(heavy[np.minimum(at, len(heavy) - 1)] == place) if len(heavy) else np.zeros(0, np.int64)
+    # Entries of a row by rising place, with its intercept at the end.
+    order = np.lexsort((np.r_[at[kept], np.full(n, size - 1)], np.r_[row[kept], np.arange(n)]))
+    at, value, row = np.r_[at[kept], np.full(n, size - 1)][order], np.r_[value[kept], np.ones(n)][order], np.r_[row[kept], np.arange(n)][order]
+    # Each entry meets itself and what follows it in its row.
+    ahead = np.searchsorted(row, row, side="right") - np.arange(len(row))
+    ends, first = np.cumsum(ahead), 0
+    while first < len(row):
+        last = max(first + 1, int(np.searchsorted(ends, ends[first] + PAIRS, side="right")))
+        own = ahead[first:last]
+        left = np.repeat(np.arange(first, last), own)
+        right = left + np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
+        yield at[left] * size + at[right], value[left] * value[right], row[left]
+        first = last
+
+
+def _loss_and_gradient(coefficients: np.ndarray, weights: np.ndarray, classes: int, batches: Iterator[pa.RecordBatch],
+                       heavy: np.ndarray | None = None) -> np.ndarray | tuple[np.ndarray, ...]:
+    """One array: the gradient, and a last row with each configuration's loss in the column of its first class.
+
+    With the places of ``heavy`` features there are two more: the sums of squares times p (1 - p) by feature and column, and of products
+    of heavy features (upper half, intercept last) times p q for each configuration and pair of classes.
+    """
     width, columns = coefficients.shape
     configs = columns // classes
     total = np.zeros((width + 1, columns))
+    if heavy is not None:
+        two = [(c, d) for c in range(classes) for d in range(c + 1, classes)]
+        squares, products = np.zeros((width, columns)), np.zeros((configs, len(two), (len(heavy) + 1) ** 2))
     for batch in batches:
         label = batch.column("y").to_numpy()
         for rows, place, value, row in _batches(batch):
@@ -92,18 +128,68 @@ def _loss_and_gradient(coefficients: np.ndarray, weights: np.ndarray, classes: i
             own = weights[:, y].T
             total[-1, ::classes] += (own * (np.log(sums[:, :, 0]) - score[np.arange(n), :, y])).sum(axis=0)
             odds /= sums
+            if heavy is not None:
+                bend = (odds * (1 - odds) * own[:, :, None]).reshape(n, columns)
+                squares[-1] += bend.sum(axis=0)
+                _add_by_place(squares, place, value * value, bend, row)
+                mixed = [[own[:, i] * odds[:, i, c] * odds[:, i, d] for c, d in two] for i in range(configs)]
+                for cell, product, at in _pairs(place, value, row, n, heavy):
+                    for i in range(configs):
+                        for j in range(len(two)):
+                            products[i, j] += np.bincount(cell, product * mixed[i][j][at], products.shape[2])
             odds[np.arange(n), :, y] -= 1
             pull = (odds * own[:, :, None]).reshape(n, columns)
             total[-2] += pull.sum(axis=0)
-            if len(place):
-                order = np.argsort(place, kind="stable")
-                begins = np.flatnonzero(np.r_[True, place[order][1:] != place[order][:-1]])
-                total[place[order][begins]] += np.add.reduceat(pull[row[order]] * value[order][:, None], begins, axis=0)
-    return total
+            _add_by_place(total, place, value, pull, row)
+    if heavy is None:
+        return total
+    return total, squares, products[:, :, np.flatnonzero(np.triu(np.ones((len(heavy) + 1,) * 2)).ravel())]
+
+
+def _add_by_place(total: np.ndarray, place: np.ndarray, value: np.ndarray, pull: np.ndarray, row: np.ndarray) -> None:
+    """Adds each entry's value times its row of ``pull`` to the row of ``total`` at its place."""
+    if len(place):
+        order = np.argsort(place, kind="stable")
+        begins = np.flatnonzero(np.r_[True, place[order][1:] != place[order][:-1]])
+        total[place[order][begins]] += np.add.reduceat(pull[row[order]] * value[order][:, None], begins, axis=0)
+
+
+class Curvature:
+    """Second derivatives of one configuration: all of the heavy features and the intercept, and the diagonal of the others."""
+
+    def __init__(self, squares: np.ndarray, products: np.ndarray, heavy: np.ndarray, penalty: float):
+        self.shape, k = squares.shape, squares.shape[1]
+        self.places = np.r_[heavy, self.shape[0] - 1]
+        self.exact = len(self.places) == self.shape[0]
+        self.diagonal = squares + penalty
+        size = len(self.places)
+        upper = np.triu_indices(size)
+        self.block = np.zeros((size, k, size, k))
+        for sums, (c, d) in zip(products, ((c, d) for c in range(k) for d in range(c + 1, k))):
+            whole = np.zeros((size, size))
+            whole[upper] = sums
+            whole += np.triu(whole, 1).T
+            self.block[:, c, :, d] = self.block[:, d, :, c] = -whole
+            self.block[:, c, :, c] += whole
+            self.block[:, d, :, d] += whole
+        flat = self.block.reshape(size * k, size * k)
+        flat[np.diag_indices(size * k)] += np.r_[np.full((size - 1) * k, penalty), np.full(k, 1e-14)]
+        # Adding one number to all intercepts changes no loss, and no gradient points there.
+        self.block[-1, :, -1, :] += 1.0
+
+    def solve(self, q: np.ndarray) -> np.ndarray:
+        q = q.reshape(self.shape)
+        out = q / self.diagonal
+        rows = q[self.places]
+        try:
+            out[self.places] = np.linalg.solve(self.block.reshape(rows.size, rows.size), rows.ravel()).reshape(rows.shape)
+        except np.linalg.LinAlgError:
+            pass  # the diagonal alone
+        return out.ravel()
 
 
 class _Descent:
-    """The steps of one configuration: limited-memory BFGS with a strong Wolfe search, one trial per pass."""
+    """The steps of one configuration: Newton's, or limited-memory BFGS around a partial curvature, with a strong Wolfe search, one trial per pass."""
 
     def __init__(self, size: int, tol: float):
         self.tol, self.x, self.f, self.g = tol, np.zeros(size), None, None
@@ -116,9 +202,7 @@ class _Descent:
             alpha = s @ q / (s @ y)
             q -= alpha * y
             alphas.append(alpha)
-        if self.history:
-            s, y = self.history[-1]
-            q *= (s @ y) / (y @ y)
+        q = self.curvature.solve(q)
         for (s, y), alpha in zip(self.history, reversed(alphas)):
             q += (alpha - y @ q / (s @ y)) * s
         return -q
@@ -133,15 +217,14 @@ class _Descent:
             self.history.clear()
             self.d = -self.g
             self.slope = self.g @ self.d
-        self.low, self.high = 0.0, np.inf
-        self.step = 1.0 if self.history else min(1.0, 1.0 / np.abs(self.g).sum())
+        self.low, self.high, self.step = 0.0, np.inf, 1.0
         self.searched = 0
         self.trial = self.x + self.step * self.d
 
-    def take(self, f: float, g: np.ndarray) -> None:
-        """Loss and gradient at ``trial``; sets the next one."""
+    def take(self, f: float, g: np.ndarray, curvature: Curvature) -> None:
+        """Loss, gradient and curvature at ``trial``; sets the next one."""
         if self.f is None:
-            self.f, self.g = f, g
+            self.f, self.g, self.curvature = f, g, curvature
             return self._start()
         slope = g @ self.d
         self.searched += 1
@@ -152,7 +235,7 @@ class _Descent:
         elif slope < CURVATURE * self.slope:
             self.low = self.step
         else:
-            return self._accept(f, g)
+            return self._accept(f, g, curvature)
         if self.searched >= 40:
             # No step is left between the bounds that rounding can tell apart.
             self.done = True
@@ -161,11 +244,11 @@ class _Descent:
         self.trial = self.x + self.step * self.d
         return None
 
-    def _accept(self, f: float, g: np.ndarray) -> None:
+    def _accept(self, f: float, g: np.ndarray, curvature: Curvature) -> None:
         s, y = self.trial - self.x, g - self.g
-        if s @ y > 1e-300:
+        if s @ y > 1e-300 and not curvature.exact:
             self.history = [*self.history[1 - MEMORY:], (s, y)]
-        self.x, self.f, self.g = self.trial, f, g
+        self.x, self.f, self.g, self.curvature = self.trial, f, g, curvature
         self._start()
 
 
@@ -200,6 +283,22 @@ class Grid:
         return each.groupBy("place", gold, "predicted_label").agg(F.count("*").alias("n"))
 
 
+def heavy_places(rows: DataFrame, width: int, most: int) -> np.ndarray:
+    """The places of up to ``most`` features, those with the greatest sums of squares, in rising order."""
+    if width <= most:
+        return np.arange(width)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(width)
+        for batch in batches:
+            for _, place, value, _ in _batches(batch):
+                sums += np.bincount(place, value * value, width)
+        yield pa.RecordBatch.from_pydict({"sums": pa.array([sums.tobytes()], pa.binary())})
+
+    sums = rows.mapInArrow(run, "sums binary").rdd.map(lambda r: np.frombuffer(r["sums"])).treeReduce(np.add)
+    return np.sort(np.argsort(-sums, kind="stable")[:most])
+
+
 def fit_grid(rows: DataFrame, counts: dict[str, int], classes: list[str], width: int, grid, tol: float = 1e-9, max_passes: int = 2000) -> Grid:
     """All models of ``grid`` (``C`` and ``class_weight`` each) on ``sparse_rows``, whose ``y`` counts ``classes``.
 
@@ -214,6 +313,8 @@ def fit_grid(rows: DataFrame, counts: dict[str, int], classes: list[str], width:
     weights = weights / totals[:, None]
     penalty = np.array([1.0 / (config["C"] * total) for config, total in zip(grid, totals)])
     descents = [_Descent((width + 1) * k, tol) for _ in grid]
+    heavy = heavy_places(rows, width, max(0, BLOCK // k - 1))
+    cells = (len(heavy) + 1) * (len(heavy) + 2) // 2 * (k * (k - 1) // 2)
     context = rows.sparkSession.sparkContext
     passes = 0
     while passes < max_passes:
@@ -226,14 +327,18 @@ def fit_grid(rows: DataFrame, counts: dict[str, int], classes: list[str], width:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             coefficients, own = held.value
-            yield pa.RecordBatch.from_pydict({"sums": pa.array([_loss_and_gradient(coefficients, own, k, batches).tobytes()], pa.binary())})
+            sums = _loss_and_gradient(coefficients, own, k, batches, heavy)
+            yield pa.RecordBatch.from_pydict({"sums": pa.array([b"".join(x.tobytes() for x in sums)], pa.binary())})
 
-        sums = rows.mapInArrow(run, "sums binary").rdd.map(lambda r: np.frombuffer(r["sums"])).treeReduce(np.add).reshape(width + 2, -1)
+        added = rows.mapInArrow(run, "sums binary").rdd.map(lambda r: np.frombuffer(r["sums"])).treeReduce(np.add)
         held.unpersist()
+        sums, squares, products = np.split(added, np.cumsum([(width + 2) * stacked.shape[1], (width + 1) * stacked.shape[1]]))
+        sums, squares, products = sums.reshape(width + 2, -1), squares.reshape(width + 1, -1), products.reshape(len(active), -1, cells // max(1, k * (k - 1) // 2))
         for j, i in enumerate(active):
             d = descents[i]
             x = d.trial.reshape(width + 1, k)
             gradient = sums[:-1, j * k:(j + 1) * k].copy()
             gradient[:-1] += penalty[i] * x[:-1]
-            d.take(float(sums[-1, j * k]) + penalty[i] / 2 * float((x[:-1] ** 2).sum()), gradient.ravel())
+            bend = Curvature(squares[:, j * k:(j + 1) * k], products[j], heavy, penalty[i])
+            d.take(float(sums[-1, j * k]) + penalty[i] / 2 * float((x[:-1] ** 2).sum()), gradient.ravel(), bend)
     return Grid(list(classes), np.stack([d.x.reshape(width + 1, k) for d in descents]), passes, [float(np.abs(d.g).max()) for d in descents])

@@ -234,3 +234,63 @@ def test_grid_gradients_are_differences_of_losses():
         more[place] += 1e-6
         config = place[1] // 3 * 3
         assert (grid._loss_and_gradient(more, weights, 3, [batch])[-1, config] - base[-1, config]) / 1e-6 == pytest.approx(base[place], abs=1e-4)
+
+
+def _entries(rng, rows, width, most, classes):
+    import numpy as np
+    import pyarrow as pa
+
+    places = [np.sort(rng.choice(width, rng.integers(0, most), replace=False)).tolist() for _ in range(rows)]
+    return pa.RecordBatch.from_pydict({
+        "y": pa.array(rng.integers(0, classes, rows), pa.int32()), "places": pa.array(places, pa.list_(pa.int32())),
+        "values": pa.array([rng.normal(size=len(p)).tolist() for p in places], pa.list_(pa.float64())),
+    })
+
+
+@pytest.mark.parametrize("heavy", [[0, 1, 2, 3, 4, 5], [1, 4], []])
+def test_grid_curvature_is_differences_of_gradients(heavy, monkeypatch):
+    import numpy as np
+
+    from escalade.plans import grid
+
+    monkeypatch.setattr(grid, "PAIRS", 7)
+    rng = np.random.default_rng(1)
+    batch, heavy = _entries(rng, 40, 6, 5, 3), np.array(heavy, dtype=np.int64)
+    x, weights = rng.normal(size=(7, 6)), rng.random((2, 3))
+    total, squares, products = grid._loss_and_gradient(x, weights, 3, [batch], heavy)
+    assert np.array_equal(total, grid._loss_and_gradient(x, weights, 3, [batch]))
+    for config in (0, 1):
+        own = slice(3 * config, 3 * config + 3)
+        bend = grid.Curvature(squares[:, own], products[config], heavy, 0.25)
+        block = bend.block.copy()
+        block[-1, :, -1, :] -= 1.0
+        for feature in range(7):
+            for c in range(3):
+                more = x.copy()
+                more[feature, 3 * config + c] += 1e-6
+                step = (grid._loss_and_gradient(more, weights, 3, [batch])[:-1, own] - total[:-1, own]) / 1e-6
+                assert bend.diagonal[feature, c] - 0.25 == pytest.approx(step[feature, c], abs=1e-4)
+                if feature in bend.places:
+                    at = list(bend.places).index(feature)
+                    step[feature, c] += 0.25 * (feature < 6)
+                    assert np.allclose(block[at, c], step[bend.places], atol=1e-4)
+
+
+@pytest.mark.parametrize("block", [1024, 30])
+def test_grid_takes_few_passes_over_features_that_are_alike(spark, monkeypatch, block):
+    import numpy as np
+
+    from escalade.plans import grid
+
+    monkeypatch.setattr(grid, "BLOCK", block)
+    rng = np.random.default_rng(3)
+    first, second = rng.random(600), rng.integers(0, 12, 600)
+    # A category as feature, its copy scaled, a number near its double, and the intercept: only the penalty tells them apart.
+    rows = [(int(y), [int(s), 12 + int(s), 24, 25], [1.0, 0.3, float(10 * a), float(20 * a + 0.01 * b)])
+            for a, b, s, y in zip(first, rng.random(600), second, (first * 2 + second / 12 + 0.4 * rng.normal(size=600)).clip(0, 2).astype(int))]
+    table = spark.createDataFrame(rows, "y int, places array<int>, values array<double>").coalesce(2).persist()
+    counts = {str(k): sum(r[0] == k for r in rows) for k in range(3)}
+    models = grid.fit_grid(table, counts, list(counts), 26, router.GRID, max_passes=200)
+    table.unpersist()
+    assert max(models.gradients) <= 1e-9
+    assert models.passes <= (20 if block == 1024 else 120)
