@@ -5,6 +5,7 @@ A chunk holds whole texts only, so results never depend on how rows were dealt.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -12,6 +13,8 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
+#: The C library, of which not every one has ``malloc_trim``.
+_C = ctypes.CDLL(None)
 #: Texts are handled in chunks of about so many bytes; a longer text is a chunk of its own.
 CHUNK_BYTES = 1 << 20
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -29,12 +32,15 @@ class Chunk(NamedTuple):
 def chunks(texts: pa.Array, max_bytes: int = CHUNK_BYTES) -> Iterator[Chunk]:
     """Cut a string column into chunks of whole texts; a null counts as the empty text."""
     texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
-    texts = texts.cast(pa.large_binary())
     if texts.null_count:
-        texts = texts.fill_null(b"")
+        texts = texts.cast(pa.large_binary()).fill_null(b"")
     if not len(texts):
         return
-    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    # The bytes stay where they are; only their places are read.
+    wide = pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type)
+    if not wide and not pa.types.is_string(texts.type) and not pa.types.is_binary(texts.type):
+        texts, wide = texts.cast(pa.large_binary()), True
+    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64 if wide else np.int32)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64)
     body = texts.buffers()[2]
     data = np.frombuffer(body, dtype=np.uint8) if body is not None else np.zeros(0, np.uint8)
     first = 0
@@ -45,6 +51,14 @@ def chunks(texts: pa.Array, max_bytes: int = CHUNK_BYTES) -> Iterator[Chunk]:
         first = last
 
 
+def release() -> None:
+    """Give freed memory back to the system: workers live on between tasks, and several share an executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(_C, "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer: every input bit reaches every output bit."""
     x = x ^ (x >> np.uint64(30))
@@ -88,8 +102,8 @@ def equal_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray
     """Whether data[a:a + size] equals data[b:b + size], for arrays of places."""
     out = np.ones(len(a), dtype=bool)
     # A few thousand ranges at a time, as every byte takes several numbers here.
-    for begin in range(0, len(a), 1 << 14):
-        s = slice(begin, begin + (1 << 14))
+    for begin in range(0, len(a), 1 << 12):
+        s = slice(begin, begin + (1 << 12))
         own = size[s]
         row = np.repeat(np.arange(len(own)), own)
         step = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)

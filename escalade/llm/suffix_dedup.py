@@ -59,6 +59,9 @@ HASH_BYTES = 5
 #: Texts longer than this find their anchors by places and not by packed values.
 _PACKED = 25
 
+#: Strings that are compared at once.
+_SLICE = 1 << 16
+
 _NONE, _SHARED, _COMMON = 0, 1, 2
 
 
@@ -146,6 +149,8 @@ class Block:
             np.concatenate([r.anchor for _, r in found]),
             *(np.concatenate([getattr(r, name) + base for base, r in found]) for name in ("place", "first", "last")),
         )
+        del bodies, found
+        arrays.release()
         self.doc = np.searchsorted(self.offsets, self.runs.first, side="right") - 1
         order = np.lexsort((self.ids[self.doc], self.runs.anchor))
         anchor, own = self.runs.anchor[order], self.ids[self.doc[order]]
@@ -168,13 +173,18 @@ class Block:
         """The distinct shared strings to send, and which occurrences each stands for."""
         flag = flags[np.searchsorted(self.anchors, self.runs.anchor)] if len(self.anchors) else np.zeros(0, np.int64)
         plain, common = np.flatnonzero(flag == _SHARED), np.flatnonzero(flag == _COMMON)
-        first, count = self.runs.first, self.runs.last - self.runs.first + 1
-        each = np.repeat(first[common] - (np.cumsum(count[common]) - count[common]), count[common]) + np.arange(count[common].sum())
-        start = np.r_[first[plain], each]
-        size = np.r_[count[plain] + self.length - 1, np.full(len(each), self.length)]
-        left = np.r_[self.runs.place[plain] - first[plain], np.zeros(len(each), np.int64)]
-        doc = np.r_[self.doc[plain], np.repeat(self.doc[common], count[common])]
-        content = np.empty(len(start), dtype=np.uint64)
+        # Common strings may be as many as bytes; 32 bits hold their places.
+        kind = np.int32 if len(self.data) < 1 << 31 else np.int64
+        first, count = self.runs.first.astype(kind), (self.runs.last - self.runs.first + 1).astype(kind)
+        own = count[common]
+        n = len(plain) + int(own.sum(dtype=np.int64))
+        start, size, left, doc = np.empty(n, kind), np.full(n, self.length, kind), np.zeros(n, kind), np.empty(n, kind)
+        start[:len(plain)], size[:len(plain)], doc[:len(plain)] = first[plain], count[plain] + self.length - 1, self.doc[plain]
+        left[:len(plain)] = self.runs.place[plain] - first[plain]
+        start[len(plain):] = np.arange(n - len(plain), dtype=kind)
+        start[len(plain):] += np.repeat(first[common] - (np.cumsum(own, dtype=kind) - own), own)
+        doc[len(plain):] = np.repeat(self.doc[common].astype(kind), own)
+        content = np.empty(n, dtype=np.uint64)
         # Documents are hashed chunk by chunk, as prefix sums take eight times their room.
         base = 0
         while base < len(self.ids):
@@ -185,8 +195,9 @@ class Block:
             if len(here):
                 content[here] = mix(fixed_hash(prefix_hash(self.data[a:b]), start[here] - a, size[here]) + size[here].astype(np.uint64))
             base = last
-        key = np.r_[self.runs.anchor[plain], content[len(plain):]]
-        return distinct_segments(self.data, start, size, left, key, content, self.ids[doc])
+        key = content.copy()
+        key[:len(plain)] = self.runs.anchor[plain]
+        return distinct_segments(self.data, start, size, left, key, content, self.ids, doc)
 
 
 class Segments(NamedTuple):
@@ -205,21 +216,50 @@ def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
     return ((keys >> np.uint64(8 * HASH_BYTES)) % np.uint64(parts)).astype(np.int64)
 
 
-def distinct_segments(data, start, size, left, key, content, ids) -> Segments:
-    """Segments of equal bytes as one; equal hashes are verified, and a segment that only looks equal stays apart."""
-    order = np.lexsort((start, left, content, key))
-    k, c, l, z = key[order], content[order], left[order], size[order]
-    new = np.r_[True, (k[1:] != k[:-1]) | (c[1:] != c[:-1]) | (l[1:] != l[:-1]) | (z[1:] != z[:-1])] if len(order) else np.zeros(0, bool)
-    own = np.flatnonzero(new)[np.cumsum(new) - 1]
-    false_friends = np.flatnonzero(~equal_bytes(data, start[order], start[order[own]], size[order]))
-    own[false_friends] = false_friends
-    heads, members = np.unique(own, return_inverse=True)
-    of = np.empty(len(order), dtype=np.int64)
-    of[order] = members
-    least = np.full(len(heads), np.iinfo(np.int64).max)
-    np.minimum.at(least, of, ids)
-    chosen = order[heads]
-    return Segments(start[chosen], size[chosen], left[chosen], key[chosen], least, start, of)
+def distinct_segments(data, start, size, left, key, content, ids, doc=None) -> Segments:
+    """Segments of equal bytes as one; equal hashes are verified, and a segment that only looks equal stays apart.
+
+    ``ids`` are those of the segments, or of the documents ``doc``.  One sort of one hash, and what is long goes slice by slice: segments may be many.
+    """
+    kind = np.int32 if max(len(data), len(start)) < 1 << 31 else np.int64
+    look = size.astype(np.uint64) * np.uint64(BASE)
+    look += left.astype(np.uint64)
+    look = mix(look)
+    look ^= content
+    look = mix(look)
+    look ^= key
+    order = np.argsort(look, kind="stable").astype(kind)
+    new = np.ones(len(order), dtype=bool)
+    for a in range(1, len(order), _SLICE):
+        own = order[a:a + _SLICE]
+        new[a:a + _SLICE] = look[own] != look[order[a - 1:a - 1 + len(own)]]
+    del look
+    group = np.cumsum(new, dtype=kind)
+    group -= 1
+    first = order[new]
+    del new
+    apart = [np.zeros(0, np.int64)]
+    for a in range(0, len(order), _SLICE):
+        own, head = order[a:a + _SLICE], first[group[a:a + _SLICE]]
+        same = (key[own] == key[head]) & (content[own] == content[head]) & (left[own] == left[head]) & (size[own] == size[head])
+        same[same] = equal_bytes(data, start[own[same]], start[head[same]], size[own[same]])
+        apart.append(a + np.flatnonzero(~same))
+    apart = np.concatenate(apart)
+    group[apart] = np.arange(len(first), len(first) + len(apart))
+    of = np.empty(len(order), dtype=kind)
+    of[order] = group
+    chosen = np.r_[first, order[apart]]
+    del group, order
+    # Segments of one key side by side, as they are alike and so travel in less room.
+    rank = np.lexsort((start[chosen], left[chosen], content[chosen], key[chosen]))
+    chosen, number = chosen[rank], np.empty(len(rank), dtype=kind)
+    number[rank] = np.arange(len(rank), dtype=kind)
+    of = number[of]
+    least = np.full(len(chosen), np.iinfo(np.int64).max)
+    for a in range(0, len(of), _SLICE):
+        s = slice(a, a + _SLICE)
+        np.minimum.at(least, of[s], ids[s] if doc is None else ids[doc[s]])
+    return Segments(*(x[chosen].astype(np.int64) for x in (start, size, left)), key[chosen], least, start, of)
 
 
 def shared_flags(lists: list[np.ndarray], counts: list[np.ndarray], common: int) -> list[np.ndarray]:
@@ -336,7 +376,11 @@ def least_ids(suffixes: SuffixOrder, start: np.ndarray, size: np.ndarray, left:
     place = start.astype(kind)[segment[chosen]] + step[chosen]
     distance = left.astype(kind)[segment[chosen]] - step[chosen] + length
     # Strings whose hash is alone in the part need not be sorted.
-    look = mix(suffixes.hashes(place, length) ^ mix(family[segment[chosen]].astype(np.uint64) * np.uint64(4 * length) + distance.astype(np.uint64)))
+    look = np.empty(len(place), dtype=np.uint64)
+    for a in range(0, len(place), _SLICE):
+        s = slice(a, a + _SLICE)
+        own = family[segment[chosen[s]]].astype(np.uint64) * np.uint64(4 * length) + distance[s].astype(np.uint64)
+        look[s] = mix(suffixes.hashes(place[s], length) ^ mix(own))
     by = np.argsort(look, kind="stable").astype(kind)
     twice, same = np.zeros(len(by), dtype=bool), look[by[1:]] == look[by[:-1]]
     twice[by[1:]] |= same
@@ -455,6 +499,7 @@ def repeated_strings(docs: DataFrame, key: str = "doc_id", length: int = LENGTH,
         sizes = [unpack(r["sizes"], r["n"]) for r in rows]
         bodies = [np.frombuffer(pa.decompress(r["body"], decompressed_size=int(z.sum()), codec="zstd", asbytes=True), np.uint8) for r, z in zip(rows, sizes)]
         data, all_sizes = np.concatenate(bodies), np.concatenate(sizes)
+        del bodies
         key = np.concatenate([np.frombuffer(r["keys"], "<u8") for r in rows])
         left, ids = np.concatenate([unpack(r["lefts"], r["n"]) for r in rows]), np.concatenate([unpack(r["least"], r["n"]) for r in rows])
         start = np.cumsum(all_sizes) - all_sizes
@@ -462,28 +507,37 @@ def repeated_strings(docs: DataFrame, key: str = "doc_id", length: int = LENGTH,
         content = mix(suffixes.hashes(start, all_sizes) + all_sizes.astype(np.uint64))
         # Segments that several blocks sent are one before the sort.
         found = distinct_segments(data, start, all_sizes, left, key, content, ids)
+        del content
         least = least_ids(suffixes, found.start, found.size, found.left, found.key, found.least)
         count = found.size - length + 1
         begin = np.cumsum(count) - count
         own = count[found.of]
-        each = least[np.repeat(begin[found.of] - (np.cumsum(own) - own), own) + np.arange(own.sum())]
+        del suffixes
+        kind = np.int32 if own.sum() < 1 << 31 else np.int64
+        at = np.arange(own.sum(), dtype=kind)
+        at += np.repeat((begin[found.of] - (np.cumsum(own) - own)).astype(kind), own)
+        each = least[at]
+        del at, least
+        arrays.release()
         cuts = np.split(each, np.cumsum([int((z - length + 1).sum()) for z in sizes])[:-1])
         return _answer_table([(r["block"], 1, r["part"], len(c), pack(c)) for r, c in zip(rows, cuts)])
 
     def finish(texts, answers):
         own, found, lists = layout(texts, answers)
-        told = {r["part"]: unpack(r["body"], r["n"]) for r in answers.to_pylist() if r["stage"] == 1}
+        told = {r["part"]: r for r in answers.filter(pa.compute.equal(answers.column("stage"), 1)).to_pylist()}
         count = found.size - length + 1
         begin = np.empty(len(count), dtype=np.int64)
-        least, base = [np.zeros(0, np.int64)], 0
+        least, base = np.empty(count.sum(), dtype=np.int64), 0
         for part, at in lists:
             begin[at] = base + np.cumsum(count[at]) - count[at]
-            least.append(told[part])
-            base += len(told[part])
-        least = np.concatenate(least)
+            n = told[part]["n"]
+            least[base:base + n] = unpack(told.pop(part)["body"], n)
+            base += n
+        if base != len(least):
+            raise ValueError("the documents changed between two reads: strings of a block without answers")
         cover = np.zeros(len(own.data) + 1, dtype=np.int32)
-        for s in range(0, len(found.at), 1 << 15):
-            of, at = found.of[s:s + (1 << 15)], found.at[s:s + (1 << 15)]
+        for s in range(0, len(found.at), _SLICE // 8):
+            of, at = found.of[s:s + _SLICE // 8], found.at[s:s + _SLICE // 8]
             n = count[of]
             step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             where = np.repeat(at, n) + step
@@ -491,7 +545,9 @@ def repeated_strings(docs: DataFrame, key: str = "doc_id", length: int = LENGTH,
             gone = where[least[np.repeat(begin[of], n) + step] < mine]
             np.add.at(cover, gone, 1)
             np.add.at(cover, gone + length, -1)
-        removed = np.cumsum(cover[:-1]) > 0
+        removed = np.cumsum(cover[:-1], out=cover[:-1]) > 0
+        del cover, least, found, lists
+        arrays.release()
         a, b, doc = arrays.runs(removed, own.offsets)
         spans = np.searchsorted(doc, np.arange(len(own.ids) + 1))
         offsets = own.offsets.tolist()

@@ -270,3 +270,89 @@ def test_outputs_are_texts(spark):
     assert len(outputs) == 40 and len(pieces) > 220
     digests = {r["output_sha256"] for r in fill_middle.digests(df, rate=100).collect()}
     assert {hashlib.sha256(o).hexdigest() for o in outputs.values()} == digests
+
+
+def _traced(run):
+    """The result, and the greatest number of bytes that Python and numpy held meanwhile."""
+    import tracemalloc
+
+    tracemalloc.start()
+    try:
+        return run(), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def _block_of(texts, length=50, gram=25):
+    import pyarrow as pa
+
+    from escalade.llm import suffix_dedup
+
+    body = b"".join(texts)
+    table = pa.table({
+        "n": [len(texts)], "ids": [suffix_dedup.pack(np.arange(len(texts)))], "lengths": [suffix_dedup.pack(np.array([len(t) for t in texts]))],
+        "size": [len(body)], "body": [pa.compress(body, codec="zstd", asbytes=True)],
+    })
+    return suffix_dedup.Block(table, length, gram, 4)
+
+
+def test_common_strings_are_one_segment_each_and_take_little_memory():
+    from escalade.llm import arrays, suffix_dedup
+
+    rng = np.random.default_rng(5)
+    common = rng.integers(97, 123, 1500).astype(np.uint8).tobytes()
+    texts = [common + rng.integers(97, 123, 30).astype(np.uint8).tobytes() for _ in range(400)]
+    block = _block_of(texts)
+    flags = np.where(block.counts >= 300, suffix_dedup._COMMON, np.where(block.counts >= 2, suffix_dedup._SHARED, suffix_dedup._NONE))
+    block.segments(flags)  # the powers of the hash are kept from here on
+    arrays.powers(len(block.data) + 1)
+    found, peak = _traced(lambda: block.segments(flags))
+    # Every occurrence leads to a segment of the same bytes, equal bytes to one segment, and the least id is that of the first text.
+    body = block.data.tobytes()
+    seen = {}
+    for at, of in list(zip(found.at.tolist(), found.of.tolist()))[:: 37]:
+        own = body[at:at + int(found.size[of])]
+        assert own == body[int(found.start[of]):int(found.start[of]) + int(found.size[of])]
+        assert seen.setdefault((int(found.key[of]), int(found.left[of]), own), of) == of
+    assert len(found.start) < 10_000 and len(found.at) > 500_000
+    assert set(found.least[found.of[found.at < 1400]].tolist()) == {0}
+    assert peak / len(found.at) < 80
+
+
+def test_segments_that_only_look_equal_stay_apart():
+    from escalade.llm import suffix_dedup
+
+    data = np.frombuffer(b"aaaabbbbaaaabbbb", np.uint8)
+    start, size, left = np.array([0, 4, 8, 12]), np.full(4, 4), np.zeros(4, np.int64)
+    same = np.full(4, 7, np.uint64)
+    found = suffix_dedup.distinct_segments(data, start, size, left, same, same, np.array([3, 2, 1, 0]))
+    for at, of in zip(found.at.tolist(), found.of.tolist()):
+        assert data[at:at + 4].tobytes() == data[found.start[of]:found.start[of] + 4].tobytes()
+    assert found.least[found.of].tolist() == [1, 2, 1, 0]
+
+
+def test_a_block_of_words_takes_little_memory():
+    import pyarrow as pa
+
+    from escalade.llm import word_bpe
+
+    rng = np.random.default_rng(7)
+    words = [bytes(rng.integers(97, 123, rng.integers(2, 9)).astype(np.uint8)).decode() for _ in range(3000)]
+    texts = pa.array([" ".join(rng.choice(words, 400)) for _ in range(3000)])
+    word_bpe.Block(texts.slice(0, 500), 0, 8 << 20)
+    block, peak = _traced(lambda: word_bpe.Block(texts, 0, 8 << 20))
+    assert block.last == len(texts) and sum(block.counts) == len(block.numbers) > 1_000_000
+    assert peak / len(block.numbers) < 60
+
+
+def test_chunks_read_every_kind_of_text():
+    import pyarrow as pa
+
+    from escalade.llm import arrays
+
+    texts = ["ab", "", None, "déf", "x" * 9, "z"]
+    for kind in (pa.string(), pa.large_string(), pa.binary(), pa.large_binary(), pa.string_view()):
+        for values in (texts, [t or "" for t in texts]):
+            column = pa.array(values, pa.string()).cast(kind).slice(1)
+            got = [c.data[a:b].tobytes() for c in arrays.chunks(column, 4) for a, b in zip(c.offsets, c.offsets[1:])]
+            assert got == [(t or "").encode() for t in texts[1:]]
