@@ -49,6 +49,8 @@ def chunks(texts: pa.Array, max_bytes: int = CHUNK_BYTES) -> Iterator[Chunk]:
         last = min(max(last, first + 1), len(texts))
         yield Chunk(first, last, data[offsets[first]:offsets[last]], offsets[first:last + 1] - offsets[first])
         first = last
+    if len(data) >= CHUNK_BYTES:
+        release()
 
 
 def release() -> None:

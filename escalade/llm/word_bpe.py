@@ -49,6 +49,8 @@ from escalade.llm.frames import read
 
 #: Text of a block in bytes, unless one document is longer.
 BLOCK_BYTES = 8 << 20
+#: Words that are compared at once.
+_SLICE = 1 << 16
 #: Words that are encoded in one call.
 JOINED = 1000
 
@@ -148,24 +150,30 @@ class Block:
 
     def __init__(self, texts: pa.Array, first: int, block_bytes: int):
         self.first = first
-        hashes, starts, ends, self.counts, bodies, base, rows = [], [], [], [], [], 0, 0
+        hashes, starts, sizes, self.counts, bodies, base, rows = [], [], [], [], [], 0, 0
         for chunk in arrays.chunks(texts.slice(first)):
             if rows and base + len(chunk.data) > block_bytes:
                 break
             start = word_starts(chunk.data, chunk.offsets)
             end = np.r_[start[1:], len(chunk.data)][:len(start)]
+            # 32 bits hold the places in a block, unless a document is very long.
+            kind = np.int32 if base + len(chunk.data) < 1 << 31 else np.int64
             hashes.append(arrays.range_hash(arrays.prefix_hash(chunk.data), start, end))
-            starts.append(start + base)
-            ends.append(end + base)
+            starts.append((start + base).astype(kind))
+            sizes.append((end - start).astype(kind))
             self.counts += np.bincount(np.searchsorted(chunk.offsets, start, side="right") - 1, minlength=chunk.last - chunk.first).tolist()
             bodies.append(chunk.data)
             base, rows = base + len(chunk.data), chunk.last
         self.last, self.data = first + rows, np.concatenate(bodies)
-        hashes, start = np.concatenate(hashes), np.concatenate(starts).astype(np.int32 if base < 1 << 31 else np.int64)
-        size = np.concatenate(ends).astype(start.dtype) - start
+        hashes, start, size = np.concatenate(hashes), np.concatenate(starts), np.concatenate(sizes)
+        del starts, sizes, bodies
         of, head = _numbered(hashes)
-        same = size == size[head][of]
-        same[same] = equal_bytes(self.data, start[same], start[head][of[same]], size[same])
+        same = np.empty(len(of), dtype=bool)
+        for a in range(0, len(of), _SLICE):
+            s = slice(a, a + _SLICE)
+            here, first_of = size[s] == size[head[of[s]]], start[head[of[s]]]
+            here[here] = equal_bytes(self.data, start[s][here], first_of[here], size[s][here])
+            same[s] = here
         if not same.all():
             # Words of one hash: give those that differ from the first a hash of their own, from all their bytes.
             digest = [hashlib.blake2b(self.data[a:a + n].tobytes(), digest_size=8).digest() for a, n in zip(start[~same], size[~same])]
@@ -192,6 +200,7 @@ class Block:
 
 def _blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[tuple[pa.RecordBatch, Block]]:
     for batch in batches:
+        arrays.release()
         at = 0
         while at < len(batch):
             block = Block(batch.column("text"), at, block_bytes)
@@ -204,6 +213,7 @@ def _word_lists(count: int, block_bytes: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, block in _blocks(batches, block_bytes):
+            arrays.release()
             parts = block.parts(count)
             order = np.argsort(parts, kind="stable")
             found = np.unique(parts)
@@ -222,6 +232,7 @@ def _encode_lists(spec: str):
     """(block, part, n, lengths, total, ids): the ids of each list; a partition encodes each of its words once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrays.release()
         tokenizer, known = tokenizer_of(spec), {}
         for batch in batches:
             for row in batch.to_pylist():
@@ -246,6 +257,7 @@ def _numbers(key: str, count: int, block_bytes: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, block in _blocks(batches, block_bytes):
+            arrays.release()
             keys, n = batch.column(key).slice(block.first, block.last - block.first), block.last - block.first
             codes = np.split(block.numbers, np.cumsum(block.counts)[:-1])
             yield pa.RecordBatch.from_pydict({
@@ -273,7 +285,9 @@ def _place(key: str, pieces: list[bytes] | None):
             raise ValueError("the documents changed between two reads: words of a block without ids")
         order = [answers[k] for k in sorted(answers)]
         in_lists = np.concatenate([_unpack(r["lengths"], r["n"]) for r in order] or [np.zeros(0, np.int64)])
-        flat = np.concatenate([_unpack(r["ids"], r["total"]) for r in order] or [np.zeros(0, np.int64)]).astype(np.int32)
+        flat = np.concatenate([_unpack(r["ids"], r["total"]).astype(np.int32) for r in order] or [np.zeros(0, np.int32)])
+        del answers, order
+        arrays.release()
         at = np.argsort(parts, kind="stable")
         length, start = np.empty(n, dtype=np.int64), np.empty(n, dtype=np.int64)
         length[at], start[at] = in_lists, np.cumsum(in_lists) - in_lists
