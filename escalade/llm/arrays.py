@@ -103,14 +103,20 @@ def range_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
 def equal_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Whether data[a:a + size] equals data[b:b + size], for arrays of places."""
     out = np.ones(len(a), dtype=bool)
-    # A few thousand ranges at a time, as every byte takes several numbers here.
+    # Eight bytes at a time, wherever they stand; the last eight of a range may overlap those before them.
+    wide = np.ndarray(max(len(data) - 7, 0), "<u8", np.ascontiguousarray(data), strides=(1,))
+    # A few thousand ranges at a time, as every step takes several numbers here.
     for begin in range(0, len(a), 1 << 12):
         s = slice(begin, begin + (1 << 12))
-        own = size[s]
-        row = np.repeat(np.arange(len(own)), own)
-        step = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
-        differ = data[a[s][row] + step] != data[b[s][row] + step]
-        out[s] = np.bincount(row[differ], minlength=len(own)) == 0
+        for unit, view, chosen in ((8, wide, size[s] >= 8), (1, data, size[s] < 8)):
+            rows = np.flatnonzero(chosen)
+            last = size[s][rows].astype(np.int64) - unit
+            steps = -(-(last + unit) // unit)
+            row = np.repeat(np.arange(len(rows)), steps)
+            step = unit * (np.arange(len(row)) - np.repeat(np.cumsum(steps) - steps, steps))
+            step = np.minimum(step, last[row])
+            differ = view[a[s][rows][row] + step] != view[b[s][rows][row] + step]
+            out[begin + rows] = np.bincount(row[differ], minlength=len(rows)) == 0
     return out
 
 

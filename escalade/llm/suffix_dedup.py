@@ -59,6 +59,8 @@ HASH_BYTES = 5
 #: Texts longer than this find their anchors by places and not by packed values.
 _PACKED = 25
 
+#: Texts are hashed in chunks of about so many bytes, whose numbers stay in a processor's cache.
+CHUNK_BYTES = 1 << 17
 #: Strings that are compared at once.
 _SLICE = 1 << 16
 
@@ -144,20 +146,24 @@ class Block:
         texts = pa.array([bodies[k] for k in order], pa.large_binary())
         self.offsets = np.frombuffer(texts.buffers()[1], np.int64)[:len(order) + 1]
         self.data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[:self.offsets[-1]]
-        found = [(self.offsets[c.first], anchor_runs(c, length, gram)) for c in arrays.chunks(texts)]
+        found = [(self.offsets[c.first], anchor_runs(c, length, gram)) for c in arrays.chunks(texts, CHUNK_BYTES)]
         self.runs = Runs(
             np.concatenate([r.anchor for _, r in found]),
             *(np.concatenate([getattr(r, name) + base for base, r in found]) for name in ("place", "first", "last")),
         )
         del bodies, found
         arrays.release()
-        self.doc = np.searchsorted(self.offsets, self.runs.first, side="right") - 1
-        order = np.lexsort((self.ids[self.doc], self.runs.anchor))
+        # Runs stand in the order of documents, and so in that of ids.
+        self.doc = np.repeat(np.arange(len(self.ids)), np.diff(np.searchsorted(self.runs.first, self.offsets)))
+        order = np.argsort(self.runs.anchor, kind="stable")
         anchor, own = self.runs.anchor[order], self.ids[self.doc[order]]
         new = np.r_[True, anchor[1:] != anchor[:-1]] if len(order) else np.zeros(0, bool)
         other = np.r_[True, own[1:] != own[:-1]] | new if len(order) else new
-        # Distinct anchors in the order of part and hash, with the number of ids that have each.
-        self.anchors, counts = anchor[new], np.bincount(np.cumsum(new)[other] - 1, minlength=int(new.sum()))
+        # Distinct anchors in the order of hash, with the number of ids that have each; and the one of each run.
+        number = np.cumsum(new, dtype=np.int32) - 1
+        self.anchors, counts = anchor[new], np.bincount(number[other], minlength=int(new.sum()))
+        self.anchor_of = np.empty(len(order), dtype=np.int32)
+        self.anchor_of[order] = number
         self.part = part_of(self.anchors, parts)
         self.by_part = np.argsort(self.part, kind="stable")
         self.counts = counts
@@ -171,7 +177,7 @@ class Block:
 
     def segments(self, flags: np.ndarray) -> Segments:
         """The distinct shared strings to send, and which occurrences each stands for."""
-        flag = flags[np.searchsorted(self.anchors, self.runs.anchor)] if len(self.anchors) else np.zeros(0, np.int64)
+        flag = flags[self.anchor_of]
         plain, common = np.flatnonzero(flag == _SHARED), np.flatnonzero(flag == _COMMON)
         # Common strings may be as many as bytes; 32 bits hold their places.
         kind = np.int32 if len(self.data) < 1 << 31 else np.int64
@@ -185,15 +191,17 @@ class Block:
         start[len(plain):] += np.repeat(first[common] - (np.cumsum(own, dtype=kind) - own), own)
         doc[len(plain):] = np.repeat(self.doc[common].astype(kind), own)
         content = np.empty(n, dtype=np.uint64)
-        # Documents are hashed chunk by chunk, as prefix sums take eight times their room.
-        base = 0
+        # Documents are hashed chunk by chunk, as prefix sums take eight times their room; both kinds stand in the order of their starts.
+        base, split = 0, len(plain)
         while base < len(self.ids):
-            last = int(np.searchsorted(self.offsets, self.offsets[base] + arrays.CHUNK_BYTES, side="right")) - 1
+            last = int(np.searchsorted(self.offsets, self.offsets[base] + CHUNK_BYTES, side="right")) - 1
             last = min(max(last, base + 1), len(self.ids))
             a, b = self.offsets[base], self.offsets[last]
-            here = np.flatnonzero((start >= a) & (start < b))
-            if len(here):
-                content[here] = mix(fixed_hash(prefix_hash(self.data[a:b]), start[here] - a, size[here]) + size[here].astype(np.uint64))
+            bounds = [(base_ + np.searchsorted(own_, (a, b))).tolist() for base_, own_ in ((0, start[:split]), (split, start[split:]))]
+            if any(x < y for x, y in bounds):
+                prefix = prefix_hash(self.data[a:b])
+                for x, y in bounds:
+                    content[x:y] = mix(fixed_hash(prefix, start[x:y] - a, size[x:y]) + size[x:y].astype(np.uint64))
             base = last
         key = content.copy()
         key[:len(plain)] = self.runs.anchor[plain]
@@ -484,8 +492,7 @@ def repeated_strings(docs: DataFrame, key: str = "doc_id", length: int = LENGTH,
         rows = []
         for part, at in lists:
             own_size = found.size[at]
-            step = np.arange(own_size.sum()) - np.repeat(np.cumsum(own_size) - own_size, own_size)
-            body = own.data[np.repeat(found.start[at], own_size) + step].tobytes()
+            body = own.data[np.repeat(found.start[at] - (np.cumsum(own_size) - own_size), own_size) + np.arange(own_size.sum())].tobytes()
             rows.append((
                 texts.column("block")[0].as_py(), part, len(at), pack(own_size), pack(found.left[at]), found.key[at].astype("<u8").tobytes(), pack(found.least[at]),
                 pa.compress(body, codec="zstd", asbytes=True),
@@ -535,18 +542,20 @@ def repeated_strings(docs: DataFrame, key: str = "doc_id", length: int = LENGTH,
             base += n
         if base != len(least):
             raise ValueError("the documents changed between two reads: strings of a block without answers")
-        cover = np.zeros(len(own.data) + 1, dtype=np.int32)
+        # A string starts at a place once, so no place is marked twice.
+        edge = np.zeros(len(own.data) + 1, dtype=np.int8)
         for s in range(0, len(found.at), _SLICE // 8):
             of, at = found.of[s:s + _SLICE // 8], found.at[s:s + _SLICE // 8]
+            mine = own.ids[np.searchsorted(own.offsets, at, side="right") - 1]
             n = count[of]
-            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            where = np.repeat(at, n) + step
-            mine = own.ids[np.searchsorted(own.offsets, where, side="right") - 1]
-            gone = where[least[np.repeat(begin[of], n) + step] < mine]
-            np.add.at(cover, gone, 1)
-            np.add.at(cover, gone + length, -1)
-        removed = np.cumsum(cover[:-1], out=cover[:-1]) > 0
-        del cover, least, found, lists
+            ahead = np.cumsum(n) - n
+            step = np.arange(n.sum())
+            gone = np.flatnonzero(least[np.repeat(begin[of] - ahead, n) + step] < np.repeat(mine, n))
+            where = np.repeat(at - ahead, n)[gone] + gone
+            edge[where] += 1
+            edge[where + length] -= 1
+        removed = np.cumsum(edge[:-1], dtype=np.int32) > 0
+        del edge, least, found, lists
         arrays.release()
         a, b, doc = arrays.runs(removed, own.offsets)
         spans = np.searchsorted(doc, np.arange(len(own.ids) + 1))

@@ -345,6 +345,42 @@ def test_a_block_of_words_takes_little_memory():
     assert peak / len(block.numbers) < 60
 
 
+def test_anchors_of_a_block_take_little_memory():
+    import pyarrow as pa
+
+    from escalade.llm import suffix_dedup
+
+    rng = np.random.default_rng(9)
+    texts = [bytes(rng.integers(97, 123, 3000).astype(np.uint8)) for _ in range(1000)]
+    (row,) = suffix_dedup._packed_texts()(iter([pa.RecordBatch.from_pydict({
+        "k": pa.array(range(1000), pa.int64()), "block": pa.array([0] * 1000, pa.int64()), "text": pa.array([t.decode() for t in texts]),
+    })]))
+    block, peak = _traced(lambda: suffix_dedup.Block(pa.Table.from_batches([row]), 50, 25, 3))
+    assert block.data.tobytes() == b"".join(texts) and (block.anchors[block.anchor_of] == block.runs.anchor).all()
+    assert (block.ids[block.doc] == block.runs.first // 3000).all() and (block.counts == 1).all()
+    assert peak / len(block.data) < 13
+
+
+def test_ranges_of_every_size_are_compared():
+    from escalade.llm.arrays import equal_bytes
+
+    rng = np.random.default_rng(10)
+    for n in (0, 5, 8, 200):
+        data = rng.integers(0, 2, n).astype(np.uint8)
+        data[n // 2:n // 2 * 2] = data[:n // 2]
+        size = rng.integers(0, n // 2 + 1, 3000)
+        a = rng.integers(0, n // 2 - size + 1)
+        b = a + rng.choice([n // 2, 0, (n - n // 2 * 2)], 3000)
+        want = [data[x:x + s].tobytes() == data[y:y + s].tobytes() for x, y, s in zip(a, b, size)]
+        assert equal_bytes(data, a, b, size).tolist() == want
+        flipped = data.copy()
+        for k in np.flatnonzero(size)[:40]:
+            # One byte in the range at b decides, wherever it stands.
+            flipped[b[k] + size[k] - 1] ^= 1
+            same = flipped[a[k]:a[k] + size[k]].tobytes() == flipped[b[k]:b[k] + size[k]].tobytes()
+            assert equal_bytes(flipped, a[k:k + 1], b[k:k + 1], size[k:k + 1]).tolist() == [same]
+
+
 def test_chunks_read_every_kind_of_text():
     import pyarrow as pa
 
