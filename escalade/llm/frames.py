@@ -7,12 +7,16 @@ from pyspark.sql import functions as F
 
 from escalade.session import new_folder, ship_package
 
-__all__ = ["components", "discard", "join_counted", "pick", "read", "settle", "ship_package"]
+__all__ = ["components", "discard", "join_counted", "lean_batches", "pick", "read", "settle", "ship_package"]
 
 #: A key is hot if it has more than this part of all rows, so there are fewer hot keys than this.
 HOT_KEYS = 1024
 #: Keys that may be broadcast, as text and with their share of a hash table.
 KEY_BYTES = 96 << 20
+#: Rows of a batch that goes to a Python worker, where whole texts are handled.
+BATCH_ROWS = 2000
+#: Spark's setting of that.
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,6 +25,17 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def lean_batches(spark: SparkSession) -> None:
+    """Give Python workers ``BATCH_ROWS`` rows at a time, if the session gives more.
+
+    A batch stands in memory at once, in the executor and, several times over,
+    in a worker that makes strings or arrays of it.
+    """
+    rows = int(spark.conf.get(BATCH_SETTING))
+    if rows <= 0 or rows > BATCH_ROWS:
+        spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: later steps survive lost executors."""
     path = new_folder(df.sparkSession, name)

@@ -49,6 +49,8 @@ from escalade.llm.frames import read
 
 #: Text of a block in bytes, unless one document is longer.
 BLOCK_BYTES = 8 << 20
+#: Texts are cut and hashed in chunks of about so many bytes: the numbers of a chunk take many times its room.
+CHUNK_BYTES = 1 << 17
 #: Words that are compared at once.
 _SLICE = 1 << 16
 #: Words that are encoded in one call.
@@ -135,14 +137,18 @@ def _unpack(body: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(4, n).T).view("<u4").ravel().astype(np.int64)
 
 
-def _numbered(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The number of each hash among the distinct ones in order, and where each of those stands first."""
+def _numbered(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The number of each hash among the distinct ones in order, where each of those stands first, and how often it stands."""
     order = np.argsort(hashes, kind="stable").astype(np.int32)
     new = np.ones(len(order), dtype=bool)
-    new[1:] = hashes[order[1:]] != hashes[order[:-1]]
+    for a in range(1, len(order), _SLICE):
+        own = order[a:a + _SLICE]
+        new[a:a + _SLICE] = hashes[own] != hashes[order[a - 1:a - 1 + len(own)]]
+    number = np.cumsum(new, dtype=np.int32)
+    number -= 1
     of = np.empty(len(order), dtype=np.int32)
-    of[order] = np.cumsum(new, dtype=np.int32) - 1
-    return of, order[new]
+    of[order] = number
+    return of, order[new], np.diff(np.flatnonzero(new), append=len(new))
 
 
 class Block:
@@ -151,7 +157,7 @@ class Block:
     def __init__(self, texts: pa.Array, first: int, block_bytes: int):
         self.first = first
         hashes, starts, sizes, self.counts, bodies, base, rows = [], [], [], [], [], 0, 0
-        for chunk in arrays.chunks(texts.slice(first)):
+        for chunk in arrays.chunks(texts.slice(first), CHUNK_BYTES):
             if rows and base + len(chunk.data) > block_bytes:
                 break
             start = word_starts(chunk.data, chunk.offsets)
@@ -165,9 +171,11 @@ class Block:
             bodies.append(chunk.data)
             base, rows = base + len(chunk.data), chunk.last
         self.last, self.data = first + rows, np.concatenate(bodies)
-        hashes, start, size = np.concatenate(hashes), np.concatenate(starts), np.concatenate(sizes)
-        del starts, sizes, bodies
-        of, head = _numbered(hashes)
+        del bodies
+        start, size = np.concatenate(starts), np.concatenate(sizes)
+        del starts, sizes
+        hashes = np.concatenate(hashes)
+        of, head, often = _numbered(hashes)
         same = np.empty(len(of), dtype=bool)
         for a in range(0, len(of), _SLICE):
             s = slice(a, a + _SLICE)
@@ -178,14 +186,16 @@ class Block:
             # Words of one hash: give those that differ from the first a hash of their own, from all their bytes.
             digest = [hashlib.blake2b(self.data[a:a + n].tobytes(), digest_size=8).digest() for a, n in zip(start[~same], size[~same])]
             hashes[~same] = np.frombuffer(b"".join(digest), "<u8")
-            of, head = _numbered(hashes)
+            of, head, often = _numbered(hashes)
         # By falling frequency, and by hash where that is equal.
-        order = np.argsort(-np.bincount(of, minlength=len(head)), kind="stable")
+        order = np.argsort(-often, kind="stable")
         rank = np.empty(len(head), dtype=np.int32)
         rank[order] = np.arange(len(head), dtype=np.int32)
         self.numbers, self.hashes = rank[of], hashes[head[order]]
         self.starts, self.sizes = start[head[order]].astype(np.int64), size[head[order]].astype(np.int64)
-        digest = hashlib.blake2b(self.hashes.tobytes() + np.array(self.counts, "<i8").tobytes() + self.numbers.tobytes(), digest_size=8)
+        digest = hashlib.blake2b(digest_size=8)
+        for part in (self.hashes, np.array(self.counts, "<i8"), self.numbers):
+            digest.update(np.ascontiguousarray(part))
         self.id = int.from_bytes(digest.digest(), "little", signed=True)
 
     def parts(self, count: int) -> np.ndarray:

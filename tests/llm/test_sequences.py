@@ -345,6 +345,38 @@ def test_a_block_of_words_takes_little_memory():
     assert peak / len(block.numbers) < 60
 
 
+def test_words_of_a_block_are_numbered_in_place():
+    import pyarrow as pa
+
+    from escalade.llm import word_bpe
+
+    rng = np.random.default_rng(8)
+    hashes = rng.integers(0, 1 << 12, 100_000).astype(np.uint64)
+    of, head, often = word_bpe._numbered(hashes)
+    values, first, number, counts = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+    assert (of == number).all() and (head == first).all() and (often == counts).all() and (hashes[head] == values).all()
+    texts = pa.array([" ".join(rng.choice(["ab", "cde", "fghi", "jklmnop"], 400)) for _ in range(3000)])
+    word_bpe.Block(texts.slice(0, 500), 0, 8 << 20)
+    block, peak = _traced(lambda: word_bpe.Block(texts, 0, 8 << 20))
+    assert block.last == len(texts) and len(block.numbers) > 1_000_000
+    assert peak / len(block.numbers) < 40
+
+
+def test_stages_hand_small_batches_to_workers(spark):
+    import corpus_pipeline
+    from escalade.llm import frames
+
+    before = spark.conf.get(frames.BATCH_SETTING)
+    try:
+        for rows, left in (("10000", frames.BATCH_ROWS), ("0", frames.BATCH_ROWS), ("7", 7)):
+            spark.conf.set(frames.BATCH_SETTING, rows)
+            docs = spark.createDataFrame([(k, "a few words", None, None, 11) for k in range(3)], "doc_id long, text string, lang string, source string, n_chars long")
+            corpus_pipeline.encode_texts(spark, docs, "")
+            assert int(spark.conf.get(frames.BATCH_SETTING)) == left
+    finally:
+        spark.conf.set(frames.BATCH_SETTING, before)
+
+
 def test_anchors_of_a_block_take_little_memory():
     import pyarrow as pa
 
