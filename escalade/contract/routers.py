@@ -26,8 +26,12 @@ def logistic_router(spark, sf):
 
 @query("select_on_dev")
 def select_on_dev(spark, sf):
-    rows = _rows(spark, sf)
-    best, log = rt.select_on_dev(rows.where("split = 'train'"), rows.where("split = 'dev'"), TEXT_METADATA)
+    # Held, as features and solver read them about ten times: the tables are joined and split once.
+    rows = _rows(spark, sf).persist()
+    try:
+        best, log = rt.select_on_dev(rows.where("split = 'train'"), rows.where("split = 'dev'"), TEXT_METADATA)
+    finally:
+        rows.unpersist()
     table = [(r["class_weight"] or "none", r["C"], r["dev_macro_f1"], all(r[k] == best[k] for k in best)) for r in log]
     return spark.createDataFrame(table, "class_weight string, C double, dev_macro_f1 double, chosen boolean")
 

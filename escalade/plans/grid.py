@@ -3,12 +3,14 @@
 All configurations share the rows and differ in their weights and penalties, so
 their coefficients are stacked side by side and one pass over the data gives the
 losses, gradients and curvatures of all of them: a task multiplies its rows with
-the stacked matrix, and the partial sums are added up in a tree.  Each
+the stacked matrix, and the partial sums are added up part by part by other tasks,
+so that the driver is sent each total once, however many tasks there were.  Each
 configuration then takes a step of its own on the driver, where only coefficients,
-their history and the curvature live (features x classes x configurations numbers,
-as large as the models themselves, and ``BLOCK`` squared a configuration).  The
-number of passes is that of the slowest configuration and not their sum; no
-configuration's steps depend on another one.
+their history and the sums of a pass live (features x classes x configurations
+numbers, as large as the models themselves, and half of ``BLOCK`` squared a
+configuration), and the curvature of one configuration at a time.  The number of
+passes is that of the slowest configuration and not their sum; no configuration's
+steps depend on another one.
 
 The curvature is the exact matrix of second derivatives of the features with the
 greatest squares, up to ``BLOCK`` coefficients, and the diagonal of the others.
@@ -21,7 +23,7 @@ coefficients over C, divided by the sum of weights.  Intercepts are not penalize
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -33,6 +35,8 @@ from pyspark.sql import functions as F
 ENTRIES = 1 << 16
 #: Coefficients of a configuration whose second derivatives are all known, and pairs of entries that are summed at once.
 BLOCK, PAIRS = 1024, 1 << 18
+#: Numbers of a sum that one task adds up, small enough to come to the driver with the task's own message.
+PART = 1 << 16
 #: Steps that the rest of the curvature is estimated from; the driver keeps two arrays of the size of a model for each.
 MEMORY = 20
 #: Fixed values of the step search: sufficient decrease and curvature (strong Wolfe conditions).
@@ -162,20 +166,26 @@ class Curvature:
         self.places = np.r_[heavy, self.shape[0] - 1]
         self.exact = len(self.places) == self.shape[0]
         self.diagonal = squares + penalty
-        size = len(self.places)
+        self.products, self.penalty = products, penalty
+
+    @property
+    def block(self) -> np.ndarray:
+        """The matrix, made anew each time: of all configurations only one stands in memory."""
+        size, k = len(self.places), self.shape[1]
         upper = np.triu_indices(size)
-        self.block = np.zeros((size, k, size, k))
-        for sums, (c, d) in zip(products, ((c, d) for c in range(k) for d in range(c + 1, k))):
+        block = np.zeros((size, k, size, k))
+        for sums, (c, d) in zip(self.products, ((c, d) for c in range(k) for d in range(c + 1, k))):
             whole = np.zeros((size, size))
             whole[upper] = sums
             whole += np.triu(whole, 1).T
-            self.block[:, c, :, d] = self.block[:, d, :, c] = -whole
-            self.block[:, c, :, c] += whole
-            self.block[:, d, :, d] += whole
-        flat = self.block.reshape(size * k, size * k)
-        flat[np.diag_indices(size * k)] += np.r_[np.full((size - 1) * k, penalty), np.full(k, 1e-14)]
+            block[:, c, :, d] = block[:, d, :, c] = -whole
+            block[:, c, :, c] += whole
+            block[:, d, :, d] += whole
+        flat = block.reshape(size * k, size * k)
+        flat[np.diag_indices(size * k)] += np.r_[np.full((size - 1) * k, self.penalty), np.full(k, 1e-14)]
         # Adding one number to all intercepts changes no loss, and no gradient points there.
-        self.block[-1, :, -1, :] += 1.0
+        block[-1, :, -1, :] += 1.0
+        return block
 
     def solve(self, q: np.ndarray) -> np.ndarray:
         q = q.reshape(self.shape)
@@ -196,22 +206,22 @@ class _Descent:
         self.history: list[tuple[np.ndarray, np.ndarray]] = []
         self.trial, self.done = self.x, False
 
-    def _direction(self) -> np.ndarray:
+    def _direction(self, curvature: Curvature) -> np.ndarray:
         q, alphas = self.g.copy(), []
         for s, y in reversed(self.history):
             alpha = s @ q / (s @ y)
             q -= alpha * y
             alphas.append(alpha)
-        q = self.curvature.solve(q)
+        q = curvature.solve(q)
         for (s, y), alpha in zip(self.history, reversed(alphas)):
             q += (alpha - y @ q / (s @ y)) * s
         return -q
 
-    def _start(self) -> None:
+    def _start(self, curvature: Curvature) -> None:
         if np.abs(self.g).max(initial=0.0) <= self.tol:
             self.done = True
             return
-        self.d = self._direction()
+        self.d = self._direction(curvature)
         self.slope = self.g @ self.d
         if self.slope >= 0:
             self.history.clear()
@@ -224,8 +234,8 @@ class _Descent:
     def take(self, f: float, g: np.ndarray, curvature: Curvature) -> None:
         """Loss, gradient and curvature at ``trial``; sets the next one."""
         if self.f is None:
-            self.f, self.g, self.curvature = f, g, curvature
-            return self._start()
+            self.f, self.g = f, g
+            return self._start(curvature)
         slope = g @ self.d
         self.searched += 1
         # Near the minimum, losses differ by less than their rounding: then the slope decides alone.
@@ -248,8 +258,8 @@ class _Descent:
         s, y = self.trial - self.x, g - self.g
         if s @ y > 1e-300 and not curvature.exact:
             self.history = [*self.history[1 - MEMORY:], (s, y)]
-        self.x, self.f, self.g, self.curvature = self.trial, f, g, curvature
-        self._start()
+        self.x, self.f, self.g = self.trial, f, g
+        self._start(curvature)
 
 
 @dataclass
@@ -283,20 +293,31 @@ class Grid:
         return each.groupBy("place", gold, "predicted_label").agg(F.count("*").alias("n"))
 
 
+def _added(rows: DataFrame, sums: Callable[[Iterator[pa.RecordBatch]], np.ndarray], size: int) -> np.ndarray:
+    """The total of ``sums``, an array of ``size`` numbers from each task; parts of it are added up by a task each, and the driver gets each number once."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = sums(batches)
+        for part, first in enumerate(range(0, size, PART)):
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "sums": pa.array([whole[first:first + PART].tobytes()], pa.binary())})
+
+    sent = rows.mapInArrow(run, "part int, sums binary").rdd.map(lambda r: (r["part"], np.frombuffer(r["sums"])))
+    parts = dict(sent.reduceByKey(np.add, -(-size // PART)).collect())
+    return np.concatenate([parts[part] for part in range(len(parts))])
+
+
 def heavy_places(rows: DataFrame, width: int, most: int) -> np.ndarray:
     """The places of up to ``most`` features, those with the greatest sums of squares, in rising order."""
     if width <= most:
         return np.arange(width)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def squares(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         sums = np.zeros(width)
         for batch in batches:
             for _, place, value, _ in _batches(batch):
                 sums += np.bincount(place, value * value, width)
-        yield pa.RecordBatch.from_pydict({"sums": pa.array([sums.tobytes()], pa.binary())})
+        return sums
 
-    sums = rows.mapInArrow(run, "sums binary").rdd.map(lambda r: np.frombuffer(r["sums"])).treeReduce(np.add)
-    return np.sort(np.argsort(-sums, kind="stable")[:most])
+    return np.sort(np.argsort(-_added(rows, squares, width), kind="stable")[:most])
 
 
 def fit_grid(rows: DataFrame, counts: dict[str, int], classes: list[str], width: int, grid, tol: float = 1e-9, max_passes: int = 2000) -> Grid:
@@ -315,6 +336,7 @@ def fit_grid(rows: DataFrame, counts: dict[str, int], classes: list[str], width:
     descents = [_Descent((width + 1) * k, tol) for _ in grid]
     heavy = heavy_places(rows, width, max(0, BLOCK // k - 1))
     cells = (len(heavy) + 1) * (len(heavy) + 2) // 2 * (k * (k - 1) // 2)
+    size = (2 * width + 3) * k + cells
     context = rows.sparkSession.sparkContext
     passes = 0
     while passes < max_passes:
@@ -325,13 +347,13 @@ def fit_grid(rows: DataFrame, counts: dict[str, int], classes: list[str], width:
         stacked = np.concatenate([descents[i].trial.reshape(width + 1, k) for i in active], axis=1)
         held = context.broadcast((stacked, weights[active]))
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
             coefficients, own = held.value
-            sums = _loss_and_gradient(coefficients, own, k, batches, heavy)
-            yield pa.RecordBatch.from_pydict({"sums": pa.array([b"".join(x.tobytes() for x in sums)], pa.binary())})
+            return np.concatenate([x.ravel() for x in _loss_and_gradient(coefficients, own, k, batches, heavy)])
 
-        added = rows.mapInArrow(run, "sums binary").rdd.map(lambda r: np.frombuffer(r["sums"])).treeReduce(np.add)
-        held.unpersist()
+        added = _added(rows, told, size * len(active))
+        # Also on the driver, where what is only unpersisted stays until garbage is collected.
+        held.destroy()
         sums, squares, products = np.split(added, np.cumsum([(width + 2) * stacked.shape[1], (width + 1) * stacked.shape[1]]))
         sums, squares, products = sums.reshape(width + 2, -1), squares.reshape(width + 1, -1), products.reshape(len(active), -1, cells // max(1, k * (k - 1) // 2))
         for j, i in enumerate(active):

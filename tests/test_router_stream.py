@@ -294,3 +294,56 @@ def test_grid_takes_few_passes_over_features_that_are_alike(spark, monkeypatch,
     table.unpersist()
     assert max(models.gradients) <= 1e-9
     assert models.passes <= (20 if block == 1024 else 120)
+
+
+def test_the_driver_gets_the_sums_of_a_pass_once(spark, monkeypatch):
+    """However many tasks there are, what comes to the driver is one array, and the models are the same."""
+    import numpy as np
+    from pyspark import RDD
+
+    from escalade.plans import grid
+
+    rng = np.random.default_rng(5)
+    data = [(int(y), sorted(rng.choice(9, 3, replace=False).tolist()), rng.random(3).tolist()) for y in rng.integers(0, 3, 300)]
+    counts = {str(k): sum(r[0] == k for r in data) for k in range(3)}
+    table = spark.createDataFrame(data, "y int, places array<int>, values array<double>")
+    sent, collect = [], RDD.collect
+
+    def counted(self):
+        got = collect(self)
+        sent.append(sum(x.nbytes for r in got for x in (r if isinstance(r, tuple) else (r,)) if isinstance(x, np.ndarray)))
+        return got
+
+    monkeypatch.setattr(RDD, "collect", counted)
+    one = 8 * ((2 * 9 + 3) * 3 + 10 * 11 // 2 * 3) * len(router.GRID)
+    fits = []
+    for tasks, part in ((1, 1 << 16), (64, 1 << 16), (64, 100)):
+        monkeypatch.setattr(grid, "PART", part, raising=False)
+        sent.clear()
+        fits.append(grid.fit_grid(table.repartition(tasks).persist(), counts, list(counts), 9, router.GRID, max_passes=20))
+        assert max(sent) == one
+        assert abs(fits[-1].coefficients - fits[0].coefficients).max() < 1e-6
+    monkeypatch.setattr(grid, "BLOCK", 12)
+    assert sorted(grid.heavy_places(table.repartition(64), 9, 3)) == sorted(grid.heavy_places(table.repartition(1), 9, 3))
+    spark.catalog.clearCache()
+
+
+def test_select_on_dev_makes_its_rows_once(spark, sf, monkeypatch, capsys):
+    """Train and dev rows come from rows that are held while the query runs, and not after it."""
+    from escalade.contract import routers
+
+    class Seen(Exception):
+        pass
+
+    def spied(train, dev, *rest):
+        for part in (train, dev):
+            capsys.readouterr()
+            part.explain()
+            assert "InMemoryTableScan" in capsys.readouterr().out
+        raise Seen
+
+    monkeypatch.setattr(routers.rt, "select_on_dev", spied)
+    with pytest.raises(Seen):
+        routers.select_on_dev(spark, sf)
+    routers._rows(spark, sf).explain()
+    assert "InMemoryTableScan" not in capsys.readouterr().out
